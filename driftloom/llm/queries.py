@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, language_id, mixing, warc
+from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, warc
 from .common import table
 
 CHAT_TEST = "<|im_end|><|im_start|>assistant ok"
@@ -72,6 +72,32 @@ select doc_id, keep_id, cast(group_size as bigint) as group_size, doc_id = keep_
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# every pair of vectors: what projections leave out, SQL has to try
+OP5_SQL = """
+with recursive e as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id as u, b.vec_id as v from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.95),
+r(vec_id, reach) as (
+  select vec_id, vec_id from embeddings
+  union select r.vec_id, l.v from r join l on r.reach = l.u),
+c as (select vec_id, min(reach) as component_id from r group by vec_id),
+n as (select u as vec_id, count(*) as k from l group by u)
+select c.vec_id, cast(coalesce(k, 0) as bigint) as n_links, component_id, c.vec_id = component_id as kept
+from c left join n on c.vec_id = n.vec_id
+"""
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -130,9 +156,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_join": op3_ngram_join,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_mixing": OP8_SQL}

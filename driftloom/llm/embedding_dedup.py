@@ -8,9 +8,10 @@ cell, windows centred at one vector are laid over ``COUNTED`` other lines; a pai
 least ``LEAST`` of them is verified by its cosine in double precision.
 
 Calibration at the threshold (distance 0.3162): a window of half-width ``WINDOW`` = 2 deviations catches a
-pair with probability 0.9545 a line, so fewer than 11 of 16 collisions have a probability under 4e-5; the number of
+pair with probability 0.9545 a line, so fewer than 25 of 32 collisions have a probability under 2e-4; the number of
 tables is chosen so that a pair shares no cell with a probability under ``MISS``. Nearer pairs are found
-more surely. Cells of any size are compared in blocks, each pair in the first table in which it meets.
+more surely. Cells of any size are compared in blocks, each pair in the first table in which it meets. A first round
+counts collisions only; whole vectors are then sent to the cells for those with a colliding partner.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and
 stay; equal vectors are one node and link with one another; vectors of different length never link; ties
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .links import components, linked, matrix
+from .links import components, linked, matrix, promising
 
 THRESHOLD = 0.95
-COUNTED, LEAST, DEVIATIONS = 16, 11, 2.0
-CELL, MISS, WIDTH, MOST_LINES = 150, 5e-4, 2.0, 12
+COUNTED, LEAST, DEVIATIONS = 32, 25, 2.0
+CELL, MISS, WIDTH, MOST_LINES = 400, 5e-4, 2.0, 12
 
 
 def plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -99,15 +100,24 @@ def described(vectors: DataFrame, lines: int, tables: int) -> DataFrame:
     )
 
 
-def judge(threshold: float):
-    window = DEVIATIONS * math.sqrt(2 - 2 * threshold)
+def colliding(threshold: float):
+    window = np.float32(DEVIATIONS * math.sqrt(2 - 2 * threshold))
 
-    def alike(a: pa.Table, b: pa.Table, mask: np.ndarray) -> np.ndarray:
+    def collide(a: pa.Table, b: pa.Table, mask: np.ndarray) -> np.ndarray:
         x, y = matrix(a, "counted", "<f4"), matrix(b, "counted", "<f4")
         count = np.zeros(mask.shape, np.int8)
         for k in range(COUNTED):
             count += np.abs(x[:, k, None] - y[None, :, k]) <= window
-        i, j = np.nonzero(mask & (count >= LEAST))
+        return mask & (count >= LEAST)
+
+    return collide
+
+
+def judge(threshold: float):
+    collide = colliding(threshold)
+
+    def alike(a: pa.Table, b: pa.Table, mask: np.ndarray) -> np.ndarray:
+        i, j = np.nonzero(collide(a, b, mask))
         out = np.zeros_like(mask)
         if not len(i):
             return out
@@ -140,8 +150,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     ends = nodes.select("node", F.posexplode("cells").alias("run", "leaf"))
     sizes = ends.groupBy("run", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    members = ends.join(sizes, ["run", "leaf"]).join(nodes.select("node", "copies", "leaves", "counted", "vector"), "node")
-    found = settle(linked(members, judge(threshold)), "links")
+    ends = settle(ends.join(sizes, ["run", "leaf"]), "ends")
+    hopeful = promising(ends.join(nodes.select("node", "leaves", "counted"), "node"), colliding(threshold)).distinct()
+    chosen = settle(nodes.join(hopeful, "node", "left_semi").select("node", "copies", "leaves", "counted", "vector"), "chosen")
+    again = ends.drop("n").join(chosen.select("node"), "node", "left_semi")
+    sizes = again.groupBy("run", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
+    found = settle(linked(again.join(sizes, ["run", "leaf"]).join(chosen, "node"), judge(threshold)), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     stars = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     placed = nodes.select("node", "rep", "copies").join(stars, "node", "left").join(counts, "node", "left")

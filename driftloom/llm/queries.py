@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, warc
+from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, toxicity, warc
 from .common import table
 
 CHAT_TEST = "<|im_end|><|im_start|>assistant ok"
@@ -76,6 +76,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -157,6 +161,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
+    "op4_toxicity": op4_toxicity,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,

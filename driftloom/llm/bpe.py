@@ -67,7 +67,10 @@ class Vocabulary:
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as little-endian 32-bit integers."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        out: list[bytes] = []
+        for k in range(0, len(words), 2048):  # the library's records of a word are large
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words[k : k + 2048], add_special_tokens=False)]
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))

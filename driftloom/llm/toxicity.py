@@ -108,8 +108,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_penalty:
     if not 0 < ones < len(made):
         share = min(max(ones / max(1, len(made)), 0.0), 1.0)
         return Model(np.zeros(1 << BITS), 500.0 if share == 1 else -500.0)
+    # features of few rows, and weights that many rows don't ask for, are noise
+    least, l1 = max(2, len(made) // 500), max(1.0, len(made) / 500)
+    seen = np.bincount(np.concatenate([e.index for e in made]), minlength=1 << BITS)
+    for e in made:
+        keep = seen[e.index] >= least
+        e.index, e.value = e.index[keep], e.value[keep]
+        if e.other_index is not None:
+            keep = seen[e.other_index] >= least
+            e.other_index, e.other_value = e.other_index[keep], e.other_value[keep]
     importance = [len(made) / (2 * (len(made) - ones)), len(made) / (2 * ones)]
-    model = train(made, 1 << BITS, 2, epochs=4, swap_penalty=swap_penalty, importance=importance, alpha=0.2, l1=1.5, l2=0.5)
+    model = train(made, 1 << BITS, 2, epochs=8, swap_penalty=swap_penalty, importance=importance, alpha=0.5, l1=l1, l2=0.5)
     weights, bias = model.final()
     return Model(weights[:, 0], float(bias[0]))
 

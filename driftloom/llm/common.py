@@ -134,3 +134,30 @@ def runs_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(words.word_at) - 1), words.counts())
     starts = np.flatnonzero(text[: n - k + 1] == text[k - 1 :])
     return run_hashes(words.hashes, starts, starts + k), text[starts], starts - words.word_at[text[starts]]
+
+
+#: ids that are broadcast at most to pick rows, 8 bytes each; more are joined by shuffle
+BROADCAST_IDS = 1 << 20
+
+
+def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among the ids (one column, distinct): without moving the rows if the ids are few enough."""
+    ids = ids.toDF("id_")
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("id_"), "left_semi")
+
+
+def joined_words(words: Words, keep: np.ndarray) -> list[bytes]:
+    """For each text its kept words, with one space between."""
+    data = words.data.copy()
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[words.starts[keep]] += 1
+    edges[words.ends[keep]] -= 1
+    chosen = np.cumsum(edges[:-1], dtype=np.int8) > 0
+    owner = np.searchsorted(words.word_at, np.flatnonzero(keep), side="right") - 1
+    between = words.ends[keep][:-1][owner[1:] == owner[:-1]] if len(owner) else np.zeros(0, np.int64)
+    data[between] = 32
+    chosen[between] = True
+    at = np.concatenate([[0], np.cumsum(chosen)])[words.text_at]
+    out = data[chosen].tobytes()
+    return [out[a:b] for a, b in zip(at, at[1:], strict=False)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, toxicity, warc
+from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, substring_dedup, toxicity, warc
 from .common import table
 
 CHAT_TEST = "<|im_end|><|im_start|>assistant ok"
@@ -157,6 +157,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# every window by its words: right, and slower than the graph
+OP10_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+p as (select doc_id, p, sha256(array_to_string(words[p:p + 49], ' ')) as h from (select doc_id, words, unnest(range(1, len(words) - 48)) as p from w)),
+g as (select doc_id, p, min(doc_id) over (partition by h) as least from p),
+c as (select doc_id, list(distinct q) as gone from (select doc_id, unnest(range(p, p + 50)) as q from g where least < doc_id) group by doc_id),
+k as (select w.doc_id, words, coalesce(gone, []) as gone from w left join c on w.doc_id = c.doc_id),
+x as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from k),
+y as (select x.doc_id, string_agg(word, ' ' order by i) as kept from x anti join (select doc_id, unnest(gone) as i from k) z on x.doc_id = z.doc_id and x.i = z.i group by x.doc_id)
+select k.doc_id, cast(len(words) as bigint) as n_words, cast(len(gone) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from k left join y on k.doc_id = y.doc_id
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -167,5 +185,6 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_mixing": OP8_SQL, "op10_substring_dedup": OP10_SQL}

@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_penalty:
         share = min(max(ones / max(1, len(made)), 0.0), 1.0)
         return Model(np.zeros(1 << BITS), 500.0 if share == 1 else -500.0)
     # features of few rows, and weights that many rows don't ask for, are noise
-    least, l1 = max(2, len(made) // 500), max(1.0, len(made) / 500)
+    least, l1 = max(3, len(made) // 500), max(2.0, len(made) / 500)
     seen = np.bincount(np.concatenate([e.index for e in made]), minlength=1 << BITS)
     for e in made:
         keep = seen[e.index] >= least

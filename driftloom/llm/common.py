@@ -147,6 +147,13 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("id_"), "left_semi")
 
 
+def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is null or not among the ids (one column, distinct)."""
+    ids = ids.toDF("id_").filter("id_ is not null")
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("id_"), "left_anti")
+
+
 def joined_words(words: Words, keep: np.ndarray) -> list[bytes]:
     """For each text its kept words, with one space between."""
     data = words.data.copy()

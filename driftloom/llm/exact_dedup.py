@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, settle, text_of
+from .common import SPACES, settle, text_of, without_ids
 
 #: code points of the normalised text that the second step hashes
 PREFIX = 128
@@ -72,6 +72,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    dropped = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    """The rows that stay, with all their columns; rows go by doc_id, and those that share one stay together."""
+    dropped = exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
+    return without_ids(docs, "doc_id", settle(dropped, "dropped"))

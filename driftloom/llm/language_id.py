@@ -137,5 +137,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows with a predicted language (not ``und``), with all their columns."""
+    model_ = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_.value
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                if m is not None:
+                    _, letters = m.scores([t or "" for t in batch.column("text").to_pylist()])
+                    yield batch.filter(pa.array(letters > 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return predict(docs, fit(docs, sample))

@@ -92,4 +92,4 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
         found = found.withColumn("at_", at).withColumn("n_", F.floor(F.col("copies_") / F.col("rows_")) + (F.col("at_") <= F.col("copies_") % F.col("rows_")).cast("long"))
     else:
         found = found.withColumn("n_", F.col("copies_"))
-    return found.withColumn("n_", F.explode(F.sequence(F.lit(1), F.col("n_").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return found.filter("n_ > 0").withColumn("n_", F.explode(F.sequence(F.lit(1), F.col("n_").cast("int")))).select(*[docs[c] for c in docs.columns])

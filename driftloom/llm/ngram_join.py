@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, run_hashes, runs_of, settle, slices
+from .common import Words, mix64, run_hashes, runs_of, settle, slices, without_ids
 from .links import components, linked, matrix, promising
 
 WORDS, THRESHOLD = 5, 0.8
@@ -211,6 +211,6 @@ def _little_endian(value):
 
 
 def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    dropped = near_classes(docs).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    """The rows that stay, with all their columns; rows go by doc_id, and those that share one stay together."""
+    dropped = near_classes(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
+    return without_ids(docs, "doc_id", settle(dropped, "dropped"))

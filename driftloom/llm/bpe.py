@@ -50,6 +50,7 @@ class Vocabulary:
         self.control = regex.compile("(" + "|".join(map(regex.escape, sorted(self.controls, key=len, reverse=True))) + ")") if self.controls else None
         # fixed by the byte-level scheme: how the library splits texts
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.inner_space = regex.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|$)")
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         size = max([*parsed["model"]["vocab"].values(), *self.controls.values()]) + 1
         self.pieces = [b""] * size
@@ -65,6 +66,13 @@ class Vocabulary:
         parts = self.control.split(text)
         return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.word.findall(part))]
 
+    def chunks(self, text: str) -> list[str] | None:
+        """The text cut at its spaces (which are left out), if no word goes across them; else None.
+
+        A space can only be inside a word if it has white space on both sides.
+        """
+        return None if self.inner_space.search(text) else text.split(" ")
+
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as little-endian 32-bit integers."""
         out: list[bytes] = []
@@ -101,15 +109,31 @@ def word_table(docs: DataFrame, spec: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(spec_.value)
-        seen: Counter[str] = Counter()
+        cut: Counter[str] = Counter()  # what stands between spaces; holds several words at times
+        whole: Counter[str] = Counter()
+
+        def words() -> pa.RecordBatch:
+            for chunk, n in cut.items():
+                for word in v.split(" " + chunk):
+                    whole[word] += n
+            out = pa.RecordBatch.from_pydict({"word": pa.array(list(whole), pa.string()), "n": pa.array(whole.values(), pa.int64())})
+            cut.clear()
+            whole.clear()
+            return out
+
         for batch in batches:
             for text in batch.column(0):
-                seen.update(v.split(text.as_py() or ""))
-                if len(seen) > 400_000:
-                    yield pa.RecordBatch.from_pydict({"word": list(seen), "n": pa.array(seen.values(), pa.int64())})
-                    seen.clear()
-        if seen:
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+                text = text.as_py() or ""
+                chunks = v.chunks(text)
+                if chunks is None:
+                    whole.update(v.split(text))
+                else:
+                    whole.update(v.split(chunks[0]))
+                    cut.update(chunks[1:])
+                if len(cut) + len(whole) > 400_000:
+                    yield words()
+        if cut or whole:
+            yield words()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -150,12 +174,23 @@ def encode(docs: DataFrame, spec: str, most: int = TABLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocabulary(spec_.value), known_.value
+        cut: dict[str, bytes] = {}  # ids of what stands between spaces, the space before it included
+
+        def joined(words_of: list[list[str]]) -> list[bytes]:
+            rare = list({w for words in words_of for w in words if w not in known})
+            local = dict(zip(rare, v.encode(rare), strict=True))
+            return [b"".join([known[w] if w in known else local[w] for w in words]) for words in words_of]
+
         for whole in batches:
             for batch in slices(whole, "text"):
-                split = [v.split(text or "") for text in batch.column("text").to_pylist()]
-                rare = list({w for words in split for w in words if w not in known})
-                local = dict(zip(rare, v.encode(rare), strict=True))
-                ids = [b"".join([known[w] if w in known else local[w] for w in words]) for words in split]
+                texts = [text or "" for text in batch.column("text").to_pylist()]
+                chunks = [v.chunks(text) for text in texts]
+                if len(cut) > 200_000:
+                    cut.clear()
+                new = list({c for x in chunks if x is not None for c in x[1:] if c not in cut})
+                cut.update(zip(new, joined([v.split(" " + c) for c in new]), strict=True))
+                heads = joined([v.split(text if x is None else x[0]) for text, x in zip(texts, chunks, strict=True)])
+                ids = [head if x is None else head + b"".join([cut[c] for c in x[1:]]) for head, x in zip(heads, chunks, strict=True)]
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 

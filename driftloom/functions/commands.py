@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def references(command: Column, kind: str) -> Column:
@@ -25,7 +26,7 @@ def checked(command: Column, inputs: Column, outputs: Column) -> Column:
     return F.when(valid(command, inputs, outputs), command).otherwise(F.raise_error(F.concat(F.lit("references beyond the declared inputs or outputs: "), command)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def substitute(command: pd.Series, inputs: pd.Series, outputs: pd.Series) -> pd.Series:
     """The command with each reference replaced by the path of that input or output."""
 

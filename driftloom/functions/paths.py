@@ -10,6 +10,7 @@ import posixpath
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: fixed values: suffixes of side files of this library
 META_SUFFIX, HASH_SUFFIX = ".prov.json", ".hash"
@@ -86,7 +87,7 @@ def full_path(root: Column, artefact_id: Column) -> Column:
     return F.when(absolute, F.concat(slash, artefact_id)).otherwise(F.raise_error(F.concat(F.lit("a relative root: "), root)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def relative_path(base: pd.Series, target: pd.Series) -> pd.Series:
     """Target relative to the folder that holds base; a final ``/`` is kept."""
 
@@ -99,7 +100,7 @@ def relative_path(base: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([one(b, t) for b, t in zip(base, target, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolved_id(metadata_path: pd.Series, relative: pd.Series) -> pd.Series:
     """Id of a path that stands in a metadata file, relative to that file's folder."""
 

@@ -11,7 +11,8 @@ compared by their own hash, taken from the source at the occurrence's coordinate
 window that covers it also starts in a document with a smaller doc_id.
 
 Whole copies (equal sequences of words) are settled beforehand, so that large groups of copies bring one document into
-the graph. Hashes have 64 bits; rows carry coordinates only, and texts meet coordinates twice, only those
+the graph. What is known of a node or hash is written before it is joined with its occurrences: the join then
+has shuffles of its own, whose hot keys adaptive execution splits. Hashes have 64 bits; rows carry coordinates only, and texts meet coordinates twice, only those
 of documents with shared minimisers.
 
 Defined cases: words are maximal runs of characters other than ``[\\x20\\x09-\\x0D]``, unchanged; null text has none, and a
@@ -99,7 +100,7 @@ def position(place: Column) -> Column:
 def shared(nodes: DataFrame) -> DataFrame:
     """The occurrences of minimisers that at least two documents have, with the smallest of these documents."""
     several = nodes.groupBy("kmer").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("kmer", "least")
-    return nodes.join(several, "kmer")
+    return nodes.join(settle(several, "several"), "kmer")
 
 
 def compacted(occurrences: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def compacted(occurrences: DataFrame) -> DataFrame:
     )
     one = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
     branching = rows.groupBy("kmer").agg(one("after").alias("one_after"), one("before").alias("one_before"))
-    marked = rows.join(branching, "kmer")
+    marked = rows.join(settle(branching, "branching"), "kmer")
     goes_on = F.coalesce(F.col("one_before") & F.lag("one_after").over(line), F.lit(False))
     paths = marked.withColumn("begins", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("begins").over(line))
     return paths.groupBy("doc", "tag", "path").agg(F.min("at").alias("start"), (F.max("at") + K).alias("end"), F.min("least").alias("least")).drop("path")
@@ -183,12 +184,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = numbered(docs)
     known = settle(whole(rows), "rows")
     firsts = known.groupBy("sequence").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("sequence", "first")
+    firsts = settle(firsts, "firsts")
     copies = settle(known.join(firsts, "sequence").filter(F.col("doc") > F.col("first")).select("doc", F.col("sequence").bitwiseAND(F.lit(_TAG)).alias("tag")).distinct(), "copies")
     found = settle(shared(settle(node_rows(rows), "nodes")).drop("least"), "shared")
     single = found.withColumn("tag", tag(F.col("place"))).join(copies, ["doc", "tag"], "left_anti").select("kmer", "doc", "place")
     spans = settle(compacted(shared(settle(single, "single"))), "paths")
     edge = settle(boundary_windows(rows, spans), "windows")
     repeated = edge.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("hash", "least")
+    repeated = settle(repeated, "repeated")
     late = edge.join(repeated, "hash").filter("doc > least").select("doc", tag(F.col("place")).alias("tag"), position(F.col("place")).alias("start"))
     ranges = late.select("doc", "tag", "start", (F.col("start") + WINDOW).alias("end")).union(
         spans.filter((F.col("least") < F.col("doc")) & (F.col("end") - F.col("start") >= WINDOW)).select("doc", "tag", "start", "end")

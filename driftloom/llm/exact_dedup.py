@@ -3,8 +3,8 @@
 Texts are equal when they are identical after deleting white space. The first scan makes lengths and
 prefix hashes, and only those are shuffled; rows alone with their length, or with their length and
 prefix, are unique. Whole texts are hashed for the surviving groups only, where they are read: text is
-never shuffled. Groups form by partial aggregation, and rows meet their group's row in a join that
-adaptive execution splits, so that a group may hold any part of the rows.
+never shuffled. Lengths and groups form by partial aggregation and are written; rows then meet their group's
+row in a join with shuffles of its own, which adaptive execution splits, so that a group may hold any part of the rows.
 
 Defined cases: a null text counts as empty; all-white-space texts equal the empty one; of equal texts
 the row with most code points in the original, then the smallest doc_id, stays (null doc_ids last);
@@ -38,7 +38,9 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     length = F.char_length(normalised(text_of())).alias("length")
     prefix = F.xxhash64(F.substring(normalised(text_of()), 1, PREFIX)).alias("prefix")
     signs = settle(docs.select(length, prefix), "signs")
-    by_length = signs.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length")
+    by_length = settle(signs.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length"), "lengths")
+    if by_length.count() <= BROADCAST_KEYS:
+        by_length = F.broadcast(by_length)
     crowded = signs.join(by_length, "length", "left_semi")
     keys = settle(crowded.groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("length", "prefix"), "keys")
     scan = docs.select("doc_id", F.char_length(text_of()).alias("chars"), length, prefix, text_of().alias("text"))
@@ -60,7 +62,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    groups = duplicate_groups(docs)
+    groups = settle(duplicate_groups(docs), "groups")
     rows = docs.select("doc_id", text_digest(text_of()).alias("text_sha256"))
     return rows.join(groups, "text_sha256", "left").select(
         "doc_id",

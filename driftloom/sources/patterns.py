@@ -2,7 +2,8 @@
 
 Directory parts are literal or ``*``; the file part is literal or ``*.suffix``, whose index part is the name up to its
 first dot. A final ``/`` asks for directories. Names that begin with a dot or end with ``.hash`` are skipped.
-Listing runs in Spark's binary file source, from which only paths, times and sizes are read.
+Listing runs in Spark's binary file source, from which only paths, times and sizes are read; that source passes over
+files of length zero, so they are not listed.
 """
 
 from __future__ import annotations

@@ -39,7 +39,9 @@ def test_pattern_errors(spark, tree):
             patterns.scan(listed, bad)
     with pytest.raises(FileNotFoundError, match="test3"):
         patterns.scan(listed, "*/test3.txt")
-    (open(f"{tree}/dir1/a.b.txt", "w").close(), open(f"{tree}/dir1/a.c.txt", "w").close())
+    for name in ("a.b.txt", "a.c.txt"):
+        with open(f"{tree}/dir1/{name}", "w") as f:
+            f.write("x")
     with pytest.raises(ValueError, match="several"):
         patterns.scan(patterns.files(spark, tree), "dir1/*.txt")
 

@@ -1,14 +1,17 @@
 """N-gram Jaccard self-join by chosen paths: all pairs of texts whose sets of 5-word shingles have a
 Jaccard similarity of 0.8 or more.
 
-Texts with the same words in the same order are one node. In each of ``RUNS`` runs a set follows a path: at
+Texts with the same words in the same order are one node. In each of several runs a set follows a path: at
 each step it picks the shingle with the smallest hash under the path so far, so that two sets pick the same
 one with the probability of their similarity. Sets that share a path are a bucket. A bucket of at most
 ``LEAF`` sets is compared by brute force; a larger one is split by the next step of the path, unless
 its largest part keeps half of it (then its sets are alike, and splitting would only lose pairs) or
-the path ends: it is then compared in blocks. At the threshold a pair meets in a run with probability 0.8
-for small buckets, 0.8 ** k after k steps; the runs make the recall 1 - (1 - 0.8 ** k) ** RUNS, that is
-0.999997 for k = 1, 0.9997 for 2, 0.997 for 3 and 0.985 for 4.
+the path ends: it is then compared in blocks.
+
+At the threshold two sets stay together through k steps of a run with probability 0.8 ** k. The target recall
+is a parameter. All sets make the runs that reach it with two steps each; sets of which any path was split
+make further runs among themselves, up to those that reach it when all runs take ``DEPTH`` steps (for 0.999:
+8 runs, then 7). Sets whose paths were never split miss a partner with a probability of 0.2 ** 8 only.
 
 Pairs are first judged on 64 one-byte minhashes (a pair at the threshold fails with a probability under
 1e-6), then exactly on the whole sets, which only texts with a promising partner contribute. A pair is
@@ -16,14 +19,15 @@ judged in the first run in which it meets, so links are counted once.
 
 Defined cases: words are maximal runs of characters other than ``[\\x20\\x09-\\x0D]``, unchanged; a text of fewer
 than five words has all of them as its one shingle; texts without words (null too) are equal to one
-another and to nothing else; a text all of whose rows lack a doc_id links with its copies only; n_links counts other rows, copies included; a class is what links connect and
+another and to nothing else; n_links counts other rows, copies included; a class is what links connect and
 its id is the smallest doc_id in it (null if all are null); rows that repeat a doc_id count as rows;
 an empty table gives no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +38,19 @@ from .common import Words, mix64, run_hashes, runs_of, settle, slices, without_i
 from .links import components, linked, matrix, promising
 
 WORDS, THRESHOLD = 5, 0.8
-RUNS, DEPTH, LEAF = 8, 4, 64
+#: probability at least of finding a pair at the threshold
+RECALL = 0.999
+DEPTH, LEAF = 4, 64
 SKETCH, SKETCH_LEAST = 64, 35
 #: nodes whose sets are fetched by broadcast at most, 8 bytes each; more are joined by shuffle
 BROADCAST_NODES = 1 << 20
 
-_SALTS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, max(RUNS, SKETCH) + 1, dtype=np.uint64)
+_SALTS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 256, dtype=np.uint64)
+
+
+def runs_for(steps: int, recall: float = RECALL) -> int:
+    """Runs of so many steps each that a partner at the threshold stays away from with probability (1 - recall) / 2 at most."""
+    return math.ceil(math.log((1 - recall) / 2) / math.log(1 - THRESHOLD**steps))
 
 
 def node_numbers(words: Words) -> np.ndarray:
@@ -71,7 +82,12 @@ def sketch_of(shingles: np.ndarray) -> bytes:
     return (mix64(shingles[None, :] * (_SALTS[1 : SKETCH + 1, None] | np.uint64(1))).min(axis=1) >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
-def described(docs: DataFrame) -> DataFrame:
+def paths_of(shingles: np.ndarray, runs: range) -> list[int] | None:
+    """The paths of the runs, one after the other; null without shingles."""
+    return [p for r in runs for p in path_of(shingles, r)] if len(shingles) else None
+
+
+def described(docs: DataFrame, runs: range) -> DataFrame:
     """doc_id, node, paths (null: no words), sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +95,7 @@ def described(docs: DataFrame) -> DataFrame:
             for batch in slices(whole, "text"):
                 words = Words(batch.column("text"))
                 sets = shingle_sets(words)
-                paths = [[p for r in range(RUNS) for p in path_of(s, r)] if len(s) else None for s in sets]
+                paths = [paths_of(s, runs) for s in sets]
                 sketches = [sketch_of(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(node_numbers(words)), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
@@ -90,31 +106,33 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, paths array<long>, sketch binary")
 
 
-def leaves_of(nodes: DataFrame) -> DataFrame:
-    """node, run, leaf, n: the buckets of at least two nodes in which the paths of each node end."""
-    active = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"), "paths")
-    active = active.select("node", "run", F.slice("paths", F.col("run") * DEPTH + 1, F.lit(DEPTH)).alias("path"))
+def leaves_of(nodes: DataFrame, runs: range) -> tuple[DataFrame, list[DataFrame]]:
+    """The buckets of at least two nodes in which the paths of each node end (node, run, leaf, n), and the
+    nodes of each split."""
+    active = nodes.select("node", F.explode(F.sequence(F.lit(runs.start), F.lit(runs.stop - 1))).alias("run"), "paths")
+    active = active.select("node", "run", F.slice("paths", (F.col("run") - runs.start) * DEPTH + 1, F.lit(DEPTH)).alias("path"))
     active = active.withColumn("leaf", F.col("path")[0])
     sizes = active.groupBy("run", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
     active = settle(active.join(sizes, ["run", "leaf"]), "paths")
-    done = [active.filter(F.col("n") <= LEAF).select("node", "run", "leaf", "n")]
+    done, splits = [active.filter(F.col("n") <= LEAF).select("node", "run", "leaf", "n")], []
     active = active.filter(F.col("n") > LEAF)
     for depth in range(1, DEPTH):
         if not active.limit(1).count():
-            return _union(done)
+            break
         steps = active.withColumn("next", F.col("path")[depth])
         sizes = steps.groupBy("run", "leaf", "next").agg(F.count("*").alias("m"), F.first("n").alias("n"))
         sizes = settle(sizes, "sizes")
         largest = sizes.groupBy("run", "leaf").agg(F.max("m").alias("largest"), F.first("n").alias("n_"))
         alike = largest.filter("2 * largest >= n_").select("run", "leaf")
         done.append(steps.join(alike, ["run", "leaf"], "left_semi").select("node", "run", "leaf", "n"))
+        splits.append(steps.join(alike, ["run", "leaf"], "left_anti").select("node"))
         split = sizes.join(alike, ["run", "leaf"], "left_anti").filter("m > 1").drop("n")
         below = steps.join(split, ["run", "leaf", "next"]).select("node", "run", "path", F.col("next").alias("leaf"), F.col("m").alias("n"))
         below = settle(below, "paths")
         last = depth == DEPTH - 1
         done.append((below if last else below.filter(F.col("n") <= LEAF)).select("node", "run", "leaf", "n"))
         active = below.filter(F.col("n") > LEAF)
-    return _union(done)
+    return _union(done), splits
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -163,33 +181,59 @@ def alike_sets(a: pa.Table, b: pa.Table, mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles of the given nodes, once each."""
+def from_sets(docs: DataFrame, nodes: DataFrame, make: Callable[[list[np.ndarray]], pa.Array], column: str, kind: str) -> DataFrame:
+    """node and a column made from its shingles, once for each of the nodes (node, rep). Rows are looked for by
+    the smallest doc_id of their node, or among all those without one, and known by the node's number."""
+    few = nodes.count() <= BROADCAST_NODES
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(nodes.select("node").toArrow().column("node").to_numpy())) if few else None
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 words = Words(batch.column("text"))
-                sets = [s.astype("<u8").tobytes() for s in shingle_sets(words)]
-                yield pa.RecordBatch.from_arrays([pa.array(node_numbers(words)), pa.array(sets, pa.binary())], ["node", "shingles"])
+                numbers = node_numbers(words)
+                those = np.isin(numbers, wanted.value) if wanted is not None else np.ones(len(numbers), bool)
+                if not those.any():
+                    continue
+                if not those.all():
+                    words, numbers = Words(batch.column("text").filter(pa.array(those))), numbers[those]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), make(shingle_sets(words))], ["node", column])
+
+    reps = nodes.select(F.col("rep").alias("rep_"))
+    rows = docs.join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("rep_"), "left_semi").select("text")
+    if nodes.filter("rep is null").limit(1).count():
+        rows = rows.union(docs.filter("doc_id is null").select("text"))
+    made = rows.mapInArrow(number, f"node long, {column} {kind}")
+    if not few:
+        made = made.join(nodes.select("node"), "node", "left_semi")
+    return made.dropDuplicates(["node"])
+
 
-    rows = docs.join(nodes.select(F.col("rep").alias("rep_")), F.col("doc_id") == F.col("rep_"), "left_semi")
-    return rows.select("text").mapInArrow(number, "node long, shingles binary").dropDuplicates(["node"])
+def as_bytes(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, kept of every row; kept: one row of each class."""
-    rows = settle(described(docs), "rows")
+    runs, most = runs_for(2, recall), runs_for(DEPTH, recall)
+    rows = settle(described(docs, range(runs)), "rows")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     nodes = settle(nodes, "nodes")
-    ends = settle(leaves_of(nodes.filter("paths is not null")), "ends")
+    ends, splits = leaves_of(nodes.filter("paths is not null"), range(runs))
+    ends = settle(ends, "ends")
+    short = settle(_union(splits).select("node").distinct(), "short") if splits else None
+    if short is not None and short.limit(1).count():
+        further = range(runs, most)
+        again = settle(nodes.join(short, "node", "left_semi").select("node", "rep"), "again")
+        paths = from_sets(docs, again, lambda sets: pa.array([paths_of(s, further) for s in sets], pa.list_(pa.int64())), "paths", "array<long>")
+        ends = ends.union(settle(leaves_of(settle(paths, "further"), further)[0], "ends"))
     leaves = ends.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("run", "leaf"))).alias("by_run"))
-    packed = F.unhex(F.concat_ws("", *[_little_endian(F.coalesce(F.try_element_at("by_run", F.lit(r)), F.lit(0))) for r in range(RUNS)]))
+    packed = F.unhex(F.concat_ws("", *[_little_endian(F.coalesce(F.try_element_at("by_run", F.lit(r)), F.lit(0))) for r in range(most)]))
     known = settle(leaves.select("node", packed.alias("leaves")).join(nodes.select("node", "copies", "sketch", "rep"), "node"), "known")
     members = ends.join(known.drop("rep"), "node")
     hopeful = settle(promising(members, alike_sketches).distinct(), "hopeful")
     fetched = settle(known.join(hopeful, "node", "left_semi").select("node", "rep"), "fetched")
-    sets = with_sets(docs, F.broadcast(fetched) if fetched.count() <= BROADCAST_NODES else fetched)
+    sets = from_sets(docs, fetched, as_bytes, "shingles", "binary")
     again = ends.join(hopeful, "node", "left_semi")
     sizes = again.groupBy("run", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
     full = settle(known.drop("rep").join(sets, "node"), "sets")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,6 +76,34 @@ def test_ngram_join_edge_cases(documents):
     assert ngram_join.near_classes(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_keeps_its_recall_on_split_paths(documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAF", 2)
+    draw = random.Random(6)
+    passages = [[[f"s{slot}_{v}_{k}" for k in range(8)] for v in range(3)] for slot in range(10)]
+    texts, made_of = [], Counter()
+    for i in range(1500):  # a third of the texts has each passage, so that paths are split up to three times
+        chosen = [draw.randrange(3) for _ in passages]
+        made_of[tuple(chosen)] += 2
+        words = [w for slot, v in zip(passages, chosen) for w in slot[v]]
+        texts += [" ".join(words + [f"t{i}_{half}_{k}" for k in range(9)]) for half in range(2)]
+    true = sum(n * (n - 1) // 2 for n in made_of.values())  # J = 76 / 94 with the same passages, 64 / 106 at most else
+    got = ngram_join.near_classes(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    assert 0.999 * true <= sum(r["n_links"] for r in got) / 2 <= true  # with 8 runs for all, 4 of the first 1500 are lost
+
+
+def test_ngram_join_without_ids(documents):
+    text = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(text)), (None, " ".join(text[:-1])), (None, "q r s"), (7, " ".join(text[1:])), (7, "another text"), (7, " ".join(text[1:-1]))]
+    got = ngram_join.near_classes(documents([(i, t, "en", "s") for i, t in rows])).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in got) == [("7", "7", 0), ("7", "7", 3), ("7", "7", 3), ("None", "7", 3), ("None", "7", 3), ("None", "None", 0)]
+
+
+def test_runs_follow_from_the_target_recall():
+    assert (ngram_join.runs_for(2), ngram_join.runs_for(4)) == (8, 15)
+    for recall in (0.9, 0.99, 0.999, 0.99999):
+        assert (1 - 0.8**4) ** ngram_join.runs_for(4, recall) <= (1 - recall) / 2
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 32))

@@ -46,6 +46,11 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, written with a number each (row_), so that they can be told apart whatever their doc_ids."""
+    return settle(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+
+
 def text_of(column: str = "text"):
     """A text column with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -23,7 +23,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, text_of
+from .common import WORD, numbered, settle, text_of
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -55,21 +55,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row."""
+    """doc_id, size, source_size, target, copies, taken for every row; its row_ too if docs has been numbered."""
     spark = docs.sparkSession
-    sizes = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    row = [c for c in docs.columns if c == "row_"]
+    sizes = docs.select(*row, "doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settle(sizes.repartitionByRange(pieces, "source", "size", "doc_id").withColumn("piece", F.spark_partition_id()), "sizes")
+    dealt = settle(sizes.repartitionByRange(pieces, "source", "size", "doc_id", *row).withColumn("piece", F.spark_partition_id()), "sizes")
     counts = dealt.groupBy("source", "piece").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("source").alias("s"), F.col("piece").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    here = Window.partitionBy("piece", "source").orderBy("size", "doc_id")
+    here = Window.partitionBy("piece", "source").orderBy("size", "doc_id", *row)
     targets = source_targets(dealt, weights, share, most).withColumnRenamed("source", "t")
     ranked = dealt.withColumn("rank", F.row_number().over(here))
     joined = ranked.join(starts, (F.col("piece") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     joined = joined.join(targets, F.col("source").eqNullSafe(F.col("t")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    at = joined.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), (F.col("start") + F.col("rank")).alias("rank"))
+    at = joined.select(*row, "doc_id", "source", "size", "source_size", "target", rate.alias("rate"), (F.col("start") + F.col("rank")).alias("rank"))
 
     def copies(offset: Column) -> Column:
         return F.floor(offset + F.col("rank") * F.col("rate")) - F.floor(offset + (F.col("rank") - 1) * F.col("rate"))
@@ -78,18 +79,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     tried = [F.struct(miss(u).alias("miss"), F.lit(k).alias("k"), F.lit(u).alias("u")) for k, u in enumerate(offsets(seed))]
     chosen = at.groupBy(F.col("source").alias("c")).agg(F.array_min(F.array(*tried))["u"].alias("u"))
     out = at.join(chosen, F.col("source").eqNullSafe(F.col("c"))).withColumn("copies", copies(F.col("u")).cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*row, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix with all their columns, as often as they are taken."""
-    picks = mix(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
-    picks = picks.withColumnRenamed("doc_id", "picked_id")
-    found = docs.join(picks, docs["doc_id"].eqNullSafe(picks["picked_id"]))
-    # rows that repeat a doc_id share its copies
-    at = F.row_number().over(Window.partitionBy("picked_id").orderBy(F.lit(0)))
-    if docs.select("doc_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        found = found.withColumn("at_", at).withColumn("n_", F.floor(F.col("copies_") / F.col("rows_")) + (F.col("at_") <= F.col("copies_") % F.col("rows_")).cast("long"))
-    else:
-        found = found.withColumn("n_", F.col("copies_"))
-    return found.filter("n_ > 0").withColumn("n_", F.explode(F.sequence(F.lit(1), F.col("n_").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The rows of the mix with all their columns, each as often as it is taken itself."""
+    rows = numbered(docs)
+    picks = mix(rows, **options).filter("copies > 0").select(F.col("row_").alias("picked_"), F.col("copies").alias("copies_"))
+    found = rows.join(picks, F.col("row_") == F.col("picked_"))
+    return found.withColumn("copies_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)

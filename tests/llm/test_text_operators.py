@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,19 @@ def test_mixing_repeated_ids(documents):
     assert sum(r["taken"] for r in mixing.mix(docs).collect()) == mixing.mixed_rows(docs).count() * 3
 
 
+def test_mixed_rows_are_those_chosen(documents):
+    draw = random.Random(8)
+    rows = [(draw.choice([None, None, 1, 2, i]), " ".join([f"w{i}"] * draw.randrange(1, 9)), "en", draw.choice("abc")) for i in range(300)] + [(1, "x y", "en", "a")] * 5
+    docs = documents(rows)
+    for share in (0.5, 1.5):
+        copies = lambda df: sorted((str(r["doc_id"]), r["source"], r["size"], r["copies"]) for r in df.collect() if r["copies"])
+        want = Counter()
+        for i, source, size, n in copies(mixing.mix(docs, share=share)):
+            want[i, source, size] += n
+        got = mixing.mixed_rows(docs, share=share).collect()
+        assert Counter((str(r["doc_id"]), r["source"], len(r["text"].split())) for r in got) == want
+
+
 def test_bpe_agrees_with_the_library(documents, rows_of):
     from tokenizers import Tokenizer
 

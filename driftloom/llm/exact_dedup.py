@@ -8,8 +8,8 @@ row in a join with shuffles of its own, which adaptive execution splits, so that
 
 Defined cases: a null text counts as empty; all-white-space texts equal the empty one; of equal texts
 the row with most code points in the original, then the smallest doc_id, stays (null doc_ids last);
-rows that repeat a doc_id are judged each by its own text, so repeats of the row that stays are kept
-too; an empty table gives no rows; other columns, whatever their names, are neither read nor returned.
+rows that repeat a doc_id are judged each by its own text, so repeats of the row that stays are marked as kept
+too (``keep_one_of_each_text`` goes by row and keeps one of them); an empty table gives no rows; other columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, settle, text_of, without_ids
+from .common import SPACES, numbered, settle, text_of, without_ids
 
 #: code points of the normalised text that the second step hashes
 PREFIX = 128
@@ -34,7 +34,8 @@ def text_digest(text: Column) -> Column:
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
-    """text_sha256, keep_id, group_size of every text that at least two rows have."""
+    """text_sha256, keep_id, group_size of every text that at least two rows have; keep_row too if docs has been numbered."""
+    row = [c for c in docs.columns if c == "row_"]
     length = F.char_length(normalised(text_of())).alias("length")
     prefix = F.xxhash64(F.substring(normalised(text_of()), 1, PREFIX)).alias("prefix")
     signs = settle(docs.select(length, prefix), "signs")
@@ -43,20 +44,20 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
         by_length = F.broadcast(by_length)
     crowded = signs.join(by_length, "length", "left_semi")
     keys = settle(crowded.groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("length", "prefix"), "keys")
-    scan = docs.select("doc_id", F.char_length(text_of()).alias("chars"), length, prefix, text_of().alias("text"))
+    scan = docs.select(*row, "doc_id", F.char_length(text_of()).alias("chars"), length, prefix, text_of().alias("text"))
     digest = text_digest(F.col("text")).alias("text_sha256")
     if keys.count() <= BROADCAST_KEYS:
-        survivors = scan.join(F.broadcast(keys), ["length", "prefix"], "left_semi").select("doc_id", "chars", digest)
+        survivors = scan.join(F.broadcast(keys), ["length", "prefix"], "left_semi").select(*row, "doc_id", "chars", digest)
     else:
-        survivors = scan.select("doc_id", "chars", "length", "prefix", digest).join(keys, ["length", "prefix"], "left_semi")
+        survivors = scan.select(*row, "doc_id", "chars", "length", "prefix", digest).join(keys, ["length", "prefix"], "left_semi")
     return (
         survivors.groupBy("text_sha256")
         .agg(
-            F.min(F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best"),
+            F.min(F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *row)).alias("best"),
             F.count("*").alias("group_size"),
         )
         .filter("group_size > 1")
-        .select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size")
+        .select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size", *[F.col("best.row_").alias("keep_row") for _ in row])
     )
 
 
@@ -77,3 +78,11 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; rows go by doc_id, and those that share one stay together."""
     dropped = exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
     return without_ids(docs, "doc_id", settle(dropped, "dropped"))
+
+
+def keep_one_of_each_text(docs: DataFrame) -> DataFrame:
+    """The rows that stay, one of each text, with all their columns."""
+    rows = numbered(docs)
+    groups = settle(duplicate_groups(rows), "groups")
+    dropped = rows.select("row_", text_digest(text_of()).alias("text_sha256")).join(groups, "text_sha256").filter("row_ <> keep_row").select("row_")
+    return without_ids(rows, "row_", settle(dropped, "dropped")).drop("row_")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, run_hashes, runs_of, settle, slices, without_ids
+from .common import Words, mix64, numbered, run_hashes, runs_of, settle, slices, without_ids
 from .links import components, linked, matrix, promising
 
 WORDS, THRESHOLD = 5, 0.8
@@ -88,7 +88,8 @@ def paths_of(shingles: np.ndarray, runs: range) -> list[int] | None:
 
 
 def described(docs: DataFrame, runs: range) -> DataFrame:
-    """doc_id, node, paths (null: no words), sketch of each row."""
+    """doc_id, node, paths (null: no words), sketch of each row; its row_ too if docs has been numbered."""
+    row = [c for c in docs.columns if c == "row_"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -98,12 +99,12 @@ def described(docs: DataFrame, runs: range) -> DataFrame:
                 paths = [paths_of(s, runs) for s in sets]
                 sketches = [sketch_of(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(node_numbers(words)), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    ["doc_id", "node", "paths", "sketch"],
+                    [*map(batch.column, row), batch.column("doc_id"), pa.array(node_numbers(words)), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    [*row, "doc_id", "node", "paths", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, paths array<long>, sketch binary")
+    return docs.select(*row, "doc_id", "text").mapInArrow(run, ("row_ long, " if row else "") + f"doc_id {kind}, node long, paths array<long>, sketch binary")
 
 
 def leaves_of(nodes: DataFrame, runs: range) -> tuple[DataFrame, list[DataFrame]]:
@@ -214,7 +215,9 @@ def as_bytes(sets: list[np.ndarray]) -> pa.Array:
 
 
 def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, kept of every row; kept: one row of each class."""
+    """doc_id, class_id, n_links, kept of every row; kept: the rows with the class's id. If docs has been numbered,
+    row_ too, and one row of each class is kept."""
+    row = [c for c in docs.columns if c == "row_"]
     runs, most = runs_for(2, recall), runs_for(DEPTH, recall)
     rows = settle(described(docs, range(runs)), "rows")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
@@ -245,7 +248,14 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     placed = settle(placed.select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "placed")
     names = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     verdicts = placed.join(names, "root").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "node").join(verdicts, "node").select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = rows.select(*row, "doc_id", "node").join(verdicts, "node")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    if row:
+        firsts = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_")).alias("first"))
+        firsts = firsts.join(placed.select("node", "root"), "node").groupBy("root").agg(F.min("first")["row_"].alias("first_"))
+        out = out.join(settle(firsts.select("first_"), "firsts"), F.col("row_") == F.col("first_"), "left")
+        kept = F.col("first_").isNotNull()
+    return out.select(*row, "doc_id", "class_id", "n_links", kept.alias("kept"))
 
 
 def _little_endian(value):
@@ -255,6 +265,7 @@ def _little_endian(value):
 
 
 def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; rows go by doc_id, and those that share one stay together."""
-    dropped = near_classes(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
-    return without_ids(docs, "doc_id", settle(dropped, "dropped"))
+    """The rows that stay, one of each class, with all their columns."""
+    rows = numbered(docs)
+    dropped = near_classes(rows).filter("not kept").select("row_")
+    return without_ids(rows, "row_", settle(dropped, "dropped")).drop("row_")

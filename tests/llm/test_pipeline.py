@@ -60,3 +60,16 @@ def test_stages_keep_the_columns_of_documents(spark, documents, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_dedup_stages_go_by_row(spark, documents, tmp_path):
+    long = [f"w{k}" for k in range(60)]
+    near = [" ".join(long), " ".join(long[:-1]), " ".join(long[1:])]
+    rows = [(7, "c d", "en", "a"), (7, "c d", "en", "b"), (None, "c d", "en", "a"), (7, "e", "en", "a"), (8, "e ", "en", "a"), (None, "f", "en", "a"), (None, " f", "en", "a"), (None, "", "en", "a"), (None, None, "en", "a")]
+    stage = dict(corpus_pipeline.STAGES)
+    got = stage["exact dedup"](spark, documents(rows), str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got) == [("7", "c d"), ("8", "e "), ("None", ""), ("None", " f")]
+    rows = [(5, near[0], "en", "a"), (5, near[0], "en", "b"), (5, near[1], "en", "a"), (None, near[2], "en", "a"), (5, "other", "en", "a"), (None, "g h", "en", "a"), (None, "g h", "en", "b")]
+    got = stage["n-gram Jaccard join"](spark, documents(rows), str(tmp_path)).collect()
+    texts = [r["text"] for r in got]
+    assert len(texts) == 3 and {"other", "g h"} < set(texts) and [r["doc_id"] for r in got if r["text"] in near] == [5]

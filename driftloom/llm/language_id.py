@@ -43,6 +43,14 @@ class Model:
         return out * (SCALE / np.maximum(total, 1))[:, None] + self.bias, letters
 
 
+    def named(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Predicted language and its score, ``und`` and 0 without letters."""
+        scores, letters = self.scores(texts)
+        p = probabilities(scores) if scores.shape[1] > 1 else np.ones_like(scores)
+        names = [self.languages[c] if k else "und" for c, k in zip(p.argmax(axis=1), letters, strict=True)]
+        return names, np.where(letters > 0, p.max(axis=1), 0.0)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
@@ -126,10 +134,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if m is None:
                     names, best = ["und"] * len(texts), np.zeros(len(texts))
                 else:
-                    scores, letters = m.scores(texts)
-                    p = probabilities(scores) if scores.shape[1] > 1 else np.ones_like(scores)
-                    names = [m.languages[c] if k else "und" for c, k in zip(p.argmax(axis=1), letters, strict=True)]
-                    best = np.where(letters > 0, p.max(axis=1), 0.0)
+                    names, best = m.named(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(best, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -138,16 +143,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows with a predicted language (not ``und``), with all their columns."""
+    """The rows with a predicted language (not ``und``), with all their columns; those with letters if nothing can be learnt."""
     model_ = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_.value
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                if m is not None:
-                    _, letters = m.scores([t or "" for t in batch.column("text").to_pylist()])
-                    yield batch.filter(pa.array(letters > 0))
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                keep = [name != "und" for name in m.named(texts)[0]] if m is not None else ngram_features(texts, ORDERS, BITS)[2] > 0
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

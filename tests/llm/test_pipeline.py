@@ -73,3 +73,9 @@ def test_dedup_stages_go_by_row(spark, documents, tmp_path):
     got = stage["n-gram Jaccard join"](spark, documents(rows), str(tmp_path)).collect()
     texts = [r["text"] for r in got]
     assert len(texts) == 3 and {"other", "g h"} < set(texts) and [r["doc_id"] for r in got if r["text"] in near] == [5]
+
+
+def test_language_stage_keeps_texts_of_an_unlabelled_corpus(spark, documents, tmp_path):
+    docs = documents([(1, "one two", None, "a"), (2, "12 !", None, "a"), (None, "drei", None, "b"), (4, None, None, "b"), (5, "", None, None)])
+    got = corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in got) == ["drei", "one two"]

@@ -5,6 +5,8 @@ White space is the class ``[\\x20\\x09-\\x0D]`` throughout; a word is a maximal
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,21 +31,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_run_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share; one of our own only in local mode, where none is configured."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftloom-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside go to one folder, which is deleted at the end: for callers who write the
+    result there. Without it they stay until the shared folder is cleared, as results are read from them lazily."""
+    folder = f"{shared_dir(spark)}/driftloom-run-{uuid.uuid4().hex}"
+    _run_folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _run_folders.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that doesn't exist yet, for an intermediate table."""
+    return f"{_run_folders[-1] if _run_folders else shared_dir(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Write to the shared folder as Parquet and read it back: short lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -66,17 +91,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _RNG = np.random.Generator(np.random.PCG64(20240601))
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 BASE, BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: so many powers are kept in a worker; bytes hashed at a time
+KEPT_POWERS, SPAN_BLOCK = 1 << 17, 1 << 16
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    out = np.full(max(n, 1), base, np.uint64)
+@functools.cache
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64. Short ones are kept for the next call."""
+    if n <= KEPT_POWERS:
+        return _powers(int(base), KEPT_POWERS)[:n]
+    return _powers.__wrapped__(int(base), n)
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for each pair; equal runs have equal hashes wherever they stand."""
     n = len(values)
@@ -86,6 +120,29 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes that follow one another, a block of them at a time, so that memory beside the result
+    stays at some MB (more only for a single longer span)."""
+    out = np.zeros(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        m = max(k + 1, int(np.searchsorted(ends, starts[k] + SPAN_BLOCK, side="right")))
+        a, b = starts[k], ends[m - 1]
+        out[k:m] = run_hashes(BYTE_CODES[data[a:b]], starts[k:m] - a, ends[k:m] - a)
+        k = m
+    return out
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of some texts in one array, and the texts' offsets in it; null is empty."""
+    texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
+    texts = texts.fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 class Words:
     """The words of some texts, as spans of one UTF-8 buffer, with 64-bit hashes.
 
@@ -94,11 +151,8 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array):
-        texts = texts.cast(pa.large_binary()).fill_null(b"") if not pa.types.is_large_binary(texts.type) else texts.fill_null(b"")
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-        self.data, self.text_at = data, offsets - offsets[0]
+        data, self.text_at = bytes_of(texts)
+        self.data = data
         inside = ~_IS_SPACE[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -110,20 +164,20 @@ class Words:
         tails = self.text_at[1:][self.text_at[1:] > 0] - 1
         last[tails] = inside[tails]
         self.ends = np.flatnonzero(last) + 1
-        self.hashes = run_hashes(BYTE_CODES[data], self.starts, self.ends) if len(data) else np.zeros(0, np.uint64)
+        self.hashes = span_hashes(data, self.starts, self.ends)
         self.word_at = np.searchsorted(self.starts, self.text_at)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.word_at)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with about so many bytes of text each, whole rows always."""
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 512 << 10, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about so many bytes of text each and so many rows at most, whole rows always."""
     sizes = batch.column(column).cast(pa.large_binary())
     lengths = np.diff(np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]) if len(sizes) else np.zeros(0)
     at, total = 0, 0
     for i, n in enumerate(lengths):
-        if i > at and total + n > most_bytes:
+        if i > at and (total + n > most_bytes or i - at == most_rows):
             yield batch.slice(at, i - at)
             at, total = i, 0
         total += n

@@ -97,24 +97,41 @@ def test_mixed_rows_are_those_chosen(documents):
         assert Counter((str(r["doc_id"]), r["source"], len(r["text"].split())) for r in got) == want
 
 
-def test_bpe_agrees_with_the_library(documents, rows_of):
+@pytest.mark.parametrize("most,words,size", [(0, 3, 64), (5, 200_000, 1 << 20), (1 << 16, 200_000, 1 << 20)])
+def test_bpe_agrees_with_the_library(documents, monkeypatch, most, words, size):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(bpe, "SLICE_WORDS", words)
+    monkeypatch.setattr(bpe, "SLICE_SIZE", size)
     spec = queries.tokenizer_spec()
     library = Tokenizer.from_str(spec)
     texts = ["", None, " ", "a<|endoftext|> b \n<|endoftext|>", "it's  'S \t\r\n x²½ ١٢", "\x00\U0001f600 é", "a \n b  c   d", "word " * 50_000, "\x1c \x1c x", "a\n \nb", "\x85 \xa0　 y"]
+    texts += ["x" * 100_000, "à  b é\u2028 c\u202f d\u205f  e　 f\u1680 g\u180e h\ufeff i", "one  \n two\n\n three \t four", "end ", " \n", "' s 'll 're", "<|endoftext|>", "<|endof text|>"]
+    draw = random.Random(11)
+    texts += ["".join(draw.choices(" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003　ab'sé1²!<|", k=60)) for _ in range(200)]
     docs = documents([(i, t, "en", "s") for i, t in enumerate(texts)] + [(3, texts[3], "en", "s"), (None, "z", "en", "s")])
-    for most in (0, 1 << 18):
-        out = bpe.decode(bpe.encode(docs, spec, most), spec).collect()
-        assert len(out) == len(texts) + 2
-        for r in out:
-            text = "z" if r["doc_id"] is None else texts[r["doc_id"]] or ""
-            ids = library.encode(text, add_special_tokens=False).ids
-            assert [int.from_bytes(r["ids"][k : k + 4], "little") for k in range(0, len(r["ids"]), 4)] == ids and r["n_tokens"] == len(ids)
-            assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
+    out = bpe.decode(bpe.encode(docs, spec, most), spec).collect()
+    assert len(out) == len(texts) + 2
+    for r in out:
+        text = "z" if r["doc_id"] is None else texts[r["doc_id"]] or ""
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert [int.from_bytes(r["ids"][k : k + 4], "little") for k in range(0, len(r["ids"]), 4)] == ids and r["n_tokens"] == len(ids), text
+        assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
+    done = {(r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, spec).collect()}
+    assert done == {(r["doc_id"], hashlib.sha256(r["ids"]).hexdigest(), hashlib.sha256(r["decoded"].encode()).hexdigest()) for r in out}
     assert bpe.digests(docs.limit(0), spec).count() == 0
 
 
+def test_bpe_decodes_ids_that_no_text_gives(spark):
+    from tokenizers import Tokenizer
+
+    spec = queries.tokenizer_spec()
+    ids = [[128, 255, 1], [], [447, 447], [50256, 3], [9, 60000]]
+    rows = spark.createDataFrame([(i, b"".join(k.to_bytes(4, "little") for k in x)) for i, x in enumerate(ids)], "doc_id long, ids binary")
+    library = Tokenizer.from_str(spec)
+    assert {r["doc_id"]: r["decoded"] for r in bpe.decode(rows, spec).collect()} == {i: library.decode(x, skip_special_tokens=False) for i, x in enumerate(ids)}
+
+
 def test_warc_round_trip(spark, rows_of):
     trap = "x" * 200 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "WARC/1.1\r\n"
     pages = [(1, "http://a/ b\r\n", trap), (2, None, trap), (3, "u", None), (4, "u", ""), (5, "u", "é" * 49), (6, "u", "é" * 49), (7, "u", "é" * 50), (8, "u", "é" * 50), (8, "u", "é" * 50), (9, "u", "y" * 300_000)]

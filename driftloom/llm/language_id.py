@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import slices
 from .learning import Example, probabilities, temperature, train
-from .letters import ngram_features
+from .letters import compacted, letter_counts, ngram_blocks
 
 SAMPLE = 3000
-ORDERS, BITS = (1, 2, 3), 16
+ORDERS, BITS = 3, 16
+#: text that a worker looks at together: its arrays then take some MB, more only for a single longer text
+SLICE_BYTES, SLICE_ROWS = 128 << 10, 64
 SCALE = 50.0
 
 
@@ -37,11 +39,14 @@ class Model:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores by text and language, and each text's number of letters."""
-        feature, owner, letters = ngram_features(texts, ORDERS, BITS)
-        total = np.bincount(owner, minlength=len(texts))
-        out = np.stack([np.bincount(owner, weights=self.weights[feature, c], minlength=len(texts)) for c in range(self.weights.shape[1])], axis=1)
-        return out * (SCALE / np.maximum(total, 1))[:, None] + self.bias, letters
-
+        points, at = compacted(texts)
+        n, languages = len(texts), self.weights.shape[1]
+        total, out = np.zeros(n), np.zeros((n, languages))
+        for feature, owner in ngram_blocks(points, at, ORDERS, BITS):
+            total += np.bincount(owner, minlength=n)
+            for c in range(languages):
+                out[:, c] += np.bincount(owner, weights=self.weights[feature, c], minlength=n)
+        return out * (SCALE / np.maximum(total, 1))[:, None] + self.bias, letter_counts(points, at)
 
     def named(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Predicted language and its score, ``und`` and 0 without letters."""
@@ -60,15 +65,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << BITS, np.int64), 0
+        marks = np.zeros((SLICE_ROWS, 1 << BITS), np.uint8)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE_BYTES, SLICE_ROWS):
                 texts = batch.column("text").to_pylist()
-                feature, owner, _ = ngram_features(texts, ORDERS, BITS)
-                cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    mark = np.zeros(1 << BITS, bool)
-                    mark[feature[a:b]] = True
-                    seen += mark
+                for feature, owner in ngram_blocks(*compacted(texts), ORDERS, BITS):
+                    marks[owner, feature] = 1
+                seen += marks[: len(texts)].sum(axis=0, dtype=np.uint8)  # 64 rows at most
+                marks[: len(texts)] = 0
                 n += len(texts)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"feature": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(seen[some], n), pa.int64())})
@@ -81,23 +85,29 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def examples(docs: DataFrame, most: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, feature, count) of a bounded sample; features are made where the rows are."""
-    picked = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select(F.col("doc_id").alias("picked")).distinct()
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi").select("doc_id", "lang", "text")
+    order = ["h", "doc_id", "lang", "digest"]
+    keyed = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("digest"))
+    last = keyed.orderBy(*order).limit(most).agg(F.max(F.struct(*order)).alias("last")).select("last.*").collect()[0]
+    # the rows up to the last of the sample, however often its doc_id is repeated
+    here = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", F.xxhash64("text").alias("digest"))
+    upto = F.struct(*[F.lit(last[c]).cast(docs.schema["doc_id"].dataType if c == "doc_id" else "string" if c == "lang" else "long").alias(c) for c in order])
+    rows = docs.filter(here <= upto).select("doc_id", "lang", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE_BYTES, SLICE_ROWS):
                 texts = batch.column("text").to_pylist()
-                feature, owner, _ = ngram_features(texts, ORDERS, BITS)
-                cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-                parts = [np.unique(feature[a:b], return_counts=True) for a, b in zip(cuts, cuts[1:], strict=False)]
+                counts = np.zeros((len(texts), 1 << BITS), np.int32)
+                for feature, owner in ngram_blocks(*compacted(texts), ORDERS, BITS):
+                    np.add.at(counts, (owner, feature), 1)
+                parts = [(some := np.flatnonzero(row), row[some]) for row in counts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("lang"), pa.array([p[0].astype("<i4").tobytes() for p in parts], pa.binary()), pa.array([p[1].astype("<i4").tobytes() for p in parts], pa.binary())],
                     ["doc_id", "lang", "feature", "n"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(make, f"doc_id {kind}, lang string, feature binary, n binary").toArrow().to_pylist()
+    got = rows.mapInArrow(make, f"doc_id {kind}, lang string, feature binary, n binary").limit(most).toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["lang"], r["feature"], r["n"]))
     return [(r["lang"], np.frombuffer(r["feature"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in got[:most]]
 
@@ -129,7 +139,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_.value
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE_BYTES, SLICE_ROWS):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 if m is None:
                     names, best = ["und"] * len(texts), np.zeros(len(texts))
@@ -149,9 +159,9 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_.value
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE_BYTES, SLICE_ROWS):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                keep = [name != "und" for name in m.named(texts)[0]] if m is not None else ngram_features(texts, ORDERS, BITS)[2] > 0
+                keep = [name != "und" for name in m.named(texts)[0]] if m is not None else letter_counts(*compacted(texts)) > 0
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,14 +1,21 @@
-"""Hashed features of texts: character n-grams and beginnings of words, computed on arrays of code points."""
+"""Hashed features of texts: character n-grams and beginnings of words, computed on arrays of code points.
+
+Defined cases: a text without letters has no features; callers pass empty texts for null ones; no texts have no
+features; letters are what ``str.isalpha`` says of the lower-cased text.
+"""
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 
 from .common import mix64, powers
 
-CODE_BASE = np.uint64(0xD6E8FEB86659FD93)
+CODE_BASE, SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+#: n-grams at a time
+BLOCK = 1 << 15
 
 
 @functools.cache
@@ -25,36 +32,40 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum(lengths)])
 
 
-def ngram_features(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, text) of each n-gram of letters and word edges, sorted by text, and the letters of each text."""
+def compacted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts' letters, with one edge (32) for each run of other characters and before each text; the
+    texts' offsets among them."""
     points, at = code_points(texts)
     letters = letter_table()[points]
-    points = np.where(letters, points, 32).astype(np.uint64)
-    # runs of other characters become one edge
     keep = letters.copy()
     keep[1:] |= letters[:-1]
     keep[at] = True
-    text = np.searchsorted(at, np.arange(len(points)), side="right") - 1
-    points, text, is_letter = points[keep], np.minimum(text[keep], len(texts) - 1), letters[keep]
-    edge = np.zeros(len(points), bool)
-    features, owners = [], []
-    for n in orders:
-        m = len(points) - n + 1
-        if m <= 0:
-            continue
-        h = np.full(m, n, np.uint64)
-        some = np.zeros(m, bool)
-        for j in range(n):
-            h = h * CODE_BASE + points[j : m + j]
-            some |= is_letter[j : m + j]
-        ok = some & (text[:m] == text[n - 1 :])
-        features.append((mix64(h[ok]) >> np.uint64(64 - bits)).astype(np.int64))
-        owners.append(text[:m][ok])
-    del edge
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    feature = np.concatenate(features) if features else np.zeros(0, np.int64)
-    order = np.argsort(owner, kind="stable")
-    return feature[order], owner[order], np.bincount(text[is_letter], minlength=len(texts))
+    starts = np.cumsum(keep, dtype=np.int32)[at] - 1
+    out = points[keep]
+    out[~letters[keep]] = 32
+    return out, starts
+
+
+def ngram_blocks(points: np.ndarray, at: np.ndarray, orders: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(feature, text) of each n-gram of letters and edges with 1 to ``orders`` characters, a block at a time: what a block takes
+    doesn't depend on the length of a text."""
+    size = at[-1]  # the edge after the last text is no n-gram's start
+    for low in range(0, size, BLOCK):
+        high = min(low + BLOCK, size)
+        some = points[low : high + orders - 1].astype(np.uint64)
+        text = np.searchsorted(at, np.arange(low, low + len(some)), side="right") - 1
+        h = np.zeros(high - low, np.uint64)
+        for n in range(1, orders + 1):
+            m = min(high - low, len(some) - n + 1)
+            h = h[:m] * CODE_BASE + some[n - 1 : n - 1 + m]
+            ok = text[:m] == text[n - 1 : n - 1 + m] if n > 1 else some[:m] != 32
+            feature = ((h ^ (h >> np.uint64(29))) * SPREAD) >> np.uint64(64 - bits)
+            yield feature[ok].astype(np.int64), text[:m][ok]
+
+
+def letter_counts(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Letters of each text."""
+    return np.diff(np.concatenate([[0], np.cumsum(points != 32, dtype=np.int64)])[at])
 
 
 def word_features(texts: list[str], prefixes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:

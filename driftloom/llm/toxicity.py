@@ -29,6 +29,8 @@ from .letters import word_features
 
 SAMPLE = 4000
 PREFIXES, BITS = (4, 5, 6), 18
+#: text that a worker looks at together
+SLICE_BYTES = 256 << 10
 THRESHOLD, SWAP_PENALTY = 0.7, 1.0
 #: groups of terms that may stand for one another
 IDENTITY_TERMS = (
@@ -77,7 +79,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int) -> list[Example]:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 texts = batch.column("text").to_pylist()
                 others = [swapped(t) for t in texts]
                 swaps = features_of([t or "" for t in others])
@@ -130,7 +132,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_.value
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 scores = m.scores([t or "" for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .links import components, linked, matrix, promising
+from .links import WIDE, components, linked, matrix, promising, with_sizes
 
 THRESHOLD = 0.95
 COUNTED, LEAST, DEVIATIONS = 32, 25, 2.0
@@ -151,11 +151,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ends = nodes.select("node", F.posexplode("cells").alias("run", "leaf"))
     sizes = ends.groupBy("run", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
     ends = settle(ends.join(sizes, ["run", "leaf"]), "ends")
-    hopeful = promising(ends.join(nodes.select("node", "leaves", "counted"), "node"), colliding(threshold)).distinct()
-    chosen = settle(nodes.join(hopeful, "node", "left_semi").select("node", "copies", "leaves", "counted", "vector"), "chosen")
-    again = ends.drop("n").join(chosen.select("node"), "node", "left_semi")
-    sizes = again.groupBy("run", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    found = settle(linked(again.join(sizes, ["run", "leaf"]).join(chosen, "node"), judge(threshold)), "links")
+    hopeful = settle(promising(ends.join(nodes.select("node", "leaves", "counted"), "node"), colliding(threshold), WIDE), "hopeful")
+    chosen = nodes.join(hopeful.select("node").distinct(), "node", "left_semi").select("node", "copies", "leaves", "counted", "vector")
+    found = settle(linked(with_sizes(hopeful).join(settle(chosen, "chosen"), "node"), judge(threshold)), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     stars = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     placed = nodes.select("node", "rep", "copies").join(stars, "node", "left").join(counts, "node", "left")

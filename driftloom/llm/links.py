@@ -1,9 +1,13 @@
 """Links between rows that share buckets: blocks of pairs, each pair judged once, and connected components.
 
 A row has a bucket key (or none) in each of several runs. Two rows are compared in the first run in which
-they share a bucket. Buckets of any size are split into blocks of about ``BLOCK`` rows, and every pair of
+they share a bucket. Buckets of any size are split into blocks of about so many rows, and every pair of
 blocks is a unit of work of its own, so that no task gets a whole large bucket. Pairs stay inside the
-unit; what leaves it is linear in its rows: counts of links and a spanning forest.
+unit; what leaves it is linear in its rows: counts of links and a spanning forest. A bucket of n rows is dealt
+n / block times: blocks of small rows (sketches) are ``WIDE``, those of whole sets and vectors ``BLOCK`` rows long.
+
+Defined cases: no members, or members alone in their buckets, give no rows; a bucket number of 0 means no bucket;
+a node that several units link is in several rows, which callers add up.
 """
 
 from __future__ import annotations
@@ -17,16 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-BLOCK = 192
+BLOCK, WIDE = 192, 1024
 
 #: gets two lists of rows (Arrow tables: node, copies, leaves and what else was asked for) and a mask of pairs
 #: to compare; returns the mask of pairs that link
 Judge = Callable[[pa.Table, pa.Table, np.ndarray], np.ndarray]
 
 
-def in_blocks(members: DataFrame) -> DataFrame:
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
     """members: run, leaf, n (rows of the bucket), node. Adds left, right (the blocks of a unit) and side (the row's own block)."""
-    blocks: Column = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    blocks: Column = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = members.withColumn("blocks", blocks).withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.select(*members.columns, "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
@@ -87,9 +91,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def worked(members: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+def worked(members: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str, block: int) -> DataFrame:
     """Applies work to every unit of the members (run, leaf, n, node, leaves, ...)."""
-    spread = in_blocks(members).repartition("run", "leaf", "left", "right").sortWithinPartitions("run", "leaf", "left", "right")
+    spread = in_blocks(members, block).repartition("run", "leaf", "left", "right").sortWithinPartitions("run", "leaf", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[pa.RecordBatch] = []
@@ -107,8 +111,8 @@ def worked(members: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None]
     return spread.mapInArrow(run, schema)
 
 
-def promising(members: DataFrame, judge: Judge) -> DataFrame:
-    """The nodes (with repeats) that have a pair which the judge lets pass."""
+def promising(members: DataFrame, judge: Judge, block: int) -> DataFrame:
+    """run, leaf, node of the members (distinct) that in this bucket have a pair which the judge lets pass."""
 
     def work(unit: pa.Table) -> pa.RecordBatch | None:
         a, b, mask = pairs_in(unit)
@@ -116,9 +120,16 @@ def promising(members: DataFrame, judge: Judge) -> DataFrame:
             return None
         mask = judge(a, b, mask)
         found = np.unique(np.concatenate([a.column("node").to_numpy()[mask.any(axis=1)], b.column("node").to_numpy()[mask.any(axis=0)]]))
-        return pa.RecordBatch.from_pydict({"node": pa.array(found, pa.int64())})
+        bucket = [pa.array([unit.column(c)[0].as_py()] * len(found), pa.int64()) for c in ("run", "leaf")]
+        return pa.RecordBatch.from_arrays([*bucket, pa.array(found, pa.int64())], ["run", "leaf", "node"])
+
+    return worked(members, work, "run long, leaf long, node long", block).distinct()
+
 
-    return worked(members, work, "node long")
+def with_sizes(members: DataFrame) -> DataFrame:
+    """The members (run, leaf, node) of buckets that have at least two, with the number of members (n)."""
+    sizes = members.groupBy("run", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
+    return members.join(sizes, ["run", "leaf"])
 
 
 def linked(members: DataFrame, judge: Judge) -> DataFrame:
@@ -137,7 +148,7 @@ def linked(members: DataFrame, judge: Judge) -> DataFrame:
         links += np.bincount(np.searchsorted(nodes, y), weights=a.column("copies").to_numpy()[i], minlength=len(nodes))
         return pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "links": pa.array(links.astype(np.int64)), "root": pa.array(roots, pa.int64())})
 
-    return worked(members, work, "node long, links long, root long")
+    return worked(members, work, "node long, links long, root long", BLOCK)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -31,11 +31,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mix64, numbered, run_hashes, runs_of, settle, slices, without_ids
-from .links import components, linked, matrix, promising
+from .links import WIDE, components, linked, matrix, promising, with_sizes
 
 WORDS, THRESHOLD = 5, 0.8
 #: probability at least of finding a pair at the threshold
@@ -59,32 +60,67 @@ def node_numbers(words: Words) -> np.ndarray:
     return (h >> np.uint64(1)).astype(np.int64)
 
 
-def shingle_sets(words: Words) -> list[np.ndarray]:
-    """Sorted hashes of each text's shingles."""
-    hashes, text, _ = runs_of(words, WORDS)
-    cuts = np.searchsorted(text, np.arange(len(words.word_at)))
-    out = [np.unique(hashes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    for i in np.flatnonzero((words.counts() < WORDS) & (words.counts() > 0)):
-        out[i] = run_hashes(words.hashes, words.word_at[i : i + 1], words.word_at[i + 1 : i + 2])
-    return out
-
-
-def path_of(shingles: np.ndarray, run: int) -> list[int]:
-    """Hashes of the path after each step."""
-    path, out = _SALTS[run : run + 1], []
-    for _ in range(DEPTH):
-        path = mix64(mix64(shingles ^ path).min(keepdims=True) + path)
-        out.append(int(path[0] >> np.uint64(1)) | 1)
-    return out
-
-
-def sketch_of(shingles: np.ndarray) -> bytes:
-    return (mix64(shingles[None, :] * (_SALTS[1 : SKETCH + 1, None] | np.uint64(1))).min(axis=1) >> np.uint64(20)).astype(np.uint8).tobytes()
+def shingles_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' shingles one text after the other, repeats included, and the texts' offsets among them."""
+    counts = words.counts()
+    short = (counts < WORDS) & (counts > 0)
+    at = np.concatenate([[0], np.cumsum(np.maximum(counts - WORDS + 1, short))])
+    out, whole = np.zeros(at[-1], np.uint64), np.zeros(at[-1], bool)
+    whole[at[:-1][short]] = True
+    out[~whole] = runs_of(words, WORDS)[0]
+    if short.any():
+        out[whole] = run_hashes(words.hashes, words.word_at[:-1][short], words.word_at[1:][short])
+    return out, at
 
 
-def paths_of(shingles: np.ndarray, runs: range) -> list[int] | None:
-    """The paths of the runs, one after the other; null without shingles."""
-    return [p for r in runs for p in path_of(shingles, r)] if len(shingles) else None
+def shingle_sets(words: Words) -> list[np.ndarray]:
+    """Sorted hashes of each text's shingles."""
+    flat, at = shingles_of(words)
+    return [np.unique(flat[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+
+class Minima:
+    """Least hashes of each text's shingles, for the texts that have any, all texts of a slice at once."""
+
+    def __init__(self, words: Words):
+        self.flat, at = shingles_of(words)
+        self.sizes = np.diff(at)
+        self.some = self.sizes > 0
+        self.heads = at[:-1][self.some]
+
+    def least(self, factor: np.ndarray | np.uint64) -> np.ndarray:
+        """Shingles are hashes already: a random odd factor orders them anew."""
+        return np.minimum.reduceat(self.flat * factor, self.heads) if len(self.heads) else np.zeros(0, np.uint64)
+
+    def paths(self, runs: range) -> np.ndarray:
+        """Hashes of the paths after each step, run by run, in a row for each text with shingles."""
+        out = np.zeros((len(self.heads), len(runs) * DEPTH), np.int64)
+        for i, run in enumerate(runs):
+            path = np.full(len(self.heads), _SALTS[run])
+            for step in range(DEPTH):
+                factor = np.repeat(path | np.uint64(1), self.sizes[self.some])
+                path = mix64(mix64(self.least(factor)) + path)
+                out[:, i * DEPTH + step] = (path >> np.uint64(1)).astype(np.int64) | 1
+        return out
+
+    def sketches(self) -> np.ndarray:
+        """A byte of each of ``SKETCH`` minhashes, in a row for each text with shingles; memory is one array of the slice's shingles."""
+        out = np.zeros((len(self.heads), SKETCH), np.uint8)
+        for k in range(SKETCH):
+            out[:, k] = (mix64(self.least(_SALTS[k + 128] | np.uint64(1))) >> np.uint64(20)).astype(np.uint8)
+        return out
+
+    def listed(self, rows: np.ndarray) -> pa.Array:
+        """The rows of numbers as lists, null for texts without shingles."""
+        width = rows.shape[1] if rows.size else 0
+        offsets = np.concatenate([[0], np.cumsum(self.some)]).astype(np.int32) * width
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
+        return pc.if_else(pa.array(self.some), lists, pa.scalar(None, lists.type))
+
+
+def paths_of(words: Words, runs: range) -> pa.Array:
+    made = Minima(words)
+    return made.listed(made.paths(runs))
 
 
 def described(docs: DataFrame, runs: range) -> DataFrame:
@@ -95,11 +131,16 @@ def described(docs: DataFrame, runs: range) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 words = Words(batch.column("text"))
-                sets = shingle_sets(words)
-                paths = [paths_of(s, runs) for s in sets]
-                sketches = [sketch_of(s) if len(s) else None for s in sets]
+                made = Minima(words)
+                sketches = iter(made.sketches())
                 yield pa.RecordBatch.from_arrays(
-                    [*map(batch.column, row), batch.column("doc_id"), pa.array(node_numbers(words)), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    [
+                        *map(batch.column, row),
+                        batch.column("doc_id"),
+                        pa.array(node_numbers(words)),
+                        made.listed(made.paths(runs)),
+                        pa.array([next(sketches).tobytes() if s else None for s in made.some], pa.binary()),
+                    ],
                     [*row, "doc_id", "node", "paths", "sketch"],
                 )
 
@@ -182,7 +223,7 @@ def alike_sets(a: pa.Table, b: pa.Table, mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def from_sets(docs: DataFrame, nodes: DataFrame, make: Callable[[list[np.ndarray]], pa.Array], column: str, kind: str) -> DataFrame:
+def from_sets(docs: DataFrame, nodes: DataFrame, make: Callable[[Words], pa.Array], column: str, kind: str) -> DataFrame:
     """node and a column made from its shingles, once for each of the nodes (node, rep). Rows are looked for by
     the smallest doc_id of their node, or among all those without one, and known by the node's number."""
     few = nodes.count() <= BROADCAST_NODES
@@ -198,7 +239,7 @@ def from_sets(docs: DataFrame, nodes: DataFrame, make: Callable[[list[np.ndarray
                     continue
                 if not those.all():
                     words, numbers = Words(batch.column("text").filter(pa.array(those))), numbers[those]
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), make(shingle_sets(words))], ["node", column])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), make(words)], ["node", column])
 
     reps = nodes.select(F.col("rep").alias("rep_"))
     rows = docs.join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("rep_"), "left_semi").select("text")
@@ -210,8 +251,8 @@ def from_sets(docs: DataFrame, nodes: DataFrame, make: Callable[[list[np.ndarray
     return made.dropDuplicates(["node"])
 
 
-def as_bytes(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
+def sets_of(words: Words) -> pa.Array:
+    return pa.array([s.astype("<u8").tobytes() for s in shingle_sets(words)], pa.binary())
 
 
 def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -228,19 +269,18 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     if short is not None and short.limit(1).count():
         further = range(runs, most)
         again = settle(nodes.join(short, "node", "left_semi").select("node", "rep"), "again")
-        paths = from_sets(docs, again, lambda sets: pa.array([paths_of(s, further) for s in sets], pa.list_(pa.int64())), "paths", "array<long>")
+        paths = from_sets(docs, again, lambda words: paths_of(words, further), "paths", "array<long>")
         ends = ends.union(settle(leaves_of(settle(paths, "further"), further)[0], "ends"))
     leaves = ends.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("run", "leaf"))).alias("by_run"))
     packed = F.unhex(F.concat_ws("", *[_little_endian(F.coalesce(F.try_element_at("by_run", F.lit(r)), F.lit(0))) for r in range(most)]))
     known = settle(leaves.select("node", packed.alias("leaves")).join(nodes.select("node", "copies", "sketch", "rep"), "node"), "known")
     members = ends.join(known.drop("rep"), "node")
-    hopeful = settle(promising(members, alike_sketches).distinct(), "hopeful")
-    fetched = settle(known.join(hopeful, "node", "left_semi").select("node", "rep"), "fetched")
-    sets = from_sets(docs, fetched, as_bytes, "shingles", "binary")
-    again = ends.join(hopeful, "node", "left_semi")
-    sizes = again.groupBy("run", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
+    # whole sets go to the buckets only in which a node has such a pair for the first time
+    hopeful = settle(promising(members, alike_sketches, WIDE), "hopeful")
+    fetched = settle(known.join(hopeful.select("node").distinct(), "node", "left_semi").select("node", "rep"), "fetched")
+    sets = from_sets(docs, fetched, sets_of, "shingles", "binary")
     full = settle(known.drop("rep").join(sets, "node"), "sets")
-    members = again.drop("n").join(sizes, ["run", "leaf"]).join(full, "node")
+    members = with_sizes(hopeful).join(full, "node")
     found = settle(linked(members, alike_sets), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     stars = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))

@@ -46,17 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[str]:
-    """Intermediate tables written inside go to one folder, which is deleted at the end: for callers who write the
-    result there. Without it they stay until the shared folder is cleared, as results are read from them lazily."""
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside go to one folder, which the caller deletes when the result has been written."""
     folder = f"{shared_dir(spark)}/driftloom-run-{uuid.uuid4().hex}"
     _run_folders.append(folder)
     try:
         yield folder
     finally:
         _run_folders.remove(folder)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -1,13 +1,13 @@
 """WARC archives: written with revisit records, read back by boundary-chain verification.
 
-Writing: each page is a record of one file per task, written by Spark's text writer with the record
-separator as line separator. Of pages with equal payloads of at least ``LEAST_BYTES`` bytes, that with the
+Writing: each page is a record, written by Spark's text writer with the record separator as line separator;
+pages of similar size share files, the fewer of them the larger they are, so that a file has at most some
+``FILE_BYTES`` (or one record). Of pages with equal payloads of at least ``LEAST_BYTES`` bytes, that with the
 smallest page_id is a response record; the others are revisit records that refer to it.
 
 Reading: a magic string may also stand inside a payload. Tasks look for the magic in the archive files (each
-at most 2 GB, Spark's limit for binary files; the writer keeps them far smaller) and emit, for each
-place that parses as a record header, a link from its offset to the offset where the header's
-Content-Length says the next record begins. Pointer jumping doubles the followed distance in each
+at most 2 GB, Spark's limit for binary files) and emit, for each place that parses as a record header, a link from
+its offset to the offset where the header's Content-Length (1 to 18 ASCII digits) says the next record begins. Pointer jumping doubles the followed distance in each
 round of joins; a record is real if the chain from its file's start reaches it.
 
 Defined cases: a null html is an empty payload; repeated page_ids are records each (a revisit refers to the
@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir
+from .common import new_folder, settle
 
 LEAST_BYTES = 100
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
-#: records of one archive file at most
-FILE_RECORDS = 1000
+#: records of one archive file at most, and bytes of one with several records, about
+FILE_RECORDS, FILE_BYTES = 1000, 32 << 20
 #: payload digests with copies that are broadcast at most, about 100 bytes each; more are joined by shuffle
 BROADCAST_KEYS = 1 << 17
 
@@ -75,7 +75,17 @@ def write_warc(pages: DataFrame, path: str) -> None:
         ("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
         ("Content-Length", F.octet_length(F.encode(body, "UTF-8")).cast("string")),
     ]
-    rows.select(record(header, body).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    low, most = 0, FILE_BYTES // FILE_RECORDS
+    while True:  # records up to 1/1000, 1/125, 1/15 of a file's bytes, and larger ones
+        here = F.col("payload_bytes") >= low if most > FILE_BYTES // 8 else (F.col("payload_bytes") >= low) & (F.col("payload_bytes") < most)
+        written = rows.filter(here).select(record(header, body).alias("value")).write.mode("append").option("lineSep", END)
+        written.option("maxRecordsPerFile", max(1, FILE_BYTES // most) if most <= FILE_BYTES // 8 else 1).text(path)
+        if most > FILE_BYTES // 8:
+            return
+        low, most = most, most * 8
+
+
+_LENGTH = re.compile("[0-9]{1,18}")
 
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
@@ -85,14 +95,15 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
         return None
     lines = data[at + len(MAGIC) : stop].decode("utf-8", "replace").split("\r\n")
     fields = dict(x.split(": ", 1) for x in lines if ": " in x)
-    return (fields, stop + 4) if len(fields) == len(lines) and fields.get("Content-Length", "").isdigit() and "WARC-Type" in fields else None
+    return (fields, stop + 4) if len(fields) == len(lines) and _LENGTH.fullmatch(fields.get("Content-Length", "")) and "WARC-Type" in fields else None
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, next, with the record's fields, for every place that looks like a record. Bodies' digests come along."""
+    """file (a number, the same within one result only), offset, next, with the record's fields, for every place that looks
+    like a record. Bodies' digests come along."""
     import hashlib
 
-    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"), "content")
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.monotonically_increasing_id().alias("file"), "content")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,7 +117,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                             rows.append((file, m.start(), stop + 4, fields["WARC-Type"], fields.get("WARC-Record-ID", ""), fields.get("WARC-Refers-To", ""), fields.get("WARC-Payload-Digest", ""), fields.get("WARC-Payload-Length", ""), stop - body, hashlib.sha256(data[body:stop]).hexdigest()))
                 yield pd.DataFrame(rows, columns=["file", "offset", "next", "record_type", "record_id", "refers", "said_digest", "said_bytes", "body_bytes", "body_digest"])
 
-    return files.mapInPandas(look, "file string, offset long, next long, record_type string, record_id string, refers string, said_digest string, said_bytes string, body_bytes long, body_digest string")
+    return files.mapInPandas(look, "file long, offset long, next long, record_type string, record_id string, refers string, said_digest string, said_bytes string, body_bytes long, body_digest string")
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -118,20 +129,21 @@ def reachable(links: DataFrame) -> DataFrame:
     reached = settle(spans.filter("offset = 0").select("file", "offset"), "reached")
     n = reached.count()
     while True:
-        hops = reached.join(spans, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        real = hops.join(links.select("file", "offset"), ["file", "offset"], "left_semi")
+        # all sides grow with the archives: none is to be broadcast, however small it looks when compressed
+        hops = reached.join(spans.hint("merge"), ["file", "offset"]).select("file", F.col("next").alias("offset"))
+        real = hops.join(links.select("file", "offset").hint("merge"), ["file", "offset"], "left_semi")
         reached = settle(reached.union(real).distinct(), "reached")
         if (now := reached.count()) == n:
             return reached
         n = now
         after = spans.select("file", F.col("offset").alias("next"), F.col("next").alias("then"))
-        spans = settle(spans.join(after, ["file", "next"]).select("file", "offset", F.col("then").alias("next")), "links")
+        spans = settle(spans.join(after.hint("merge"), ["file", "next"]).select("file", "offset", F.col("then").alias("next")), "links")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The real records of the archives at a path."""
     found = settle(candidates(spark, path), "candidates")
-    return found.join(reachable(found), ["file", "offset"])
+    return found.join(reachable(found).hint("merge"), ["file", "offset"])
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -139,10 +151,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     A response's digest is that of its body as read; a revisit's that of the response it refers to.
     """
-    import uuid
-
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/driftloom-warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     write_warc(pages, path)
     number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
     records = settle(
@@ -153,6 +163,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     )
     responses = records.filter("record_type = 'response'")
     originals = responses.select(F.col("page_id").alias("original"), F.col("body_bytes").alias("full_bytes"), F.col("body_digest").alias("full_digest")).dropDuplicates(["original", "full_digest"])
-    revisits = records.filter("record_type = 'revisit'").join(originals, (F.col("refers_to") == F.col("original")) & (F.col("said_digest") == F.concat(F.lit("sha256:"), "full_digest")))
+    revisits = records.filter("record_type = 'revisit'").join(originals.hint("merge"), (F.col("refers_to") == F.col("original")) & (F.col("said_digest") == F.concat(F.lit("sha256:"), "full_digest")))
     own = responses.select("page_id", F.col("body_bytes").alias("payload_bytes"), F.col("body_digest").alias("payload_digest"), "record_type", "refers_to")
     return own.union(revisits.select("page_id", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("payload_digest"), "record_type", "refers_to"))

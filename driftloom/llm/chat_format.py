@@ -2,7 +2,8 @@
 
 A declarative template names the control strings, the roles whose text is learnt from and the allowed
 transitions between roles. Everything is expressed with Spark's own functions: turns are gathered by
-conversation, a fold over them runs the finite-state machine, and another pass emits segments.
+conversation, a fold over them runs the finite-state machine, and each turn's segments are emitted with the state that
+the machine reached by it: the state says whether its text is learnt from.
 
 Inside roles and texts a backslash becomes ``\\s`` and ``<|`` becomes ``<\\p|``; line feeds in roles
 become ``\\n``. No control string, all of which begin with ``<|``, can then stand in a text, and the
@@ -28,7 +29,8 @@ class ChatTemplate:
     turn_start: str = "<|im_start|>"
     role_end: str = "\n"
     turn_end: str = "<|im_end|>\n"
-    loss_roles: tuple[str, ...] = ("assistant",)
+    #: states whose turns are learnt from
+    loss_states: tuple[str, ...] = ("assistant",)
     start: str = "start"
     #: state -> roles that may come next; the role is the next state
     transitions: dict[str, tuple[str, ...]] = field(
@@ -54,19 +56,22 @@ def unescape_role(role: Column) -> Column:
 
 
 def machine(turns: Column, template: ChatTemplate) -> Column:
-    """Fold of the role automaton: the state after all turns and the first rejected turn (or null)."""
+    """Fold of the role automaton: the state after each turn, and the first rejected turn (or null). After a turn that it
+    rejects, the machine goes on from the state of the turn's role."""
     allowed = F.create_map(*[F.lit(x) for state, roles in template.transitions.items() for role in roles for x in (f"{state}\n{role}", role)])
 
     def step(acc: Column, turn: Column) -> Column:
         reached = F.try_element_at(allowed, F.concat_ws("\n", acc["state"], turn["role"]))
         fails = acc["error_turn"].isNull() & reached.isNull()
+        state = F.coalesce(reached, turn["role"])
         return F.struct(
-            F.coalesce(reached, turn["role"]).alias("state"),
-            (acc["seen"] + F.lit(1)).alias("seen"),
-            F.when(fails, acc["seen"]).otherwise(acc["error_turn"]).alias("error_turn"),
+            state.alias("state"),
+            F.concat(acc["states"], F.array(state)).alias("states"),
+            F.when(fails, F.size(acc["states"])).otherwise(acc["error_turn"]).alias("error_turn"),
         )
 
-    first = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("seen"), F.lit(None).cast("int").alias("error_turn"))
+    none = F.array().cast("array<string>")
+    first = F.struct(F.lit(template.start).alias("state"), none.alias("states"), F.lit(None).cast("int").alias("error_turn"))
     return F.aggregate(turns, first, step)
 
 
@@ -76,24 +81,18 @@ def format_chats(conversations: DataFrame, template: ChatTemplate | None = None)
     row = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
-    def turn_segments(turn: Column) -> Column:
-        loss = turn["role"].isin(*t.loss_roles)
+    def turn_segments(turn: Column, state: Column) -> Column:
         return F.array(
             F.struct(F.concat(F.lit(t.turn_start), escape_role(turn["role"]), F.lit(t.role_end)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(turn["text"]).alias("text"), loss.alias("loss")),
+            F.struct(escape(turn["text"]).alias("text"), state.isin(*t.loss_states).alias("loss")),
             F.struct(F.lit(t.turn_end).alias("text"), F.lit(False).alias("loss")),
         )
 
-    state = machine(F.col("turns"), t)
-    staged = grouped.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        state.alias("machine"),
-        F.flatten(F.transform("turns", turn_segments)).alias("segments"),
-    )
+    staged = grouped.withColumn("machine", machine(F.col("turns"), t))
+    staged = staged.withColumn("segments", F.flatten(F.zip_with("turns", "machine.states", turn_segments)))
     return staged.select(
         "conv_id",
-        "n_turns",
+        F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
         "segments",
         (F.col("machine.error_turn").isNull() & F.col("machine.state").isin(*t.accepting)).alias("valid"),

@@ -35,6 +35,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length(loss).cast("long").alias("loss_chars"),
         F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "error_turn",
     )
 
 
@@ -45,15 +47,20 @@ with rows as (
   union all select -1, 1, 'assistant', '{CHAT_TEST}'),
 parts as (
   select *, replace(replace(role, chr(92), chr(92) || 's'), '<|', '<' || chr(92) || 'p|') as r,
-    replace(replace(text, chr(92), chr(92) || 's'), '<|', '<' || chr(92) || 'p|') as t from rows),
+    replace(replace(text, chr(92), chr(92) || 's'), '<|', '<' || chr(92) || 'p|') as t,
+    row_number() over in_order as i, lag(role, 1, 'start') over in_order as before, row_number() over (partition by conv_id order by turn desc nulls last, role desc, text desc) as from_end
+  from rows window in_order as (partition by conv_id order by turn nulls first, role, text)),
+moves(before, role) as (values ('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')),
+marked as (select parts.*, moves.role is null as bad from parts left join moves on parts.before = moves.before and parts.role = moves.role),
 chats as (
   select conv_id, count(*) as n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as said,
-    coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '') as loss,
-    sum(length('<|im_start|>') + length(replace(r, chr(10), chr(92) || 'n')) + 1 + length(t) + length('<|im_end|>') + 1) as formatted_chars
-  from parts group by conv_id)
+    string_agg(role || chr(10) || text || chr(10), '' order by i) as said,
+    coalesce(string_agg(case when role = 'assistant' then text end, '' order by i), '') as loss,
+    sum(length('<|im_start|>') + length(replace(r, chr(10), chr(92) || 'n')) + 1 + length(t) + length('<|im_end|>') + 1) as formatted_chars,
+    min(case when bad then i - 1 end) as error_turn, bool_or(from_end = 1 and role = 'assistant') as ends_well
+  from marked group by conv_id)
 select conv_id, cast(n_turns as bigint) as n_turns, sha256(said) as turns_sha256, cast(length(loss) as bigint) as loss_chars,
-  sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from chats
+  sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars, error_turn is null and ends_well as valid, cast(error_turn as int) as error_turn from chats
 """
 
 
@@ -142,14 +149,9 @@ r as (
   select doc_id, d.source, size, source_size, target,
     case when source_size > 0 then target / source_size else 0 end as rate,
     row_number() over (partition by d.source order by size, doc_id) as rank
-  from d join t on d.source is not distinct from t.source),
-o(k, u) as (values {", ".join(f"({k}, {u}::double)" for k, u in enumerate(mixing.offsets()))}),
-m as (
-  select source, k, u, abs(sum((floor(u + rank * rate) - floor(u + (rank - 1) * rate)) * size) - first(target)) as miss
-  from r cross join o group by source, k, u),
-c as (select source, arg_min(u, (miss, k)) as u from m group by source)
-select doc_id, size, source_size, target, cast((floor(u + rank * rate) - floor(u + (rank - 1) * rate)) * size as bigint) as taken
-from r join c on r.source is not distinct from c.source
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  cast((floor({mixing.offset()}::double + rank * rate) - floor({mixing.offset()}::double + (rank - 1) * rate)) * size as bigint) as taken from r
 """
 
 

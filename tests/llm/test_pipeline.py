@@ -35,8 +35,7 @@ def plainly(rows):
         rate = targets[s] / words[s]
         rs.sort(key=lambda r: (size[r[0]], r[0]))
         copies = lambda u, n=len(rs), rate=rate: [math.floor(u + k * rate) - math.floor(u + (k - 1) * rate) for k in range(1, n + 1)]
-        best = min(mixing.offsets(), key=lambda u: abs(sum(c * size[r[0]] for c, r in zip(copies(u), rs)) - targets[s]))
-        taken += [r for c, r in zip(copies(best), rs) for _ in range(c)]
+        taken += [r for c, r in zip(copies(mixing.offset()), rs) for _ in range(c)]
     library, out = Tokenizer.from_str(queries.tokenizer_spec()), Counter()
     for i, t, _, _ in taken:
         ids = library.encode(t, add_special_tokens=False).ids

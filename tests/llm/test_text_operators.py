@@ -28,6 +28,18 @@ def test_chat_edge_cases(spark, rows_of):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_loss_comes_from_the_machine(spark, capsys):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a" * 300_000), *[(2, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(1, 1000)]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    template = chat_format.ChatTemplate(loss_states=("user",))
+    got = {r["conv_id"]: r for r in chat_format.format_chats(df, template).collect()}
+    assert [s["text"] for s in got[1]["segments"] if s["loss"]] == ["q"] and got[1]["valid"] and len(got[1]["formatted"]) > 300_000
+    assert "".join(s["text"] for s in got[2]["segments"] if s["loss"]) == "".join(f"t{k}" for k in range(1, 1000, 2)) and not got[2]["valid"] and got[2]["error_turn"] is None
+    queries.op1_chat_format(spark, "/root/testdata/sf0.001").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "aggregate(" in plan and "error_turn" in plan and "Python" not in plan
+
+
 def test_exact_dedup_edge_cases(documents, rows_of):
     docs = documents([(1, "a b", "en", "s"), (2, "a  b ", "en", "s"), (3, None, "en", "s"), (4, " \n", None, None), (5, "ab", "en", "s"), (6, "x" * 200_000, "en", "s"), (7, "c", "en", "s"), (7, "c", "en", "s"), (None, "c", "en", "s")])
     got = [tuple(r) for r in exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept").collect()]
@@ -146,6 +158,25 @@ def test_warc_round_trip(spark, rows_of):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", ["²", "9" * 5000, "", "-3", "٣", "99999999999999999999"])
+def test_warc_lengths_that_are_no_numbers(spark, length):
+    pages = [(1, "u", f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {length}\r\n\r\n"), (None, "u", "z" * 200), (2, "u", "z" * 200)]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in got) == [("1", "response", None), ("2", "response", None), ("None", "revisit", 2)]
+
+
+def test_warc_files_are_bounded(spark, monkeypatch, tmp_path, rows_of):
+    monkeypatch.setattr(warc, "FILE_BYTES", 64 << 10)
+    monkeypatch.setattr(warc, "BROADCAST_KEYS", 0)
+    sizes = [0, 50, 70, 500, 4000, 9000, 100_000] * 40
+    pages = spark.createDataFrame([(i, "u", f"{i} " + "x" * n) for i, n in enumerate(sizes)] + [(1000, "u", "5 " + "x" * 9000)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "w"))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "w")).select("length", F.size(F.split(F.decode("content", "UTF-8"), "WARC/1.1")).alias("n")).collect()
+    assert len(files) > 40 and all(r["length"] < 90_000 or r["n"] == 2 for r in files)
+    got = rows_of(warc.round_trip(pages), "page_id")
+    assert len(got) == 281 and got[1000]["refers_to"] == 5 and all(got[i]["payload_bytes"] == n + len(str(i)) + 1 for i, n in enumerate(sizes))
+
+
 def test_warc_many_records_in_a_file(spark, monkeypatch):
     df = spark.range(0, 300, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("WARC/1.1\r\n"), F.repeat(F.lit("p"), (F.col("id") % 50).cast("int"))).alias("html"))
     assert sorted(r["page_id"] for r in warc.round_trip(df).collect()) == list(range(300))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+REFERENCE = r"\$(?:in|out)\d+"
 
 
 def references(command: Column, kind: str) -> Column:
@@ -26,28 +24,37 @@ def checked(command: Column, inputs: Column, outputs: Column) -> Column:
     return F.when(valid(command, inputs, outputs), command).otherwise(F.raise_error(F.concat(F.lit("references beyond the declared inputs or outputs: "), command)))
 
 
-@F.pandas_udf(T.StringType())
-def substitute(command: pd.Series, inputs: pd.Series, outputs: pd.Series) -> pd.Series:
-    """The command with each reference replaced by the path of that input or output."""
+def substitute(command: Column, inputs: Column, outputs: Column) -> Column:
+    """The command with each reference replaced by the path of that input or output (arrays of paths, counted from 1); a number
+    beyond them is an error. What stands between references is kept, so that a path is never searched for references."""
+
+    def path(reference: Column) -> Column:
+        of_input = reference.startswith("$in")
+        n = F.regexp_extract(reference, r"(\d+)$", 1).try_cast("int")
+        paths = F.when(of_input, inputs).otherwise(outputs)
+        return F.when(n.between(1, F.size(paths)), F.get(paths, n - 1)).otherwise(F.raise_error(F.concat(F.lit("no input or output for "), reference)))
+
+    between = F.split(command, REFERENCE, -1)
+    paths = F.transform(F.regexp_extract_all(command, F.lit(f"({REFERENCE})"), F.lit(1)), path)
+    return F.array_join(F.zip_with(between, paths, lambda text, p: F.concat(text, F.coalesce(p, F.lit("")))), "")
 
-    def one(text: str | None, ins, outs) -> str | None:
-        if text is None:
-            return None
-        return re.sub(r"\$(in|out)(\d+)", lambda m: (ins if m[1] == "in" else outs)[int(m[2]) - 1], text)
 
-    return pd.Series([one(*x) for x in zip(command, inputs, outputs, strict=True)], dtype=object)
+def _split_at(text: Column) -> Column:
+    """Where the arguments begin (from 1), or null: behind a closing quote if the line begins with one, else at the first space."""
+    quote = F.when(F.locate('"', text, 2) > 1, F.locate('"', text, 2) + 1)
+    space = F.when(F.instr(text, " ") > 1, F.instr(text, " "))
+    at = F.when(text.startswith('"') & (F.char_length(text) > 2), quote).otherwise(space)
+    return F.when(at <= F.char_length(text), at)
 
 
 def program(command: Column) -> Column:
-    """Program of a command line: up to the first space, or what is quoted; all of it if the quote is not closed."""
-    text = F.trim(command)
-    quoted = F.regexp_extract(text, '^"([^"]*)"', 1)
-    bare = F.regexp_extract(text, r"^(\S*)", 1)
-    return F.when(text.startswith('"'), F.when(F.regexp_like(text, F.lit('^"[^"]*"')), quoted).otherwise(text)).otherwise(bare)
+    """Program of a command line: up to the first space, or what is quoted, quotes included; all of it if the quote is not closed."""
+    text = F.btrim(command, F.lit(" \t\r\n"))
+    at = _split_at(text)
+    return F.when(at.isNull(), text).otherwise(F.rtrim(F.substring(text, F.lit(1), at - 1)))
 
 
 def arguments(command: Column) -> Column:
-    text = F.trim(command)
-    after_quote = F.trim(F.regexp_extract(text, '^"[^"]*"(.*)$', 1))
-    after_word = F.trim(F.regexp_extract(text, r"^\S*\s*(.*)$", 1))
-    return F.when(text.startswith('"'), after_quote).otherwise(after_word)
+    text = F.btrim(command, F.lit(" \t\r\n"))
+    at = _split_at(text)
+    return F.when(at.isNull(), F.lit("")).otherwise(F.btrim(F.substring(text, at, F.char_length(text)), F.lit(" \t\r\n")))

@@ -26,33 +26,43 @@ def artefact_edges(link: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, depth of all that the roots (node) depend on, themselves included: a frontier moves against the edges.
 
-    Each round joins only what the last one found; nodes met before are left out, so diamonds cost nothing twice.
+    Edges are written once. Each round joins only what the last one found and writes only what is new; nodes met before
+    are left out, so diamonds cost nothing twice.
     """
-    reached = frontier = settle(roots.select("node", F.lit(0).alias("depth")))
-    depth = 0
-    while True:
+    edges = settle(edges.select("src", "dst"))
+    frontier = settle(roots.select("node", F.lit(0).alias("depth")))
+    reached, depth = frontier, 0
+    while not frontier.isEmpty():
         depth += 1
         back = edges.join(frontier, F.col("dst") == F.col("node")).select(F.col("src").alias("node")).distinct()
-        frontier = settle(back.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return reached
-        reached = settle(reached.union(frontier))
+        frontier = settle(back.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        reached = reached.union(frontier)
+    return reached
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, level: length of the longest path that ends at it; a cycle is an error."""
-    left = settle(nodes.select("node").distinct())
-    open_edges = settle(edges.select("src", "dst").distinct())
-    done, level = None, 0
-    while not left.isEmpty():
-        ready = settle(left.join(open_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            raise ValueError("the graph has a cycle")
-        done = ready if done is None else done.union(ready)
-        left = settle(left.join(ready, "node", "left_anti"))
-        open_edges = settle(open_edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
-        level += 1
-    return done if done is not None else nodes.select("node", F.lit(0).alias("level"))
+    """node, level: length of the longest path that ends at it; a cycle is an error.
+
+    Each round takes off the nodes that no remaining node leads to: one join and one write.
+    """
+    edges = settle(edges.select("src", "dst").distinct())
+    rest, done, level = settle(nodes.select("node").distinct()), nodes.select("node", F.lit(0).alias("level")).limit(0), 0
+    while True:
+        below = edges.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"), F.lit(True).alias("below")).distinct()
+        marked = settle(rest.join(below, "node", "left").select("node", F.coalesce("below", F.lit(False)).alias("below")))
+        waiting, ready = marked.agg(F.count_if("below"), F.count_if(~F.col("below"))).first()
+        if not ready:
+            if waiting:
+                raise ValueError("the graph has a cycle")
+            return done
+        done = done.union(marked.filter("not below").select("node", F.lit(level)))
+        rest, level = marked.filter("below").select("node"), level + 1
+
+
+def counts(link: DataFrame) -> DataFrame:
+    """artefacts, methods: how many the graph has; an artefact that no method makes counts as made by a source method."""
+    made = link.filter("role = 'out'").select("method").union(sources(link).select("artefact"))
+    return link.select(F.count_distinct("artefact").alias("artefacts")).crossJoin(made.select(F.count_distinct("method").alias("methods")))
 
 
 def method_ids(outputs: DataFrame) -> DataFrame:

@@ -103,10 +103,25 @@ def fresh_hashes(data: DataFrame, cache: DataFrame, key: list[str]) -> DataFrame
 
 
 def restorable(elements: DataFrame, instance: list[str]) -> DataFrame:
-    """Inputs that have to be fetched: expected, absent, and not removed from a reduced vector of which others are there.
+    """Inputs that have to be fetched, with the version to fetch (wanted).
 
-    elements: expected, actual, free (whether the element's index is a free one of a reduction) and instance columns.
+    elements: expected, actual, free (whether the element's index is a free one of a reduction) and instance columns; if
+    they are to be looked at, produced (the version that the artefact's producer expects) and from_source. What is there needs no
+    fetching. What is absent and was expected is fetched, unless it was removed from a reduced vector of which other
+    elements are there. What this method never saw takes the version of its producer: without one, a source is an
+    error and a method's output is not there yet.
     """
     siblings = elements.filter("free and actual is not null").select(*instance).distinct().withColumn("siblings", F.lit(True))
-    joined = elements.join(siblings, instance, "left")
-    return joined.filter(F.col("expected").isNotNull() & F.col("actual").isNull() & ~(F.col("free") & F.coalesce("siblings", F.lit(False)))).drop("siblings")
+    joined = elements.join(siblings, instance, "left").filter("actual is null")
+    gone = F.col("free") & F.coalesce("siblings", F.lit(False))
+    wanted = F.when(F.col("expected").isNotNull(), F.when(~gone, F.col("expected")))
+    if "produced" in elements.columns:
+        lost = F.col("expected").isNull() & F.col("produced").isNull() & F.col("from_source")
+        wanted = F.when(lost, F.raise_error(F.lit("a source is neither in place nor recorded"))).otherwise(F.when(F.col("expected").isNull(), F.col("produced")).otherwise(wanted))
+    return joined.withColumn("wanted", wanted).filter("wanted is not null").drop("siblings")
+
+
+def status_text(state: Column, location: Column) -> Column:
+    """What a user is told of an artefact's state."""
+    there = F.when(location == REMOTE, "Up to date (in storage)").otherwise("Up to date")
+    return F.when(state == UP_TO_DATE, there).otherwise("Need recomputation")

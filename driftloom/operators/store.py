@@ -10,9 +10,9 @@ PARTS = 16
 
 
 def store_choice(versions: DataFrame, stored: DataFrame) -> DataFrame:
-    """version, n_stores, storage_name: of the stores that hold a version, the last by name."""
+    """version, n_stores, stores (all that hold it, the last by name first), storage_name: the first of them."""
     held = stored.select("version", "storage_name").distinct()
-    return versions.select("version").distinct().join(held, "version").groupBy("version").agg(F.count("*").alias("n_stores"), F.max("storage_name").alias("storage_name"))
+    return versions.select("version").distinct().join(held, "version").groupBy("version").agg(F.count("*").alias("n_stores"), F.sort_array(F.collect_set("storage_name"), asc=False).alias("stores"), F.max("storage_name").alias("storage_name"))
 
 
 def one_path_each(paths: DataFrame) -> DataFrame:
@@ -54,6 +54,73 @@ def load(versions: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path).join(wanted, ["shard", "version"]).drop("shard")
 
 
+def archive(files: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, archive: a zip of the files (name, content) of each group, names relative to it. A group must fit in a task: archive_parts
+    deals a large directory to several."""
+    import pandas as pd
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import zipfile
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+            for entry, content in sorted(zip(group[name], group["content"], strict=True)):
+                z.writestr(zipfile.ZipInfo(entry), content, zipfile.ZIP_DEFLATED, 1)
+        return group[by].head(1).assign(archive=[out.getvalue()])
+
+    kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in by)
+    return files.select(*by, name, "content").groupBy(*by).applyInPandas(pack, f"{kinds}, archive binary")
+
+
+def extract(archives: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, name, content of every file in the archives."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                with zipfile.ZipFile(io.BytesIO(row.archive)) as z:
+                    for entry in z.namelist():
+                        yield pd.DataFrame([[*row[: len(by)], entry, z.read(entry)]], columns=[*by, name, "content"])
+
+    kinds = ", ".join(f"`{c}` {archives.schema[c].dataType.simpleString()}" for c in by)
+    return archives.select(*by, "archive").mapInPandas(unpack, f"{kinds}, `{name}` string, content binary")
+
+
+#: lines around the entries that are managed for the user
+SECTION_START, SECTION_END = "# --- managed entries: start ---", "# --- managed entries: end ---"
+
+
 def merged_entries(old: DataFrame, new: DataFrame) -> DataFrame:
     """Sorted union of two lists of entries (one column, entry)."""
     return old.select("entry").union(new.select("entry")).distinct().orderBy("entry")
+
+
+def with_entries(lines: DataFrame, new: DataFrame) -> DataFrame:
+    """file, pos, line: ignore lists (file, pos, line) whose managed section has the entries (file, entry) too.
+
+    The section holds the sorted union of its old and new entries; lines before and after it are kept; a file without a
+    section, or without lines, gets one at its end. A second section, or an end before its start, or none, is an error.
+    """
+    order = Window.partitionBy("file").orderBy("pos")
+    starts, ends = F.count_if(F.col("line") == SECTION_START), F.count_if(F.col("line") == SECTION_END)
+    placed = lines.withColumn("starts", starts.over(order)).withColumn("ends", ends.over(order))
+    open_ = F.max("starts") > F.max("ends")
+    broken = placed.groupBy("file").agg((F.bool_or((F.col("starts") > 1) | (F.col("ends") > F.col("starts"))) | open_).alias("broken"))
+    part = F.when(F.col("starts") == 0, 0).when(F.col("ends") == 0, 1).otherwise(2)
+    placed = placed.select("file", "pos", "line", part.alias("part")).filter((F.col("line") != SECTION_START) & (F.col("line") != SECTION_END))
+    old = placed.filter("part = 1").select("file", F.col("line").alias("entry"))
+    files = lines.select("file").union(new.select("file")).distinct()
+    error = F.raise_error(F.concat(F.lit("the managed section is malformed in "), "file"))
+    marks = files.join(broken, "file", "left").select("file", "broken", F.explode(F.array(F.lit(0.5), F.lit(1.5))).alias("part"))
+    marks = marks.select("file", "part", F.lit(0).cast("long"), F.when(F.col("broken"), error).when(F.col("part") < 1, SECTION_START).otherwise(SECTION_END))
+    kept = placed.filter("part <> 1").select("file", F.col("part").cast("double").alias("part"), "pos", "line")
+    entries = old.union(new.select("file", "entry")).distinct().select("file", F.lit(1.0).alias("part"), F.lit(0).cast("long").alias("pos"), F.col("entry").alias("line"))
+    out = kept.union(entries).union(marks)
+    return out.select("file", F.row_number().over(Window.partitionBy("file").orderBy("part", "pos", "line")).alias("pos"), "line")

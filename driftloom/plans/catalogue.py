@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import commands, fingerprints, paths
 from ..operators import lineage, staleness, store, vectors
+from ..sources import patterns
 from ..sources.tables import table
 from . import snapshot
 from .snapshot import INDEX, digest
@@ -166,10 +167,13 @@ def command_references(spark, folder):
     )
 
 
-@query("select n_nationkey, 'cat nation/' || n_name || ' >> region/' || n_regionkey as line, 'cat' as program, 'nation/' || n_name || ' >> region/' || n_regionkey as arguments from nation")
+@query("""
+with a as (select n_nationkey, 'nation/' || n_name || ' >> region/' || n_regionkey as arguments, case when n_nationkey % 3 = 0 then '"my cat"' else 'cat' end as program from nation)
+select n_nationkey, program || ' ' || arguments as line, program, arguments from a""")
 def command_lines(spark, folder):
     ins, outs = F.array(F.concat(F.lit("nation/"), "n_name")), F.array(F.concat(F.lit("region/"), "n_regionkey"))
-    rows = table(spark, folder, "nation").withColumn("line", commands.substitute(F.lit("cat $in1 >> $out1"), ins, outs))
+    template = F.when(F.col("n_nationkey") % 3 == 0, '"my cat" $in1 >> $out1').otherwise("cat $in1 >> $out1")
+    rows = table(spark, folder, "nation").withColumn("line", commands.substitute(commands.checked(template, F.size(ins), F.size(outs)), ins, outs))
     return rows.select("n_nationkey", "line", commands.program(F.col("line")).alias("program"), commands.arguments(F.col("line")).alias("arguments"))
 
 
@@ -262,11 +266,12 @@ BY_LANG = """
 """
 
 
-@query("""
-select lang, source, bool_and(actual is null) as absent, count(*) as n from elements group by lang, source""", True)
+@query(f"""{DELTA}
+select lang, source, bool_and(actual is null) as absent, count(*) as n, count(*) filter (where actual is not null or not any_actual) as process from d group by lang, source""", True)
 def delta_whole_vector_absent(spark, folder):
-    both = snapshot.expected(spark, folder).join(snapshot.item(spark, folder), INDEX, "full_outer")
-    return both.groupBy("lang", "source").agg(F.bool_and(F.col("actual").isNull()).alias("absent"), F.count("*").alias("n"))
+    """Of a vector of which nothing is there, all elements are processed, in the hope that they are stored."""
+    delta = vectors.source_delta(snapshot.expected(spark, folder), snapshot.item(spark, folder), INDEX, ["lang", "source"])
+    return delta.groupBy("lang", "source").agg(F.bool_and(F.col("actual").isNull()).alias("absent"), F.count("*").alias("n"), F.count_if(F.col("update_type") == "Process").alias("process"))
 
 
 @query(f"{BY_LANG} select lang, source, case when bool_or(update_type = 'Delete') then 'Delete' else 'Process' end as update_type from d group by lang, source", True)
@@ -354,9 +359,12 @@ def status_propagation(spark, folder):
     return staleness.propagate_status(own.select("method"), by_lang.union(to_all), own)
 
 
-@query("select lang, source, doc_id, actual as expected from item", True)
+@query("select i.lang, i.source, i.doc_id, actual as expected, e.expected is null as is_new, e.expected <> actual as changed from item i left join expected e on e.lang = i.lang and e.source = i.source and e.doc_id = i.doc_id", True)
 def record_expectation(spark, folder):
-    return staleness.record_expectations(snapshot.expected(spark, folder), snapshot.item(spark, folder), INDEX)
+    old = snapshot.expected(spark, folder)
+    new = staleness.record_expectations(old, snapshot.item(spark, folder), INDEX)
+    both = new.join(old.withColumnRenamed("expected", "was"), INDEX, "left")
+    return both.select(*INDEX, "expected", F.col("was").isNull().alias("is_new"), (F.col("was") != F.col("expected")).alias("changed"))
 
 
 @query("""
@@ -371,9 +379,36 @@ def hash_cache_freshness(spark, folder):
     return staleness.fresh_hashes(data, cache, ["path"]).select("path", "state")
 
 
-@query("select event_type, user_id, max(ts) as mtime, count(*) as n from events group by 1, 2")
+@query("""
+with f as (select event_type || '/' || user_id || '/' as leaf, event_type || '/' as kind, ts from events)
+select leaf as relative, max(ts) as mtime, count(*) as n from f group by 1
+union all select kind, max(ts), count(*) from f group by 1
+union all select '', max(ts), count(*) from f""")
 def deep_mtime(spark, folder):
-    return table(spark, folder, "events").groupBy("event_type", "user_id").agg(F.max("ts").alias("mtime"), F.count("*").alias("n"))
+    """Events as files in folders by user in folders by type."""
+    relative = F.concat_ws("/", "event_type", F.col("user_id").cast("string"), F.col("event_id").cast("string"))
+    return patterns.deep_mtime(table(spark, folder, "events").select(relative.alias("relative"), F.lit(False).alias("directory"), F.col("ts").alias("mtime")))
+
+
+@query("""
+with data as (select user_id as path, max(ts) as mtime, md5(cast(sum(event_id) as varchar)) as computed from events where event_type <> 'signup' group by 1),
+cache as (select user_id as path, max(ts) as cache_mtime, md5(cast(count(*) as varchar)) as cached from events where event_type = 'signup' group by 1)
+select d.path, case when cache_mtime > mtime then cached else computed end as version from data d left join cache c on d.path = c.path""")
+def cached_versions(spark, folder):
+    """What the cache says of files that haven't changed since, computed versions of the others; nothing of absent ones."""
+    events = table(spark, folder, "events").withColumnRenamed("user_id", "path")
+    data = events.filter("event_type <> 'signup'").groupBy("path").agg(F.max("ts").alias("mtime"), F.md5(F.sum("event_id").cast("string").cast("binary")).alias("computed"))
+    cache = events.filter("event_type = 'signup'").groupBy("path").agg(F.max("ts").alias("cache_mtime"), F.md5(F.count("*").cast("string").cast("binary")).alias("cached"))
+    states = staleness.fresh_hashes(data, cache, ["path"])
+    return states.filter("state <> 'orphan'").select("path", F.when(F.col("state") == "hit", F.col("cached")).otherwise(F.col("computed")).alias("version"))
+
+
+@query("select lang, source, doc_id, case status when 'Local' then 'Up to date' when 'Remote' then 'Up to date (in storage)' else 'Need recomputation' end as text from status", True)
+def status_texts(spark, folder):
+    rows = _elements(spark, folder)
+    status = staleness.link_status(rows)
+    state = F.when(status.isin(staleness.LOCAL, staleness.REMOTE), staleness.UP_TO_DATE).otherwise(staleness.INPUTS)
+    return rows.select(*INDEX, staleness.status_text(state, status).alias("text"))
 
 
 @query("select o_orderkey, o_orderstatus in ('O', 'F') as ok from orders")
@@ -390,9 +425,10 @@ def storage_presence(spark, folder):
     return staleness.presence(versions, snapshot.stored(spark, folder), "version")
 
 
-@query("select version, count(*) as n_stores, max(storage_name) as storage_name from stored where version in (select expected from expected) group by 1", True)
+@query("select version, count(*) as n_stores, string_agg(storage_name, ',' order by storage_name desc) as stores, max(storage_name) as storage_name from stored where version in (select expected from expected) group by 1", True)
 def restore_choice(spark, folder):
-    return store.store_choice(snapshot.expected(spark, folder).select(F.col("expected").alias("version")), snapshot.stored(spark, folder))
+    chosen = store.store_choice(snapshot.expected(spark, folder).select(F.col("expected").alias("version")), snapshot.stored(spark, folder))
+    return chosen.withColumn("stores", F.array_join("stores", ","))
 
 
 @query("""
@@ -401,7 +437,21 @@ select lang || '/' || source || '/' || doc_id as path, expected as version from
 def paths_to_restore(spark, folder):
     both = snapshot.expected(spark, folder).join(snapshot.item(spark, folder), INDEX, "full_outer").withColumn("free", F.col("lang") == "en")
     rows = staleness.restorable(both, ["lang", "source"])
-    return rows.select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"), F.col("expected").alias("version"))
+    return rows.select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"), F.col("wanted").alias("version"))
+
+
+@query("""
+, p as (select lang, source, doc_id, case when doc_id % 2 = 0 then expected end as expected, actual, case when doc_id % 3 > 0 then expected end as produced from elements),
+s as (select *, bool_or(actual is not null) over (partition by lang, source) as siblings from p)
+select lang || '/' || source || '/' || doc_id as path, coalesce(expected, produced) as version from s
+where actual is null and case when expected is not null then not (lang = 'en' and siblings) else produced is not null end""", True)
+def paths_never_seen(spark, folder):
+    """Odd documents were never seen by the method: they take the version that their producer expects, if it has one."""
+    both = snapshot.expected(spark, folder).join(snapshot.item(spark, folder), INDEX, "full_outer")
+    some = lambda c: F.when(c, F.col("expected"))
+    rows = both.select(*INDEX, some(F.col("doc_id") % 2 == 0).alias("expected"), "actual", some(F.col("doc_id") % 3 > 0).alias("produced"), (F.col("lang") == "en").alias("free"), F.lit(False).alias("from_source"))
+    found = staleness.restorable(rows, ["lang", "source"])
+    return found.select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"), F.col("wanted").alias("version"))
 
 
 @query("select actual as version, min(lang || '/' || source || '/' || doc_id) as path from item where actual not in (select version from stored where storage_name = 'local') group by 1", True)
@@ -422,6 +472,38 @@ def ignore_list_merge(spark, folder):
     return store.merged_entries(old, new)
 
 
+@query("""
+with l as (
+  select lang, source, min(doc_id) % 3 as kind from documents group by 1, 2),
+old as (
+  select lang as file, 'head ' || lang as line, 0.0 as part from l group by lang
+  union all select lang, source, 1.0 from l where kind = 0 union all select lang, 'tail', 2.0 from l group by lang),
+new as (select lang as file, source as line, 1.0 as part from l where kind < 2),
+every as (
+  select * from old union select * from new
+  union select lang, '# --- managed entries: start ---', 0.5 from l union select lang, '# --- managed entries: end ---', 1.5 from l)
+select file, cast(row_number() over (partition by file order by part, line) as integer) as pos, line from every""")
+def ignore_list_section(spark, folder):
+    """A list for each language: some sources are in its section, some are added."""
+    rows = table(spark, folder, "documents").groupBy("lang", "source").agg((F.min("doc_id") % 3).alias("kind"))
+    lines = lambda text, part, where="true": rows.filter(where).select(F.col("lang").alias("file"), text.alias("line"), F.lit(part).alias("part"))
+    old = lines(F.concat(F.lit("head "), "lang"), 0).union(lines(F.lit("tail"), 4))
+    old = old.union(lines(F.lit(store.SECTION_START), 1)).union(lines(F.lit(store.SECTION_END), 3)).union(lines(F.col("source"), 2, "kind = 0")).distinct()
+    old = old.select("file", F.concat("part", F.lit(" "), "line").alias("pos"), "line")
+    added = rows.filter("kind < 2").select(F.col("lang").alias("file"), F.col("source").alias("entry"))
+    numbered = old.select("file", F.row_number().over(Window.partitionBy("file").orderBy("pos")).cast("long").alias("pos"), "line")
+    return store.with_entries(numbered, added)
+
+
+@query("select lang, source, cast(doc_id as varchar) as name, upper(sha256(text)) as version from documents")
+def archive_round_trip(spark, folder):
+    """Documents zipped by language and source, in parts, and taken out again."""
+    rows = table(spark, folder, "documents").select("lang", "source", F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    parts = store.archive_parts(rows, ["lang", "source"], "name")
+    back = store.extract(store.archive(parts, ["lang", "source", "part"], "name"), ["lang", "source", "part"], "name")
+    return back.select("lang", "source", "name", fingerprints.version(F.col("content"), 256).alias("version"))
+
+
 # ---- lineage
 
 
@@ -532,8 +614,29 @@ def tracked_closure(spark, folder):
     return found.filter("node like 'customer/%' or node like 'nation/%'").select("node")
 
 
-@query("select src as artefact from (select distinct 'part/' || l_partkey as src from lineitem) where false union all select 'part/' || p_partkey from part where p_partkey not in (select l_partkey from lineitem)")
+@query("select 'part/' || (p_partkey + 1000000000) as artefact from part where p_size <= 10 union all select 'part/' || p_partkey from part where p_partkey not in (select l_partkey from lineitem)")
 def unproduced(spark, folder):
-    """Parts that no order has, as source artefacts."""
-    stock = table(spark, folder, "part").select(F.lit("stock").alias("method"), F.lit("in").alias("role"), F.lit(1).alias("port"), F.concat(F.lit("part/"), "p_partkey").alias("artefact"))
+    """Parts that no order has, as source artefacts: new ones among them."""
+    part = table(spark, folder, "part")
+    keys = part.select("p_partkey").union(part.filter("p_size <= 10").select(F.col("p_partkey") + 1000000000))
+    stock = keys.select(F.lit("stock").alias("method"), F.lit("in").alias("role"), F.lit(1).alias("port"), F.concat(F.lit("part/"), "p_partkey").alias("artefact"))
     return lineage.sources(_links(spark, folder).union(stock)).filter("artefact like 'part/%'")
+
+
+@query("""
+with a as (select 'part/' || l_partkey as artefact from lineitem), m as (select 'order/' || l_orderkey from lineitem)
+select count(distinct artefact) as artefacts, (select count(distinct m) from m m(m)) as methods from a""")
+def graph_counts(spark, folder):
+    return lineage.counts(_links(spark, folder))
+
+
+@query("""
+with l as (select distinct 'order/' || l_orderkey as method, 'out' as role, l_linenumber as port, 'part/' || l_partkey as artefact from lineitem
+  union select distinct 'supplier/' || l_suppkey, 'in', l_linenumber, 'part/' || l_partkey from lineitem)
+select * from l where method not in (select 'order/' || o_orderkey from orders where o_orderstatus = 'P')
+union all select 'order/' || o_orderkey, 'out', 1, 'again/' || o_orderkey from orders where o_orderstatus = 'P'""")
+def methods_replaced(spark, folder):
+    """Orders in process are registered anew, with one output."""
+    orders = table(spark, folder, "orders").filter("o_orderstatus = 'P'")
+    new = orders.select(F.concat(F.lit("order/"), "o_orderkey").alias("method"), F.lit("out").alias("role"), F.lit(1).alias("port"), F.concat(F.lit("again/"), "o_orderkey").alias("artefact"))
+    return lineage.add_methods(_links(spark, folder).distinct(), new)

@@ -9,6 +9,9 @@ the driver (one entry a method); elements stay in DataFrames.
 
 from __future__ import annotations
 
+import json
+import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprints import version
 from ..operators.staleness import ALL_EXIST, INPUTS, OUTPUTS, UP_TO_DATE, group_decision, presence
+from ..sources import metadata
+from ..sources.roots import Config, filesystem
 from ..sources.tables import settle
 
 #: (instance array<string>, and of each input the columns index_k, content_k) -> (index array<string>, content)
@@ -31,7 +36,8 @@ class Method:
     inputs: tuple[str, ...]
     outputs: tuple[str, ...]
     function: Function
-    text: str = ""
+    #: what the function does; changes with it, as functions can't be compared
+    text: str
 
     @property
     def name(self) -> str:
@@ -52,7 +58,9 @@ class Flow:
     spark: SparkSession
     artefacts: dict[str, DataFrame] = field(default_factory=dict)
     methods: dict[str, Method] = field(default_factory=dict)
-    stored: DataFrame | None = None  # version, content
+    stored: DataFrame | None = None  # version, content, storage_name
+    config: Config = field(default_factory=Config)
+    tracked: set[str] = field(default_factory=set)  # artefacts that have ever been saved
     seen: dict[str, DataFrame] = field(default_factory=dict)  # EXPECTED by method
     signed: dict[str, str] = field(default_factory=dict)
     sources: dict[str, DataFrame] = field(default_factory=dict)  # recorded versions of sources: index, expected
@@ -63,7 +71,7 @@ class Flow:
         """Puts a source's present elements in place."""
         self.artefacts[artefact] = settle(rows.select("index", "content"))
 
-    def build(self, inputs: list[str], outputs: list[str], function: Function, text: str = "") -> Method:
+    def build(self, inputs: list[str], outputs: list[str], function: Function, text: str) -> Method:
         """Registers a method, in the place of an older one with the same outputs."""
         if clash := {o for o in outputs for m in self.methods.values() if o in m.outputs and m.name != min(outputs)}:
             raise ValueError(f"another method makes {', '.join(sorted(clash))}")
@@ -182,7 +190,9 @@ class Flow:
         missing = wanted.filter("expected is not null").select("index", "expected").distinct()
         if have is not None:
             missing = missing.join(have.select("index"), "index", "left_anti")
-        found = missing.join(self.stored.withColumnRenamed("version", "expected"), "expected").select("index", "content")
+        chosen = self.stored.groupBy("version").agg(F.max("storage_name").alias("storage_name"))
+        held = self.stored.join(chosen, ["version", "storage_name"]).withColumnRenamed("version", "expected")
+        found = missing.join(held, "expected").select("index", "content")
         self.artefacts[artefact] = settle(found if have is None else have.union(found))
 
     def compute(self, target: str) -> dict[str, int]:
@@ -201,6 +211,7 @@ class Flow:
                     if not whole:  # of a vector to be reduced, what went is not fetched again
                         seen = self._expected(m).filter((F.col("role") == "in") & (F.col("port") == port)).join(stale, "instance", "left_semi")
                         self._fetch(a, seen)
+                        self._fetch(a, self._recorded(a).join(seen.select("index"), "index", "left_anti"))  # never seen by this method
             self._run(m, stale if ran[m.name] else None)
         last = self.producer(target)
         if last is not None:
@@ -244,19 +255,128 @@ class Flow:
         self.seen[m.name] = settle(keep)
         self.signed[m.name] = m.signature
 
-    def save(self, *artefacts: str) -> int:
-        """Puts contents of the artefacts into the store, each once; returns how many were new."""
+    def _recorded(self, artefact: str) -> DataFrame:
+        """index, expected: the versions that the artefact's producer last made, or a source was last seen with."""
+        m = self.producer(artefact)
+        if m is None:
+            return self.sources.get(artefact, self.spark.createDataFrame([], "index array<string>, expected string"))
+        mine = (F.col("role") == "out") & (F.col("port") == m.outputs.index(artefact) + 1)
+        return self._expected(m).filter(mine & F.col("expected").isNotNull()).select("index", "expected")
+
+    def save(self, *artefacts: str, store: str | None = None, all_tracked: bool = False) -> int:
+        """Puts contents of the artefacts (or of all in their provenance that were ever saved) into a store (or the default one), each
+        once; returns how many were new there. Artefacts that aren't in place are passed over with a warning."""
+        name = self.config.default if store is None else store
+        self.config.folder("", name)  # an unknown store is an error
+        known = {a for m in self.methods.values() for a in (*m.inputs, *m.outputs)} | set(self.artefacts)
+        if unknown := [a for a in artefacts if a not in known]:
+            raise KeyError(f"no artefact is called {unknown[0]}")
+        self.tracked |= set(artefacts)
+        if all_tracked:
+            above = {a for m in self.ordered([*artefacts]) for a in (*m.inputs, *m.outputs)} | set(artefacts)
+            artefacts = tuple(sorted(above & self.tracked))
         rows = None
         for a in artefacts:
+            if a not in self.artefacts:
+                warnings.warn(f"{a} is not in place and isn't saved", stacklevel=2)
+                continue
+            if self.producer(a) is None:
+                self.sources[a] = settle(self.items(a).select("index", F.col("actual").alias("expected")))
             part = self.artefacts[a].select(version(F.encode("content", "UTF-8")).alias("version"), "content")
             rows = part if rows is None else rows.union(part)
+        if rows is None:
+            return 0
         new = rows.dropDuplicates(["version"])
         if self.stored is not None:
-            new = new.join(self.stored.select("version"), "version", "left_anti")
-        new = settle(new)
+            new = new.join(self.stored.filter(F.col("storage_name") == name).select("version"), "version", "left_anti")
+        new = settle(new.withColumn("storage_name", F.lit(name)))
         self.stored = new if self.stored is None else settle(self.stored.union(new))
         return new.count()
 
+    def restore(self, artefact: str) -> int:
+        """Puts the recorded version of an artefact in place from the stores; returns its number of elements. Nothing recorded, or
+        a version that no store holds, is an error."""
+        wanted = settle(self._recorded(artefact).distinct())
+        if wanted.isEmpty():
+            raise ValueError(f"nothing is recorded of {artefact}")
+        here = self.items(artefact).withColumnRenamed("actual", "expected")
+        lost = wanted.join(here, ["index", "expected"], "left_anti").join(self._held(), "expected", "left_anti").first()
+        if lost is not None:
+            raise LookupError(f"no store holds {lost['expected'][:8].lower()} of {artefact}")
+        if artefact in self.artefacts:  # elements with another version give way
+            same = self.items(artefact).join(wanted, "index").filter("actual = expected").select("index")
+            self.artefacts[artefact] = settle(self.artefacts[artefact].join(same, "index", "left_semi"))
+        self._fetch(artefact, wanted)
+        return wanted.count()
+
+    def sign(self, name: str) -> bool:
+        """Accepts a method's present definition for what was recorded; returns whether that changed anything."""
+        if name not in self.methods:
+            raise KeyError(f"no method is called {name}")
+        changed = name in self.seen and self.signed.get(name) != self.methods[name].signature
+        if changed:
+            self.signed[name] = self.methods[name].signature
+        return changed
+
+    # -- state on disk
+
+    def write_state(self, folder: str) -> None:
+        """Writes definitions (metadata documents), recorded versions, elements in place and stored contents. The new state counts
+        when its last part, the name of its folder, is written."""
+        state = f"state-{uuid.uuid4().hex}"
+        at, link = f"{folder}/{state}", lambda a: {"path": a, "version": None}
+        documents = [
+            {"tracked": bool(self.tracked & set(m.outputs)), "kind": "command", "command": m.text, "working_dir": "./", "output_index": 0, "signature": self.signed.get(m.name), "clean_outputs": True, "resource_groups": [], "success_codes": [0], "inputs": [link(a) for a in m.inputs], "outputs": [link(a) for a in m.outputs]}
+            for m in self.methods.values()
+        ] + [{"tracked": a in self.tracked, "kind": "source", "outputs": [link(a)], "inputs": []} for a in sorted({*self.sources, *self.artefacts}) if self.producer(a) is None]
+        metadata.write(self.spark.createDataFrame(documents, metadata.SCHEMA.replace("format int, ", "")), f"{at}/methods")
+        expected = self.spark.createDataFrame([], EXPECTED)
+        for rows in self.seen.values():
+            expected = expected.union(rows.select(expected.columns))
+        none = F.array().cast("array<string>")
+        for a, rows in self.sources.items():
+            expected = expected.union(rows.select(F.lit(a), F.lit("source"), F.lit(1), none, "index", "expected"))
+        expected.write.parquet(f"{at}/expected")
+        items = self.spark.createDataFrame([], "artefact string, index array<string>, content string")
+        for a, rows in self.artefacts.items():
+            items = items.union(rows.select(F.lit(a), "index", "content"))
+        items.write.parquet(f"{at}/items")
+        stored = self.stored if self.stored is not None else self.spark.createDataFrame([], "version string, content string, storage_name string")
+        stored.write.parquet(f"{at}/stored")
+        system, path = filesystem(folder)
+        with system.open_output_stream(f"{path}/state.json") as out:
+            out.write(json.dumps({"state": state, "default": self.config.default, "stores": self.config.stores, "tracked": sorted(self.tracked)}).encode())
+
+    @classmethod
+    def read_state(cls, spark: SparkSession, folder: str, functions: dict[str, Function]) -> Flow:
+        """The flow that was written, in a session of its own. functions: those of the methods, by name; a method without one stays
+        known, and running it is an error."""
+        system, path = filesystem(folder)
+        with system.open_input_stream(f"{path}/state.json") as source:
+            head = json.loads(source.read())
+        at, flow = f"{folder}/{head['state']}", cls(spark)
+        flow.config, flow.tracked = Config(dict(head["stores"]), head["default"]), set(head["tracked"])
+
+        def missing(*_frames: DataFrame) -> DataFrame:
+            raise LookupError("this method's function was not given")
+
+        expected, items, stored = (spark.read.parquet(f"{at}/{part}") for part in ("expected", "items", "stored"))
+        for row in metadata.read(spark, f"{at}/methods").collect():  # one row a method
+            outputs = tuple(o["path"] for o in row["outputs"])
+            name = min(outputs)
+            if row["kind"] == "source":
+                recorded = expected.filter((F.col("role") == "source") & (F.col("method") == name)).select("index", "expected")
+                if not recorded.isEmpty():
+                    flow.sources[name] = recorded
+            else:
+                flow.methods[name] = Method(tuple(i["path"] for i in row["inputs"]), outputs, functions.get(name, missing), row["command"])
+                if row["signature"] is not None:
+                    flow.signed[name], flow.seen[name] = row["signature"], expected.filter((F.col("role") != "source") & (F.col("method") == name))
+        for (artefact,) in items.select("artefact").distinct().collect():
+            flow.artefacts[artefact] = items.filter(F.col("artefact") == artefact).select("index", "content")
+        flow.stored = None if stored.isEmpty() else stored
+        return flow
+
     def remove(self, artefact: str) -> None:
         """Forgets an artefact's elements in place (its recorded and stored versions stay)."""
         self.artefacts.pop(artefact, None)

@@ -2,18 +2,22 @@
 
 Directory parts are literal or ``*``; the file part is literal or ``*.suffix``, whose index part is the name up to its
 first dot. A final ``/`` asks for directories. Names that begin with a dot or end with ``.hash`` are skipped.
-Listing runs in Spark's binary file source, from which only paths, times and sizes are read; that source passes over
-files of length zero, so they are not listed.
+Folders are listed in tasks, a level of the tree in each round; empty files and empty directories are listed too.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import HASH_SUFFIX, META_SUFFIX
+from .tables import settle
+
+ENTRY = "relative string, directory boolean, mtime timestamp, length long"
 
 
 def compiled(pattern: str) -> tuple[str, int]:
@@ -31,17 +35,42 @@ def compiled(pattern: str) -> tuple[str, int]:
             out.append(r"([^/.]+)(?:\.[^/]*)?" + re.escape(part[1:]))
         else:
             raise ValueError(f"a wildcard is * for a directory and *.suffix for files, not {part}")
-    return "^" + "/".join(out) + ("/" if directory else "$"), pattern.count("*")
-
-
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """relative, path, mtime, length of all files under a root, but for hidden and side files."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    relative = F.substring_index("path", base + "/", -1)
-    name = F.substring_index("path", "/", -1)
-    listed = rows.select("path", F.col("modificationTime").alias("mtime"), "length", relative.alias("relative"))
-    return listed.filter(~(name.startswith(".") | F.lower("path").endswith(HASH_SUFFIX) | F.lower("path").endswith(META_SUFFIX)))
+    return "^" + "/".join(out) + ("/$" if directory else "$"), pattern.count("*")
+
+
+def entries(spark: SparkSession, root: str) -> DataFrame:
+    """relative, directory, mtime, length of all that lies under a root, but for hidden and side files. A directory's
+    relative path ends with ``/`` and its length is 0. The root itself is the directory with an empty path."""
+    from .roots import filesystem
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSelector, FileType
+
+        system, base = filesystem(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = system.get_file_info(FileSelector(f"{base}/{folder}".rstrip("/")))
+                directory = [x.type == FileType.Directory for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([folder + x.base_name + ("/" if d else "") for x, d in zip(found, directory, strict=True)], pa.string()),
+                        pa.array(directory, pa.bool_()),
+                        pa.array([(x.mtime_ns or 0) // 1000 for x in found], pa.timestamp("us", tz="UTC")),
+                        pa.array([x.size or 0 for x in found], pa.int64()),
+                    ],
+                    ["relative", "directory", "mtime", "length"],
+                )
+
+    system, base = filesystem(root)
+    top = system.get_file_info(base)
+    listed = spark.createDataFrame([("", True, top.mtime, 0)], ENTRY)
+    frontier = listed
+    name = F.element_at(F.split(F.rtrim(F.col("relative"), F.lit("/")), "/"), -1)
+    ours = ~(name.startswith(".") | F.lower("relative").endswith(HASH_SUFFIX) | F.lower("relative").endswith(META_SUFFIX))
+    while not frontier.isEmpty():
+        found = settle(frontier.select("relative").mapInArrow(look, ENTRY).filter(ours))
+        listed, frontier = listed.union(found), found.filter("directory").repartition("relative")
+    return listed
 
 
 def index_of(pattern: str, relative: Column) -> Column:
@@ -52,32 +81,58 @@ def index_of(pattern: str, relative: Column) -> Column:
 
 
 def scan(listed: DataFrame, pattern: str) -> DataFrame:
-    """index, path, mtime, length of what matches, from files(): a directory has the latest time and the sum of sizes of its files.
+    """index, relative, mtime, length of what matches, from entries().
 
     A literal part behind a wildcard must be there in every directory that the wildcard matched, and two files must not
     have the same index: both are errors.
     """
-    regex, n = compiled(pattern)
     found = listed.withColumn("index", index_of(pattern, F.col("relative"))).filter("index is not null")
-    if pattern.endswith("/"):
-        matched = F.regexp_extract("relative", regex, 0)
-        found = found.withColumn("path", F.concat(F.left("path", F.char_length("path") - F.char_length("relative")), matched)).groupBy("index", "path").agg(F.max("mtime").alias("mtime"), F.sum("length").alias("length"))
     parts = pattern.rstrip("/").split("/")
     first = next((i for i, p in enumerate(parts) if "*" in p), len(parts))
     for i in range(first + 1, len(parts)):
         if "*" not in parts[i]:
             above = "/".join(parts[:i]) + "/"
-            need = listed.select(index_of(above, F.col("relative")).alias("above")).filter("above is not null").distinct()
-            have = found.select(F.slice("index", 1, above.count("*")).alias("above")).distinct()
-            if (lost := need.join(have, "above", "left_anti").first()) is not None:
+            here = "/".join(parts[: i + 1]) + ("/" if i < len(parts) - 1 or pattern.endswith("/") else "")
+            indices = lambda p: listed.select(index_of(p, F.col("relative")).alias("above")).filter("above is not null").distinct()
+            if (lost := indices(above).join(indices(here), "above", "left_anti").first()) is not None:
                 raise FileNotFoundError(f"{parts[i]} of {pattern} is missing under {'/'.join(lost['above'])}")
     twice = found.groupBy("index").count().filter("count > 1").first()
     if twice is not None:
         raise ValueError(f"several files of {pattern} have the index {'/'.join(twice['index'])}")
-    return found.select("index", "path", "mtime", "length")
+    return found.select("index", "relative", "mtime", "length")
+
+
+def deep_mtime(listed: DataFrame) -> DataFrame:
+    """relative, mtime, n of every directory: the latest time of it and of all below it, at any depth, and the number of files
+    there. Each entry goes to its ancestors, and the latest time is summed up before it is shuffled."""
+    parts = F.split(F.rtrim(F.col("relative"), F.lit("/")), "/")
+    own = F.when(F.col("directory") & (F.col("relative") != ""), F.size(parts)).otherwise(F.when(F.col("relative") == "", 0).otherwise(F.size(parts) - 1))
+    above = F.transform(F.sequence(F.lit(0), own), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
+    spread = listed.select(F.explode(above).alias("folder"), "mtime", (~F.col("directory")).cast("long").alias("file"))
+    return spread.groupBy(F.col("folder").alias("relative")).agg(F.max("mtime").alias("mtime"), F.sum("file").alias("n"))
 
 
 def with_content(spark: SparkSession, root: str, items: DataFrame) -> DataFrame:
-    """The items (path) with their files' contents."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    return items.join(rows, "path")
+    """The items (relative, length) with their files' contents; files of length 0, which Spark's source passes over, are empty."""
+    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = rows.select(F.substring_index("path", base + "/", -1).alias("relative"), "content")
+    read = items.filter("length > 0").join(rows, "relative")
+    return read.union(items.filter("length = 0").select(*items.columns, F.lit(b"").alias("content")).select(*read.columns))
+
+
+def hashed(spark: SparkSession, root: str, items: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relative, version of the items; the new cache: relative, cached, cache_mtime).
+
+    A cached version counts if its time is strictly later than the file's; other files are read and hashed, and what the cache holds
+    of absent files goes.
+    """
+    from ..functions.fingerprints import version
+    from ..operators.staleness import fresh_hashes
+
+    states = settle(fresh_hashes(items.select("relative", "mtime", "length"), cache, ["relative"]))
+    again = with_content(spark, root, states.filter("state in ('miss', 'stale')").select("relative", "length"))
+    computed = settle(again.select("relative", version(F.col("content")).alias("computed")))
+    versions = states.filter("state <> 'orphan'").join(computed, "relative", "left")
+    versions = settle(versions.select("relative", F.when(F.col("state") == "hit", F.col("cached")).otherwise(F.col("computed")).alias("version"), F.when(F.col("state") == "hit", F.col("cache_mtime")).otherwise(F.current_timestamp()).alias("cache_mtime")))
+    return versions.select("relative", "version"), versions.select("relative", F.col("version").alias("cached"), "cache_mtime")

@@ -15,5 +15,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a small iterative table through a reliable checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="driftloom-"))
     return df.checkpoint()

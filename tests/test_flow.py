@@ -78,7 +78,7 @@ def vector(spark):
     flow = Flow(spark)
     flow.source("base.txt", rows(spark, {(): "Base"}))
     flow.source("data/*.txt", rows(spark, {("1",): "1", ("2",): "2", ("3",): "3"}))
-    flow.build(["data/*.txt", "base.txt"], ["out/*.txt"], lambda d, b: concat(d, b))
+    flow.build(["data/*.txt", "base.txt"], ["out/*.txt"], lambda d, b: concat(d, b), "concat")
     return flow
 
 
@@ -100,9 +100,9 @@ def test_vector_gone_but_stored(spark, vector):
 
 
 def test_scatter_map_zip_reduce(spark, vector):
-    vector.build([], ["samples/*.txt"], lambda s: rows(s, {(str(i),): f"s{i}" for i in (1, 2, 3)}))
-    vector.build(["samples/*.txt", "out/*.txt"], ["both/*.txt"], lambda a, b: a.join(b.withColumnRenamed("content", "c"), "index").select("index", F.concat("content", "c").alias("content")))
-    vector.build(["both/*.txt"], ["summary.txt"], reduce_all)
+    vector.build([], ["samples/*.txt"], lambda s: rows(s, {(str(i),): f"s{i}" for i in (1, 2, 3)}), "three")
+    vector.build(["samples/*.txt", "out/*.txt"], ["both/*.txt"], lambda a, b: a.join(b.withColumnRenamed("content", "c"), "index").select("index", F.concat("content", "c").alias("content")), "append")
+    vector.build(["both/*.txt"], ["summary.txt"], reduce_all, "join")
     assert vector.compute("summary.txt") == {"samples/*.txt": 1, "out/*.txt": 3, "both/*.txt": 3, "summary.txt": 1}
     assert text(vector, "summary.txt") == {(): "s11Bases22Bases33Base"}
     vector.source("data/*.txt", rows(spark, {("1",): "1", ("3",): "3"}))
@@ -112,6 +112,62 @@ def test_scatter_map_zip_reduce(spark, vector):
 
 def test_errors(spark, chain):
     with pytest.raises(ValueError, match="itself"):
-        chain.build(["1_2_3.txt"], ["1.txt"], concat)
+        chain.build(["1_2_3.txt"], ["1.txt"], concat, "concat")
     with pytest.raises(ValueError, match="another method"):
-        chain.build(["1.txt"], ["0.txt", "1_2.txt"], concat)
+        chain.build(["1.txt"], ["0.txt", "1_2.txt"], concat, "concat")
+
+
+def test_another_function_voids_what_was_recorded(spark, chain):
+    chain.compute("1_2_3.txt")
+    chain.build(["1_2.txt", "3.txt"], ["1_2_3.txt"], lambda a, b: concat(b, a), "concat the other way round")
+    assert states(chain) == (L, O) and chain.sign("1_2_3.txt") and states(chain) == (L, L) and not chain.sign("1_2_3.txt")
+    with pytest.raises(KeyError):
+        chain.sign("3.txt")
+
+
+def test_an_input_that_a_method_never_saw_is_restored(spark, chain):
+    chain.compute("1_2.txt")
+    chain.save("1_2.txt")
+    chain.remove("1_2.txt")
+    assert chain.compute("1_2_3.txt") == {"1_2.txt": 0, "1_2_3.txt": 1}
+    assert text(chain, "1_2_3.txt") == {(): "File 1File 2File 3"}
+
+
+def test_saving_and_restoring(spark, chain):
+    with pytest.raises(KeyError, match="no store"):
+        chain.save("1.txt", store="far")
+    with pytest.raises(KeyError, match="no artefact"):
+        chain.save("7.txt")
+    with pytest.warns(UserWarning, match="1_2.txt is not in place"):
+        assert chain.save("1_2.txt") == 0
+    chain.config.put("far", "/far")
+    chain.compute("1_2_3.txt")
+    assert chain.save("1_2.txt", store="far") == 1 and chain.save("1.txt") == 1 and chain.tracked == {"1.txt", "1_2.txt"}
+    assert chain.save("1_2_3.txt", all_tracked=True) == 2  # with 1_2.txt, which the default store lacks
+    chain.artefacts["1_2.txt"] = rows(spark, {(): "by hand"})
+    assert chain.restore("1_2.txt") == 1 and text(chain, "1_2.txt") == {(): "File 1File 2"}
+    chain.remove("1.txt")
+    assert chain.restore("1.txt") == 1 and text(chain, "1.txt") == {(): "File 1"}
+    chain.remove("2.txt")
+    with pytest.raises(LookupError, match="no store holds"):
+        chain.restore("2.txt")
+    with pytest.raises(ValueError, match="nothing is recorded"):
+        chain.restore("unknown.txt")
+
+
+def test_state_survives_the_session(spark, vector, tmp_path):
+    vector.build(["out/*.txt"], ["summary.txt"], reduce_all, "join")
+    vector.compute("summary.txt")
+    vector.save("data/*.txt")
+    vector.write_state(str(tmp_path))
+    made = {"out/*.txt": lambda d, b: concat(d, b), "summary.txt": reduce_all}
+    again = Flow.read_state(spark, str(tmp_path), made)
+    assert {r["state"] for df in again.status("summary.txt").values() for r in df.collect()} == {"UpToDate"} and again.tracked == {"data/*.txt"}
+    again.source("data/*.txt", rows(spark, {("1",): "1", ("3",): "new"}))
+    assert again.compute("summary.txt") == {"out/*.txt": 1, "summary.txt": 1} and text(again, "summary.txt") == {(): "1BasenewBase"}
+    again.write_state(str(tmp_path))
+    last = Flow.read_state(spark, str(tmp_path), {})
+    assert last.compute("summary.txt") == {"out/*.txt": 0, "summary.txt": 0}
+    last.source("base.txt", rows(spark, {(): "other"}))
+    with pytest.raises(LookupError, match="function was not given"):
+        last.compute("summary.txt")

@@ -2,20 +2,20 @@
 
 Features are hashed words and beginnings of words, present or not; follow-the-regularised-leader with
 elastic-net penalties fits a logistic regression on a bounded sample (``SAMPLE``) of the labelled rows.
-Sentences of the sample that name a group are copied with the group swapped for another, and the square
-of the score's change is penalised, so that a mention alone moves no score. Whole texts are scored in the
+Texts of the sample that name a group are copied with the group swapped for another in all their sentences, and the
+square of the score's change is penalised, so that a mention alone moves no score. The groups' terms are a parameter. Whole texts are scored in the
 tasks that read them, without a shuffle.
 
 Defined cases: an empty or null text gets the score of no evidence, and so does a text without letters; rows
 without a label, with a null text or a null doc_id teach nothing; of several labels for a doc_id the highest counts;
-if nothing or one class only can be learnt, all scores are the share of label 1 (0 without labels); rows
+of the rows that repeat a doc_id one teaches (that with the smallest features); if nothing or one class only can be learnt, all scores are the share of label 1 (0 without labels); rows
 that repeat a doc_id are each scored; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,21 +32,31 @@ PREFIXES, BITS = (4, 5, 6), 18
 #: text that a worker looks at together
 SLICE_BYTES = 256 << 10
 THRESHOLD, SWAP_PENALTY = 0.7, 1.0
-#: groups of terms that may stand for one another
+#: groups of terms that may stand for one another, in English, German, French and Spanish
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("she", "he"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
     ("gay", "straight", "lesbian", "bisexual", "transgender"), ("black", "white", "asian", "latino"),
     ("african", "european", "american", "mexican", "chinese", "indian"), ("immigrants", "natives", "refugees"), ("old", "young"), ("disabled", "deaf", "blind"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("christen", "muslime", "juden", "hindus", "buddhisten"), ("schwule", "lesben"), ("einwanderer", "flüchtlinge"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes"), ("immigrés", "réfugiés"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("chicas", "chicos"), ("cristianos", "musulmanes", "judíos", "hindúes", "budistas"), ("inmigrantes", "refugiados"),
 )
-_NEXT = {term: group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i, term in enumerate(group)}
-_TERM = re.compile(r"\b(" + "|".join(map(re.escape, _NEXT)) + r")\b", re.IGNORECASE)
 
 
-def swapped(text: str) -> str | None:
-    """The text with each identity term replaced by the next of its group; None if it has none."""
-    new, n = _TERM.subn(lambda m: _NEXT[m[0].lower()], text)
-    return new if n else None
+def swapper(terms: tuple[tuple[str, ...], ...]) -> Callable[[str], str | None]:
+    """text -> the text with each identity term replaced by the next of its (first) group; None if it has none."""
+    following: dict[str, str] = {}
+    for group in terms:
+        for i, term in enumerate(group):
+            following.setdefault(term, group[(i + 1) % len(group)])
+    pattern = re.compile(r"\b(" + "|".join(map(re.escape, following)) + r")\b", re.IGNORECASE)
+
+    def swapped(text: str) -> str | None:
+        new, n = pattern.subn(lambda m: following[m[0].lower()], text)
+        return new if n else None
+
+    return swapped if following else lambda text: None
 
 
 @dataclass
@@ -66,7 +76,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def examples(docs: DataFrame, labels: DataFrame, most: int) -> list[Example]:
+def examples(docs: DataFrame, labels: DataFrame, most: int, terms: tuple[tuple[str, ...], ...]) -> list[Example]:
     """A bounded sample of the labelled rows: features are made where the rows are."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.select(F.col("doc_id").alias("picked"), "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "picked").limit(most).drop("h")
@@ -78,6 +88,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int) -> list[Example]:
         return [np.unique(feature[a:b]).astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swapped = swapper(terms)
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 texts = batch.column("text").to_pylist()
@@ -94,18 +105,20 @@ def examples(docs: DataFrame, labels: DataFrame, most: int) -> list[Example]:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(make, f"doc_id {kind}, toxic int, feature binary, other binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["feature"]))
+    made = rows.mapInArrow(make, f"doc_id {kind}, toxic int, feature binary, other binary")
+    one = made.groupBy("doc_id").agg(F.min(F.struct("feature", "other", "toxic")).alias("e"))  # as many rows as were picked, at most
+    got = one.select("doc_id", "e.toxic", "e.feature", "e.other").toArrow().to_pylist()
+    got.sort(key=lambda r: r["doc_id"])
     ids = lambda x: np.frombuffer(x, "<i4")
     ones = lambda x: np.ones(len(x) // 4)
     return [
         Example(r["toxic"], ids(r["feature"]), ones(r["feature"]), *((ids(r["other"]), ones(r["other"])) if r["other"] is not None else (None, None)))
-        for r in got[:most]
+        for r in got
     ]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_penalty: float = SWAP_PENALTY) -> Model:
-    made = examples(docs, labels, sample)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_penalty: float = SWAP_PENALTY, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
+    made = examples(docs, labels, sample, terms)
     ones = sum(e.label for e in made)
     if not 0 < ones < len(made):
         share = min(max(ones / max(1, len(made)), 0.0), 1.0)

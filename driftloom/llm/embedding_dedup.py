@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +67,17 @@ def described(vectors: DataFrame, lines: int, tables: int) -> DataFrame:
 
         mixer = np.random.Generator(np.random.PCG64(3)).integers(1, 2**62, lines * tables, dtype=np.int64) | 1
         for batch in batches:
-            ids, values = batch.column("vec_id"), batch.column("embedding").to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(values):
-                if v and all(x is not None and math.isfinite(x) for x in v) and any(v):
-                    by_size.setdefault(len(v), []).append(i)
-            for size, rows in by_size.items():
-                x = np.array([values[i] for i in rows], np.float64)
+            ids, values = batch.column("vec_id"), batch.column("embedding")
+            at = values.offsets.to_numpy()
+            flat = pc.fill_null(values.values, math.nan).to_numpy(zero_copy_only=False)
+            sizes = np.where(values.is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0)
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == size)
+                x = flat[at[:-1][rows][:, None] + np.arange(size)]
+                usable = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                rows, x = rows[usable], x[usable]
+                if not len(rows):
+                    continue
                 scaled = x / np.abs(x).max(axis=1, keepdims=True)
                 unit = scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
                 cell_lines, shifts, counted = lines_for(size, lines, tables)

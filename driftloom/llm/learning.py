@@ -1,4 +1,8 @@
-"""Follow-the-regularised-leader with elastic net for linear models on sparse features, and calibration."""
+"""Follow-the-regularised-leader with elastic net for linear models on sparse features, and calibration.
+
+Defined cases: an example without features moves the bias only; no examples leave all weights at zero; no rows to
+calibrate on give a temperature of 1. The order of examples is drawn from the seed, so that reruns agree.
+"""
 
 from __future__ import annotations
 

@@ -16,7 +16,8 @@ has shuffles of its own, whose hot keys adaptive execution splits. Hashes have 6
 of documents with shared minimisers.
 
 Defined cases: words are maximal runs of characters other than ``[\\x20\\x09-\\x0D]``, unchanged; null text has none, and a
-text of less than a window loses none; a null doc_id counts as larger than all others; rows that repeat a
+text of less than a window loses none; doc_ids are integers (others are an error), a null one counts as larger than all
+others, and so does 2 ** 63 - 1, which is reserved for it; rows that repeat a
 doc_id don't remove one another's words; an empty table gives no rows; other columns are neither
 read nor returned.
 """

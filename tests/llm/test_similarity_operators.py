@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from driftloom.llm import embedding_dedup, links, ngram_join, queries, substring_dedup
+from driftloom.llm import common, embedding_dedup, links, ngram_join, queries, substring_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -125,6 +125,48 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [2.0, 0.1]), (None, [0.0, 1.0]), (3, [0.0, -0.0]), (None, None), (4, [3.0, 0.0]), (5, [1.0, 0.0, 0.0])]
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<float>, kept int")).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == [
+        ("1", 3, "1", True), ("1", 3, "1", True), ("3", 0, "3", True), ("4", 3, "1", False), ("5", 0, "5", True), ("None", 0, "None", True), ("None", 0, "None", True), ("None", 3, "1", False),
+    ]
+
+
+@pytest.mark.parametrize("n", [5, 7])
+def test_embedding_recall_with_more_lines(spark, monkeypatch, n):
+    """The plans of larger tables, on a fixture: cells of several lines lose no more than they promise."""
+    sizes = iter(range(10**5, 10**9, 10**5))
+    large = next(k for k in sizes if embedding_dedup.plan(k)[0] >= n) if embedding_dedup.plan(10**5)[0] < n else next(k for k in range(400, 10**5, 400) if embedding_dedup.plan(k)[0] >= n)
+    lines, tables = embedding_dedup.plan(large)
+    monkeypatch.setattr(embedding_dedup, "plan", lambda *_: (lines, tables))
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((700, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.standard_normal((700, 48))
+    step -= (step * x).sum(axis=1, keepdims=True) * x
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    y = 0.9505 * x + math.sqrt(1 - 0.9505**2) * step  # each just above the threshold
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    found = sum(r["n_links"] for r in embedding_dedup.near_vectors(df).collect()) / 2
+    assert lines >= n and 0.99 * 700 <= found <= 700
+
+
+def test_ngram_join_beyond_its_broadcasts(documents, monkeypatch):
+    texts = near_copies(seed=4, n=30)
+    docs = documents([(i, t, "en", "s") for i, t in enumerate(texts)])
+    want = sorted(map(tuple, ngram_join.near_classes(docs).collect()))
+    monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 0)
+    assert sorted(map(tuple, ngram_join.near_classes(docs).collect())) == want
+    kept = sorted(map(str, ngram_join.keep_one_of_each_class(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    assert sorted(map(str, ngram_join.keep_one_of_each_class(docs).collect())) == kept and len(kept) == sum(r[3] for r in want)
+    some = documents([(1, "a", "en", "s"), (None, "b", "en", "s"), (2, "c", "en", "s")])
+    ids = some.filter("doc_id = 1 or doc_id is null").select("doc_id")
+    assert [r["text"] for r in common.with_ids(some, "doc_id", ids).collect()] == ["a"]
+    assert sorted(r["text"] for r in common.without_ids(some, "doc_id", ids).collect()) == ["b", "c"]
+
+
 def test_plan_keeps_its_promise():
     for n in (10, 10_000, 10_000_000):
         lines, tables = embedding_dedup.plan(n)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: digest length in bits; 512 for versions on disk, 256 where another engine is to agree
 VERSION_BITS = 512
 
@@ -18,19 +24,65 @@ def short_version(v: Column) -> Column:
     return F.lower(F.left(v, F.lit(8)))
 
 
-def listed(values: Column, order: Column) -> Column:
-    """Aggregate: strings joined without separators in the order of another column."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), values.alias("v")))), lambda x: x["v"]), "")
-
-
-def merkle(children: DataFrame, by: list[str], name: str, child_version: str, bits: int = VERSION_BITS) -> DataFrame:
-    """One level of a Merkle tree: for each parent the digest of its children's sorted names and then their raw digests.
+def merkle(children: DataFrame, by: list[str], name: str, child_version: str, bits: int = VERSION_BITS, order: list[str] | None = None) -> DataFrame:
+    """One level of a Merkle tree: by, n, version: for each parent the digest of its children's names and then their raw digests,
+    both in an order (by default that of names). Null names and digests add nothing.
 
-    Children of a parent meet in one task, as the digest is sequential; what meets is a name and a digest each.
+    A digest is sequential, so one task reads a parent's children. It reads them as a sorted stream and holds a batch and a
+    state of the hash, however many there are; Spark sorts on disk what memory can't hold.
     """
-    names = F.encode(listed(F.col(name), F.col(name)), "UTF-8")
-    digests = F.unhex(listed(F.col(child_version), F.col(name)))
-    return children.groupBy(*by).agg(F.count("*").alias("n"), version(F.concat(names, digests), bits).alias("version"))
+    order = order or [name]
+    keys, kinds = [F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], [children.schema[c].dataType.simpleString() for c in by]
+    pieces = F.array(*[F.struct(F.lit(part).alias("part"), piece.alias("piece")) for part, piece in enumerate((F.encode(name, "UTF-8"), F.unhex(child_version)))])
+    rows = children.select(*keys, *[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)], F.inline(pieces))
+    by_keys = [f"by_{i}" for i in range(len(by))]
+    ordered = rows.repartition(*by_keys).sortWithinPartitions(*by_keys, "part", *[f"order_{i}" for i in range(len(order))])
+    schema = ", ".join([*[f"{k} {kind}" for k, kind in zip(by_keys, kinds, strict=True)], "n long", "version string"])
+    digests = ordered.select(*by_keys, "part", "piece").mapInArrow(_digests(len(by), bits), schema)
+    return digests.select(*[F.col(k).alias(c) for k, c in zip(by_keys, by, strict=True)], "n", "version")
+
+
+def _digests(n_keys: int, bits: int):
+    """Batches of sorted (keys, part, piece) to keys, n (pieces of part 0), version, one row for each run of equal keys."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        group, n, state = None, 0, None
+        types = []
+
+        def out(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True))
+            names = [*[f"by_{i}" for i in range(n_keys)], "n", "version"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.int64(), pa.string()], strict=True)], names)
+
+        for batch in batches:
+            types = [c.type for c in batch.columns[:n_keys]]
+            codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in batch.columns[: n_keys + 1]]
+            changes = np.logical_or.reduce([c[1:] != c[:-1] for c in codes])
+            bounds = np.concatenate(([0], np.flatnonzero(changes) + 1, [batch.num_rows])).astype(np.int32) if batch.num_rows else np.zeros(1, np.int32)
+            pieces = pc.fill_null(batch.column(n_keys + 1), b"")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), pieces), b"")
+            done = []
+            for start, end, piece in zip(bounds[:-1].tolist(), bounds[1:].tolist(), joined, strict=True):
+                key = tuple(c[start].as_py() for c in batch.columns[:n_keys])
+                if state is None or key != group:
+                    if state is not None:
+                        done.append((*group, n, state.hexdigest().upper()))
+                    group, n, state = key, 0, hashlib.new(f"sha{bits}")
+                state.update(piece.as_buffer())
+                if batch.column(n_keys)[start].as_py() == 0:
+                    n += end - start
+            if done:
+                yield out(done)
+        if state is not None:
+            yield out([(*group, n, state.hexdigest().upper())])
+
+    return stream
 
 
 def merkle_tree(files: DataFrame, bits: int = VERSION_BITS) -> DataFrame:
@@ -50,9 +102,7 @@ def merkle_tree(files: DataFrame, bits: int = VERSION_BITS) -> DataFrame:
     pending = nodes
     for level in range(deepest or 0, 1, -1):
         here = pending.filter(depth == level)
-        order = F.struct("kind", "name")
-        names = F.encode(listed(F.col("name"), order), "UTF-8")
-        done = here.groupBy("dir").agg(version(F.concat(names, F.unhex(listed(F.col("version"), order))), bits).alias("version"))
+        done = merkle(here, ["dir"], "name", "version", bits, ["kind", "name"])
         up = done.select(parent(F.col("dir")).alias("dir"), F.lit(1).alias("kind"), name(F.col("dir")).alias("name"), "version").filter("dir <> ''")
         pending = pending.filter(depth < level).union(up)
         rows = done.select(F.col("dir").alias("path"), "version")

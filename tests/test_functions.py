@@ -76,3 +76,22 @@ def test_directory_digests(spark):
     d = sha(b"a.txtb.txts" + sha(b"1") + sha(b"2") + s)
     r = sha(b"qd" + sha(b"4") + d)
     assert got == {"r/d/s/": s.hex().upper(), "r/d/": d.hex().upper(), "r/": r.hex().upper()}
+
+
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_a_parent_of_many_children_is_a_stream(spark, batch):
+    """One parent holds half of all children; runs cross the ends of batches; nulls among keys, names and digests."""
+    rows = [("big" if i % 2 else f"p{i % 7}", i % 3, f"{i * 7919 % 1000:03d}é", hashlib.sha256(str(i).encode()).hexdigest()) for i in range(200)]
+    rows += [(None, 1, "x", None), (None, 1, None, "AB" * 32), ("none", None, None, None), ("big", 1, "000", "CD" * 32)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = fingerprints.merkle(spark.createDataFrame(rows, "a string, b int, name string, v string"), ["a", "b"], "name", "v", 256).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for key in {r[:2] for r in rows}:
+        mine = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[2] is not None, (r[2] or "").encode()))
+        raw = "".join(r[2] or "" for r in mine).encode() + b"".join(bytes.fromhex(r[3] or "") for r in mine)
+        want[key] = (len(mine), hashlib.sha256(raw).hexdigest().upper())
+    assert {(r["a"], r["b"]): (r["n"], r["version"]) for r in got} == want and len(got) == len(want)
+    assert fingerprints.merkle(spark.createDataFrame([], "a string, name string, v string"), ["a"], "name", "v").count() == 0

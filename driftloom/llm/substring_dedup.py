@@ -6,9 +6,10 @@ of a graph, and two that follow one another at most ``K`` words apart are an edg
 determine. Where each occurrence of a node is followed by the same node at the same distance, and each
 occurrence of that node preceded by the first, the path doesn't branch; such paths are compacted, through
 joins of the nodes' statistics with their occurrences. All occurrences of a path have the same words, so a
-window inside a path repeats exactly where the path does. Windows that reach over a path's end are
-compared by their own hash, taken from the source at the occurrence's coordinates. A word goes if a
-window that covers it also starts in a document with a smaller doc_id.
+window inside a path repeats exactly where the path does. That is verified at the source: a path of a window or
+more is read at each occurrence's coordinates, and occurrences are the same only if digests of all their words are.
+Windows that reach over a path's end are compared by their own hash, taken there too. A word goes if a window
+that covers it also starts in a document with a smaller doc_id.
 
 Whole copies (equal sequences of words) are settled beforehand, so that large groups of copies bring one document into
 the graph. What is known of a node or hash is written before it is joined with its occurrences: the join then
@@ -99,15 +100,15 @@ def position(place: Column) -> Column:
 
 
 def shared(nodes: DataFrame) -> DataFrame:
-    """The occurrences of minimisers that at least two documents have, with the smallest of these documents."""
-    several = nodes.groupBy("kmer").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("kmer", "least")
+    """The occurrences of minimisers that at least two documents have."""
+    several = nodes.groupBy("kmer").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("kmer")
     return nodes.join(settle(several, "several"), "kmer")
 
 
 def compacted(occurrences: DataFrame) -> DataFrame:
-    """doc, tag, start, end, least: occurrences of non-branching paths, as word spans."""
+    """doc, tag, start, end: occurrences of non-branching paths, as word spans."""
     line = Window.partitionBy("doc", "tag").orderBy("at")
-    rows = occurrences.select("kmer", "doc", "least", tag(F.col("place")).alias("tag"), position(F.col("place")).alias("at"))
+    rows = occurrences.select("kmer", "doc", tag(F.col("place")).alias("tag"), position(F.col("place")).alias("at"))
     edge = lambda other, gap: F.when(gap <= K, F.xxhash64(other, gap))
     rows = settle(
         rows.select(
@@ -122,11 +123,15 @@ def compacted(occurrences: DataFrame) -> DataFrame:
     marked = rows.join(settle(branching, "branching"), "kmer")
     goes_on = F.coalesce(F.col("one_before") & F.lag("one_after").over(line), F.lit(False))
     paths = marked.withColumn("begins", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("begins").over(line))
-    return paths.groupBy("doc", "tag", "path").agg(F.min("at").alias("start"), (F.max("at") + K).alias("end"), F.min("least").alias("least")).drop("path")
+    return paths.groupBy("doc", "tag", "path").agg(F.min("at").alias("start"), (F.max("at") + K).alias("end")).drop("path")
 
 
-def boundary_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """hash, doc, place of the windows that share at least K words with a path but are inside none."""
+def at_source(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """hash, doc, place, size (in words), read from the texts: paths of at least a window, by a digest of their words,
+    and the windows that share at least K words with a path but are inside none."""
+
+    def digest(words: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for large in batches:
@@ -134,6 +139,7 @@ def boundary_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
                 words = Words(batch.column("text"))
                 tags = sequence_tags(words) & _TAG
                 docs = batch.column("doc").to_numpy()
+                texts, word_ends = joined_words(words, np.ones(len(words.starts), bool)), np.cumsum(words.ends - words.starts + 1)
                 for i, (marked, paths) in enumerate(zip(batch.column("tag").to_numpy(), batch.column("spans").to_pylist(), strict=True)):
                     if marked != tags[i]:
                         continue
@@ -146,12 +152,18 @@ def boundary_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
                         some[max(0, p["start"] - (WINDOW - K)) : max(0, p["end"] - K + 1)] = True
                         inside[p["start"] : max(p["start"], p["end"] - WINDOW + 1)] = True
                     at = np.flatnonzero(some & ~inside)
-                    h = run_hashes(words.hashes[first:last], at, at + WINDOW)
-                    yield pa.RecordBatch.from_pydict({"hash": pa.array(h.view(np.int64)), "doc": pa.array(np.full(len(at), docs[i]), pa.int64()), "place": pa.array(int(tags[i]) << 32 | at, pa.int64())})
+                    h = run_hashes(words.hashes[first:last], at, at + WINDOW).view(np.int64)
+                    of_word = np.concatenate([[0], word_ends[first:last] - (word_ends[first - 1] if first else 0)])
+                    long = [(p["start"], p["end"]) for p in paths if p["end"] - p["start"] >= WINDOW]
+                    digests = [digest(texts[i][of_word[a] : of_word[b] - 1]) for a, b in long]
+                    place = np.concatenate([at, np.array([a for a, _ in long], np.int64)])
+                    size = np.concatenate([np.full(len(at), WINDOW), np.array([b - a for a, b in long], np.int64)])
+                    columns = {"hash": np.concatenate([h, np.array(digests, np.int64)]), "doc": np.full(len(place), docs[i]), "place": int(tags[i]) << 32 | place, "size": size}
+                    yield pa.RecordBatch.from_pydict({name: pa.array(c, pa.int64()) for name, c in columns.items()})
 
     of_doc = settle(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     texts = with_ids(rows, "doc", of_doc.select("doc").distinct())
-    return texts.join(of_doc, "doc").mapInArrow(run, "hash long, doc long, place long")
+    return texts.join(of_doc, "doc").mapInArrow(run, "hash long, doc long, place long, size long")
 
 
 def removed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -187,16 +199,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     firsts = known.groupBy("sequence").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("sequence", "first")
     firsts = settle(firsts, "firsts")
     copies = settle(known.join(firsts, "sequence").filter(F.col("doc") > F.col("first")).select("doc", F.col("sequence").bitwiseAND(F.lit(_TAG)).alias("tag")).distinct(), "copies")
-    found = settle(shared(settle(node_rows(rows), "nodes")).drop("least"), "shared")
+    found = settle(shared(settle(node_rows(rows), "nodes")), "shared")
     single = found.withColumn("tag", tag(F.col("place"))).join(copies, ["doc", "tag"], "left_anti").select("kmer", "doc", "place")
     spans = settle(compacted(shared(settle(single, "single"))), "paths")
-    edge = settle(boundary_windows(rows, spans), "windows")
-    repeated = edge.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("hash", "least")
-    repeated = settle(repeated, "repeated")
-    late = edge.join(repeated, "hash").filter("doc > least").select("doc", tag(F.col("place")).alias("tag"), position(F.col("place")).alias("start"))
-    ranges = late.select("doc", "tag", "start", (F.col("start") + WINDOW).alias("end")).union(
-        spans.filter((F.col("least") < F.col("doc")) & (F.col("end") - F.col("start") >= WINDOW)).select("doc", "tag", "start", "end")
-    )
+    read = settle(at_source(rows, spans), "source")
+    repeated = read.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("hash", "least")
+    late = read.join(settle(repeated, "repeated"), "hash").filter("doc > least").select("doc", "size", tag(F.col("place")).alias("tag"), position(F.col("place")).alias("start"))
+    ranges = late.select("doc", "tag", "start", (F.col("start") + F.col("size")).alias("end"))
     changed = removed(rows, ranges)
     same = known.withColumn("tag", F.col("sequence").bitwiseAND(F.lit(_TAG)))
     is_copy = copies.withColumn("copy", F.lit(True))

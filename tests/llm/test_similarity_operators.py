@@ -209,6 +209,21 @@ def test_substring_dedup(documents):
     assert substring_dedup.remove_repeats(documents([(1, "a", "en", "s")]).limit(0)).count() == 0
 
 
+def test_paths_are_verified_at_the_source(documents):
+    """A span that the graph takes for a path elsewhere too counts only where its words are the same."""
+    w = [f"v{k}" for k in range(70)]
+    texts = {1: w, 2: w, 3: [*w[:40], "other", *w[41:]]}
+    rows = documents([(i, " \n".join(t), "en", "s") for i, t in texts.items()])
+    rows = substring_dedup.numbered(rows)
+    tags = {r["doc"]: r["sequence"] & substring_dedup._TAG for r in substring_dedup.whole(rows).collect()}
+    spans = rows.sparkSession.createDataFrame([(i, tags[i], 5, 65) for i in texts], "doc long, tag long, start long, end long")
+    read = [r for r in substring_dedup.at_source(rows, spans).collect() if r["size"] == 60]
+    hashes = {r["doc"]: r["hash"] for r in read}
+    assert len(read) == 3 and hashes[1] == hashes[2] != hashes[3]
+    want = int.from_bytes(hashlib.blake2b(" ".join(w[5:65]).encode(), digest_size=8).digest(), "little", signed=True)
+    assert hashes[1] == want
+
+
 def test_queries_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES)
     assert numbers == list(range(1, 11))

@@ -33,8 +33,8 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
-def duplicate_groups(docs: DataFrame) -> DataFrame:
-    """text_sha256, keep_id, group_size of every text that at least two rows have; keep_row too if docs has been numbered."""
+def surviving(docs: DataFrame) -> DataFrame:
+    """doc_id, chars, text_sha256 (row_ too if docs has been numbered) of the rows that share length and prefix with another."""
     row = [c for c in docs.columns if c == "row_"]
     length = F.char_length(normalised(text_of())).alias("length")
     prefix = F.xxhash64(F.substring(normalised(text_of()), 1, PREFIX)).alias("prefix")
@@ -47,9 +47,13 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     scan = docs.select(*row, "doc_id", F.char_length(text_of()).alias("chars"), length, prefix, text_of().alias("text"))
     digest = text_digest(F.col("text")).alias("text_sha256")
     if keys.count() <= BROADCAST_KEYS:
-        survivors = scan.join(F.broadcast(keys), ["length", "prefix"], "left_semi").select(*row, "doc_id", "chars", digest)
-    else:
-        survivors = scan.select(*row, "doc_id", "chars", "length", "prefix", digest).join(keys, ["length", "prefix"], "left_semi")
+        return scan.join(F.broadcast(keys), ["length", "prefix"], "left_semi").select(*row, "doc_id", "chars", digest)
+    return scan.select(*row, "doc_id", "chars", "length", "prefix", digest).join(keys, ["length", "prefix"], "left_semi").drop("length", "prefix")
+
+
+def duplicate_groups(survivors: DataFrame) -> DataFrame:
+    """text_sha256, keep_id, group_size of every text that at least two surviving rows have; keep_row too if they are numbered."""
+    row = [c for c in survivors.columns if c == "row_"]
     return (
         survivors.groupBy("text_sha256")
         .agg(
@@ -63,7 +67,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    groups = settle(duplicate_groups(docs), "groups")
+    groups = settle(duplicate_groups(surviving(docs)), "groups")
     rows = docs.select("doc_id", text_digest(text_of()).alias("text_sha256"))
     return rows.join(groups, "text_sha256", "left").select(
         "doc_id",
@@ -83,6 +87,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
 def keep_one_of_each_text(docs: DataFrame) -> DataFrame:
     """The rows that stay, one of each text, with all their columns."""
     rows = numbered(docs)
-    groups = settle(duplicate_groups(rows), "groups")
-    dropped = rows.select("row_", text_digest(text_of()).alias("text_sha256")).join(groups, "text_sha256").filter("row_ <> keep_row").select("row_")
+    survivors = settle(surviving(rows), "survivors")
+    groups = settle(duplicate_groups(survivors), "groups")
+    dropped = survivors.select("row_", "text_sha256").join(groups, "text_sha256").filter("row_ <> keep_row").select("row_")
     return without_ids(rows, "row_", settle(dropped, "dropped")).drop("row_")

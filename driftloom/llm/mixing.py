@@ -58,7 +58,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     row = [c for c in docs.columns if c == "row_"]
     sizes = docs.select(*row, "doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settle(sizes.repartitionByRange(pieces, "source", "size", "doc_id", *row).withColumn("piece", F.spark_partition_id()), "sizes")
+    sizes = settle(sizes, "sizes")  # dealing by range reads its input twice: texts are counted once
+    dealt = settle(sizes.repartitionByRange(pieces, "source", "size", "doc_id", *row).withColumn("piece", F.spark_partition_id()), "dealt")
     counts = dealt.groupBy("source", "piece").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("source").alias("s"), F.col("piece").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, substring_dedup, toxicity, warc
+from . import bpe, chat_format, collocations, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup, toxicity, vector_codes, warc
 from .common import table
 
 CHAT_TEST = "<|im_end|><|im_start|>assistant ok"
@@ -177,6 +177,80 @@ from k left join y on k.doc_id = y.doc_id
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+# every n-gram counted by its words
+OP11_SQL = """
+with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from t),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+g as (select lang, words, unnest(range(1, len(words) + 1)) as i from w),
+f as (
+  select lang, k, array_to_string(words[i:i + k - 1], ' ') as phrase, cast(count(*) as hugeint) as f
+  from (select lang, words, i, unnest(range(1, 5)) as k from g) where i + k - 1 <= len(words) group by all),
+n as (select lang, cast(sum(f) as hugeint) as n from f where k = 1 group by lang),
+c as (select lang, k as size, phrase, f as a, string_split(phrase, ' ') as words from f where k >= 2 and f >= 30),
+s as (
+  select c.lang, c.phrase, size, a, cut, l.f as l, r.f as r, 2000000 * a // (l.f + r.f) as score
+  from (select *, unnest(range(1, size)) as cut from c) c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(words[1:cut], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(words[cut + 1:], ' ')),
+b as (select *, row_number() over (partition by lang, phrase order by score, cut) as weakest from s),
+i as (
+  select lang, array_to_string(words[j:j + k - 1], ' ') as phrase, max(a) as longer
+  from (select *, unnest(range(2, size)) as k from c) x, unnest(range(1, 4)) as u(j) where j + k - 1 <= size group by all),
+o as (
+  select b.lang, b.phrase, a, l, r, score, row_number() over (partition by b.lang order by score desc, a desc, b.phrase collate "C") as rank
+  from b left join i on b.lang = i.lang and b.phrase = i.phrase where weakest = 1 and (longer is null or 100 * longer < 80 * a))
+select o.lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from o join n on o.lang = n.lang where rank <= 2000
+"""
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Rounds one after the other; all parts against all entries in each."""
+    steps = [
+        """e as materialized (
+  select row_number() over (order by vec_id, ints) as row, vec_id, label, ints
+  from (select vec_id, label, list_transform(cast(embedding as double[]), lambda x: cast(floor(4096 * x) as bigint)) as ints from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)),
+x as materialized (
+  select row, part, i, ints[part * (len(ints) // 8) + i + 1] as v
+  from e, unnest(range(0, 8)) as p(part), unnest(range(0, len(ints) // 8)) as q(i)),
+b0 as materialized (select part, row - 1 as entry, i, v from x where row <= 16)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} as materialized (
+  select row, part, entry, distance from (
+    select row, part, entry, distance, row_number() over (partition by row, part order by distance, entry) as nearest from (
+      select x.row, x.part, b.entry, cast(sum((x.v - b.v) * (x.v - b.v)) as bigint) as distance
+      from x join b{k} b on x.part = b.part and x.i = b.i group by all)) where nearest = 1)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} as materialized (
+  select b.part, b.entry, b.i, cast(case when m.c is null then b.v else (m.s - ((m.s % m.c) + m.c) % m.c) // m.c end as bigint) as v
+  from b{k} b left join (
+    select x.part, d.entry, x.i, sum(x.v) as s, count(*) as c from x join d{k} d on x.row = d.row and x.part = d.part group by all) m
+  on b.part = m.part and b.entry = m.entry and b.i = m.i)""")
+    return f"""
+with {", ".join(steps)},
+h as (select sha256(coalesce(string_agg(cast(v as varchar), ',' order by part, entry, i), '')) as codebooks_sha256 from b{rounds}),
+c as (select row, string_agg(lpad(to_hex(entry), 2, '0'), '' order by part) as code, sum(distance) as error from d{rounds} group by row),
+l as (select label, sum(error) as label_error from c join e on c.row = e.row group by label)
+select vec_id, lower(code) as code, cast(error as bigint) as error, cast(label_error as bigint) as label_error, codebooks_sha256
+from c join e on c.row = e.row join l on e.label is not distinct from l.label, h
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -188,5 +262,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_quality": op12_quality,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_mixing": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_mixing": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op13_vector_codes": _op13_sql()}

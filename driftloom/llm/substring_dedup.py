@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, joined_words, run_hashes, runs_of, settle, slices, with_ids
@@ -38,7 +38,6 @@ from .common import Words, joined_words, run_hashes, runs_of, settle, slices, wi
 WINDOW, K = 50, 26
 RUN = WINDOW - K + 1  # K-word runs of a window
 NO_ID = (1 << 63) - 1
-_TAG = (1 << 31) - 1
 
 
 def sequence_tags(words: Words) -> np.ndarray:
@@ -48,21 +47,24 @@ def sequence_tags(words: Words) -> np.ndarray:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc (the doc_id, or the largest number), text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    """row (a number for each row), doc (the doc_id, or the largest number), text; written, so that a row's number stays."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    return settle(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def whole(rows: DataFrame) -> DataFrame:
-    """doc, sequence, n_words, sha256 of the words joined by spaces, for every row."""
+    """row, doc, sequence, n_words, sha256 of the words joined by spaces, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for large in batches:
             for batch in slices(large, "text"):
                 words = Words(batch.column("text"))
                 shas = [hashlib.sha256(x).hexdigest() for x in joined_words(words, np.ones(len(words.starts), bool))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sequence_tags(words)), pa.array(words.counts().astype(np.int64)), pa.array(shas, pa.string())], ["doc", "sequence", "n_words", "sha"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), batch.column("doc"), pa.array(sequence_tags(words)), pa.array(words.counts().astype(np.int64)), pa.array(shas, pa.string())], ["row", "doc", "sequence", "n_words", "sha"]
+                )
 
-    return rows.mapInArrow(run, "doc long, sequence long, n_words long, sha string")
+    return rows.mapInArrow(run, "row long, doc long, sequence long, n_words long, sha string")
 
 
 def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,25 +80,17 @@ def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def node_rows(rows: DataFrame) -> DataFrame:
-    """kmer, doc, place of every minimiser; place: the sequence's tag in the upper half, the word's position in the lower."""
+    """kmer, doc, row, at (the first word's position) of every minimiser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for large in batches:
             for batch in slices(large, "text"):
                 words = Words(batch.column("text"))
                 h, text, at = minimisers(words)
-                place = (sequence_tags(words)[text] & _TAG) << 32 | at
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc").take(pa.array(text)), pa.array(place, pa.int64())], ["kmer", "doc", "place"])
+                of_text = [batch.column(c).take(pa.array(text)) for c in ("doc", "row")]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *of_text, pa.array(at.astype(np.int32))], ["kmer", "doc", "row", "at"])
 
-    return rows.mapInArrow(run, "kmer long, doc long, place long")
-
-
-def tag(place: Column) -> Column:
-    return F.shiftright(place, 32)
-
-
-def position(place: Column) -> Column:
-    return place.bitwiseAND(F.lit((1 << 32) - 1))
+    return rows.mapInArrow(run, "kmer long, doc long, row long, at int")
 
 
 def shared(nodes: DataFrame) -> DataFrame:
@@ -106,13 +100,14 @@ def shared(nodes: DataFrame) -> DataFrame:
 
 
 def compacted(occurrences: DataFrame) -> DataFrame:
-    """doc, tag, start, end: occurrences of non-branching paths, as word spans."""
-    line = Window.partitionBy("doc", "tag").orderBy("at")
-    rows = occurrences.select("kmer", "doc", tag(F.col("place")).alias("tag"), position(F.col("place")).alias("at"))
+    """row, start, end: occurrences of non-branching paths, as word spans."""
+    line = Window.partitionBy("row").orderBy("at")
     edge = lambda other, gap: F.when(gap <= K, F.xxhash64(other, gap))
     rows = settle(
-        rows.select(
-            "*",
+        occurrences.select(
+            "kmer",
+            "row",
+            "at",
             edge(F.lead("kmer").over(line), F.lead("at").over(line) - F.col("at")).alias("after"),
             edge(F.lag("kmer").over(line), F.col("at") - F.lag("at").over(line)).alias("before"),
         ),
@@ -123,11 +118,11 @@ def compacted(occurrences: DataFrame) -> DataFrame:
     marked = rows.join(settle(branching, "branching"), "kmer")
     goes_on = F.coalesce(F.col("one_before") & F.lag("one_after").over(line), F.lit(False))
     paths = marked.withColumn("begins", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("begins").over(line))
-    return paths.groupBy("doc", "tag", "path").agg(F.min("at").alias("start"), (F.max("at") + K).alias("end")).drop("path")
+    return paths.groupBy("row", "path").agg(F.min("at").alias("start"), (F.max("at") + K).alias("end")).drop("path")
 
 
 def at_source(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """hash, doc, place, size (in words), read from the texts: paths of at least a window, by a digest of their words,
+    """hash, doc, row, start, size (in words), read from the texts: paths of at least a window, by a digest of their words,
     and the windows that share at least K words with a path but are inside none."""
 
     def digest(words: bytes) -> int:
@@ -137,12 +132,9 @@ def at_source(rows: DataFrame, spans: DataFrame) -> DataFrame:
         for large in batches:
             for batch in slices(large, "text"):
                 words = Words(batch.column("text"))
-                tags = sequence_tags(words) & _TAG
-                docs = batch.column("doc").to_numpy()
+                docs, numbers = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
                 texts, word_ends = joined_words(words, np.ones(len(words.starts), bool)), np.cumsum(words.ends - words.starts + 1)
-                for i, (marked, paths) in enumerate(zip(batch.column("tag").to_numpy(), batch.column("spans").to_pylist(), strict=True)):
-                    if marked != tags[i]:
-                        continue
+                for i, paths in enumerate(batch.column("spans").to_pylist()):
                     first, last = words.word_at[i], words.word_at[i + 1]
                     n = last - first - WINDOW + 1
                     if n <= 0:
@@ -156,40 +148,37 @@ def at_source(rows: DataFrame, spans: DataFrame) -> DataFrame:
                     of_word = np.concatenate([[0], word_ends[first:last] - (word_ends[first - 1] if first else 0)])
                     long = [(p["start"], p["end"]) for p in paths if p["end"] - p["start"] >= WINDOW]
                     digests = [digest(texts[i][of_word[a] : of_word[b] - 1]) for a, b in long]
-                    place = np.concatenate([at, np.array([a for a, _ in long], np.int64)])
+                    start = np.concatenate([at, np.array([a for a, _ in long], np.int64)])
                     size = np.concatenate([np.full(len(at), WINDOW), np.array([b - a for a, b in long], np.int64)])
-                    columns = {"hash": np.concatenate([h, np.array(digests, np.int64)]), "doc": np.full(len(place), docs[i]), "place": int(tags[i]) << 32 | place, "size": size}
+                    columns = {"hash": np.concatenate([h, np.array(digests, np.int64)]), "doc": np.full(len(start), docs[i]), "row": np.full(len(start), numbers[i]), "start": start, "size": size}
                     yield pa.RecordBatch.from_pydict({name: pa.array(c, pa.int64()) for name, c in columns.items()})
 
-    of_doc = settle(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    texts = with_ids(rows, "doc", of_doc.select("doc").distinct())
-    return texts.join(of_doc, "doc").mapInArrow(run, "hash long, doc long, place long, size long")
+    of_row = settle(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    texts = with_ids(rows, "row", of_row.select("row"))
+    return texts.join(of_row, "row").mapInArrow(run, "hash long, doc long, row long, start long, size long")
 
 
 def removed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc, tag, n_removed, sha of the documents with ranges (doc, tag, start, end) of words to remove."""
+    """row, n_removed, sha of the rows with ranges (row, start, end) of words to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for large in batches:
             for batch in slices(large, "text"):
                 words = Words(batch.column("text"))
-                tags, marked = sequence_tags(words) & _TAG, batch.column("tag").to_numpy()
                 gone = np.zeros(len(words.starts) + 1, np.int64)
                 for i, parts in enumerate(batch.column("ranges").to_pylist()):
-                    if marked[i] == tags[i]:
-                        for r in parts:
-                            gone[words.word_at[i] + r["start"]] += 1
-                            gone[words.word_at[i] + r["end"]] -= 1
+                    for r in parts:
+                        gone[words.word_at[i] + r["start"]] += 1
+                        gone[words.word_at[i] + r["end"]] -= 1
                 keep = np.cumsum(gone[:-1]) == 0
                 left = np.concatenate([[0], np.cumsum(~keep)])
                 n = np.diff(left[words.word_at])
                 shas = [hashlib.sha256(x).hexdigest() for x in joined_words(words, keep)]
-                right = np.flatnonzero(tags == marked)
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(n.astype(np.int64)), pa.array(shas, pa.string())], ["doc", "tag", "n_removed", "new_sha"]).take(pa.array(right))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n.astype(np.int64)), pa.array(shas, pa.string())], ["row", "n_removed", "new_sha"])
 
-    of_doc = settle(ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
-    texts = with_ids(rows, "doc", of_doc.select("doc").distinct())
-    return texts.join(of_doc, "doc").mapInArrow(run, "doc long, tag long, n_removed long, new_sha string").dropDuplicates(["doc", "tag"])
+    of_row = settle(ranges.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    texts = with_ids(rows, "row", of_row.select("row"))
+    return texts.join(of_row, "row").mapInArrow(run, "row long, n_removed long, new_sha string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -198,18 +187,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = settle(whole(rows), "rows")
     firsts = known.groupBy("sequence").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("sequence", "first")
     firsts = settle(firsts, "firsts")
-    copies = settle(known.join(firsts, "sequence").filter(F.col("doc") > F.col("first")).select("doc", F.col("sequence").bitwiseAND(F.lit(_TAG)).alias("tag")).distinct(), "copies")
+    copies = settle(known.join(firsts, "sequence").filter(F.col("doc") > F.col("first")).select("row"), "copies")
     found = settle(shared(settle(node_rows(rows), "nodes")), "shared")
-    single = found.withColumn("tag", tag(F.col("place"))).join(copies, ["doc", "tag"], "left_anti").select("kmer", "doc", "place")
+    single = found.join(copies, "row", "left_anti")
     spans = settle(compacted(shared(settle(single, "single"))), "paths")
     read = settle(at_source(rows, spans), "source")
     repeated = read.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("hash", "least")
-    late = read.join(settle(repeated, "repeated"), "hash").filter("doc > least").select("doc", "size", tag(F.col("place")).alias("tag"), position(F.col("place")).alias("start"))
-    ranges = late.select("doc", "tag", "start", (F.col("start") + F.col("size")).alias("end"))
-    changed = removed(rows, ranges)
-    same = known.withColumn("tag", F.col("sequence").bitwiseAND(F.lit(_TAG)))
-    is_copy = copies.withColumn("copy", F.lit(True))
-    out = same.join(changed, ["doc", "tag"], "left").join(is_copy, ["doc", "tag"], "left")
+    late = read.join(settle(repeated, "repeated"), "hash").filter("doc > least")
+    changed = removed(rows, late.select("row", "start", (F.col("start") + F.col("size")).alias("end")))
+    out = known.join(changed, "row", "left").join(copies.withColumn("copy", F.lit(True)), "row", "left")
     whole_gone = F.col("copy").isNotNull() & (F.col("n_words") >= WINDOW)
     return out.select(
         F.nullif(F.col("doc"), F.lit(NO_ID)).alias("doc_id"),

@@ -6,9 +6,11 @@ pages of similar size share files, the fewer of them the larger they are, so tha
 smallest page_id is a response record; the others are revisit records that refer to it.
 
 Reading: a magic string may also stand inside a payload. Tasks look for the magic in the archive files (each
-at most 2 GB, Spark's limit for binary files) and emit, for each place that parses as a record header, a link from
-its offset to the offset where the header's Content-Length (1 to 18 ASCII digits) says the next record begins. Pointer jumping doubles the followed distance in each
-round of joins; a record is real if the chain from its file's start reaches it.
+at most 2 GB, Spark's limit for binary files), at their start and after an empty line, so that the headers tried don't overlap, and
+emit, for each place that parses as a record header, a link from its offset to the offset where the header's Content-Length (1 to 18
+ASCII digits) says the next record begins. Pointer jumping doubles the followed distance in each round of joins; a record is real if
+the chain from its file's start reaches it. Bodies are hashed where they are found, as long as no byte is in more than
+``NESTED`` of them; those of real records that were left out, as forged headers claimed their bytes before, are hashed afterwards.
 
 Defined cases: a null html is an empty payload; repeated page_ids are records each (a revisit refers to the
 smallest page_id of its payload; rows that repeat that page_id are responses too);
@@ -18,6 +20,7 @@ percent-encoded; an empty table gives no records. Other columns are not written.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, settle
+from .common import new_folder, settle, with_ids
 
 LEAST_BYTES = 100
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
@@ -33,6 +36,8 @@ MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 FILE_RECORDS, FILE_BYTES = 1000, 32 << 20
 #: payload digests with copies that are broadcast at most, about 100 bytes each; more are joined by shuffle
 BROADCAST_KEYS = 1 << 17
+#: bodies of candidates over one byte that are hashed at once
+NESTED = 4
 
 
 def classified(pages: DataFrame) -> DataFrame:
@@ -88,36 +93,69 @@ def write_warc(pages: DataFrame, path: str) -> None:
 _LENGTH = re.compile("[0-9]{1,18}")
 
 
-def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """Fields of a record header at this place and where its body begins; None if it isn't one."""
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        return None
-    lines = data[at + len(MAGIC) : stop].decode("utf-8", "replace").split("\r\n")
-    fields = dict(x.split(": ", 1) for x in lines if ": " in x)
-    return (fields, stop + 4) if len(fields) == len(lines) and _LENGTH.fullmatch(fields.get("Content-Length", "")) and "WARC-Type" in fields else None
-
+_PLACE = re.compile(rb"(?:\A|(?<=\r\n\r\n))" + re.escape(MAGIC.encode()))
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file (a number, the same within one result only), offset, next, with the record's fields, for every place that looks
-    like a record. Bodies' digests come along."""
-    import hashlib
 
-    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.monotonically_increasing_id().alias("file"), "content")
+def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
+    """Fields of a record header at this place and where its body begins; None if it isn't one. Reads as far as the first line
+    that is no field."""
+    fields: dict[str, str] = {}
+    begin = at + len(MAGIC)
+    while (stop := data.find(b"\r\n", begin)) > begin:
+        name, colon, value = data[begin:stop].partition(b": ")
+        name = name.decode("utf-8", "replace")
+        if not colon or name in fields:
+            return None
+        fields[name] = value.decode("utf-8", "replace")
+        begin = stop + 2
+    good = stop == begin and _LENGTH.fullmatch(fields.get("Content-Length", "")) and "WARC-Type" in fields
+    return (fields, stop + 2) if good else None
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """file (a number made from its path), content. Two paths with one number are an error."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.xxhash64("path").alias("file"), "content")
+    numbers = files.agg(F.count("*"), F.count_distinct("file")).first()
+    if numbers[0] != numbers[1]:
+        raise ValueError("two archive files have the same number")
+    return files
+
+
+def candidates(files: DataFrame) -> DataFrame:
+    """file, offset, next, with the record's fields and its body's place and digest (null: too many bodies over one byte), for every
+    place that looks like a record."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, data in zip(batch["file"], batch["content"], strict=True):
-                rows = []
-                for m in re.finditer(MAGIC.encode(), data):
+                rows, over = [], []  # ends of the bodies that are hashed and go on here
+                for m in _PLACE.finditer(data):
                     if got := _header(data, m.start()):
                         fields, body = got
                         stop = body + int(fields["Content-Length"])
                         if data[stop : stop + 4] == END.encode():
-                            rows.append((file, m.start(), stop + 4, fields["WARC-Type"], fields.get("WARC-Record-ID", ""), fields.get("WARC-Refers-To", ""), fields.get("WARC-Payload-Digest", ""), fields.get("WARC-Payload-Length", ""), stop - body, hashlib.sha256(data[body:stop]).hexdigest()))
-                yield pd.DataFrame(rows, columns=["file", "offset", "next", "record_type", "record_id", "refers", "said_digest", "said_bytes", "body_bytes", "body_digest"])
+                            over = [x for x in over if x > body]
+                            digest = None
+                            if len(over) < NESTED:
+                                digest = hashlib.sha256(memoryview(data)[body:stop]).hexdigest()
+                                over.append(stop)
+                            rows.append((file, m.start(), stop + 4, fields["WARC-Type"], fields.get("WARC-Record-ID", ""), fields.get("WARC-Refers-To", ""), fields.get("WARC-Payload-Digest", ""), fields.get("WARC-Payload-Length", ""), body, stop - body, digest))
+                yield pd.DataFrame(rows, columns=["file", "offset", "next", "record_type", "record_id", "refers", "said_digest", "said_bytes", "body", "body_bytes", "body_digest"])
+
+    return files.mapInPandas(look, "file long, offset long, next long, record_type string, record_id string, refers string, said_digest string, said_bytes string, body long, body_bytes long, body_digest string")
+
+
+def late_digests(files: DataFrame, late: DataFrame) -> DataFrame:
+    """file, offset, late_digest of records (file, offset, body, body_bytes), from the files that hold any: a file's records go to it as a list."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, data, records in zip(batch["file"], batch["content"], batch["records"], strict=True):
+                rows = [(file, r["offset"], hashlib.sha256(memoryview(data)[r["body"] : r["body"] + r["body_bytes"]]).hexdigest()) for r in records]
+                yield pd.DataFrame(rows, columns=["file", "offset", "late_digest"])
 
-    return files.mapInPandas(look, "file long, offset long, next long, record_type string, record_id string, refers string, said_digest string, said_bytes string, body_bytes long, body_digest string")
+    lists = settle(late.groupBy("file").agg(F.collect_list(F.struct("offset", "body", "body_bytes")).alias("records")), "late")
+    return with_ids(files, "file", lists.select("file")).join(lists, "file").mapInPandas(digest, "file long, offset long, late_digest string")
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -142,8 +180,16 @@ def reachable(links: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The real records of the archives at a path."""
-    found = settle(candidates(spark, path), "candidates")
-    return found.join(reachable(found).hint("merge"), ["file", "offset"])
+    files = archive_files(spark, path)
+    found = settle(candidates(files), "candidates")
+    real = found.join(reachable(found).hint("merge"), ["file", "offset"])
+    late = found.filter("body_digest is null")
+    if late.isEmpty():
+        return real.drop("body")
+    real = settle(real, "real")
+    late = late_digests(files, real.filter("body_digest is null"))
+    joined = real.join(settle(late, "digests"), ["file", "offset"], "left")
+    return joined.withColumn("body_digest", F.coalesce("body_digest", "late_digest")).drop("body", "late_digest")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

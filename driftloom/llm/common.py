@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -73,9 +73,23 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows, written with a number each (row_), so that they can be told apart whatever their doc_ids."""
-    return settle(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with more underscores if columns of the table are called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written with a number each, so that they can be told apart whatever their doc_ids; the number's column."""
+    row = free_name(docs, "row_")
+    return settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def row_column(row: str | None) -> list[Column]:
+    """The column that holds rows' numbers, if there is one, as the operators call it (row_)."""
+    return [F.col(row).alias("row_")] if row else []
 
 
 def text_of(column: str = "text"):
@@ -203,16 +217,16 @@ BROADCAST_IDS = 1 << 20
 
 def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows whose key is among the ids (one column, distinct): without moving the rows if the ids are few enough."""
-    ids = ids.toDF("id_")
+    ids = ids.toDF(name := free_name(df, "id_"))
     few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("id_"), "left_semi")
+    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col(name), "left_semi")
 
 
 def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows whose key is null or not among the ids (one column, distinct)."""
-    ids = ids.toDF("id_").filter("id_ is not null")
+    ids = ids.toDF(name := free_name(df, "id_")).filter(F.col(name).isNotNull())
     few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("id_"), "left_anti")
+    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col(name), "left_anti")
 
 
 def joined_words(words: Words, keep: np.ndarray) -> list[bytes]:

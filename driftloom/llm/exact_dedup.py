@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, numbered, settle, text_of, without_ids
+from .common import SPACES, numbered, row_column, settle, text_of, without_ids
 
 #: code points of the normalised text that the second step hashes
 PREFIX = 128
@@ -33,9 +33,10 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
-def surviving(docs: DataFrame) -> DataFrame:
-    """doc_id, chars, text_sha256 (row_ too if docs has been numbered) of the rows that share length and prefix with another."""
-    row = [c for c in docs.columns if c == "row_"]
+def surviving(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, chars, text_sha256 of the rows that share length and prefix with another. row: the column of their numbers, which are
+    returned too (row_)."""
+    number = row_column(row)
     length = F.char_length(normalised(text_of())).alias("length")
     prefix = F.xxhash64(F.substring(normalised(text_of()), 1, PREFIX)).alias("prefix")
     signs = settle(docs.select(length, prefix), "signs")
@@ -44,11 +45,11 @@ def surviving(docs: DataFrame) -> DataFrame:
         by_length = F.broadcast(by_length)
     crowded = signs.join(by_length, "length", "left_semi")
     keys = settle(crowded.groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("length", "prefix"), "keys")
-    scan = docs.select(*row, "doc_id", F.char_length(text_of()).alias("chars"), length, prefix, text_of().alias("text"))
-    digest = text_digest(F.col("text")).alias("text_sha256")
+    scan = docs.select(*number, "doc_id", F.char_length(text_of()).alias("chars"), length, prefix, text_of().alias("text"))
+    digest, names = text_digest(F.col("text")).alias("text_sha256"), ["row_"] if row else []
     if keys.count() <= BROADCAST_KEYS:
-        return scan.join(F.broadcast(keys), ["length", "prefix"], "left_semi").select(*row, "doc_id", "chars", digest)
-    return scan.select(*row, "doc_id", "chars", "length", "prefix", digest).join(keys, ["length", "prefix"], "left_semi").drop("length", "prefix")
+        return scan.join(F.broadcast(keys), ["length", "prefix"], "left_semi").select(*names, "doc_id", "chars", digest)
+    return scan.select(*names, "doc_id", "chars", "length", "prefix", digest).join(keys, ["length", "prefix"], "left_semi").drop("length", "prefix")
 
 
 def duplicate_groups(survivors: DataFrame) -> DataFrame:
@@ -78,16 +79,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; rows go by doc_id, and those that share one stay together."""
-    dropped = exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
-    return without_ids(docs, "doc_id", settle(dropped, "dropped"))
-
-
 def keep_one_of_each_text(docs: DataFrame) -> DataFrame:
     """The rows that stay, one of each text, with all their columns."""
-    rows = numbered(docs)
-    survivors = settle(surviving(rows), "survivors")
+    rows, row = numbered(docs)
+    survivors = settle(surviving(rows, row), "survivors")
     groups = settle(duplicate_groups(survivors), "groups")
     dropped = survivors.select("row_", "text_sha256").join(groups, "text_sha256").filter("row_ <> keep_row").select("row_")
-    return without_ids(rows, "row_", settle(dropped, "dropped")).drop("row_")
+    return without_ids(rows, row, settle(dropped, "dropped")).drop(row)

@@ -22,7 +22,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, numbered, settle, text_of
+from .common import WORD, free_name, numbered, row_column, settle, text_of
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -52,11 +52,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levels.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row; its row_ too if docs has been numbered."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, number: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for every row. number: the column of the rows' numbers, which are returned too (row_)."""
     spark = docs.sparkSession
-    row = [c for c in docs.columns if c == "row_"]
-    sizes = docs.select(*row, "doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    row = ["row_"] if number else []
+    sizes = docs.select(*row_column(number), "doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = settle(sizes, "sizes")  # dealing by range reads its input twice: texts are counted once
     dealt = settle(sizes.repartitionByRange(pieces, "source", "size", "doc_id", *row).withColumn("piece", F.spark_partition_id()), "dealt")
@@ -77,7 +77,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix with all their columns, each as often as it is taken itself."""
-    rows = numbered(docs)
-    picks = mix(rows, **options).filter("copies > 0").select(F.col("row_").alias("picked_"), F.col("copies").alias("copies_"))
-    found = rows.join(picks, F.col("row_") == F.col("picked_"))
-    return found.withColumn("copies_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+    rows, row = numbered(docs)
+    picked, copies = free_name(rows, "picked_"), free_name(rows, "copies_")
+    picks = mix(rows, number=row, **options).filter("copies > 0").select(F.col("row_").alias(picked), F.col("copies").alias(copies))
+    found = rows.join(picks, F.col(row) == F.col(picked))
+    return found.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, numbered, run_hashes, runs_of, settle, slices, without_ids
+from .common import Words, mix64, numbered, row_column, run_hashes, runs_of, settle, slices, without_ids
 from .links import WIDE, components, linked, matrix, promising, with_sizes
 
 WORDS, THRESHOLD = 5, 0.8
@@ -123,9 +123,9 @@ def paths_of(words: Words, runs: range) -> pa.Array:
     return made.listed(made.paths(runs))
 
 
-def described(docs: DataFrame, runs: range) -> DataFrame:
-    """doc_id, node, paths (null: no words), sketch of each row; its row_ too if docs has been numbered."""
-    row = [c for c in docs.columns if c == "row_"]
+def described(docs: DataFrame, runs: range, number: str | None = None) -> DataFrame:
+    """doc_id, node, paths (null: no words), sketch of each row. number: the column of the rows' numbers, which are returned too (row_)."""
+    row = ["row_"] if number else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -145,7 +145,7 @@ def described(docs: DataFrame, runs: range) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(*row, "doc_id", "text").mapInArrow(run, ("row_ long, " if row else "") + f"doc_id {kind}, node long, paths array<long>, sketch binary")
+    return docs.select(*row_column(number), "doc_id", "text").mapInArrow(run, ("row_ long, " if row else "") + f"doc_id {kind}, node long, paths array<long>, sketch binary")
 
 
 def leaves_of(nodes: DataFrame, runs: range) -> tuple[DataFrame, list[DataFrame]]:
@@ -242,7 +242,7 @@ def from_sets(docs: DataFrame, nodes: DataFrame, make: Callable[[Words], pa.Arra
                 yield pa.RecordBatch.from_arrays([pa.array(numbers), make(words)], ["node", column])
 
     reps = nodes.select(F.col("rep").alias("rep_"))
-    rows = docs.join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("rep_"), "left_semi").select("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("rep_"), "left_semi").select("text")
     if nodes.filter("rep is null").limit(1).count():
         rows = rows.union(docs.filter("doc_id is null").select("text"))
     made = rows.mapInArrow(number, f"node long, {column} {kind}")
@@ -255,12 +255,12 @@ def sets_of(words: Words) -> pa.Array:
     return pa.array([s.astype("<u8").tobytes() for s in shingle_sets(words)], pa.binary())
 
 
-def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, kept of every row; kept: the rows with the class's id. If docs has been numbered,
-    row_ too, and one row of each class is kept."""
-    row = [c for c in docs.columns if c == "row_"]
+def near_classes(docs: DataFrame, recall: float = RECALL, number: str | None = None) -> DataFrame:
+    """doc_id, class_id, n_links, kept of every row; kept: the rows with the class's id. number: the column of the rows' numbers;
+    then they are returned too (row_), and one row of each class is kept."""
+    row = ["row_"] if number else []
     runs, most = runs_for(2, recall), runs_for(DEPTH, recall)
-    rows = settle(described(docs, range(runs)), "rows")
+    rows = settle(described(docs, range(runs), number), "rows")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     nodes = settle(nodes, "nodes")
     ends, splits = leaves_of(nodes.filter("paths is not null"), range(runs))
@@ -306,6 +306,6 @@ def _little_endian(value):
 
 def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
     """The rows that stay, one of each class, with all their columns."""
-    rows = numbered(docs)
-    dropped = near_classes(rows).filter("not kept").select("row_")
-    return without_ids(rows, "row_", settle(dropped, "dropped")).drop("row_")
+    rows, row = numbered(docs)
+    dropped = near_classes(rows, number=row).filter("not kept").select("row_")
+    return without_ids(rows, row, settle(dropped, "dropped")).drop(row)

@@ -128,7 +128,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int) -> list[Example]:
     """A bounded sample of the labelled rows: features are made where the rows are."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
     picked = known.select(F.col("doc_id").alias("picked"), "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "picked").limit(most).drop("h")
-    rows = docs.filter("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("doc_id", "label", "text")
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("doc_id", "label", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

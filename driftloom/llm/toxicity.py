@@ -80,7 +80,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int, terms: tuple[tuple[s
     """A bounded sample of the labelled rows: features are made where the rows are."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.select(F.col("doc_id").alias("picked"), "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "picked").limit(most).drop("h")
-    rows = docs.filter("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("doc_id", "toxic", "text")
 
     def features_of(texts: list[str]) -> list[bytes]:
         feature, owner = word_features(texts, PREFIXES, BITS)

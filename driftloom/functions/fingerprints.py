@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
 #: digest length in bits; 512 for versions on disk, 256 where another engine is to agree
 VERSION_BITS = 512
+#: bytes of names and digests of a parent's children that are put together in memory at most
+SMALL_PARENT = 8 << 20
 
 
 def version(content: Column, bits: int = VERSION_BITS) -> Column:
@@ -28,10 +33,30 @@ def merkle(children: DataFrame, by: list[str], name: str, child_version: str, bi
     """One level of a Merkle tree: by, n, version: for each parent the digest of its children's names and then their raw digests,
     both in an order (by default that of names). Null names and digests add nothing.
 
-    A digest is sequential, so one task reads a parent's children. It reads them as a sorted stream and holds a batch and a
-    state of the hash, however many there are; Spark sorts on disk what memory can't hold.
+    A digest is sequential, so one task reads a parent's children. Parents of up to ``SMALL_PARENT`` bytes of names and digests are put
+    together and hashed by built-in functions. Of larger ones a task reads the children as a sorted stream and holds a batch and
+    a state of the hash, however many there are; Spark sorts on disk what memory can't hold. The children are written before.
     """
     order = order or [name]
+    used = settle(children.select(*dict.fromkeys([*by, *order, name, child_version])))
+    sizes = used.groupBy(*by).agg(F.sum(F.coalesce(F.octet_length(name), F.lit(0)) + F.coalesce(F.octet_length(child_version), F.lit(0)) + 64).alias("bytes"))
+    large = settle(sizes.filter(F.col("bytes") > SMALL_PARENT).drop("bytes"))
+    if large.isEmpty():
+        return _merkle_small(used, by, name, child_version, bits, order)
+    same = lambda a, b: F.lit(True) if not by else functools.reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in by])
+    small = used.join(large, same(used, large), "left_anti")
+    return _merkle_small(small, by, name, child_version, bits, order).union(_merkle_stream(used.join(large, same(used, large), "left_semi"), by, name, child_version, bits, order))
+
+
+def _merkle_small(children: DataFrame, by: list[str], name: str, child_version: str, bits: int, order: list[str]) -> DataFrame:
+    fields = [F.col(c).alias(f"order_{i}") for i, c in enumerate(order)]
+    parts = F.array_sort(F.collect_list(F.struct(*fields, F.coalesce(F.col(name), F.lit("")).alias("name"), F.coalesce(F.col(child_version), F.lit("")).alias("digest"))))
+    grouped = children.groupBy(*by).agg(F.count("*").alias("n"), parts.alias("parts"))
+    joined = lambda field: F.array_join(F.transform("parts", lambda x: x[field]), "")
+    return grouped.select(*by, "n", F.upper(F.sha2(F.concat(F.encode(joined("name"), "UTF-8"), F.unhex(joined("digest"))), bits)).alias("version"))
+
+
+def _merkle_stream(children: DataFrame, by: list[str], name: str, child_version: str, bits: int, order: list[str]) -> DataFrame:
     keys, kinds = [F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], [children.schema[c].dataType.simpleString() for c in by]
     pieces = F.array(*[F.struct(F.lit(part).alias("part"), piece.alias("piece")) for part, piece in enumerate((F.encode(name, "UTF-8"), F.unhex(child_version)))])
     rows = children.select(*keys, *[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)], F.inline(pieces))
@@ -110,6 +135,54 @@ def merkle_tree(files: DataFrame, bits: int = VERSION_BITS) -> DataFrame:
     return found if found is not None else files.select("path", "version").limit(0)
 
 
+def refreshed_tree(files: DataFrame, gone: DataFrame, stored: DataFrame, folders: DataFrame | None = None, bits: int = VERSION_BITS) -> DataFrame:
+    """path, version, recomputed of every directory, from its digest in store where nothing below it changed.
+
+    files: path, version, changed (or new) of all that is there; gone: path of files and directories (with a final ``/``) that no longer are;
+    stored: path, version of the directories then; folders: path of those that are there without files, if they count. What changed
+    marks its ancestors, and so does a directory of which nothing is stored: only these are made anew, from the deepest up, each from its
+    children's digests, made anew or stored. Their number grows with the changes times the depth, not with the tree.
+    """
+    from .paths import HASH_SUFFIX, META_SUFFIX
+
+    name = lambda p: F.regexp_extract(p, "([^/]+)/?$", 1)
+    parent = lambda p: F.regexp_extract(p, "^(.*/)[^/]+/?$", 1)
+    seen = lambda c: ~(name(F.col(c)).startswith(".") | F.lower(c).endswith(HASH_SUFFIX) | F.lower(c).endswith(META_SUFFIX))
+    steps = F.split("path", "/")
+
+    def above(paths: DataFrame) -> DataFrame:
+        """All directories over some paths."""
+        bare = F.split(F.rtrim(F.col("path"), F.lit("/")), "/")
+        ks = F.when(F.size(bare) > 1, F.sequence(F.lit(1), F.size(bare) - 1))
+        return paths.select(F.explode(F.transform(ks, lambda k: F.concat(F.array_join(F.slice(bare, 1, k), "/"), F.lit("/")))).alias("path")).distinct()
+
+    files = settle(files.filter(seen("path")).select("path", "version", "changed"))
+    there = above(files)
+    if folders is not None:
+        there = there.union(folders.select("path")).union(above(folders)).distinct()
+    there = settle(there)
+    new = there.join(stored.select("path"), "path", "left_anti")
+    marks = files.filter("changed").select("path").union(gone.filter(seen("path")).select("path")).union(new)
+    dirty = settle(above(marks).union(new).distinct().join(there, "path", "left_semi").withColumn("depth", F.size(F.split("path", "/"))))
+    clean = there.join(dirty, "path", "left_anti").join(stored.select("path", "version"), "path")
+    # children of dirty directories: files and clean directories at once, dirty ones level by level
+    child = lambda rows, kind: rows.select(parent(F.col("path")).alias("dir"), F.lit(kind).alias("kind"), name(F.col("path")).alias("name"), "version")
+    known = child(files, 0).union(child(clean, 1))
+    pending = settle(known.join(dirty.select(F.col("path").alias("dir")), "dir", "left_semi").withColumn("depth", F.size(F.split("dir", "/"))))
+    out = clean.select("path", "version", F.lit(False).alias("recomputed"))
+    levels = [r[0] for r in dirty.select("depth").distinct().orderBy(F.col("depth").desc()).collect()]  # one entry a level
+    for level in levels:
+        here = pending.filter(F.col("depth") == level)
+        done = merkle(here, ["dir"], "name", "version", bits, ["kind", "name"]).select(F.col("dir").alias("path"), "version")
+        none = F.upper(F.sha2(F.lit(b""), bits))
+        bare = dirty.filter(F.col("depth") == level).select("path").join(here.select(F.col("dir").alias("path")), "path", "left_anti").select("path", none.alias("version"))
+        done = settle(done.union(bare))
+        out = out.union(done.select("path", "version", F.lit(True)))
+        up = child(done, 1).filter("dir <> ''").withColumn("depth", F.size(F.split("dir", "/")))
+        pending = settle(pending.filter(F.col("depth") < level).union(up))
+    return out
+
+
 def signature(command: Column, working_dir: Column, inputs: Column, outputs: Column) -> Column:
     """Signature of a method: its command, working directory, input and output paths in order, without separators."""
     return F.upper(F.sha1(F.encode(F.concat(command, working_dir, F.array_join(inputs, ""), F.array_join(outputs, "")), "UTF-8")))

@@ -5,12 +5,8 @@ An artefact id is a path with ``/`` as delimiter; a final ``/`` marks a director
 
 from __future__ import annotations
 
-import posixpath
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: fixed values: suffixes of side files of this library
 META_SUFFIX, HASH_SUFFIX = ".prov.json", ".hash"
@@ -87,27 +83,41 @@ def full_path(root: Column, artefact_id: Column) -> Column:
     return F.when(absolute, F.concat(slash, artefact_id)).otherwise(F.raise_error(F.concat(F.lit("a relative root: "), root)))
 
 
-@F.pandas_udf(T.StringType())
-def relative_path(base: pd.Series, target: pd.Series) -> pd.Series:
-    """Target relative to the folder that holds base; a final ``/`` is kept."""
+def _steps(path: Column) -> Column:
+    """The steps of a path without empty ones, ``.`` and those that ``..`` takes back."""
 
-    def one(b: str | None, t: str | None) -> str | None:
-        if b is None or t is None:
-            return None
-        out = posixpath.relpath(t, posixpath.dirname(b) or ".")
-        return out + "/" if t.endswith("/") and not out.endswith("/") else out
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+        below_root = (part == "..") & (F.size(done) == 0) & path.startswith("/")
+        shorter = F.slice(done, F.lit(1), F.size(done) - 1)
+        return F.when(part.isin("", ".") | below_root, done).when(up, shorter).otherwise(F.concat(done, F.array(part)))
 
-    return pd.Series([one(b, t) for b, t in zip(base, target, strict=True)], dtype=object)
+    return F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
 
 
-@F.pandas_udf(T.StringType())
-def resolved_id(metadata_path: pd.Series, relative: pd.Series) -> pd.Series:
-    """Id of a path that stands in a metadata file, relative to that file's folder."""
+def _with_slash(joined: Column, path: Column) -> Column:
+    return F.when(path.endswith("/") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
 
-    def one(m: str | None, r: str | None) -> str | None:
-        if m is None or r is None:
-            return None
-        out = posixpath.normpath(posixpath.join(posixpath.dirname(m), r))
-        return out + "/" if r.endswith("/") else out
+def relative_path(base: Column, target: Column) -> Column:
+    """Target relative to the folder that holds base; a final ``/`` is kept. Both are absolute, or both relative to one folder; a folder
+    above that one which base begins with is left by its name only, so that is an error."""
+    folder = F.regexp_extract(base, "^(.*/)?[^/]*$", 1)
+    a, b = _steps(folder), _steps(target)
+    same = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))), F.lit(0),
+        lambda n, i: F.when((n == i - 1) & F.try_element_at(a, i).eqNullSafe(F.try_element_at(b, i)) & F.try_element_at(a, i).isNotNull(), i).otherwise(n),
+    )
+    left = F.slice(a, same + 1, F.size(a))
+    unknown = F.exists(left, lambda x: x == "..")
+    out = F.array_join(F.concat(F.transform(left, lambda _: F.lit("..")), F.slice(b, same + 1, F.greatest(F.size(b), F.lit(1)))), "/")
+    out = _with_slash(F.when(out == "", F.lit(".")).otherwise(out), target)
+    mixed = base.startswith("/") != target.startswith("/")
+    return F.when(unknown | mixed, F.raise_error(F.concat(F.lit("no way from "), base, F.lit(" to "), target))).otherwise(out)
 
-    return pd.Series([one(m, r) for m, r in zip(metadata_path, relative, strict=True)], dtype=object)
+
+def resolved_id(metadata_path: Column, relative: Column) -> Column:
+    """Id of a path that stands in a metadata file, relative to that file's folder."""
+    whole = F.when(relative.startswith("/"), relative).otherwise(F.concat(F.regexp_extract(metadata_path, "^(.*/)?[^/]*$", 1), relative))
+    out = F.concat(F.when(whole.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(_steps(whole), "/"))
+    return _with_slash(F.when(out == "", F.lit(".")).otherwise(out), relative)

@@ -43,20 +43,52 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, level: length of the longest path that ends at it; a cycle is an error.
 
-    Each round takes off the nodes that no remaining node leads to: one join and one write.
+    What comes from nowhere is at level 0, and edges from there come from one place. A node with one place before it hangs on that:
+    such paths and trees are contracted by pointer doubling, so that a chain takes rounds in the logarithm of its
+    length. What is left, nodes with several places before them, is treated again with the lengths of the contracted paths on
+    its edges; parallel edges count as the longest of them. Each time at least one level of such nodes goes.
     """
     edges = settle(edges.select("src", "dst").distinct())
-    rest, done, level = settle(nodes.select("node").distinct()), nodes.select("node", F.lit(0).alias("level")).limit(0), 0
+    nodes = settle(nodes.select("node").distinct())
+    first = settle(nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+    done = first.select("node", F.lit(0).alias("level"))
+    # src is null for the place that all paths begin at
+    rest = edges.join(first.select(F.col("node").alias("src"), F.lit(True).alias("begins")), "src", "left").select(F.when(F.col("begins").isNull(), F.col("src")).alias("src"), "dst", F.lit(1).alias("length"))
+    hanging = None  # node, up, length: nodes that were contracted into one which is still there
     while True:
-        below = edges.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"), F.lit(True).alias("below")).distinct()
-        marked = settle(rest.join(below, "node", "left").select("node", F.coalesce("below", F.lit(False)).alias("below")))
-        waiting, ready = marked.agg(F.count_if("below"), F.count_if(~F.col("below"))).first()
-        if not ready:
-            if waiting:
-                raise ValueError("the graph has a cycle")
-            return done
-        done = done.union(marked.filter("not below").select("node", F.lit(level)))
-        rest, level = marked.filter("below").select("node"), level + 1
+        rest = settle(rest.groupBy("src", "dst").agg(F.max("length").alias("length")))
+        if rest.isEmpty():
+            break
+        single = rest.groupBy("dst").agg(F.count("*").alias("n"), F.first("src").alias("up"), F.first("length").alias("length")).filter("n = 1")
+        pointers = _doubled(single.select(F.col("dst").alias("node"), "up", "length"))
+        if pointers.isEmpty():
+            raise ValueError("the graph has a cycle")
+        moved = pointers.select(F.col("node").alias("at"), F.col("up").alias("to"), F.col("length").alias("more"), F.lit(True).alias("known"))
+        up, length = F.when(F.col("known"), F.col("to")), F.coalesce("more", F.lit(0))
+        if hanging is not None:
+            joined = hanging.join(moved, F.col("up") == F.col("at"), "left")
+            hanging = joined.select("node", F.coalesce(up, F.when(F.col("known").isNull(), F.col("up"))).alias("up"), (F.col("length") + length).alias("length"))
+        hanging = settle(pointers if hanging is None else hanging.union(pointers))
+        done = done.union(hanging.filter("up is null").select("node", F.col("length").alias("level")))
+        hanging = hanging.filter("up is not null")
+        several = rest.join(pointers.select(F.col("node").alias("dst")), "dst", "left_anti").join(moved, F.col("src") == F.col("at"), "left")
+        rest = several.select(F.when(F.col("known"), F.col("to")).otherwise(F.col("src")).alias("src"), "dst", (F.col("length") + length).alias("length"))
+    return done
+
+
+def _doubled(pointers: DataFrame) -> DataFrame:
+    """node, up, length: where each node's pointers lead in the end, and how far; null is the place that all begin at. Each round
+    doubles the way that a pointer goes."""
+    pointers = settle(pointers)
+    rounds = max(1, pointers.count()).bit_length() + 1
+    for _ in range(rounds):
+        next_ = pointers.select(F.col("node").alias("at"), F.col("up").alias("to"), F.col("length").alias("more"))
+        joined = pointers.join(next_, F.col("up") == F.col("at"), "left")
+        met = F.col("at").isNotNull()
+        pointers = settle(joined.select("node", F.when(met, F.col("to")).otherwise(F.col("up")).alias("up"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), met.alias("met")))
+        if pointers.filter("met").isEmpty():
+            return pointers.drop("met")
+    raise ValueError("the graph has a cycle")
 
 
 def counts(link: DataFrame) -> DataFrame:

@@ -79,6 +79,33 @@ def propagate_status(methods: DataFrame, edges: DataFrame, own: DataFrame) -> Da
     return methods.join(own, "method").join(blocked, "method", "left").select("method", status.alias("status"))
 
 
+def propagate_elements(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """method, instance, status of all instances: one that depends on an instance which isn't up to date has outdated inputs.
+
+    own: method, instance (array), status by itself; edges: producer, consumer, shared (how many index parts both have: all of a map's,
+    those of the producer in a scatter, those of the consumer in a reduction). An instance depends on those of the producer that begin
+    with the same shared parts. A frontier of newly outdated instances moves down, its keys cut to the shared parts and each taken once:
+    as many rounds as the longest chain of methods, each a join of what is new, for all methods together.
+    """
+    from ..sources.tables import settle
+
+    own = settle(own.select("method", "instance", "status"))
+    key = lambda n: F.slice("instance", F.lit(1), n)
+    slots = settle(own.join(edges.select(F.col("consumer").alias("method"), "shared").distinct(), "method").select("method", "shared", key(F.col("shared")).alias("key"), "instance"))
+    frontier = settle(own.filter(F.col("status") != UP_TO_DATE).select("method", "instance"))
+    reached, blocked = frontier, None
+    while True:
+        below = frontier.join(edges.withColumnRenamed("producer", "method"), "method").select(F.col("consumer").alias("method"), "shared", key(F.col("shared")).alias("key")).distinct()
+        hit = settle(slots.join(below, ["method", "shared", "key"], "left_semi").select("method", "instance").distinct())
+        blocked = hit if blocked is None else settle(blocked.union(hit).distinct())
+        frontier = settle(hit.join(reached, ["method", "instance"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        reached = settle(reached.union(frontier))
+    marked = own.join(blocked.withColumn("blocked", F.lit(True)), ["method", "instance"], "left")
+    return marked.select("method", "instance", F.when(F.col("blocked"), INPUTS).otherwise(F.col("status")).alias("status"))
+
+
 def record_expectations(old: DataFrame, actual: DataFrame, index: list[str]) -> DataFrame:
     """Expectations after a successful run: the actual versions; those without one are dropped."""
     return old.select(*index, "expected").join(actual.select(*index, "actual"), index, "full_outer").filter("actual is not null").select(*index, F.col("actual").alias("expected"))

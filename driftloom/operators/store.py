@@ -1,12 +1,21 @@
-"""Content-addressed storage: presence, choice of a store, what to save, and reading and writing contents as tables."""
+"""Content-addressed storage: presence, choice of a store, what to save, and archives (stores themselves: ``sources.contents``)."""
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: parts of a stored directory at most
 PARTS = 16
+#: bytes of files of one archive part, about, if parts are made by size; bytes of a chunk of an archive
+PART_BYTES, CHUNK_BYTES = 64 << 20, 1 << 20
 
 
 def store_choice(versions: DataFrame, stored: DataFrame) -> DataFrame:
@@ -35,62 +44,125 @@ def archive_parts(files: DataFrame, by: list[str], order: str, most: int = PARTS
     return files.withColumn("part", ((F.row_number().over(w.orderBy(order)) - 1) % F.least(F.count("*").over(w), F.lit(most))).cast("long"))
 
 
-def save(contents: DataFrame, path: str) -> None:
-    """contents: version, name, content. Appends what is new; each version is one unit, in partitions by its beginning."""
-    spark = contents.sparkSession
-    new = contents.dropDuplicates(["version", "name"])
-    try:
-        new = new.join(spark.read.parquet(path).select("version").distinct(), "version", "left_anti")
-    except Exception as e:  # nothing is stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    new.withColumn("shard", F.left("version", F.lit(2))).write.mode("append").partitionBy("shard").parquet(path)
+def archive_runs(files: DataFrame, by: list[str], name: str, size: str, most_bytes: int = PART_BYTES) -> DataFrame:
+    """by, name, part: runs of a directory's files in order of name, each of about so many bytes at most (or one file).
 
-
-def load(versions: DataFrame, path: str) -> DataFrame:
-    """version, name, content of the wanted versions."""
-    spark = versions.sparkSession
-    wanted = versions.select("version", F.left("version", F.lit(2)).alias("shard")).distinct()
-    return spark.read.parquet(path).join(wanted, ["shard", "version"]).drop("shard")
+    A part is known from the sizes of the files before, whose sum runs on through the directory; sizes only are sorted.
+    """
+    order = Window.partitionBy(*by).orderBy(name)
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.select(*by, name, size).withColumn("part", F.floor(before / most_bytes).cast("long")).drop(size)
 
 
 def archive(files: DataFrame, by: list[str], name: str) -> DataFrame:
-    """by, archive: a zip of the files (name, content) of each group, names relative to it. A group must fit in a task: archive_parts
-    deals a large directory to several."""
-    import pandas as pd
+    """by, part, chunk, data: a zip of the files (name, content) of each (by, part), names in order, as chunks of some MB.
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        import io
-        import zipfile
+    A task writes the parts that come to it as streams of files sorted by name: it holds a batch of files and a chunk.
+    """
+    keys = [*by, "part"]
+    kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keys)
+    ordered = files.select(*keys, name, "content").repartition(*keys).sortWithinPartitions(*keys, name)
+    return ordered.mapInArrow(zipped(keys, name), f"{kinds}, chunk int, data binary")
 
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
-            for entry, content in sorted(zip(group[name], group["content"], strict=True)):
-                z.writestr(zipfile.ZipInfo(entry), content, zipfile.ZIP_DEFLATED, 1)
-        return group[by].head(1).assign(archive=[out.getvalue()])
 
-    kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in by)
-    return files.select(*by, name, "content").groupBy(*by).applyInPandas(pack, f"{kinds}, archive binary")
+class _Chunks(io.RawIOBase):
+    """What is written, cut into chunks that are taken out as soon as they are full."""
 
+    def __init__(self, size: int):
+        self.size, self.held, self.full = size, bytearray(), []
 
-def extract(archives: DataFrame, by: list[str], name: str) -> DataFrame:
-    """by, name, content of every file in the archives."""
-    from collections.abc import Iterator
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        view = memoryview(data).cast("B")
+        for at in range(0, len(view), self.size):
+            self.held += view[at : at + self.size]
+            while len(self.held) >= self.size:
+                self.full.append(bytes(self.held[: self.size]))
+                del self.held[: self.size]
+        return len(view)
 
-    import pandas as pd
+    def taken(self, end: bool = False) -> list[bytes]:
+        out, self.full = self.full, []
+        if end and self.held:
+            out.append(bytes(self.held))
+            self.held = bytearray()
+        return out
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
+
+def zipped(keys: list[str], name: str, chunk_bytes: int = CHUNK_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of sorted (keys, name, content) to (keys, chunk, data): a zip for each run of equal keys."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zipfile
 
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(row.archive)) as z:
-                    for entry in z.namelist():
-                        yield pd.DataFrame([[*row[: len(by)], entry, z.read(entry)]], columns=[*by, name, "content"])
+        import pyarrow as pa
+
+        key, out, archive_, n, types = None, None, None, 0, []
+
+        def batch(chunks: list[bytes], first: int) -> Iterator[pa.RecordBatch]:
+            for i, data in enumerate(chunks):
+                columns = [pa.array([v], t) for v, t in zip(key, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([first + i], pa.int32()), pa.array([data], pa.binary())], [*keys, "chunk", "data"])
+
+        for rows in batches:
+            types = [rows.column(c).type for c in keys]
+            columns = [rows.column(c).to_pylist() for c in keys]
+            for i in range(rows.num_rows):
+                here = tuple(c[i] for c in columns)
+                if archive_ is None or here != key:
+                    if archive_ is not None:
+                        archive_.close()
+                        yield from batch(out.taken(end=True), n)
+                    key, n, out = here, 0, _Chunks(chunk_bytes)
+                    archive_ = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
+                with archive_.open(zipfile.ZipInfo(rows.column(name)[i].as_py()), "w") as entry:
+                    content = rows.column("content")[i].as_buffer() if rows.column("content")[i].is_valid else b""
+                    view = memoryview(content)
+                    for at in range(0, len(view), chunk_bytes):
+                        entry.write(view[at : at + chunk_bytes])
+                chunks = out.taken()
+                yield from batch(chunks, n)
+                n += len(chunks)
+        if archive_ is not None:
+            archive_.close()
+            yield from batch(out.taken(end=True), n)
+
+    return stream
+
+
+def extract(archives: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, part, name, content of every file in the archives (by, part, chunk, data). A task holds one part, and yields a file at a time."""
+    keys = [*by, "part"]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zipfile
 
-    kinds = ", ".join(f"`{c}` {archives.schema[c].dataType.simpleString()}" for c in by)
-    return archives.select(*by, "archive").mapInPandas(unpack, f"{kinds}, `{name}` string, content binary")
+        import pyarrow as pa
+
+        key, held, types = None, io.BytesIO(), []
+
+        def contents() -> Iterator[pa.RecordBatch]:
+            with zipfile.ZipFile(held) as z:
+                for entry in z.namelist():
+                    columns = [pa.array([v], t) for v, t in zip(key, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([entry], pa.string()), pa.array([z.read(entry)], pa.binary())], [*keys, name, "content"])
+
+        for rows in batches:
+            types = [rows.column(c).type for c in keys]
+            for *here, data in zip(*(rows.column(c).to_pylist() for c in (*keys, "data")), strict=True):
+                if key is not None and tuple(here) != key:
+                    yield from contents()
+                    held = io.BytesIO()
+                key = tuple(here)
+                held.write(data)
+        if key is not None:
+            yield from contents()
+
+    kinds = ", ".join(f"`{c}` {archives.schema[c].dataType.simpleString()}" for c in keys)
+    ordered = archives.select(*keys, "chunk", "data").repartition(*keys).sortWithinPartitions(*keys, "chunk")
+    return ordered.mapInArrow(stream, f"{kinds}, `{name}` string, content binary")
 
 
 #: lines around the entries that are managed for the user

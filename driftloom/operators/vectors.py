@@ -5,8 +5,12 @@ All operators are joins, groupings and generators that Catalyst plans; indices a
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 PROCESS, DELETE = "Process", "Delete"
 
@@ -48,6 +52,50 @@ def reduce_to(elements: DataFrame, prefix: list[str], order: str, value: str, na
     return elements.groupBy(*prefix).agg(F.array_join(F.transform(ordered, lambda x: x[value]), separator).alias(name))
 
 
+def reduce_level(elements: DataFrame, rank: int, value: str, parents: DataFrame | None = None) -> DataFrame:
+    """index (one part shorter), values: the last dimension of a vector of some rank gathered in order of its index parts, as an array of
+    (key, value). parents: indices of what is there without elements, which gets an empty array.
+
+    An index of another length is an error: levels that mix values and vectors have no order. A value should be small (a version, a
+    path, a number): contents of elements are joined when they are needed.
+    """
+    right = F.size("index") == rank
+    error = F.raise_error(F.concat(F.lit("a ragged vector: "), F.array_join("index", "/"), F.lit(f" among indices of {rank} parts")))
+    index = F.when(right, F.col("index")).otherwise(error.cast("array<string>"))
+    rows = elements.select(index.alias("index"), F.col(value).alias("value"))
+    last = F.element_at("index", rank).alias("key")
+    grouped = rows.select(F.slice("index", 1, rank - 1).alias("index"), F.struct(last, "value").alias("pair")).groupBy("index").agg(F.array_sort(F.collect_list("pair")).alias("values"))
+    if parents is None:
+        return grouped
+    every = parents.select("index").distinct().join(grouped, "index", "full_outer")
+    none = F.array().cast(grouped.schema["values"].dataType)
+    return every.select("index", F.coalesce("values", none).alias("values"))
+
+
+def scatter_table(elements: DataFrame, index: list[str], order: str, value: str, function: Callable[[str], list[str]]) -> DataFrame:
+    """index, position, piece: a table function over partitions by index. It sees a partition's values in an order, one at a time, and
+    counts the pieces that the function makes of them on through the whole partition. The schema comes from the table's."""
+    from pyspark.sql.functions import udtf
+
+    class Pieces:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, *_: AnalyzeArgument) -> AnalyzeResult:
+            kinds = {f.name: f for f in rows.dataType.fields}
+            fields = [StructField(c, kinds[c].dataType) for c in index]
+            return AnalyzeResult(StructType([*fields, StructField("position", LongType()), StructField("piece", StringType())]))
+
+        def __init__(self) -> None:
+            self.n = 0
+
+        def eval(self, row) -> Iterator[tuple]:
+            for piece in function(row[value]) if row[value] is not None else []:
+                yield (*[row[c] for c in index], self.n, piece)
+                self.n += 1
+
+    rows = elements.select(*dict.fromkeys([*index, order, value])).asTable()
+    return udtf(Pieces)(rows.partitionBy(*index).orderBy(order))
+
+
 def same_rank(elements: DataFrame, index: str) -> DataFrame:
     """The elements; an error if their indices differ in length."""
     ranks = elements.agg(F.count_distinct(F.size(index)).alias("ranks"))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, fingerprints, paths
 from ..operators import lineage, staleness, store, vectors
-from ..sources import patterns
-from ..sources.tables import table
+from ..sources import files, patterns, roots
+from ..sources.contents import ContentStore
+from ..sources.expectations import Expectations
+from ..sources.tables import new_folder, table
+from ..streaming import status as arrivals
 from . import snapshot
 from .snapshot import INDEX, digest
 
@@ -115,18 +118,24 @@ def vector_index_scan(spark, folder):
     return rows.select("doc_id", paths.apply_index(pattern, index).alias("path"), F.array_join(index, "/").alias("joined_index"), paths.rank(pattern).alias("rank"))
 
 
-#: patterns for queries on literals
-PATTERNS = ("a.txt", "data/*.txt", "source/*/data/*/*.csv", "*/", "dir/*/sub/", "plain/dir/", "*/*/*.txt")
-PATTERN_SQL = ", ".join(f"('{p}')" for p in PATTERNS)
+#: patterns of six shapes, one for each document
+PATTERN_SQL = """
+  select doc_id, case doc_id % 6 when 0 then lang || '/' || source || '.txt' when 1 then lang || '/*.txt' when 2 then source || '/*/' || lang || '/*/*.csv'
+    when 3 then lang || '/*/' || source || '/' when 4 then lang || '/' || source || '/' else '*/*/' || doc_id || '.txt' end as pattern from documents"""
 
 
-def _patterns(spark):
-    return spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+def _patterns(spark, folder):
+    lang, source, k = F.col("lang"), F.col("source"), F.col("doc_id") % 6
+    pattern = (
+        F.when(k == 0, F.concat(lang, F.lit("/"), source, F.lit(".txt"))).when(k == 1, F.concat(lang, F.lit("/*.txt"))).when(k == 2, F.concat(source, F.lit("/*/"), lang, F.lit("/*/*.csv")))
+        .when(k == 3, F.concat(lang, F.lit("/*/"), source, F.lit("/"))).when(k == 4, F.concat(lang, F.lit("/"), source, F.lit("/"))).otherwise(F.concat(F.lit("*/*/"), "doc_id", F.lit(".txt")))
+    )
+    return table(spark, folder, "documents").select("doc_id", pattern.alias("pattern"))
 
 
-@query(f"select pattern, cast(len(pattern) - len(replace(pattern, '*', '')) as integer) as rank from (values {PATTERN_SQL}) t(pattern)")
+@query(f"select doc_id, pattern, cast(len(pattern) - len(replace(pattern, '*', '')) as integer) as rank from ({PATTERN_SQL})")
 def vector_rank(spark, folder):
-    return _patterns(spark).select("pattern", paths.rank(F.col("pattern")).alias("rank"))
+    return _patterns(spark, folder).select("doc_id", "pattern", paths.rank(F.col("pattern")).alias("rank"))
 
 
 @query("""
@@ -137,11 +146,23 @@ def apply_index(spark, folder):
 
 
 @query(f"""
-with b as (select pattern, case when ends_with(pattern, '/') then left(pattern, len(pattern) - 1) else pattern end as bare from (values {PATTERN_SQL}) t(pattern)),
-s as (select pattern, case when instr(bare, '*') > 0 then left(bare, instr(bare, '*') - 1) || replace(replace(substr(bare, instr(bare, '*')), '/', '-'), '*', 'vector') else bare end as stem from b)
-select pattern, stem || '.prov.json' as metadata, stem || '.hash' as hashes from s""")
+with b as (select doc_id, pattern, case when ends_with(pattern, '/') then left(pattern, len(pattern) - 1) else pattern end as bare from ({PATTERN_SQL})),
+s as (select doc_id, pattern, case when instr(bare, '*') > 0 then left(bare, instr(bare, '*') - 1) || replace(replace(substr(bare, instr(bare, '*')), '/', '-'), '*', 'vector') else bare end as stem from b)
+select doc_id, pattern, stem || '.prov.json' as metadata, stem || '.hash' as hashes from s""")
 def sidecar_name(spark, folder):
-    return _patterns(spark).select("pattern", paths.metadata_file(F.col("pattern")).alias("metadata"), paths.hash_file(F.col("pattern")).alias("hashes"))
+    return _patterns(spark, folder).select("doc_id", "pattern", paths.metadata_file(F.col("pattern")).alias("metadata"), paths.hash_file(F.col("pattern")).alias("hashes"))
+
+
+@query("""
+with p as (select page_id, 'site/' || split_part(url, '/', 3) || '/m.prov.json' as base, 'site/' || case when page_id % 2 = 0 then split_part(url, '/', 3) else 'other' end || '/' || page_id || '.html' as target from pages)
+select page_id, case when page_id % 2 = 0 then page_id || '.html' else '../other/' || page_id || '.html' end as relative, target as resolved from p""")
+def relative_paths(spark, folder):
+    """Ids as they stand in a metadata file beside, and back."""
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    base = F.concat(F.lit("site/"), host, F.lit("/m.prov.json"))
+    target = F.concat(F.lit("site/"), F.when(F.col("page_id") % 2 == 0, host).otherwise("other"), F.lit("/"), "page_id", F.lit(".html"))
+    rows = table(spark, folder, "pages").select("page_id", base.alias("base"), paths.relative_path(base, target).alias("relative"))
+    return rows.select("page_id", "relative", paths.resolved_id(F.col("base"), F.col("relative")).alias("resolved"))
 
 
 @query("select part, split_part(part, '.', 1) as stem from (select p_name || '.' || p_brand || '.txt' as part from part)")
@@ -497,10 +518,11 @@ def ignore_list_section(spark, folder):
 
 @query("select lang, source, cast(doc_id as varchar) as name, upper(sha256(text)) as version from documents")
 def archive_round_trip(spark, folder):
-    """Documents zipped by language and source, in parts, and taken out again."""
+    """Documents zipped by language and source, in parts of some size, and taken out again."""
     rows = table(spark, folder, "documents").select("lang", "source", F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("content"))
-    parts = store.archive_parts(rows, ["lang", "source"], "name")
-    back = store.extract(store.archive(parts, ["lang", "source", "part"], "name"), ["lang", "source", "part"], "name")
+    keys = ["lang", "source"]
+    runs = store.archive_runs(rows.withColumn("size", F.octet_length("content")), keys, "name", "size", 1 << 20)
+    back = store.extract(store.archive(rows.join(runs, [*keys, "name"]), keys, "name"), keys, "name")
     return back.select("lang", "source", "name", fingerprints.version(F.col("content"), 256).alias("version"))
 
 
@@ -551,22 +573,29 @@ def provenance_closure(spark, folder):
     return lineage.closure(edges, roots).select("node")
 
 
-TABLE_EDGES = (("region", "nation"), ("nation", "customer"), ("nation", "supplier"), ("customer", "orders"), ("orders", "lineitem"), ("supplier", "lineitem"), ("part", "lineitem"))
-TABLE_EDGES_SQL = ", ".join(f"('{a}', '{b}')" for a, b in TABLE_EDGES)
-
-
 @query(f"""
-with recursive e(src, dst) as (values {TABLE_EDGES_SQL}),
+with recursive {KEYS_SQL},
 r(node, level) as (
-  select distinct src, 0 from e where src not in (select dst from e)
-  union all select dst, level + 1 from r join e on src = r.node)
+  select 'region/' || r_regionkey, 0 from region
+  union all select dst, level + 1 from r join edges on src = r.node where dst not like 'line/%')
 select node, cast(max(level) as integer) as level from r group by node""")
 def topo_levels(spark, folder):
-    edges = spark.createDataFrame(list(TABLE_EDGES), "src string, dst string")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    """Regions, nations, suppliers, customers and orders by their place in the order of dependence."""
+    edges = _keys(spark, folder).filter("dst not like 'line/%'")
+    nodes = table(spark, folder, "region").select(F.concat(F.lit("region/"), "r_regionkey").alias("node")).union(edges.select("dst"))
     return lineage.levels(edges, nodes)
 
 
+@query("""
+select 'order/' || o_orderkey as node, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as integer) as level from orders""")
+def order_chain_levels(spark, folder):
+    """Each order of a customer builds on the one before: chains as long as a customer has orders."""
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.concat(F.lit("order/"), "o_orderkey").alias("node"))
+    before = F.lag("node").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = orders.select(before.alias("src"), F.col("node").alias("dst")).filter("src is not null")
+    return lineage.levels(edges, orders.select("node"))
+
+
 @query("select l_orderkey as method, min('line/' || l_orderkey || '-' || l_linenumber) as method_id from lineitem group by 1")
 def method_ids(spark, folder):
     outputs = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("method"), F.concat(F.lit("line/"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("artefact"))
@@ -640,3 +669,211 @@ def methods_replaced(spark, folder):
     orders = table(spark, folder, "orders").filter("o_orderstatus = 'P'")
     new = orders.select(F.concat(F.lit("order/"), "o_orderkey").alias("method"), F.lit("out").alias("role"), F.lit(1).alias("port"), F.concat(F.lit("again/"), "o_orderkey").alias("artefact"))
     return lineage.add_methods(_links(spark, folder).distinct(), new)
+
+
+# ---- files, stores and recorded versions on disk
+
+
+def _on_disk(spark, folder):
+    """The documents as files raw/<lang>/<source>/<doc_id>.txt under a root in the shared folder."""
+    root = new_folder(spark, "files")
+    rows = table(spark, folder, "documents").select(F.array("lang", "source", F.col("doc_id").cast("string")).alias("index"), F.col("text").alias("content"))
+    files.write(rows, root, "raw/*/*/*.txt")
+    return root
+
+
+@query("select lang as index_1, source as index_2, cast(doc_id as varchar) as index_3, cast(strlen(text) as bigint) as length, upper(sha256(text)) as version from documents")
+def files_by_pattern(spark, folder):
+    """Documents written as files and read by a pattern."""
+    rows = files.read(spark, _on_disk(spark, folder), "raw/*/*/*.txt")
+    return rows.select("index_1", "index_2", "index_3", "length", fingerprints.version(F.col("content"), 256).alias("version"))
+
+
+@query("select source as index_2, count(*) as n, sum(strlen(text))::bigint as bytes from documents where lang = 'de' and source in ('src1', 'src2', 'src3') group by source")
+def files_of_some_folders(spark, folder):
+    """Filters on index parts reach the listing: other folders aren't looked at."""
+    rows = files.read(spark, _on_disk(spark, folder), "raw/*/*/*.txt", content=False)
+    return rows.filter("index_1 = 'de' and index_2 in ('src1', 'src2', 'src3')").groupBy("index_2").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+@query(None)
+def directories_on_disk(spark, folder):
+    """Digests of all directories of the documents' files, by a cache that a second run uses: nothing is computed again."""
+    root = _on_disk(spark, folder)
+    first = patterns.cached_digests(spark, root).filter("relative like '%/' or relative = ''").select("relative", "version")
+    again = patterns.cached_digests(spark, root).select("relative", F.col("version").alias("again"), "recomputed")
+    return first.join(again, "relative").select("relative", "version", (F.col("version") == F.col("again")).alias("same"), "recomputed")
+
+
+PAGES_TREE = """
+  select 'site/' || split_part(url, '/', 3) || '/' || page_id % 20 || '/' || page_id || '.html' as path, page_id,
+    sha256(html) as now, sha256(case when page_id % 97 = 5 then html || '#' else html end) as was from pages"""
+
+
+@query(f"""
+with f as ({PAGES_TREE}),
+l3 as (
+  select regexp_extract(path, '^(.*/)[^/]+$', 1) as dir, unhex(sha256(encode(string_agg(regexp_extract(path, '[^/]+$'), '' order by regexp_extract(path, '[^/]+$'))) || unhex(string_agg(now, '' order by regexp_extract(path, '[^/]+$'))))) as v,
+    bool_or(page_id % 97 = 5) as recomputed from f where page_id % 89 <> 7 group by 1),
+g as (select regexp_extract(path, '^(.*/)[^/]+$', 1) as dir, bool_or(page_id % 89 = 7) as lost from f group by 1),
+d3 as (select l3.dir, v, recomputed or lost as recomputed from l3 join g on l3.dir = g.dir),
+u2 as (select regexp_extract(dir, '^(.*/)[^/]+/$', 1) as up, bool_or(lost) as lost from g group by 1),
+d2 as (
+  select up as dir, unhex(sha256(encode(string_agg(name, '' order by name)) || unhex(string_agg(hex(v), '' order by name)))) as v, bool_or(recomputed) as recomputed
+  from (select regexp_extract(dir, '^(.*/)[^/]+/$', 1) as up, regexp_extract(dir, '([^/]+)/$', 1) as name, v, recomputed from d3) group by up),
+e2 as (select d2.dir, v, recomputed or lost as recomputed from d2 join u2 on d2.dir = u2.up),
+d1 as (
+  select 'site/' as dir, unhex(sha256(encode(string_agg(name, '' order by name)) || unhex(string_agg(hex(v), '' order by name)))) as v, bool_or(recomputed) or (select bool_or(lost) from g) as recomputed
+  from (select regexp_extract(dir, '([^/]+)/$', 1) as name, v, recomputed from e2))
+select dir as path, hex(v) as version, recomputed from d3 union all select dir, hex(v), recomputed from e2 union all select dir, hex(v), recomputed from d1""")
+def refreshed_directories(spark, folder):
+    """Pages as files by site and shelf: some have changed, some are gone; only directories above these are made again."""
+    pages = table(spark, folder, "pages")
+    path = F.concat(F.lit("site/"), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/"), F.col("page_id") % 20, F.lit("/"), "page_id", F.lit(".html")).alias("path")
+    changed = F.col("page_id") % 97 == 5
+    old = pages.select(path, digest(F.when(changed, F.concat("html", F.lit("#"))).otherwise(F.col("html"))).alias("version"))
+    now = pages.filter("page_id % 89 <> 7").select(path, digest(F.col("html")).alias("version"), changed.alias("changed"))
+    return fingerprints.refreshed_tree(now, pages.filter("page_id % 89 = 7").select(path), fingerprints.merkle_tree(old, 256), bits=256)
+
+
+@query("""
+with v as (select upper(sha256(text)) as version, text from documents where doc_id % 3 <> 1)
+select version, cast(max(strlen(text)) as bigint) as bytes from v where version in (select upper(sha256(text)) from documents d join labels l on d.doc_id = l.doc_id) group by version""")
+def store_log(spark, folder):
+    """Contents saved in three manifests, put into one, and those of labelled documents loaded."""
+    documents = table(spark, folder, "documents")
+    kept = ContentStore(spark, new_folder(spark, "store"))
+    for part in ("doc_id % 3 = 0", "doc_id % 2 = 0 and doc_id % 3 <> 1", "doc_id % 3 <> 1"):
+        kept.save(documents.filter(part).select(digest(F.col("text")).alias("version"), F.encode("text", "UTF-8").alias("content")))
+    kept.compact()
+    wanted = documents.join(table(spark, folder, "labels"), "doc_id").select(digest(F.col("text")).alias("version"))
+    return kept.load(wanted).select("version", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query("""
+select lang || '/' || source || '/' || doc_id as element, case when source = 'src3' then actual else expected end as expected from elements
+where case when source = 'src3' then actual else expected end is not null""", True)
+def expectations_on_disk(spark, folder):
+    """Recorded versions in buckets; a run saw the present documents of one source, so only its buckets are written again."""
+    recorded = Expectations(spark, new_folder(spark, "expected"), buckets=64)
+    index = F.array("source", "lang", F.col("doc_id").cast("string"))
+    rows = lambda df, version: df.select(F.lit("documents").alias("method"), F.lit("out").alias("role"), F.lit(1).alias("port"), index.alias("instance"), index.alias("index"), F.col(version).alias("expected"))
+    old, now = rows(snapshot.expected(spark, folder), "expected"), rows(snapshot.item(spark, folder), "actual").filter("instance[0] = 'src3'")
+    recorded.replace(old, old)
+    touched = old.filter("instance[0] = 'src3'").select("method", "instance").union(now.select("method", "instance"))
+    recorded.replace(touched, now)
+    i = F.col("index")
+    return recorded.read().select(F.concat_ws("/", i[1], i[0], i[2]).alias("element"), "expected")
+
+
+@query("""
+, own as (select lang, source, doc_id, case when status in ('Local', 'Remote') then 'UpToDate' else 'OutputsOutdated' end as status from status),
+s as (select lang, source, bool_or(status <> 'UpToDate') as bad from own group by 1, 2),
+p as (select own.lang, own.source, doc_id, bad, doc_id % 7 = 0 as self from own join s on own.lang = s.lang and own.source = s.source),
+l as (select lang, bool_or(bad or self) as bad from p group by lang)
+select 'clean' as method, lang || '/' || source || '/' || doc_id as instance, status from own
+union all select 'by source', lang || '/' || source, case when bad then 'InputsOutdated' else 'UpToDate' end from s
+union all select 'spread', lang || '/' || source || '/' || doc_id, case when bad then 'InputsOutdated' when self then 'OutputsOutdated' else 'UpToDate' end from p
+union all select 'by language', lang, case when bad then 'InputsOutdated' else 'UpToDate' end from l
+union all select 'all', '', case when (select bool_or(bad) from l) then 'InputsOutdated' else 'UpToDate' end""", True)
+def element_status(spark, folder):
+    """Documents are cleaned, reduced by source, spread again, and reduced by language and to one: states of all instances."""
+    rows = _elements(spark, folder)
+    status = staleness.link_status(rows)
+    index = F.array("lang", "source", F.col("doc_id").cast("string"))
+    clean = rows.select(index.alias("index"), "doc_id", F.when(status.isin(staleness.LOCAL, staleness.REMOTE), staleness.UP_TO_DATE).otherwise(staleness.OUTPUTS).alias("status"))
+    own = clean.select(F.lit("clean").alias("method"), F.col("index").alias("instance"), "status")
+    own = own.union(clean.select(F.lit("spread"), "index", F.when(F.col("doc_id") % 7 == 0, staleness.OUTPUTS).otherwise(staleness.UP_TO_DATE)))
+    for method, rank in (("by source", 2), ("by language", 1), ("all", 0)):
+        own = own.union(clean.select(F.lit(method), F.slice("index", 1, rank), F.lit(staleness.UP_TO_DATE)).distinct())
+    edges = spark.createDataFrame([("clean", "by source", 2), ("by source", "spread", 2), ("spread", "by language", 1), ("by language", "all", 0)], "producer string, consumer string, shared int")
+    return staleness.propagate_elements(own, edges).select("method", F.array_join("instance", "/").alias("instance"), "status")
+
+
+# ---- vectors in depth
+
+
+@query("""
+with p as (select conv_id, turn, unnest(string_split(text, ' ')) as piece, unnest(range(1, len(string_split(text, ' ')) + 1)) as i from conversations where text is not null)
+select conv_id, cast(row_number() over (partition by conv_id order by turn, i) - 1 as bigint) as position, piece from p""")
+def scatter_by_table_function(spark, folder):
+    """Words of a conversation, counted on through its turns, by a table function over partitions."""
+    return vectors.scatter_table(table(spark, folder, "conversations"), ["conv_id"], "turn", "text", lambda text: text.split(" "))
+
+
+@query("""
+with d as (select lang, source, cast(doc_id as varchar) as k, left(sha256(text), 8) as v from documents),
+s as (select lang, source, count(*) as n, string_agg(k || ':' || v, ',' order by k collate "C") as one from d group by lang, source)
+select lang, cast(sum(n) as bigint) as n, count(*) as sources, string_agg(source || '{' || one || '}', ';' order by source collate "C") as nested from s group by lang""")
+def reduce_twice(spark, folder):
+    """Documents' short versions, reduced by source and then by language, in order of the keys of each level."""
+    index = F.array("lang", "source", F.col("doc_id").cast("string"))
+    leaves = table(spark, folder, "documents").select(index.alias("index"), F.left(F.sha2(F.encode("text", "UTF-8"), 256), F.lit(8)).alias("v"))
+    by_source = vectors.reduce_level(leaves, 3, "v")
+    by_lang = vectors.reduce_level(by_source, 2, "values")
+    inner = lambda pairs: F.array_join(F.transform(pairs, lambda x: F.concat(x["key"], F.lit(":"), x["value"])), ",")
+    nested = F.array_join(F.transform("values", lambda x: F.concat(x["key"], F.lit("{"), inner(x["value"]), F.lit("}"))), ";")
+    n = F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + F.size(x["value"]))
+    return by_lang.select(F.col("index")[0].alias("lang"), n.alias("n"), F.size("values").cast("long").alias("sources"), nested.alias("nested"))
+
+
+# ---- whole flows
+
+
+TALK_SQL = """
+with t as (select cast(conv_id as varchar) as c, cast(turn as varchar) as n, replace(coalesce(text, ''), 'e', 'E') as text from conversations)
+select c as conv, count(*) as turns, string_agg(text, '' order by n collate "C") as text from t {where} group by c"""
+
+
+@query(f"""
+with before as ({TALK_SQL.format(where="")}), after as ({TALK_SQL.format(where="where cast(n as integer) <> 1 or cast(c as bigint) % 10 <> 3")})
+select a.conv, a.text, (select cast(count(*) as bigint) from conversations) as mapped_first, (select count(*) from before) as reduced_first, cast(0 as bigint) as mapped_then,
+  (select count(*) from after x join before y on x.conv = y.conv where x.turns <> y.turns) as reduced_then from after a""")
+def flow_over_files(spark, folder):
+    """Turns as files, with capital E's and joined by conversation; some turns go and what depends on them runs again; contents are saved,
+    their files deleted, and restored. With the numbers of instances that ran."""
+    from .flow import Flow
+
+    root = new_folder(spark, "flow")
+    roots.initialise(root)
+    turns = table(spark, folder, "conversations").select(F.array(F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("index"), F.coalesce("text", F.lit("")).alias("content"))
+    files.write(turns, root, "talk/*/*.txt")
+    capitals = lambda rows: rows.select("index", F.replace("content", F.lit("e"), F.lit("E")).alias("content"))
+
+    def joined(rows):
+        return vectors.reduce_level(rows, 2, "content").select("index", F.array_join(F.transform("values", lambda x: x["value"]), "").alias("content"))
+
+    ran = []
+    for gone in (None, turns.filter("index[1] = '1' and cast(index[0] as long) % 10 = 3").select("index", F.lit(None).cast("string").alias("content"))):
+        if gone is not None:
+            files.write(gone, root, "talk/*/*.txt")
+        flow = Flow.open(spark, root)
+        flow.build(["talk/*/*.txt"], ["said/*/*.txt"], capitals, "capitals")
+        flow.build(["said/*/*.txt"], ["conv/*.txt"], joined, "joined")
+        flow.scan("talk/*/*.txt", text=True)
+        ran.append(flow.compute("conv/*.txt"))
+    flow.save("conv/*.txt")
+    flow.remove("conv/*.txt")
+    flow.restore("conv/*.txt")
+    numbers = [F.lit(ran[k][m]).cast("long").alias(f"{name}_{when}") for k, when in ((0, "first"), (1, "then")) for m, name in (("said/*/*.txt", "mapped"), ("conv/*.txt", "reduced"))]
+    return files.read(spark, root, "conv/*.txt").select(F.col("index_1").alias("conv"), F.decode("content", "UTF-8").alias("text"), *numbers)
+
+
+@query("select lang || '/' || source || '/' || doc_id as element, expected, actual, status from status where expected is not null or actual is not null", True)
+def arriving_status(spark, folder):
+    """What is expected, stored and there is reported in three batches, which a stateful stream takes in one after the other."""
+    name = F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("element")
+    reports, marks, out = (new_folder(spark, x) for x in ("reports", "marks", "changes"))
+    expected, there = snapshot.expected(spark, folder).select(name, "expected"), snapshot.item(spark, folder).select(name, "actual")
+    report = lambda rows, kind, version, seq: rows.select("element", F.lit(kind).alias("kind"), F.col(version).alias("version"), F.lit(seq).cast("long").alias("seq"))
+    held = expected.join(snapshot.stored(spark, folder).select(F.col("version").alias("expected")).distinct(), "expected", "left_semi")
+    early = there.filter("substr(actual, 1, 1) < '8'")
+    batches = (
+        report(expected, "expected", "expected", 1).union(report(there.withColumn("old", F.lit("OLD")), "actual", "old", 1)),
+        report(held, "stored", "expected", 2).union(report(early, "actual", "actual", 2)),
+        report(there, "actual", "actual", 3),
+    )
+    for rows in batches:
+        rows.write.mode("append").parquet(reports)
+        arrivals.follow(spark.readStream.schema(arrivals.REPORT).parquet(reports), marks, out)
+    return arrivals.latest(spark.read.parquet(out))

@@ -1,10 +1,15 @@
 """Incremental recomputation of methods over indexed collections.
 
-An artefact is a DataFrame (index array<string>, content string). A method maps its inputs to its outputs, instance by
+An artefact is a DataFrame (index array<string>, content string or binary). A method maps its inputs to its outputs, instance by
 instance: an instance is an index of length min(rank of inputs, rank of outputs). ``status`` compares present versions
 with those that the method last saw; ``compute`` runs methods on stale instances only, takes what is missing but
 stored from the store, drops outputs of vanished inputs, and records what was seen. Methods are ordered by level on
 the driver (one entry a method); elements stay in DataFrames.
+
+A flow with a root takes its artefacts from files (``scan``) and puts what it makes in place as files: those of the instances that ran, and
+no others, in one job for each output. What methods saw is then kept in the root too, in buckets of which a run rewrites those of
+the instances that it touched; ``Flow.open`` goes on from there in another session. Contents are saved to the stores that the
+configuration names, each a log of manifests in its own folder.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fingerprints import version
-from ..operators.staleness import ALL_EXIST, INPUTS, OUTPUTS, UP_TO_DATE, group_decision, presence
-from ..sources import metadata
-from ..sources.roots import Config, filesystem
-from ..sources.tables import settle
+from ..operators.staleness import ALL_EXIST, INPUTS, OUTPUTS, UP_TO_DATE, group_decision, presence, propagate_elements
+from ..sources import files, metadata
+from ..sources.contents import ContentStore
+from ..sources.expectations import Expectations
+from ..sources.roots import FOLDER, Config, filesystem, open_root
+from ..sources.tables import new_folder, settle
 
 #: (instance array<string>, and of each input the columns index_k, content_k) -> (index array<string>, content)
 Function = Callable[..., DataFrame]
@@ -58,18 +65,46 @@ class Flow:
     spark: SparkSession
     artefacts: dict[str, DataFrame] = field(default_factory=dict)
     methods: dict[str, Method] = field(default_factory=dict)
-    stored: DataFrame | None = None  # version, content, storage_name
+    root: str | None = None  # of a flow whose artefacts are files
     config: Config = field(default_factory=Config)
     tracked: set[str] = field(default_factory=set)  # artefacts that have ever been saved
     seen: dict[str, DataFrame] = field(default_factory=dict)  # EXPECTED by method
     signed: dict[str, str] = field(default_factory=dict)
     sources: dict[str, DataFrame] = field(default_factory=dict)  # recorded versions of sources: index, expected
+    kinds: dict[str, str] = field(default_factory=dict)  # type of an artefact's contents: string, unless it is known to be binary
+    _home: str | None = None  # what relative stores lie under, without a root
+    _versions: dict[str, tuple[int, DataFrame]] = field(default_factory=dict)  # what stores held at a manifest
+    _written: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)  # parts of the state as they were written
 
     # -- definition
 
     def source(self, artefact: str, rows: DataFrame) -> None:
         """Puts a source's present elements in place."""
-        self.artefacts[artefact] = settle(rows.select("index", "content"))
+        self._place(artefact, settle(rows.select("index", "content")))
+
+    def _place(self, artefact: str, rows: DataFrame) -> None:
+        self.artefacts[artefact] = rows
+        self.kinds[artefact] = rows.schema["content"].dataType.simpleString()
+
+    def scan(self, artefact: str, text: bool = False) -> None:
+        """Takes an artefact's elements from the files under the root; as text in UTF-8 if asked for."""
+        if self.root is None:
+            raise ValueError("the flow has no root")
+        rows = files.elements(self.spark, self.root, artefact)
+        if text:
+            rows = rows.select("index", F.decode("content", "UTF-8").alias("content"))
+        self.source(artefact, rows)
+
+    def _publish(self, artefact: str, rows: DataFrame | None, gone: DataFrame | None = None) -> None:
+        """Puts elements in place as files and deletes others (index), if the flow has a root."""
+        if self.root is None:
+            return
+        out = None if rows is None else rows.select("index", F.col("content").cast("binary").alias("content"))
+        if gone is not None:
+            none = gone.select("index", F.lit(None).cast("binary").alias("content"))
+            out = none if out is None else out.union(none)
+        if out is not None:
+            files.write(out, self.root, artefact)
 
     def build(self, inputs: list[str], outputs: list[str], function: Function, text: str) -> Method:
         """Registers a method, in the place of an older one with the same outputs."""
@@ -110,7 +145,7 @@ class Flow:
         rows = self.artefacts.get(artefact)
         if rows is None:
             return self.spark.createDataFrame([], "index array<string>, actual string")
-        return rows.select("index", version(F.encode("content", "UTF-8")).alias("actual"))
+        return rows.select("index", version(F.col("content").cast("binary")).alias("actual"))
 
     def _expected(self, m: Method) -> DataFrame:
         rows = self.seen.get(m.name)
@@ -132,10 +167,23 @@ class Flow:
                 out = present if out is None else out.join(present, "instance", "left_semi")
         return out
 
+    def store(self, name: str | None = None) -> ContentStore:
+        """The store of some name, or the default one; an unknown name is an error."""
+        if self._home is None:
+            self._home = self.root or new_folder(self.spark, "flow")
+        return ContentStore(self.spark, self.config.folder(self._home, name))
+
     def _held(self) -> DataFrame:
-        if self.stored is None:
-            return self.spark.createDataFrame([], "expected string")
-        return self.stored.select(F.col("version").alias("expected")).distinct()
+        """expected: all versions that any store holds."""
+        out = self.spark.createDataFrame([], "expected string")
+        for name in sorted(self.config.stores):
+            store = self.store(name)
+            last, live = store.state()
+            if live:
+                if self._versions.get(name, (-1, None))[0] != last:
+                    self._versions[name] = (last, settle(store.contents(live).select(F.col("version").alias("expected")).distinct()))
+                out = out.union(self._versions[name][1])
+        return out.distinct()
 
     def _elements(self, m: Method) -> DataFrame:
         """instance, role, expected, actual, in_store: every element that an instance saw or would see."""
@@ -166,42 +214,45 @@ class Flow:
         return self._instances(m).join(grouped, "instance", "left").select("instance", state.alias("state"))
 
     def status(self, target: str) -> dict[str, DataFrame]:
-        """index-wise state (instance, state) of each method that the target depends on; what is below stale inputs has outdated inputs."""
-        out: dict[str, DataFrame] = {}
-        for m in self.ordered([target]):
-            rows = self.decisions(m)
-            for a in m.inputs:
-                above = self.producer(a)
-                if above is not None:
-                    k = min(m.rank, above.rank)
-                    bad = out[above.name].filter(F.col("state") != UP_TO_DATE).select(F.slice("instance", 1, k).alias("key")).distinct().withColumn("bad", F.lit(True))
-                    rows = rows.withColumn("key", F.slice("instance", 1, k)).join(bad, "key", "left")
-                    rows = rows.select("instance", F.when(F.col("bad"), INPUTS).otherwise(F.col("state")).alias("state"))
-            out[m.name] = settle(rows)
-        return out
+        """index-wise state (instance, state) of each method that the target depends on; what is below stale inputs has outdated inputs.
+        The methods are joined into one table, through which outdated instances propagate."""
+        methods = self.ordered([target])
+        own = self.spark.createDataFrame([], "method string, instance array<string>, status string")
+        for m in methods:
+            own = own.union(self.decisions(m).select(F.lit(m.name), "instance", "state"))
+        edges = [(above.name, m.name, min(m.rank, above.rank)) for m in methods for a in m.inputs if (above := self.producer(a)) is not None]
+        rows = settle(propagate_elements(own, self.spark.createDataFrame(sorted(set(edges)), "producer string, consumer string, shared int")))
+        return {m.name: rows.filter(F.col("method") == m.name).select("instance", F.col("status").alias("state")) for m in methods}
 
     # -- action
 
     def _fetch(self, artefact: str, wanted: DataFrame) -> None:
-        """Takes elements (index, expected) that aren't in place from the store."""
-        if self.stored is None:
-            return
+        """Takes elements (index, expected) that aren't in place from the stores, the last by name that holds them."""
         have = self.artefacts.get(artefact)
         missing = wanted.filter("expected is not null").select("index", "expected").distinct()
         if have is not None:
             missing = missing.join(have.select("index"), "index", "left_anti")
-        chosen = self.stored.groupBy("version").agg(F.max("storage_name").alias("storage_name"))
-        held = self.stored.join(chosen, ["version", "storage_name"]).withColumnRenamed("version", "expected")
-        found = missing.join(held, "expected").select("index", "content")
-        self.artefacts[artefact] = settle(found if have is None else have.union(found))
+        missing, kind = settle(missing), self.kinds.get(artefact, "string")
+        for name in sorted(self.config.stores, reverse=True):
+            if missing.isEmpty():
+                return
+            store = self.store(name)
+            if store.state()[0] < 0:
+                continue
+            held = store.load(missing.select(F.col("expected").alias("version"))).withColumnRenamed("version", "expected")
+            found = settle(missing.join(held, "expected").select("index", F.col("content").cast(kind).alias("content")))
+            missing = settle(missing.join(found.select("index"), "index", "left_anti"))
+            self._publish(artefact, found)
+            have = self.artefacts.get(artefact)
+            self._place(artefact, settle(found if have is None else have.union(found)))
 
     def compute(self, target: str) -> dict[str, int]:
         """Brings a target up to date; returns how many instances of each method ran."""
         ran: dict[str, int] = {}
         for a in {i for m in self.ordered([target]) for i in m.inputs if self.producer(i) is None}:
-            if a in self.sources and a not in self.artefacts:
+            if a in self.sources and (a not in self.artefacts or self.root is not None and self.artefacts[a].isEmpty()):
                 self._fetch(a, self.sources[a])  # nothing of it is in place: all that was recorded is wanted
-            self.sources[a] = settle(self.items(a).select("index", F.col("actual").alias("expected")))
+            self._record_source(a)
         for m in self.ordered([target]):
             stale = settle(self.decisions(m).filter(F.col("state") != UP_TO_DATE).select("instance"))
             ran[m.name] = stale.count()
@@ -219,6 +270,20 @@ class Flow:
             self._fetch(target, self._expected(last).filter((F.col("role") == "out") & (F.col("port") == port)))
         return ran
 
+    def _record_source(self, artefact: str) -> None:
+        """What a source holds now is what it was last seen with."""
+        old, now = self.sources.get(artefact), settle(self.items(artefact).select("index", F.col("actual").alias("expected")))
+        self.sources[artefact] = now
+        if self.root is not None:
+            was = self.spark.createDataFrame([], "index array<string>, expected string") if old is None else old
+            both = now.join(was.withColumnRenamed("expected", "was"), "index", "full_outer").filter("not expected <=> was")
+            touched = both.select(F.lit(artefact).alias("method"), F.col("index").alias("instance"))
+            rows = now.select(F.lit(artefact).alias("method"), F.lit("source").alias("role"), F.lit(1).alias("port"), F.col("index").alias("instance"), "index", "expected")
+            self._expectations().replace(touched, rows)
+
+    def _expectations(self) -> Expectations:
+        return Expectations(self.spark, f"{self.root.rstrip('/')}/{FOLDER}/expected")
+
     def _run(self, m: Method, stale: DataFrame | None) -> None:
         instances = settle(self._instances(m))
         made: dict[str, DataFrame] = {}
@@ -237,13 +302,16 @@ class Flow:
                 old = old.join(instances.select(F.slice("instance", 1, k).alias("key")).distinct(), key == F.col("key"), "left_semi")
                 if stale is not None:
                     old = old.join(stale.select(F.slice("instance", 1, k).alias("key")).distinct(), key == F.col("key"), "left_anti")
-            new = made.get(o)
+            new, before = made.get(o), self.artefacts.get(o)
             if old is not None or new is not None:
-                self.artefacts[o] = settle(new if old is None else old if new is None else old.union(new))
+                self._place(o, settle(new if old is None else old if new is None else old.union(new)))
+                gone = None if before is None else before.select("index").join(self.artefacts[o].select("index"), "index", "left_anti")
+                self._publish(o, new, gone)
         columns = ["method", "role", "port", "instance", "index", "expected"]
         keep = self._expected(m).join(instances, "instance", "left_semi").select(columns)
+        vanished = self._expected(m).select("instance").distinct().join(instances, "instance", "left_anti")
         if stale is None:
-            self.seen[m.name] = settle(keep)
+            self._record(m, settle(keep), vanished)
             return
         keep = keep.join(stale, "instance", "left_anti").select(columns)
         for role, side in (("in", m.inputs), ("out", m.outputs)):
@@ -252,8 +320,16 @@ class Flow:
                 now = self.items(a).withColumn("key", F.slice("index", 1, k))
                 saw = stale.withColumn("key", F.slice("instance", 1, k)).join(now, "key")
                 keep = keep.union(saw.select(F.lit(m.name), F.lit(role), F.lit(port), "instance", "index", "actual"))
-        self.seen[m.name] = settle(keep)
+        resigned = self.signed.get(m.name) not in (None, m.signature)
         self.signed[m.name] = m.signature
+        self._record(m, settle(keep), vanished.union(stale) if not resigned else keep.select("instance").union(vanished))
+
+    def _record(self, m: Method, seen: DataFrame, touched: DataFrame) -> None:
+        """What a method saw; with a root, the rows of the touched instances go to its table."""
+        self.seen[m.name] = seen
+        if self.root is not None:
+            self._expectations().replace(touched.select(F.lit(m.name).alias("method"), "instance"), seen)
+            self._keep_methods()
 
     def _recorded(self, artefact: str) -> DataFrame:
         """index, expected: the versions that the artefact's producer last made, or a source was last seen with."""
@@ -266,8 +342,7 @@ class Flow:
     def save(self, *artefacts: str, store: str | None = None, all_tracked: bool = False) -> int:
         """Puts contents of the artefacts (or of all in their provenance that were ever saved) into a store (or the default one), each
         once; returns how many were new there. Artefacts that aren't in place are passed over with a warning."""
-        name = self.config.default if store is None else store
-        self.config.folder("", name)  # an unknown store is an error
+        into = self.store(store)  # an unknown store is an error
         known = {a for m in self.methods.values() for a in (*m.inputs, *m.outputs)} | set(self.artefacts)
         if unknown := [a for a in artefacts if a not in known]:
             raise KeyError(f"no artefact is called {unknown[0]}")
@@ -281,17 +356,12 @@ class Flow:
                 warnings.warn(f"{a} is not in place and isn't saved", stacklevel=2)
                 continue
             if self.producer(a) is None:
-                self.sources[a] = settle(self.items(a).select("index", F.col("actual").alias("expected")))
-            part = self.artefacts[a].select(version(F.encode("content", "UTF-8")).alias("version"), "content")
+                self._record_source(a)
+            part = self.artefacts[a].select(version(F.col("content").cast("binary")).alias("version"), F.col("content").cast("binary").alias("content"))
             rows = part if rows is None else rows.union(part)
-        if rows is None:
-            return 0
-        new = rows.dropDuplicates(["version"])
-        if self.stored is not None:
-            new = new.join(self.stored.filter(F.col("storage_name") == name).select("version"), "version", "left_anti")
-        new = settle(new.withColumn("storage_name", F.lit(name)))
-        self.stored = new if self.stored is None else settle(self.stored.union(new))
-        return new.count()
+        if self.root is not None:
+            self._keep_methods()
+        return 0 if rows is None else into.save(rows)
 
     def restore(self, artefact: str) -> int:
         """Puts the recorded version of an artefact in place from the stores; returns its number of elements. Nothing recorded, or
@@ -305,78 +375,147 @@ class Flow:
             raise LookupError(f"no store holds {lost['expected'][:8].lower()} of {artefact}")
         if artefact in self.artefacts:  # elements with another version give way
             same = self.items(artefact).join(wanted, "index").filter("actual = expected").select("index")
-            self.artefacts[artefact] = settle(self.artefacts[artefact].join(same, "index", "left_semi"))
+            before = self.artefacts[artefact]
+            self._place(artefact, settle(before.join(same, "index", "left_semi")))
+            self._publish(artefact, None, before.select("index").join(same, "index", "left_anti"))
         self._fetch(artefact, wanted)
         return wanted.count()
 
     def sign(self, name: str) -> bool:
-        """Accepts a method's present definition for what was recorded; returns whether that changed anything."""
+        """Accepts a method's present definition for what was recorded; returns whether that changed anything. A source has nothing to
+        accept; a name that is neither's is an error."""
         if name not in self.methods:
+            if self.producer(name) is None and (name in self.artefacts or name in self.sources or any(name in m.inputs for m in self.methods.values())):
+                return False
             raise KeyError(f"no method is called {name}")
         changed = name in self.seen and self.signed.get(name) != self.methods[name].signature
         if changed:
             self.signed[name] = self.methods[name].signature
+            if self.root is not None:
+                self._keep_methods()
         return changed
 
     # -- state on disk
 
-    def write_state(self, folder: str) -> None:
-        """Writes definitions (metadata documents), recorded versions, elements in place and stored contents. The new state counts
-        when its last part, the name of its folder, is written."""
-        state = f"state-{uuid.uuid4().hex}"
-        at, link = f"{folder}/{state}", lambda a: {"path": a, "version": None}
-        documents = [
+    def _documents(self) -> list[dict]:
+        """A metadata document for each method and source."""
+        link = lambda a: {"path": a, "version": None}
+        return [
             {"tracked": bool(self.tracked & set(m.outputs)), "kind": "command", "command": m.text, "working_dir": "./", "output_index": 0, "signature": self.signed.get(m.name), "clean_outputs": True, "resource_groups": [], "success_codes": [0], "inputs": [link(a) for a in m.inputs], "outputs": [link(a) for a in m.outputs]}
             for m in self.methods.values()
         ] + [{"tracked": a in self.tracked, "kind": "source", "outputs": [link(a)], "inputs": []} for a in sorted({*self.sources, *self.artefacts}) if self.producer(a) is None]
-        metadata.write(self.spark.createDataFrame(documents, metadata.SCHEMA.replace("format int, ", "")), f"{at}/methods")
-        expected = self.spark.createDataFrame([], EXPECTED)
-        for rows in self.seen.values():
-            expected = expected.union(rows.select(expected.columns))
-        none = F.array().cast("array<string>")
-        for a, rows in self.sources.items():
-            expected = expected.union(rows.select(F.lit(a), F.lit("source"), F.lit(1), none, "index", "expected"))
-        expected.write.parquet(f"{at}/expected")
-        items = self.spark.createDataFrame([], "artefact string, index array<string>, content string")
-        for a, rows in self.artefacts.items():
-            items = items.union(rows.select(F.lit(a), "index", "content"))
-        items.write.parquet(f"{at}/items")
-        stored = self.stored if self.stored is not None else self.spark.createDataFrame([], "version string, content string, storage_name string")
-        stored.write.parquet(f"{at}/stored")
-        system, path = filesystem(folder)
-        with system.open_output_stream(f"{path}/state.json") as out:
-            out.write(json.dumps({"state": state, "default": self.config.default, "stores": self.config.stores, "tracked": sorted(self.tracked)}).encode())
 
-    @classmethod
-    def read_state(cls, spark: SparkSession, folder: str, functions: dict[str, Function]) -> Flow:
-        """The flow that was written, in a session of its own. functions: those of the methods, by name; a method without one stays
-        known, and running it is an error."""
+    def _write_documents(self, folder: str) -> None:
+        if documents := self._documents():
+            metadata.write(self.spark.createDataFrame(documents, metadata.SCHEMA.replace("format int, ", "")), folder)
+
+    def _write_head(self, folder: str, head: dict) -> None:
         system, path = filesystem(folder)
-        with system.open_input_stream(f"{path}/state.json") as source:
-            head = json.loads(source.read())
-        at, flow = f"{folder}/{head['state']}", cls(spark)
-        flow.config, flow.tracked = Config(dict(head["stores"]), head["default"]), set(head["tracked"])
+        with system.open_output_stream(f"{path}/state.new") as out:
+            out.write(json.dumps(head | {"default": self.config.default, "stores": self.config.stores, "tracked": sorted(self.tracked), "kinds": self.kinds}).encode())
+        system.move(f"{path}/state.new", f"{path}/state.json")
+
+    def _keep_methods(self) -> None:
+        """Writes the methods to the root: small documents, in a folder that counts when it is named."""
+        state = f"methods-{uuid.uuid4().hex}"
+        at = f"{self.root.rstrip('/')}/{FOLDER}"
+        self._write_documents(f"{at}/{state}")
+        self._write_head(at, {"methods": state})
+        _delete_others(at, "methods-", {state})
+
+    def _read_documents(self, folder: str, functions: dict[str, Function]) -> list[str]:
+        """Takes methods and signatures from documents; returns the sources."""
 
         def missing(*_frames: DataFrame) -> DataFrame:
             raise LookupError("this method's function was not given")
 
-        expected, items, stored = (spark.read.parquet(f"{at}/{part}") for part in ("expected", "items", "stored"))
-        for row in metadata.read(spark, f"{at}/methods").collect():  # one row a method
+        found = []
+        for row in metadata.read(self.spark, folder).collect():  # one row a method
             outputs = tuple(o["path"] for o in row["outputs"])
             name = min(outputs)
             if row["kind"] == "source":
-                recorded = expected.filter((F.col("role") == "source") & (F.col("method") == name)).select("index", "expected")
-                if not recorded.isEmpty():
-                    flow.sources[name] = recorded
-            else:
-                flow.methods[name] = Method(tuple(i["path"] for i in row["inputs"]), outputs, functions.get(name, missing), row["command"])
-                if row["signature"] is not None:
-                    flow.signed[name], flow.seen[name] = row["signature"], expected.filter((F.col("role") != "source") & (F.col("method") == name))
-        for (artefact,) in items.select("artefact").distinct().collect():
-            flow.artefacts[artefact] = items.filter(F.col("artefact") == artefact).select("index", "content")
-        flow.stored = None if stored.isEmpty() else stored
+                found.append(name)
+                continue
+            self.methods[name] = Method(tuple(i["path"] for i in row["inputs"]), outputs, functions.get(name, missing), row["command"])
+            if row["signature"] is not None:
+                self.signed[name] = row["signature"]
+        return found
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, functions: dict[str, Function] | None = None) -> Flow:
+        """The flow of a root: its files, and what was recorded. functions: those of the methods, by name; a method without one stays known,
+        and running it is an error. Jobs that were cut off while they put elements in place are completed first."""
+        flow = cls(spark, root=root, config=open_root(root))
+        files.recover(root)
+        at = f"{root.rstrip('/')}/{FOLDER}"
+        system, path = filesystem(at)
+        if not system.get_file_info(f"{path}/state.json").is_file:
+            return flow
+        with system.open_input_stream(f"{path}/state.json") as source:
+            head = json.loads(source.read())
+        flow.tracked = set(head["tracked"])
+        sources = flow._read_documents(f"{at}/{head['methods']}", functions or {})
+        recorded = settle(flow._expectations().read())
+        for name in flow.methods:
+            if name in flow.signed:
+                flow.seen[name] = recorded.filter((F.col("role") != "source") & (F.col("method") == name))
+        for name in sources:
+            rows = recorded.filter((F.col("role") == "source") & (F.col("method") == name)).select("index", "expected")
+            if not rows.isEmpty():
+                flow.sources[name] = rows
+        for a in {a for m in flow.methods.values() for a in (*m.inputs, *m.outputs)} | set(sources):
+            flow.scan(a, text=head["kinds"].get(a) == "string")
+        return flow
+
+    def write_state(self, folder: str) -> None:
+        """Writes definitions (metadata documents), recorded versions and elements in place; contents stay in their stores. Parts that are as
+        they were last written aren't written again. The new state counts when its head is written; parts that it doesn't
+        name go."""
+        parts: dict[str, dict[str, str]] = {"items": {}, "seen": {}, "sources": {}}
+        written: dict[str, tuple[DataFrame, str]] = {}
+        for kind, frames in (("items", self.artefacts), ("seen", self.seen), ("sources", self.sources)):
+            for name, rows in frames.items():
+                key = f"{kind} {name}"
+                was = self._written.get(f"{folder} {key}")
+                part = was[1] if was is not None and was[0] is rows else f"part-{uuid.uuid4().hex}"
+                if was is None or was[0] is not rows:
+                    rows.write.parquet(f"{folder}/{part}")
+                written[f"{folder} {key}"] = (rows, part)
+                parts[kind][name] = part
+        state = f"part-{uuid.uuid4().hex}"
+        self._write_documents(f"{folder}/{state}")
+        self.store()  # relative stores have a place now
+        self._write_head(folder, {"methods": state, "home": self._home, **parts})
+        _delete_others(folder, "part-", {state, *(p for names in parts.values() for p in names.values())})
+        self._written = written
+
+    @classmethod
+    def read_state(cls, spark: SparkSession, folder: str, functions: dict[str, Function]) -> Flow:
+        """The flow that was written, in a session of its own. functions: those of the methods, by name; a method without one stays
+        known, and running it is an error."""
+        system, path = filesystem(folder)
+        with system.open_input_stream(f"{path}/state.json") as source:
+            head = json.loads(source.read())
+        flow = cls(spark, config=Config(dict(head["stores"]), head["default"]), tracked=set(head["tracked"]), kinds=head["kinds"], _home=head["home"])
+        flow._read_documents(f"{folder}/{head['methods']}", functions)
+        for kind, frames in (("items", flow.artefacts), ("seen", flow.seen), ("sources", flow.sources)):
+            for name, part in head[kind].items():
+                frames[name] = spark.read.parquet(f"{folder}/{part}")
+                flow._written[f"{folder} {kind} {name}"] = (frames[name], part)
         return flow
 
     def remove(self, artefact: str) -> None:
-        """Forgets an artefact's elements in place (its recorded and stored versions stay)."""
-        self.artefacts.pop(artefact, None)
+        """Forgets an artefact's elements in place, and deletes its files if the flow has a root (its recorded and stored versions stay)."""
+        rows = self.artefacts.pop(artefact, None)
+        if rows is not None:
+            self._publish(artefact, None, rows.select("index"))
+
+
+def _delete_others(folder: str, beginning: str, names: set[str]) -> None:
+    """Deletes the folders with this beginning that aren't named."""
+    from pyarrow.fs import FileSelector
+
+    system, path = filesystem(folder)
+    for x in system.get_file_info(FileSelector(path)):
+        if x.base_name.startswith(beginning) and x.base_name not in names:
+            system.delete_dir(x.path)

@@ -24,7 +24,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write(documents: DataFrame, path: str) -> None:
-    documents.select(F.lit(FORMAT).alias("format"), *[c for c in documents.columns if c not in ("format", "file")]).write.mode("overwrite").json(path)
+    documents.select(F.lit(FORMAT).alias("format"), *[c for c in documents.columns if c not in ("format", "file")]).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def links(documents: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ Folders are listed in tasks, a level of the tree in each round; empty files and
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,8 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import HASH_SUFFIX, META_SUFFIX
+from .roots import FOLDER
 from .tables import settle
 
+#: bytes of a file that are hashed at a time
+CHUNK = 8 << 20
 ENTRY = "relative string, directory boolean, mtime timestamp, length long"
 
 
@@ -112,27 +117,112 @@ def deep_mtime(listed: DataFrame) -> DataFrame:
     return spread.groupBy(F.col("folder").alias("relative")).agg(F.max("mtime").alias("mtime"), F.sum("file").alias("n"))
 
 
-def with_content(spark: SparkSession, root: str, items: DataFrame) -> DataFrame:
-    """The items (relative, length) with their files' contents; files of length 0, which Spark's source passes over, are empty."""
-    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = rows.select(F.substring_index("path", base + "/", -1).alias("relative"), "content")
-    read = items.filter("length > 0").join(rows, "relative")
-    return read.union(items.filter("length = 0").select(*items.columns, F.lit(b"").alias("content")).select(*read.columns))
+def file_versions(root: str, wanted: DataFrame) -> DataFrame:
+    """relative, version of files (relative) under a root, each read in a task as a stream: no other file is opened. One that went
+    meanwhile has none."""
+    from .roots import filesystem
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = filesystem(root)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            versions = []
+            for name in names:
+                state = hashlib.sha512()
+                try:
+                    with system.open_input_stream(f"{base}/{name}") as source:
+                        while chunk := source.read(CHUNK):
+                            state.update(chunk)
+                    versions.append(state.hexdigest().upper())
+                except FileNotFoundError:
+                    versions.append(None)
+            yield pa.RecordBatch.from_pydict({"relative": names, "version": pa.array(versions, pa.string())})
+
+    return wanted.select("relative").repartition("relative").mapInArrow(read, "relative string, version string")
+
+
+def digests(spark: SparkSession, root: str, listed: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relative, version, recomputed of all files and directories listed by entries(); the new cache: relative, cached, cache_mtime).
+
+    A file's cached version counts if its time is strictly later than the file's; other files are read and hashed. A directory's
+    counts if besides nothing below it was read again, or went, or came. What the cache holds of absent entries goes.
+    """
+    from ..functions.fingerprints import refreshed_tree
+    from ..operators.staleness import fresh_hashes
 
-def hashed(spark: SparkSession, root: str, items: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    deep = deep_mtime(listed).select("relative", "mtime")
+    times = listed.filter("not directory").select("relative", "mtime").union(deep)
+    states = settle(fresh_hashes(times, cache, ["relative"]))
+    is_dir = F.col("relative").endswith("/") | (F.col("relative") == "")
+    again = settle(file_versions(root, states.filter(~is_dir & F.col("state").isin("miss", "stale"))).withColumnRenamed("version", "computed"))
+    files = states.filter(~is_dir & (F.col("state") != "orphan")).join(again, "relative", "left")
+    files = settle(files.select("relative", F.when(F.col("state") == "hit", F.col("cached")).otherwise(F.col("computed")).alias("version"), (F.col("state") != "hit").alias("recomputed")))
+    # the root is a directory over all others
+    inside = F.concat(F.lit("./"), "relative").alias("path")
+    stored = states.filter(is_dir & (F.col("state") == "hit")).select(inside, F.col("cached").alias("version"))
+    gone = states.filter("state = 'orphan'").select(inside)
+    folders = listed.filter("directory").select(inside)
+    tree = refreshed_tree(files.select(inside, "version", F.col("recomputed").alias("changed")), gone, stored, folders)
+    everything = settle(files.union(tree.select(F.substr("path", F.lit(3)).alias("relative"), "version", "recomputed")))
+    kept = states.filter("state = 'hit'").select("relative", F.col("cache_mtime").alias("was"))
+    new = everything.filter("version is not null").join(kept, "relative", "left")
+    return everything, new.select("relative", F.col("version").alias("cached"), F.when(F.col("recomputed") | F.col("was").isNull(), F.current_timestamp()).otherwise(F.col("was")).alias("cache_mtime"))
+
+
+def hashed(spark: SparkSession, root: str, items: DataFrame, cache: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(relative, version of the items; the new cache: relative, cached, cache_mtime).
 
     A cached version counts if its time is strictly later than the file's; other files are read and hashed, and what the cache holds
-    of absent files goes.
+    of absent files goes. If there are directories among the items, listed (from entries(); listed here if it isn't given) and the cache are
+    of the whole root, and so is the new cache.
     """
-    from ..functions.fingerprints import version
     from ..operators.staleness import fresh_hashes
 
+    if not items.filter(F.col("relative").endswith("/") | (F.col("relative") == "")).isEmpty():
+        everything, new = digests(spark, root, entries(spark, root) if listed is None else listed, cache)
+        return everything.join(items.select("relative"), "relative", "left_semi").select("relative", "version"), new
     states = settle(fresh_hashes(items.select("relative", "mtime", "length"), cache, ["relative"]))
-    again = with_content(spark, root, states.filter("state in ('miss', 'stale')").select("relative", "length"))
-    computed = settle(again.select("relative", version(F.col("content")).alias("computed")))
+    computed = settle(file_versions(root, states.filter("state in ('miss', 'stale')")).withColumnRenamed("version", "computed"))
     versions = states.filter("state <> 'orphan'").join(computed, "relative", "left")
     versions = settle(versions.select("relative", F.when(F.col("state") == "hit", F.col("cached")).otherwise(F.col("computed")).alias("version"), F.when(F.col("state") == "hit", F.col("cache_mtime")).otherwise(F.current_timestamp()).alias("cache_mtime")))
-    return versions.select("relative", "version"), versions.select("relative", F.col("version").alias("cached"), "cache_mtime")
+    return versions.select("relative", "version"), versions.filter("version is not null").select("relative", F.col("version").alias("cached"), "cache_mtime")
+
+
+#: the cache's folder under a root
+CACHE = f"{FOLDER}/hashes"
+
+
+def read_cache(spark: SparkSession, root: str) -> DataFrame:
+    """relative, cached, cache_mtime: what was written last; nothing before."""
+    from .roots import _exists, filesystem
+
+    none = spark.createDataFrame([], "relative string, cached string, cache_mtime timestamp")
+    if not _exists(f"{root.rstrip('/')}/{CACHE}/last"):
+        return none
+    system, base = filesystem(f"{root.rstrip('/')}/{CACHE}")
+    with system.open_input_stream(f"{base}/last") as source:
+        return spark.read.schema(none.schema).parquet(f"{root.rstrip('/')}/{CACHE}/{source.read().decode()}")
+
+
+def write_cache(cache: DataFrame, root: str) -> None:
+    """Puts a cache in the place of the last one, which goes once the new one is named."""
+    from pyarrow.fs import FileSelector
+
+    from .roots import filesystem
+
+    name = f"cache-{uuid.uuid4().hex}"
+    cache.write.parquet(f"{root.rstrip('/')}/{CACHE}/{name}")
+    system, base = filesystem(f"{root.rstrip('/')}/{CACHE}")
+    with system.open_output_stream(f"{base}/{name}.last") as out:
+        out.write(name.encode())
+    system.move(f"{base}/{name}.last", f"{base}/last")
+    for x in system.get_file_info(FileSelector(base)):
+        if x.base_name.startswith("cache-") and x.base_name != name:
+            system.delete_dir(x.path)
+
+
+def cached_digests(spark: SparkSession, root: str) -> DataFrame:
+    """relative, version, recomputed of all files and directories under a root, by its cache, which is brought up to date."""
+    everything, new = digests(spark, root, entries(spark, root), read_cache(spark, root))
+    write_cache(new, root)
+    return everything

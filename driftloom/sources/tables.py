@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,11 +12,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a small iterative table through a reliable checkpoint in the cluster's shared folder."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only in local mode, where none is configured."""
+    context = spark.sparkContext
+    if configured := spark.conf.get("spark.checkpoint.dir", None):
+        return configured
+    if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="driftloom-"))
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that doesn't exist yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a small iterative table through a reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -121,8 +121,9 @@ def test_another_function_voids_what_was_recorded(spark, chain):
     chain.compute("1_2_3.txt")
     chain.build(["1_2.txt", "3.txt"], ["1_2_3.txt"], lambda a, b: concat(b, a), "concat the other way round")
     assert states(chain) == (L, O) and chain.sign("1_2_3.txt") and states(chain) == (L, L) and not chain.sign("1_2_3.txt")
+    assert not chain.sign("3.txt")  # a source
     with pytest.raises(KeyError):
-        chain.sign("3.txt")
+        chain.sign("nothing.txt")
 
 
 def test_an_input_that_a_method_never_saw_is_restored(spark, chain):
@@ -133,14 +134,14 @@ def test_an_input_that_a_method_never_saw_is_restored(spark, chain):
     assert text(chain, "1_2_3.txt") == {(): "File 1File 2File 3"}
 
 
-def test_saving_and_restoring(spark, chain):
+def test_saving_and_restoring(spark, chain, tmp_path):
     with pytest.raises(KeyError, match="no store"):
         chain.save("1.txt", store="far")
     with pytest.raises(KeyError, match="no artefact"):
         chain.save("7.txt")
     with pytest.warns(UserWarning, match="1_2.txt is not in place"):
         assert chain.save("1_2.txt") == 0
-    chain.config.put("far", "/far")
+    chain.config.put("far", str(tmp_path / "far"))
     chain.compute("1_2_3.txt")
     assert chain.save("1_2.txt", store="far") == 1 and chain.save("1.txt") == 1 and chain.tracked == {"1.txt", "1_2.txt"}
     assert chain.save("1_2_3.txt", all_tracked=True) == 2  # with 1_2.txt, which the default store lacks

@@ -1,4 +1,6 @@
 import hashlib
+import posixpath
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,9 +30,28 @@ def test_index_functions(spark):
 
 def test_relative_paths(spark):
     rows = [("a/m.json", "a/x.txt"), ("a/b/m.json", "a/x/"), ("m.json", "d/x")]
-    assert values(spark, rows, "b string, t string", paths.relative_path("b", "t")) == ["x.txt", "../x/", "d/x"]
+    relative, resolved = paths.relative_path(F.col("b"), F.col("t")), paths.resolved_id(F.col("b"), F.col("t"))
+    assert values(spark, rows, "b string, t string", relative) == ["x.txt", "../x/", "d/x"]
     back = [("a/m.json", "x.txt"), ("a/b/m.json", "../x/"), ("m.json", "d/x")]
-    assert values(spark, back, "b string, t string", paths.resolved_id("b", "t")) == [t for _, t in rows]
+    assert values(spark, back, "b string, t string", resolved) == [t for _, t in rows]
+    assert values(spark, [(None, "x"), ("x", None)], "b string, t string", relative) == [None, None] == values(spark, [(None, "x"), ("x", None)], "b string, t string", resolved)
+    for bad in (("../a/m", "x"), ("/a/m", "x"), ("a/m", "/x")):
+        with pytest.raises(Exception, match="no way from"):
+            values(spark, [bad], "b string, t string", relative)
+
+
+def test_relative_paths_are_those_of_the_library(spark):
+    rng = random.Random(8)
+    parts = ["a", "b", "c.txt", ".", "..", ""]
+    some = lambda: "/".join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))
+    pairs = [(lead + some(), lead + some()) for lead in ("/", "") for _ in range(400)]
+    pairs = [(b, t) for b, t in pairs if b and t and not posixpath.normpath(posixpath.dirname(b) or ".").startswith("..") and b.startswith("/") == t.startswith("/") and not b.startswith("//") and not t.startswith("//")]
+    keep = lambda out, t: out + "/" if t.endswith("/") and not out.endswith("/") else out
+    got = values(spark, pairs, "b string, t string", paths.relative_path(F.col("b"), F.col("t")))
+    root = lambda p: p if p.startswith("/") else f"/deep/er/and/deeper/still/{p}"
+    assert len(pairs) > 300 and got == [keep(posixpath.relpath(root(t), root(posixpath.dirname(b))), t) for b, t in pairs]
+    got = values(spark, pairs, "b string, t string", paths.resolved_id(F.col("b"), F.col("t")))
+    assert got == [keep(posixpath.normpath(posixpath.join(posixpath.dirname(b), t)), t) for b, t in pairs]
 
 
 def test_commands(spark):

@@ -121,15 +121,6 @@ def test_ignore_list_section(spark, lines, want):
         assert [r["line"] for r in out.orderBy("pos").collect()] == want
 
 
-def test_archives(spark):
-    rows = [("d", f"sub/é{i}.bin", bytearray(bytes([i]) * i)) for i in range(40)] + [("one", "f", bytearray(b""))]
-    files = store.archive_parts(spark.createDataFrame(rows, "version string, name string, content binary"), ["version"], "name")
-    packed = store.archive(files, ["version", "part"], "name")
-    assert packed.filter("version = 'd'").count() == 16
-    back = store.extract(packed, ["version", "part"], "name").collect()
-    assert sorted((r["version"], r["name"], bytes(r["content"])) for r in back) == sorted((v, n, bytes(c)) for v, n, c in rows)
-
-
 def test_paths_to_restore(spark):
     rows = [
         ("i", "A", None, False, None, False, "A"), ("i", "A", "B", False, None, False, None), ("r", "A", None, True, None, False, None), ("r", "A", "A", True, None, False, None),
@@ -212,16 +203,6 @@ def test_vectors(spark):
     assert got == {("p", 1): "Process", ("p", 2): "Delete", ("p", 3): "Process", ("q", 1): "Process"}
 
 
-def test_store(spark, tmp_path):
-    path = str(tmp_path / "store")
-    one = spark.createDataFrame([("AB", "f", bytearray(b"1")), ("AB", "f", bytearray(b"1")), ("CD", "f", bytearray(b"2"))], "version string, name string, content binary")
-    store.save(one, path)
-    store.save(one.union(spark.createDataFrame([("EF", "f", bytearray(b"3"))], one.schema)), path)
-    assert spark.read.parquet(path).count() == 3
-    got = store.load(spark.createDataFrame([("AB",), ("EF",), ("ZZ",)], "version string"), path)
-    assert sorted((r["version"], bytes(r["content"])) for r in got.collect()) == [("AB", b"1"), ("EF", b"3")]
-
-
 def test_each_arrival(spark, tmp_path):
     seen = []
     folder, mark = str(tmp_path / "in"), str(tmp_path / "mark")

@@ -89,6 +89,19 @@ def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((hashes >> np.uint64(32 * row)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+def stepped(cell: np.ndarray, begins: np.ndarray, counts: np.ndarray, block_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted cells as steps of a byte from one to the next, the first of a block from before its beginning, with their counts; how many
+    steps each cell takes. Where a step is longer than a byte, cells with no count stand in between."""
+    offset = (cell & np.uint32((1 << block_bits) - 1)).astype(np.int64)
+    step = np.diff(offset, prepend=-1)
+    step[begins] = offset[begins] + 1
+    reps = (step - 1) // 255 + 1
+    last = np.cumsum(reps) - 1
+    steps, spread = np.full(reps.sum(), 255, np.uint8), np.zeros(reps.sum(), counts.dtype)
+    steps[last], spread[last] = step - 255 * (reps - 1), counts
+    return steps, spread, reps
+
+
 def may_be_frequent(hashes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
     """Whether all the cells' bits are set."""
     out = np.ones(len(hashes), bool)
@@ -131,14 +144,14 @@ def sketch(rows: DataFrame, hashes_of: Callable[[Phrases], list[np.ndarray]], bi
             cell = cell[at]
             block = cell >> block_bits
             begins = np.flatnonzero(np.diff(block, prepend=block[0] ^ 1))
-            bounds = np.append(begins, len(cell)).astype(np.int32)
-            offsets = (cell & np.uint32((1 << block_bits) - 1)).astype(np.uint16)
+            steps, counts, reps = stepped(cell, begins, counts, block_bits)
+            bounds = np.append(0, np.cumsum(np.add.reduceat(reps, begins))).astype(np.int32)
 
             def packed(values: np.ndarray, bounds: np.ndarray = bounds) -> pa.Array:
                 return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * np.int32(values.itemsize)), pa.py_buffer(values)])
 
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(begins), row, np.int32)), pa.array(block[begins].astype(np.int32)), packed(offsets), packed(counts)], ["sketch_row", "block", "offsets", "counts"]
+                [pa.array(np.full(len(begins), row, np.int32)), pa.array(block[begins].astype(np.int32)), packed(steps), packed(counts)], ["sketch_row", "block", "steps", "counts"]
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,17 +172,17 @@ def sketch(rows: DataFrame, hashes_of: Callable[[Phrases], list[np.ndarray]], bi
             return pa.RecordBatch.from_pydict({"sketch_row": pa.array([here[0]], pa.int32()), "block": pa.array([here[1]], pa.int32()), "bits": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("sketch_row", "block", "offsets", "counts"))
-            for row, block, offsets, counts in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("sketch_row", "block", "steps", "counts"))
+            for row, block, steps, counts in zip(*columns, strict=True):
                 if here != (row, block):
                     if here is not None:
                         yield done()
                     here, total[:] = (row, block), 0
-                total[np.frombuffer(offsets, np.uint16)] += np.frombuffer(counts, kind)
+                total[np.cumsum(np.frombuffer(steps, np.uint8), dtype=np.int64) - 1] += np.frombuffer(counts, kind)  # cells of a message differ
         if here is not None:
             yield done()
 
-    counted = rows.mapInArrow(count, "sketch_row int, block int, offsets binary, counts binary")
+    counted = rows.mapInArrow(count, "sketch_row int, block int, steps binary, counts binary")
     by_block = counted.repartition("sketch_row", "block").sortWithinPartitions("sketch_row", "block")
     return by_block.mapInArrow(merge, "sketch_row int, block int, bits binary")
 

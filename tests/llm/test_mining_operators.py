@@ -76,6 +76,24 @@ def test_one_sketch_overestimates_and_separates(spark, documents):
     assert other[0] != h[0]  # of another language
 
 
+@pytest.mark.parametrize("bits", [12, 14])
+def test_steps_lead_to_the_cells(bits):
+    rng = np.random.default_rng(bits)
+    for n in (1, 40, 3000):
+        cell = np.unique(rng.integers(0, 1 << 16, n).astype(np.uint32))
+        counts = rng.integers(1, 30, len(cell)).astype(np.uint8)
+        block = cell >> bits
+        begins = np.flatnonzero(np.diff(block, prepend=block[0] ^ 1))
+        steps, spread, reps = collocations.stepped(cell, begins, counts, bits)
+        ends = np.cumsum(np.add.reduceat(reps, begins))
+        got = {}
+        for b, low, high in zip(block[begins].tolist(), [0, *ends[:-1]], ends, strict=True):
+            at = np.cumsum(steps[low:high], dtype=np.int64) - 1
+            assert (np.diff(at) > 0).all() and at[-1] < 1 << bits
+            got |= {(b << bits) + int(a): int(c) for a, c in zip(at, spread[low:high], strict=True) if c}
+        assert got == dict(zip(cell.tolist(), counts.tolist(), strict=True)) and steps.min() > 0
+
+
 # -- quality
 
 

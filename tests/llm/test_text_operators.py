@@ -97,6 +97,18 @@ def test_mixing_repeated_ids(documents):
     assert sum(r["taken"] for r in mixing.mix(docs).collect()) == mixing.mixed_rows(docs).count() * 3
 
 
+def test_mixing_many_rows_that_nothing_tells_apart(documents):
+    """Rows equal in source, size and doc_id share the copies that all of them expect."""
+    df = documents([(1, "a b c", "en", "s")] * 900 + [(None, "a b c", "en", "s")] * 300 + [(2, "d", None, None)] * 500)
+    got = mixing.mix(df).select("doc_id", "source", "size", "source_size", "target", "copies").collect()
+    assert len(got) == 1700
+    for source in ("s", None):
+        mine = [r for r in got if r["source"] == source]
+        taken = sum(r["copies"] * r["size"] for r in mine)
+        assert abs(taken - mine[0]["target"]) <= mine[0]["size"] and all(0 <= r["copies"] <= 2 for r in mine)
+    assert len(mixing.mixed_rows(df).collect()) == sum(r["copies"] for r in got)
+
+
 def test_mixed_rows_are_those_chosen(documents):
     draw = random.Random(8)
     rows = [(draw.choice([None, None, 1, 2, i]), " ".join([f"w{i}"] * draw.randrange(1, 9)), "en", draw.choice("abc")) for i in range(300)] + [(1, "x y", "en", "a")] * 5

@@ -83,6 +83,23 @@ def full_path(root: Column, artefact_id: Column) -> Column:
     return F.when(absolute, F.concat(slash, artefact_id)).otherwise(F.raise_error(F.concat(F.lit("a relative root: "), root)))
 
 
+def metadata_full_path(root: Column, artefact_id: Column) -> Column:
+    """Where the metadata file of an id lies; the root must be absolute and end with ``/``."""
+    name = metadata_file(artefact_id)
+    return F.when(root.endswith("/"), full_path(root, name)).otherwise(F.raise_error(F.concat(F.lit("a root ends with /: "), root)))
+
+
+def below(root: Column, relative: Column) -> Column:
+    """A path under a root; an absolute one is an error."""
+    return F.when(~(relative.startswith("/") | relative.contains("://")), full_path(root, relative)).otherwise(F.raise_error(F.concat(F.lit("an absolute path: "), relative)))
+
+
+def format_number(document: Column) -> Column:
+    """The format that a JSON document says it has, a whole number at its top; null if it says none."""
+    said = F.get_json_object(document, "$.format")
+    return F.when(F.regexp_like(said, F.lit("^-?[0-9]{1,9}$")), said).cast("int")
+
+
 def _steps(path: Column) -> Column:
     """The steps of a path without empty ones, ``.`` and those that ``..`` takes back."""
 

@@ -91,6 +91,14 @@ def _doubled(pointers: DataFrame) -> DataFrame:
     raise ValueError("the graph has a cycle")
 
 
+def traced(rows: DataFrame, *steps: tuple[DataFrame, str, str]) -> DataFrame:
+    """The rows with what they come from, one step after the other: (the ancestors, the column that names one, the ancestors' own key). Each
+    step is a join by key; a row without an ancestor goes, and the key isn't kept twice."""
+    for ancestors, column, key in steps:
+        rows = rows.join(ancestors, F.col(column) == F.col(key)).drop(key)
+    return rows
+
+
 def counts(link: DataFrame) -> DataFrame:
     """artefacts, methods: how many the graph has; an artefact that no method makes counts as made by a source method."""
     made = link.filter("role = 'out'").select("method").union(sources(link).select("artefact"))
@@ -113,6 +121,22 @@ def add_methods(link: DataFrame, new: DataFrame) -> DataFrame:
     return link.join(new.select("method").distinct(), "method", "left_anti").unionByName(new)
 
 
+def add_absent(link: DataFrame, new: DataFrame) -> DataFrame:
+    """The links with those of new methods whose ids aren't there yet; a method that is there stays as it is, also if its new definition
+    differs. A method's id is its smallest output."""
+    ids = lambda rows: method_ids(rows.filter("role = 'out'"))
+    there = ids(link).select("method_id").distinct()
+    absent = ids(new).join(there, "method_id", "left_anti").select("method")
+    return link.unionByName(new.join(absent, "method", "left_semi"))
+
+
+def looked_up(known: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The known rows of the wanted keys, each once; a key that isn't known is an error."""
+    both = wanted.select(key).distinct().join(known.dropDuplicates([key]).withColumn("known_", F.lit(True)), key, "left")
+    checked = F.when(F.col("known_"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("nothing is known of "), F.col(key).cast("string"))).cast(known.schema[key].dataType))
+    return both.withColumn(key, checked).drop("known_")
+
+
 def sources(link: DataFrame) -> DataFrame:
     """Artefacts that no method produces."""
     return link.select("artefact").distinct().join(producers(link).select("artefact").distinct(), "artefact", "left_anti")

@@ -52,6 +52,12 @@ def reduce_to(elements: DataFrame, prefix: list[str], order: str, value: str, na
     return elements.groupBy(*prefix).agg(F.array_join(F.transform(ordered, lambda x: x[value]), separator).alias(name))
 
 
+def fold_level(elements: DataFrame, prefix: list[str], **folds: Column) -> DataFrame:
+    """Elements whose values are summed up over the last dimension by built-in aggregates: nothing is gathered, tasks sum up before they
+    shuffle, and the result is a vector of the rank before that can be folded again."""
+    return elements.groupBy(*prefix).agg(*[c.alias(name) for name, c in folds.items()])
+
+
 def reduce_level(elements: DataFrame, rank: int, value: str, parents: DataFrame | None = None) -> DataFrame:
     """index (one part shorter), values: the last dimension of a vector of some rank gathered in order of its index parts, as an array of
     (key, value). parents: indices of what is there without elements, which gets an empty array.
@@ -96,6 +102,11 @@ def scatter_table(elements: DataFrame, index: list[str], order: str, value: str,
     return udtf(Pieces)(rows.partitionBy(*index).orderBy(order))
 
 
+def without(elements: DataFrame, keys: DataFrame, index: list[str]) -> DataFrame:
+    """The elements but those at some indices; indices that hold nothing make no difference."""
+    return elements.join(keys.select(*index).distinct(), index, "left_anti")
+
+
 def same_rank(elements: DataFrame, index: str) -> DataFrame:
     """The elements; an error if their indices differ in length."""
     ranks = elements.agg(F.count_distinct(F.size(index)).alias("ranks"))

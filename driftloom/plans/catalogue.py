@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, fingerprints, paths
 from ..operators import lineage, staleness, store, vectors
-from ..sources import files, patterns, roots
+from ..sources import files, metadata, patterns, roots
 from ..sources.contents import ContentStore
 from ..sources.expectations import Expectations
 from ..sources.tables import new_folder, table
@@ -40,6 +40,11 @@ def content_hash(spark, folder):
     return table(spark, folder, "documents").select("doc_id", digest(F.col("text")).alias("version"))
 
 
+@query("select doc_id, left(sha256(text), 8) as short from documents")
+def short_versions(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", fingerprints.short_version(digest(F.col("text"))).alias("short"))
+
+
 @query("select upper(sha256(text)) as version, cast(min(doc_id) as varchar) as path, count(*) as copies from documents group by 1")
 def content_dedupe(spark, folder):
     rows = table(spark, folder, "documents").select(digest(F.col("text")).alias("version"), "doc_id")
@@ -153,6 +158,16 @@ def sidecar_name(spark, folder):
     return _patterns(spark, folder).select("doc_id", "pattern", paths.metadata_file(F.col("pattern")).alias("metadata"), paths.hash_file(F.col("pattern")).alias("hashes"))
 
 
+@query("""
+select doc_id, '/data/x/' || lang || '/vector.csv.prov.json' as metadata, '/data/x/' || lang || '/' || source as place, cast(doc_id % 3 as integer) as format from documents""")
+def metadata_places(spark, folder):
+    """Where the metadata file of an id lies under a root, an id's place, and the format that a document says it has."""
+    root = F.lit("/data/x/")
+    document = F.to_json(F.struct((F.col("doc_id") % 3).cast("int").alias("format"), F.lit("source").alias("kind")))
+    rows = table(spark, folder, "documents")
+    return rows.select("doc_id", paths.metadata_full_path(root, F.concat("lang", F.lit("/*.csv"))).alias("metadata"), paths.below(root, F.concat_ws("/", "lang", "source")).alias("place"), paths.format_number(document).alias("format"))
+
+
 @query("""
 with p as (select page_id, 'site/' || split_part(url, '/', 3) || '/m.prov.json' as base, 'site/' || case when page_id % 2 = 0 then split_part(url, '/', 3) else 'other' end || '/' || page_id || '.html' as target from pages)
 select page_id, case when page_id % 2 = 0 then page_id || '.html' else '../other/' || page_id || '.html' end as relative, target as resolved from p""")
@@ -244,9 +259,10 @@ def reduce_turns(spark, folder):
 with o as (select l_orderkey, sum(cast(l_extendedprice as decimal(18,2))) as total, count(*) as n from lineitem group by l_orderkey)
 select o_custkey, cast(sum(total) as decimal(38,2)) as total, cast(sum(n) as bigint) as n, count(*) as orders from o join orders on l_orderkey = o_orderkey group by o_custkey""")
 def reduce_rollup(spark, folder):
-    by_order = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("total"), F.count("*").alias("n"))
-    joined = by_order.join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy("o_custkey").agg(F.sum("total").cast("decimal(38,2)").alias("total"), F.sum("n").alias("n"), F.count("*").alias("orders"))
+    prices = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    by_order = vectors.fold_level(prices, ["l_orderkey"], total=F.sum("price"), n=F.count("*"))
+    placed = by_order.join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return vectors.fold_level(placed, ["o_custkey"], total=F.sum("total").cast("decimal(38,2)"), n=F.sum("n"), orders=F.count("*"))
 
 
 @query("""
@@ -257,6 +273,21 @@ def scatter_then_reduce(spark, folder):
     return words.groupBy("conv_id").agg(F.count("*").alias("words"), F.count_distinct("word").alias("different"))
 
 
+@query("select lang, source, count(*) as n from documents group by lang, source")
+def truncated_indices(spark, folder):
+    """Indices of documents cut to two parts."""
+    index = F.array("lang", "source", F.col("doc_id").cast("string"))
+    cut = table(spark, folder, "documents").select(paths.truncate_index(index, 2).alias("index"))
+    return cut.groupBy(F.col("index")[0].alias("lang"), F.col("index")[1].alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, n_chars from documents where doc_id not in (select doc_id from labels where quality = 0)")
+def removed_keys(spark, folder):
+    """Documents without those labelled as low, and without some that aren't there."""
+    low = table(spark, folder, "labels").filter("quality = 0").select("doc_id")
+    return vectors.without(table(spark, folder, "documents").select("doc_id", "n_chars"), low.union(low.select(-F.col("doc_id") - 1)), ["doc_id"])
+
+
 @query("select lang, source, count(*) as n, min(doc_id) as first from documents group by lang, source")
 def resolve_prefix(spark, folder):
     """Part of the collection under each (lang, source), by prefix of the index."""
@@ -432,6 +463,14 @@ def status_texts(spark, folder):
     return rows.select(*INDEX, staleness.status_text(state, status).alias("text"))
 
 
+@query("select lang, source, doc_id, case status when 'Remote' then 'Remote' else 'Local' end as location from status where status <> 'NotFound'", True)
+def source_locations(spark, folder):
+    """Where the documents are, as sources: a changed one is there too."""
+    rows = _elements(spark, folder)
+    status = staleness.link_status(rows)
+    return rows.withColumn("status", status).filter("status <> 'NotFound'").select(*INDEX, staleness.source_status(F.col("status")).alias("location"))
+
+
 @query("select o_orderkey, o_orderstatus in ('O', 'F') as ok from orders")
 def exit_code_filter(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", staleness.succeeded(F.col("o_orderstatus"), F.array(F.lit("O"), F.lit("F"))).alias("ok"))
@@ -626,7 +665,7 @@ def row_lineage(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
-    out = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    out = lineage.traced(lines, (orders, "l_orderkey", "o_orderkey"), (customers, "o_custkey", "c_custkey"), (nations, "c_nationkey", "n_nationkey"))
     return out.select("l_orderkey", "l_linenumber", "o_custkey", "c_nationkey", "n_regionkey")
 
 
@@ -671,6 +710,48 @@ def methods_replaced(spark, folder):
     return lineage.add_methods(_links(spark, folder).distinct(), new)
 
 
+@query("""
+with l as (select distinct 'order/' || l_orderkey as method, 'out' as role, l_linenumber as port, 'part/' || l_partkey || '/' || l_orderkey as artefact from lineitem),
+known as (select * from l where cast(split_part(method, '/', 2) as bigint) % 3 > 0)
+select * from known union all select method, role, port + 100, artefact from l where cast(split_part(method, '/', 2) as bigint) % 3 = 0""")
+def methods_added(spark, folder):
+    """Orders make their parts. Two thirds are known; all are registered again with other ports, and only the others count."""
+    rows = table(spark, folder, "lineitem")
+    part = F.concat_ws("/", F.lit("part"), "l_partkey", "l_orderkey").alias("artefact")
+    every = rows.select(F.concat(F.lit("order/"), "l_orderkey").alias("method"), F.lit("out").alias("role"), F.col("l_linenumber").alias("port"), part, "l_orderkey").distinct()
+    known = every.filter("l_orderkey % 3 > 0").drop("l_orderkey")
+    return lineage.add_absent(known, every.drop("l_orderkey").withColumn("port", F.col("port") + 100))
+
+
+@query("""
+select distinct o_custkey, c_nationkey from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P'""")
+def looked_up_customers(spark, folder):
+    """The customers of orders in process, each once."""
+    known = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return lineage.looked_up(known, table(spark, folder, "orders").filter("o_orderstatus = 'P'"), "o_custkey")
+
+
+@query("""
+with l as (select distinct l_suppkey, l_partkey from lineitem),
+i as (select 'supplier/' || l_suppkey as method, 'in' as role, cast(row_number() over (partition by l_suppkey order by l_partkey) as integer) as port, 'part/' || l_partkey as artefact, '"' || upper(md5(cast(l_partkey as varchar))) || '"' as version from l)
+select * from i union all select distinct method, 'out', 1, method, cast(null as varchar) from i""")
+def metadata_round_trip(spark, folder):
+    """A metadata document for each supplier, with the parts that it delivers, written as JSON and read as links."""
+    parts = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    name = F.concat(F.lit("supplier/"), "l_suppkey")
+    quoted = F.concat(F.lit('"'), F.upper(F.md5(F.col("l_partkey").cast("string").cast("binary"))), F.lit('"'))
+    inputs = F.array_sort(F.collect_list(F.struct("l_partkey", quoted.alias("version"))))
+    made = parts.groupBy("l_suppkey").agg(inputs.alias("ins")).select(
+        F.lit(False).alias("tracked"), F.lit("command").alias("kind"), F.lit("deliver").alias("command"), F.lit("./").alias("working_dir"), F.lit(0).alias("output_index"), F.lit(None).cast("string").alias("signature"),
+        F.lit(True).alias("clean_outputs"), F.array().cast("array<string>").alias("resource_groups"), F.array(F.lit(0)).alias("success_codes"),
+        F.transform("ins", lambda x: F.struct(F.concat(F.lit("part/"), x["l_partkey"]).alias("path"), x["version"].alias("version"))).alias("inputs"),
+        F.array(F.struct(name.alias("path"), F.lit(None).cast("string").alias("version"))).alias("outputs"),
+    )
+    at = new_folder(spark, "metadata")
+    metadata.write(made, at)
+    return metadata.links(metadata.read(spark, at))
+
+
 # ---- files, stores and recorded versions on disk
 
 

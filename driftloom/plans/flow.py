@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprints import version
 from ..operators.staleness import ALL_EXIST, INPUTS, OUTPUTS, UP_TO_DATE, group_decision, presence, propagate_elements
-from ..sources import files, metadata
+from ..sources import files, metadata, patterns
 from ..sources.contents import ContentStore
 from ..sources.expectations import Expectations
 from ..sources.roots import FOLDER, Config, filesystem, open_root
@@ -72,6 +72,7 @@ class Flow:
     signed: dict[str, str] = field(default_factory=dict)
     sources: dict[str, DataFrame] = field(default_factory=dict)  # recorded versions of sources: index, expected
     kinds: dict[str, str] = field(default_factory=dict)  # type of an artefact's contents: string, unless it is known to be binary
+    listed: dict[str, DataFrame] = field(default_factory=dict)  # with a root: index, relative, actual of the elements in place
     _home: str | None = None  # what relative stores lie under, without a root
     _versions: dict[str, tuple[int, DataFrame]] = field(default_factory=dict)  # what stores held at a manifest
     _written: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)  # parts of the state as they were written
@@ -84,16 +85,35 @@ class Flow:
 
     def _place(self, artefact: str, rows: DataFrame) -> None:
         self.artefacts[artefact] = rows
+        self.listed.pop(artefact, None)
         self.kinds[artefact] = rows.schema["content"].dataType.simpleString()
 
     def scan(self, artefact: str, text: bool = False) -> None:
-        """Takes an artefact's elements from the files under the root; as text in UTF-8 if asked for."""
+        """Takes an artefact's elements from the files under the root; as text in UTF-8 if asked for. Files that are as they were when they
+        were last hashed aren't read; contents are read when a method needs them."""
         if self.root is None:
             raise ValueError("the flow has no root")
-        rows = files.elements(self.spark, self.root, artefact)
-        if text:
-            rows = rows.select("index", F.decode("content", "UTF-8").alias("content"))
-        self.source(artefact, rows)
+        self._scan({artefact: text})
+
+    def _scan(self, texts: dict[str, bool]) -> None:
+        listed = {a: settle(files.listing(self.spark, self.root, a)) for a in texts}
+        versions = settle(patterns.cached_versions(self.spark, self.root, listed)) if listed else None
+        for a, text in texts.items():
+            self.listed[a] = settle(listed[a].join(versions.withColumnRenamed("version", "actual"), "relative").select("index", "relative", "actual"))
+            self.kinds[a] = "string" if text else "binary"
+            self.artefacts[a] = self._read(a, self.listed[a])
+
+    def _read(self, artefact: str, rows: DataFrame) -> DataFrame:
+        """index, content of listed elements."""
+        out = files.contents(self.root, rows)
+        return out.select("index", F.decode("content", "UTF-8").alias("content")) if self.kinds[artefact] == "string" else out
+
+    def _of(self, artefact: str, stale: DataFrame, m: Method) -> DataFrame:
+        """The artefact's elements that stale instances of a method use; of files, no others are read."""
+        k = min(m.rank, artefact.count("*"))
+        keys = stale.select(F.slice("instance", 1, k).alias("key")).distinct()
+        some = lambda rows: rows.join(keys, F.slice("index", 1, k) == F.col("key"), "left_semi")
+        return self._read(artefact, some(self.listed[artefact])) if artefact in self.listed else some(self.artefacts[artefact])
 
     def _publish(self, artefact: str, rows: DataFrame | None, gone: DataFrame | None = None) -> None:
         """Puts elements in place as files and deletes others (index), if the flow has a root."""
@@ -142,6 +162,8 @@ class Flow:
 
     def items(self, artefact: str) -> DataFrame:
         """index, actual of the elements in place."""
+        if artefact in self.listed:
+            return self.listed[artefact].select("index", "actual")
         rows = self.artefacts.get(artefact)
         if rows is None:
             return self.spark.createDataFrame([], "index array<string>, actual string")
@@ -162,7 +184,7 @@ class Flow:
         for a in m.inputs:
             if a.count("*") >= m.rank:
                 present = self.items(a).select(F.slice("index", 1, m.rank).alias("instance")).distinct()
-                recorded = self._expected(m).filter("role = 'in'").join(self._held(), "expected").filter(F.size("index") == a.count("*")).select("instance") if a not in self.artefacts or self.artefacts[a].isEmpty() else None
+                recorded = self._expected(m).filter("role = 'in'").join(self._held(), "expected").filter(F.size("index") == a.count("*")).select("instance") if a not in self.artefacts or self.items(a).isEmpty() else None
                 present = present if recorded is None else present.union(recorded).distinct()
                 out = present if out is None else out.join(present, "instance", "left_semi")
         return out
@@ -231,7 +253,7 @@ class Flow:
         have = self.artefacts.get(artefact)
         missing = wanted.filter("expected is not null").select("index", "expected").distinct()
         if have is not None:
-            missing = missing.join(have.select("index"), "index", "left_anti")
+            missing = missing.join(self.items(artefact).select("index"), "index", "left_anti")
         missing, kind = settle(missing), self.kinds.get(artefact, "string")
         for name in sorted(self.config.stores, reverse=True):
             if missing.isEmpty():
@@ -242,15 +264,18 @@ class Flow:
             held = store.load(missing.select(F.col("expected").alias("version"))).withColumnRenamed("version", "expected")
             found = settle(missing.join(held, "expected").select("index", F.col("content").cast(kind).alias("content")))
             missing = settle(missing.join(found.select("index"), "index", "left_anti"))
-            self._publish(artefact, found)
-            have = self.artefacts.get(artefact)
-            self._place(artefact, settle(found if have is None else have.union(found)))
+            if self.root is not None:
+                self._publish(artefact, found)
+                self.scan(artefact, text=kind == "string")
+            else:
+                have = self.artefacts.get(artefact)
+                self._place(artefact, settle(found if have is None else have.union(found)))
 
     def compute(self, target: str) -> dict[str, int]:
         """Brings a target up to date; returns how many instances of each method ran."""
         ran: dict[str, int] = {}
         for a in {i for m in self.ordered([target]) for i in m.inputs if self.producer(i) is None}:
-            if a in self.sources and (a not in self.artefacts or self.root is not None and self.artefacts[a].isEmpty()):
+            if a in self.sources and (a not in self.artefacts or self.root is not None and self.items(a).isEmpty()):
                 self._fetch(a, self.sources[a])  # nothing of it is in place: all that was recorded is wanted
             self._record_source(a)
         for m in self.ordered([target]):
@@ -288,25 +313,29 @@ class Flow:
         instances = settle(self._instances(m))
         made: dict[str, DataFrame] = {}
         if stale is not None:
-            frames = [self.artefacts[a].join(stale.select(F.slice("instance", 1, min(m.rank, a.count("*"))).alias("key")).distinct(), F.slice("index", 1, min(m.rank, a.count("*"))) == F.col("key"), "left_semi") for a in m.inputs]
+            frames = [self._of(a, stale, m) for a in m.inputs]
             got = m.function(*frames) if m.inputs else m.function(self.spark)
             got = got if isinstance(got, tuple) else (got,)
             if len(got) != len(m.outputs):
                 raise ValueError(f"{m.name}: {len(m.outputs)} outputs are declared, {len(got)} were made")
             made = {o: settle(rows.select("index", "content")) for o, rows in zip(m.outputs, got, strict=True)}
         for o in m.outputs:
-            k = min(m.rank, o.count("*"))
-            old = self.artefacts.get(o)
+            k, new = min(m.rank, o.count("*")), made.get(o)
+            before = old = self.listed.get(o, self.artefacts.get(o))
             if old is not None:
                 key = F.slice("index", 1, k)
                 old = old.join(instances.select(F.slice("instance", 1, k).alias("key")).distinct(), key == F.col("key"), "left_semi")
                 if stale is not None:
                     old = old.join(stale.select(F.slice("instance", 1, k).alias("key")).distinct(), key == F.col("key"), "left_anti")
-            new, before = made.get(o), self.artefacts.get(o)
-            if old is not None or new is not None:
+            if self.root is not None:
+                here = [rows.select("index") for rows in (old, new) if rows is not None]
+                gone = None if before is None else settle(before.select("index").join(here[0] if len(here) == 1 else here[0].union(here[1]), "index", "left_anti"))
+                if new is not None or (gone is not None and not gone.isEmpty()):
+                    text = self.kinds.get(o) == "string" if new is None else new.schema["content"].dataType.simpleString() == "string"
+                    self._publish(o, new, gone)
+                    self.scan(o, text)
+            elif old is not None or new is not None:
                 self._place(o, settle(new if old is None else old if new is None else old.union(new)))
-                gone = None if before is None else before.select("index").join(self.artefacts[o].select("index"), "index", "left_anti")
-                self._publish(o, new, gone)
         columns = ["method", "role", "port", "instance", "index", "expected"]
         keep = self._expected(m).join(instances, "instance", "left_semi").select(columns)
         vanished = self._expected(m).select("instance").distinct().join(instances, "instance", "left_anti")
@@ -357,7 +386,11 @@ class Flow:
                 continue
             if self.producer(a) is None:
                 self._record_source(a)
-            part = self.artefacts[a].select(version(F.col("content").cast("binary")).alias("version"), F.col("content").cast("binary").alias("content"))
+            here = self.artefacts[a]
+            if a in self.listed:  # only files that the store lacks are read
+                lacking = self.listed[a].join(into.versions().withColumnRenamed("version", "actual"), "actual", "left_anti")
+                here = self._read(a, lacking.dropDuplicates(["actual"]))
+            part = here.select(version(F.col("content").cast("binary")).alias("version"), F.col("content").cast("binary").alias("content"))
             rows = part if rows is None else rows.union(part)
         if self.root is not None:
             self._keep_methods()
@@ -374,10 +407,12 @@ class Flow:
         if lost is not None:
             raise LookupError(f"no store holds {lost['expected'][:8].lower()} of {artefact}")
         if artefact in self.artefacts:  # elements with another version give way
-            same = self.items(artefact).join(wanted, "index").filter("actual = expected").select("index")
-            before = self.artefacts[artefact]
-            self._place(artefact, settle(before.join(same, "index", "left_semi")))
-            self._publish(artefact, None, before.select("index").join(same, "index", "left_anti"))
+            same = settle(self.items(artefact).join(wanted, "index").filter("actual = expected").select("index"))
+            if self.root is not None:
+                self._publish(artefact, None, settle(self.items(artefact).select("index").join(same, "index", "left_anti")))
+                self.scan(artefact, self.kinds.get(artefact) == "string")
+            else:
+                self._place(artefact, settle(self.artefacts[artefact].join(same, "index", "left_semi")))
         self._fetch(artefact, wanted)
         return wanted.count()
 
@@ -463,8 +498,8 @@ class Flow:
             rows = recorded.filter((F.col("role") == "source") & (F.col("method") == name)).select("index", "expected")
             if not rows.isEmpty():
                 flow.sources[name] = rows
-        for a in {a for m in flow.methods.values() for a in (*m.inputs, *m.outputs)} | set(sources):
-            flow.scan(a, text=head["kinds"].get(a) == "string")
+        every = {a for m in flow.methods.values() for a in (*m.inputs, *m.outputs)} | set(sources)
+        flow._scan({a: head["kinds"].get(a) == "string" for a in sorted(every)})
         return flow
 
     def write_state(self, folder: str) -> None:
@@ -508,7 +543,7 @@ class Flow:
         """Forgets an artefact's elements in place, and deletes its files if the flow has a root (its recorded and stored versions stay)."""
         rows = self.artefacts.pop(artefact, None)
         if rows is not None:
-            self._publish(artefact, None, rows.select("index"))
+            self._publish(artefact, None, self.listed.pop(artefact, rows).select("index"))
 
 
 def _delete_others(folder: str, beginning: str, names: set[str]) -> None:

@@ -335,10 +335,38 @@ def read(spark: SparkSession, root: str, pattern: str, content: bool = True) ->
     return spark.read.format(FORMAT).options(root=root, pattern=pattern, content=str(content).lower()).load()
 
 
-def elements(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """index, content of the elements in place, as a flow takes them."""
+def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """index, relative, mtime, length of the elements in place."""
     index = F.array(*[F.col(f"index_{i + 1}") for i in range(pattern.count("*"))]).cast("array<string>")
-    return read(spark, root, pattern).select(index.alias("index"), "content")
+    return read(spark, root, pattern, content=False).select(index.alias("index"), "relative", "mtime", "length")
+
+
+def contents(root: str, listed: DataFrame) -> DataFrame:
+    """index, content of listed elements (index, relative): only their files are read, where Spark deals them to. A directory has none, and
+    neither has a file that went meanwhile."""
+    import pyarrow as pa
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = filesystem(root)
+        for batch in batches:
+            at, held, size = 0, [], 0
+            for i, relative in enumerate(batch.column("relative").to_pylist()):
+                content = None
+                if relative and not relative.endswith("/"):
+                    try:
+                        with system.open_input_stream(f"{base}/{relative}") as source:
+                            content = source.read()
+                    except FileNotFoundError:
+                        pass
+                held.append(content)
+                size += len(content or b"")
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([batch.column("index").slice(at, len(held)), pa.array(held, pa.binary())], ["index", "content"])
+                    at, held, size = i + 1, [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([batch.column("index").slice(at, len(held)), pa.array(held, pa.binary())], ["index", "content"])
+
+    return listed.select("index", "relative").repartition("relative").mapInArrow(fetch, "index array<string>, content binary")
 
 
 def write(rows: DataFrame, root: str, pattern: str) -> None:

@@ -7,6 +7,7 @@ Folders are listed in tasks, a level of the tree in each round; empty files and
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import uuid
@@ -221,6 +222,28 @@ def write_cache(cache: DataFrame, root: str) -> None:
             system.delete_dir(x.path)
 
 
+def cached_versions(spark: SparkSession, root: str, listed: dict[str, DataFrame]) -> DataFrame:
+    """relative, version of what was listed by pattern (relative, mtime, length), by the root's cache, which is brought up to date: what it
+    held of absent elements of these patterns goes, what it holds of others stays."""
+    cache = settle(read_cache(spark, root))
+    items = None
+    for rows in listed.values():
+        part = rows.select("relative", "mtime", "length")
+        items = part if items is None else items.union(part)
+    items = items.distinct()
+    matches = [index_of(p, F.col("relative")).isNotNull() for p in listed]
+    mine = functools.reduce(lambda a, b: a | b, matches)
+    if any(p.endswith("/") for p in listed):  # digests of directories look at all that is below them
+        versions, new = hashed(spark, root, items, cache)
+    else:
+        versions, new = hashed(spark, root, items, cache.filter(mine))
+        new = new.union(cache.filter(~mine))
+    new, columns = settle(new), ["relative", "cached", "cache_mtime"]
+    if not (new.join(cache, columns, "left_anti").isEmpty() and cache.join(new, columns, "left_anti").isEmpty()):
+        write_cache(new, root)
+    return versions
+
+
 def cached_digests(spark: SparkSession, root: str) -> DataFrame:
     """relative, version, recomputed of all files and directories under a root, by its cache, which is brought up to date."""
     everything, new = digests(spark, root, entries(spark, root), read_cache(spark, root))

@@ -90,6 +90,8 @@ def propagate_elements(own: DataFrame, edges: DataFrame) -> DataFrame:
     from ..sources.tables import settle
 
     own = settle(own.select("method", "instance", "status"))
+    if edges.isEmpty() or own.filter(F.col("status") != UP_TO_DATE).isEmpty():
+        return own
     key = lambda n: F.slice("instance", F.lit(1), n)
     slots = settle(own.join(edges.select(F.col("consumer").alias("method"), "shared").distinct(), "method").select("method", "shared", key(F.col("shared")).alias("key"), "instance"))
     frontier = settle(own.filter(F.col("status") != UP_TO_DATE).select("method", "instance"))

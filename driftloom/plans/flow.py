@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions.fingerprints import version
 from ..operators.staleness import ALL_EXIST, INPUTS, OUTPUTS, UP_TO_DATE, group_decision, presence, propagate_elements
 from ..sources import files, metadata, patterns
@@ -103,6 +104,22 @@ class Flow:
             self.kinds[a] = "string" if text else "binary"
             self.artefacts[a] = self._read(a, self.listed[a])
 
+    def _put(self, artefact: str, kept: DataFrame | None, new: DataFrame | None, gone: DataFrame | None = None) -> None:
+        """Writes new elements (index, content) as files beside those kept (index, relative, actual), and deletes others (index). What was
+        written is known by its contents, so that files aren't read back."""
+        def known(rows: DataFrame) -> DataFrame:
+            if "content" not in rows.columns:
+                return rows.select("index", "relative", "actual")
+            return rows.select("index", paths.apply_index(F.lit(artefact), F.col("index")).alias("relative"), version(F.col("content").cast("binary")).alias("actual"))
+
+        self._publish(artefact, new, gone)
+        rows = None if kept is None else known(kept)
+        if new is not None:
+            rows = known(new) if rows is None else rows.union(known(new))
+            self.kinds[artefact] = new.schema["content"].dataType.simpleString()
+        self.listed[artefact] = settle(rows)
+        self.artefacts[artefact] = self._read(artefact, self.listed[artefact])
+
     def _read(self, artefact: str, rows: DataFrame) -> DataFrame:
         """index, content of listed elements."""
         out = files.contents(self.root, rows)
@@ -209,24 +226,20 @@ class Flow:
 
     def _elements(self, m: Method) -> DataFrame:
         """instance, role, expected, actual, in_store: every element that an instance saw or would see."""
-        expected = self._expected(m)
-        parts = []
-        for role, side in (("in", m.inputs), ("out", m.outputs)):
-            for port, artefact in enumerate(side, 1):
-                k = min(m.rank, artefact.count("*"))
-                saw = expected.filter((F.col("role") == role) & (F.col("port") == port)).select("instance", "index", "expected")
-                now = self.items(artefact)
-                # what is in place belongs to all instances that begin with its index
-                here = self._instances(m).withColumn("key", F.slice("instance", 1, k)).join(now.withColumn("key", F.slice("index", 1, k)), "key").select("instance", "index", "actual")
-                both = saw.join(here, ["instance", "index"], "full_outer")
-                parts.append(both.select("instance", F.lit(role).alias("role"), F.lit(port).alias("port"), "index", "expected", "actual"))
-                none = self._instances(m).join(both.select("instance").distinct(), "instance", "left_anti")
-                null = F.lit(None).cast("string")
-                parts.append(none.select("instance", F.lit(role).alias("role"), F.lit(port).alias("port"), F.lit(None).cast("array<string>").alias("index"), null.alias("expected"), null.alias("actual")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return presence(out, self._held().withColumnRenamed("expected", "version"), "expected")
+        ports = [(role, port, a, min(m.rank, a.count("*"))) for role, side in (("in", m.inputs), ("out", m.outputs)) for port, a in enumerate(side, 1)]
+        each = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(port).alias("port"), F.lit(k).alias("shared")) for role, port, _, k in ports])
+        slots = self._instances(m).select("instance", F.inline(each)).withColumn("key", F.slice("instance", F.lit(1), F.col("shared")))
+        now = None
+        for role, port, a, k in ports:
+            part = self.items(a).select(F.lit(role).alias("role"), F.lit(port).alias("port"), "index", "actual", F.slice("index", 1, k).alias("key"))
+            now = part if now is None else now.union(part)
+        place = ["role", "port", "instance"]
+        here = slots.join(now, ["role", "port", "key"]).select(*place, "index", "actual")  # what is in place belongs to all instances that begin with its index
+        saw = self._expected(m).select(*place, "index", "expected")
+        both = saw.join(here, [*place, "index"], "full_outer").select(*place, "expected", "actual")
+        null = F.lit(None).cast("string")
+        none = slots.join(both.select(*place).distinct(), place, "left_anti").select(*place, null.alias("expected"), null.alias("actual"))
+        return presence(both.union(none), self._held().withColumnRenamed("expected", "version"), "expected")
 
     def decisions(self, m: Method) -> DataFrame:
         """instance, state of a method's instances by themselves."""
@@ -250,23 +263,22 @@ class Flow:
 
     def _fetch(self, artefact: str, wanted: DataFrame) -> None:
         """Takes elements (index, expected) that aren't in place from the stores, the last by name that holds them."""
+        stores = [store for name in sorted(self.config.stores, reverse=True) if (store := self.store(name)).state()[0] >= 0]
+        if not stores:
+            return
         have = self.artefacts.get(artefact)
         missing = wanted.filter("expected is not null").select("index", "expected").distinct()
         if have is not None:
             missing = missing.join(self.items(artefact).select("index"), "index", "left_anti")
         missing, kind = settle(missing), self.kinds.get(artefact, "string")
-        for name in sorted(self.config.stores, reverse=True):
+        for store in stores:
             if missing.isEmpty():
                 return
-            store = self.store(name)
-            if store.state()[0] < 0:
-                continue
             held = store.load(missing.select(F.col("expected").alias("version"))).withColumnRenamed("version", "expected")
             found = settle(missing.join(held, "expected").select("index", F.col("content").cast(kind).alias("content")))
             missing = settle(missing.join(found.select("index"), "index", "left_anti"))
             if self.root is not None:
-                self._publish(artefact, found)
-                self.scan(artefact, text=kind == "string")
+                self._put(artefact, self.listed.get(artefact), found)
             else:
                 have = self.artefacts.get(artefact)
                 self._place(artefact, settle(found if have is None else have.union(found)))
@@ -289,6 +301,8 @@ class Flow:
                         self._fetch(a, seen)
                         self._fetch(a, self._recorded(a).join(seen.select("index"), "index", "left_anti"))  # never seen by this method
             self._run(m, stale if ran[m.name] else None)
+        if self.root is not None:  # until then what was recorded of new methods doesn't count
+            self._keep_methods()
         last = self.producer(target)
         if last is not None:
             port = last.outputs.index(target) + 1
@@ -331,9 +345,7 @@ class Flow:
                 here = [rows.select("index") for rows in (old, new) if rows is not None]
                 gone = None if before is None else settle(before.select("index").join(here[0] if len(here) == 1 else here[0].union(here[1]), "index", "left_anti"))
                 if new is not None or (gone is not None and not gone.isEmpty()):
-                    text = self.kinds.get(o) == "string" if new is None else new.schema["content"].dataType.simpleString() == "string"
-                    self._publish(o, new, gone)
-                    self.scan(o, text)
+                    self._put(o, old, new, gone)
             elif old is not None or new is not None:
                 self._place(o, settle(new if old is None else old if new is None else old.union(new)))
         columns = ["method", "role", "port", "instance", "index", "expected"]
@@ -358,7 +370,6 @@ class Flow:
         self.seen[m.name] = seen
         if self.root is not None:
             self._expectations().replace(touched.select(F.lit(m.name).alias("method"), "instance"), seen)
-            self._keep_methods()
 
     def _recorded(self, artefact: str) -> DataFrame:
         """index, expected: the versions that the artefact's producer last made, or a source was last seen with."""
@@ -408,9 +419,9 @@ class Flow:
             raise LookupError(f"no store holds {lost['expected'][:8].lower()} of {artefact}")
         if artefact in self.artefacts:  # elements with another version give way
             same = settle(self.items(artefact).join(wanted, "index").filter("actual = expected").select("index"))
-            if self.root is not None:
-                self._publish(artefact, None, settle(self.items(artefact).select("index").join(same, "index", "left_anti")))
-                self.scan(artefact, self.kinds.get(artefact) == "string")
+            if artefact in self.listed:
+                here = self.listed[artefact]
+                self._put(artefact, here.join(same, "index", "left_semi"), None, settle(here.select("index").join(same, "index", "left_anti")))
             else:
                 self._place(artefact, settle(self.artefacts[artefact].join(same, "index", "left_semi")))
         self._fetch(artefact, wanted)
@@ -481,7 +492,7 @@ class Flow:
         """The flow of a root: its files, and what was recorded. functions: those of the methods, by name; a method without one stays known,
         and running it is an error. Jobs that were cut off while they put elements in place are completed first."""
         flow = cls(spark, root=root, config=open_root(root))
-        files.recover(root)
+        files.recover(root, clean=False)
         at = f"{root.rstrip('/')}/{FOLDER}"
         system, path = filesystem(at)
         if not system.get_file_info(f"{path}/state.json").is_file:

@@ -289,9 +289,9 @@ def put_in_place(root: str, job: str) -> None:
     system.delete_dir(folder)
 
 
-def recover(root: str) -> int:
-    """Completes the jobs that count but were cut off while they moved elements; returns how many there were. Call it while nothing is
-    written: what other jobs have staged is deleted."""
+def recover(root: str, clean: bool = True) -> int:
+    """Completes the jobs that count but were cut off while they moved elements; returns how many there were. Call it while no job puts
+    elements in place; with clean, what other jobs have staged is deleted, so none may be running at all."""
     from pyarrow.fs import FileSelector, FileType
 
     system, base = filesystem(root)
@@ -300,7 +300,7 @@ def recover(root: str) -> int:
     for job in jobs:
         put_in_place(root, job)
     for x in system.get_file_info(FileSelector(f"{base}/{FOLDER}/staging", allow_not_found=True)):
-        if x.type == FileType.Directory:
+        if clean and x.type == FileType.Directory:
             system.delete_dir(x.path)
     return len(jobs)
 

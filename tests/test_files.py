@@ -312,6 +312,16 @@ def test_a_flow_of_files(spark, root):
     assert on_disk(root) == {"out/eu/fr/paris.txt": b"P", "out/eu/fr/lyon.txt": b"L", "out/eu/de/bonn.txt": b"", "out/us/ny/albany.txt": b"A"} and open(f"{root}/sum.txt").read() == "+L+P+A"
     flow = Flow.open(spark, root, made)  # knows methods, files and what was seen
     assert flow.compute("sum.txt") == {"out/*/*/*.txt": 0, "sum.txt": 0}
+    # what is as it was when it was hashed isn't read again
+    for f in ("in/eu/fr/paris.v2.txt", "out/us/ny/albany.txt"):
+        was = os.stat(f"{root}/{f}")
+        put(root, {f: "not looked at"})
+        os.utime(f"{root}/{f}", ns=(was.st_atime_ns, was.st_mtime_ns))
+    assert Flow.open(spark, root, made).compute("sum.txt") == {"out/*/*/*.txt": 0, "sum.txt": 0}
+    for f, text in (("in/eu/fr/paris.v2.txt", "p"), ("out/us/ny/albany.txt", "A")):
+        was = os.stat(f"{root}/{f}")
+        put(root, {f: text})
+        os.utime(f"{root}/{f}", ns=(was.st_atime_ns, was.st_mtime_ns))
     # one element changes, one goes
     times = {f: os.stat(f"{root}/{f}").st_mtime_ns for f in on_disk(root)}
     put(root, {"in/eu/fr/lyon.txt": "new"})

@@ -85,6 +85,11 @@ def test_full_paths_and_short_versions(spark):
     assert values(spark, rows, "r string, i string", paths.full_path(F.col("r"), F.col("i"))) == ["/r/a/b", "/r/a/", "s3://x/r/c"]
     with pytest.raises(Exception, match="relative root"):
         values(spark, [("r", "a")], "r string, i string", paths.full_path(F.col("r"), F.col("i")))
+    with pytest.raises(Exception, match="ends with"):
+        values(spark, [("/r", "a")], "r string, i string", paths.metadata_full_path(F.col("r"), F.col("i")))
+    with pytest.raises(Exception, match="an absolute path"):
+        values(spark, [("/r/", "/a")], "r string, i string", paths.below(F.col("r"), F.col("i")))
+    assert values(spark, [('{"format": 1}',), ("{}",), ('{"format": "x"}',), ("no json",)], "d string", paths.format_number(F.col("d"))) == [1, None, None, None]
     assert values(spark, [("ABCDEF0123",)], "v string", fingerprints.short_version(F.col("v"))) == ["abcdef01"]
 
 

@@ -924,15 +924,15 @@ def flow_over_files(spark, folder):
     def joined(rows):
         return vectors.reduce_level(rows, 2, "content").select("index", F.array_join(F.transform("values", lambda x: x["value"]), "").alias("content"))
 
-    ran = []
-    for gone in (None, turns.filter("index[1] = '1' and cast(index[0] as long) % 10 = 3").select("index", F.lit(None).cast("string").alias("content"))):
-        if gone is not None:
-            files.write(gone, root, "talk/*/*.txt")
-        flow = Flow.open(spark, root)
-        flow.build(["talk/*/*.txt"], ["said/*/*.txt"], capitals, "capitals")
-        flow.build(["said/*/*.txt"], ["conv/*.txt"], joined, "joined")
-        flow.scan("talk/*/*.txt", text=True)
-        ran.append(flow.compute("conv/*.txt"))
+    flow = Flow.open(spark, root, buckets=32)
+    flow.build(["talk/*/*.txt"], ["said/*/*.txt"], capitals, "capitals")
+    flow.build(["said/*/*.txt"], ["conv/*.txt"], joined, "joined")
+    flow.scan("talk/*/*.txt", text=True)
+    ran = [flow.compute("conv/*.txt")]
+    gone = turns.filter("index[1] = '1' and cast(index[0] as long) % 10 = 3").select("index", F.lit(None).cast("string").alias("content"))
+    files.write(gone, root, "talk/*/*.txt")
+    flow = Flow.open(spark, root, {"said/*/*.txt": capitals, "conv/*.txt": joined})  # knows methods, files and what was seen
+    ran.append(flow.compute("conv/*.txt"))
     flow.save("conv/*.txt")
     flow.remove("conv/*.txt")
     flow.restore("conv/*.txt")

@@ -28,7 +28,7 @@ from ..functions.fingerprints import version
 from ..operators.staleness import ALL_EXIST, INPUTS, OUTPUTS, UP_TO_DATE, group_decision, presence, propagate_elements
 from ..sources import files, metadata, patterns
 from ..sources.contents import ContentStore
-from ..sources.expectations import Expectations
+from ..sources.expectations import BUCKETS, Expectations
 from ..sources.roots import FOLDER, Config, filesystem, open_root
 from ..sources.tables import new_folder, settle
 
@@ -68,6 +68,7 @@ class Flow:
     methods: dict[str, Method] = field(default_factory=dict)
     root: str | None = None  # of a flow whose artefacts are files
     config: Config = field(default_factory=Config)
+    buckets: int = BUCKETS  # of recorded versions, if the root has none yet
     tracked: set[str] = field(default_factory=set)  # artefacts that have ever been saved
     seen: dict[str, DataFrame] = field(default_factory=dict)  # EXPECTED by method
     signed: dict[str, str] = field(default_factory=dict)
@@ -321,7 +322,7 @@ class Flow:
             self._expectations().replace(touched, rows)
 
     def _expectations(self) -> Expectations:
-        return Expectations(self.spark, f"{self.root.rstrip('/')}/{FOLDER}/expected")
+        return Expectations(self.spark, f"{self.root.rstrip('/')}/{FOLDER}/expected", self.buckets)
 
     def _run(self, m: Method, stale: DataFrame | None) -> None:
         instances = settle(self._instances(m))
@@ -488,10 +489,10 @@ class Flow:
         return found
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, functions: dict[str, Function] | None = None) -> Flow:
+    def open(cls, spark: SparkSession, root: str, functions: dict[str, Function] | None = None, buckets: int = BUCKETS) -> Flow:
         """The flow of a root: its files, and what was recorded. functions: those of the methods, by name; a method without one stays known,
         and running it is an error. Jobs that were cut off while they put elements in place are completed first."""
-        flow = cls(spark, root=root, config=open_root(root))
+        flow = cls(spark, root=root, config=open_root(root), buckets=buckets)
         files.recover(root, clean=False)
         at = f"{root.rstrip('/')}/{FOLDER}"
         system, path = filesystem(at)

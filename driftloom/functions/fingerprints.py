@@ -183,6 +183,17 @@ def refreshed_tree(files: DataFrame, gone: DataFrame, stored: DataFrame, folders
     return out
 
 
+def directory_versions(inside: DataFrame, bits: int = VERSION_BITS) -> DataFrame:
+    """index, version of directories from what is inside them: index, path, version of files (inner directories end with ``/``, the directory
+    itself has an empty path). Nothing above the directories is looked at."""
+    top = F.concat(F.md5(F.to_json("index")), F.lit("/"))
+    rows = settle(inside.select("index", top.alias("top"), F.concat(top, "path").alias("path"), "version"))
+    is_file = ~F.col("path").endswith("/")
+    none = rows.select("path").limit(0)
+    tree = refreshed_tree(rows.filter(is_file).select("path", "version", F.lit(True).alias("changed")), none, none.select("path", F.lit("").alias("version")), rows.filter(~is_file).select("path"), bits)
+    return rows.select("index", F.col("top").alias("path")).distinct().join(tree, "path").select("index", "version")
+
+
 def signature(command: Column, working_dir: Column, inputs: Column, outputs: Column) -> Column:
     """Signature of a method: its command, working directory, input and output paths in order, without separators."""
     return F.upper(F.sha1(F.encode(F.concat(command, working_dir, F.array_join(inputs, ""), F.array_join(outputs, "")), "UTF-8")))

@@ -10,6 +10,11 @@ A flow with a root takes its artefacts from files (``scan``) and puts what it ma
 no others, in one job for each output. What methods saw is then kept in the root too, in buckets of which a run rewrites those of
 the instances that it touched; ``Flow.open`` goes on from there in another session. Contents are saved to the stores that the
 configuration names, each a log of manifests in its own folder.
+
+An artefact whose pattern ends with ``/`` is a vector of directories, for flows with a root only: (index, path, content), a row for each file
+inside, and rows with a null content for directories: inner ones (``sub/``) and the element itself (an empty path), which an empty
+directory needs. Its version is the digest of its tree; an instance that runs again replaces its directory, of which other files go.
+Hidden and side files play no part and can't be made.
 """
 
 from __future__ import annotations
@@ -20,11 +25,11 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.fingerprints import version
+from ..functions.fingerprints import directory_versions, version
 from ..operators.staleness import ALL_EXIST, INPUTS, OUTPUTS, UP_TO_DATE, group_decision, presence, propagate_elements
 from ..sources import files, metadata, patterns
 from ..sources.contents import ContentStore
@@ -34,6 +39,7 @@ from ..sources.tables import new_folder, settle
 
 #: (instance array<string>, and of each input the columns index_k, content_k) -> (index array<string>, content)
 Function = Callable[..., DataFrame]
+DIRECTORY = "directory"
 EXPECTED = "method string, role string, port int, instance array<string>, index array<string>, expected string"
 
 
@@ -102,7 +108,7 @@ class Flow:
         versions = settle(patterns.cached_versions(self.spark, self.root, listed)) if listed else None
         for a, text in texts.items():
             self.listed[a] = settle(listed[a].join(versions.withColumnRenamed("version", "actual"), "relative").select("index", "relative", "actual"))
-            self.kinds[a] = "string" if text else "binary"
+            self.kinds[a] = DIRECTORY if a.endswith("/") else "string" if text else "binary"
             self.artefacts[a] = self._read(a, self.listed[a])
 
     def _put(self, artefact: str, kept: DataFrame | None, new: DataFrame | None, gone: DataFrame | None = None) -> None:
@@ -111,18 +117,26 @@ class Flow:
         def known(rows: DataFrame) -> DataFrame:
             if "content" not in rows.columns:
                 return rows.select("index", "relative", "actual")
+            if artefact.endswith("/"):
+                part = F.when((F.col("path") != "") & ~F.col("path").endswith("/"), version(F.col("content").cast("binary")))
+                rows = directory_versions(rows.select("index", "path", part.alias("version")))
+                return rows.select("index", paths.apply_index(F.lit(artefact), F.col("index")).alias("relative"), F.col("version").alias("actual"))
             return rows.select("index", paths.apply_index(F.lit(artefact), F.col("index")).alias("relative"), version(F.col("content").cast("binary")).alias("actual"))
 
         self._publish(artefact, new, gone)
         rows = None if kept is None else known(kept)
         if new is not None:
             rows = known(new) if rows is None else rows.union(known(new))
-            self.kinds[artefact] = new.schema["content"].dataType.simpleString()
+            self.kinds[artefact] = DIRECTORY if artefact.endswith("/") else new.schema["content"].dataType.simpleString()
         self.listed[artefact] = settle(rows)
         self.artefacts[artefact] = self._read(artefact, self.listed[artefact])
 
     def _read(self, artefact: str, rows: DataFrame) -> DataFrame:
-        """index, content of listed elements."""
+        """index, content of listed elements; of directories index, path, content."""
+        if artefact.endswith("/"):
+            found = files.below(self.spark, self.root, artefact, rows)
+            read = files.contents(self.root, found.select(F.struct("index", "path").alias("index"), "relative"))
+            return read.select("index.index", "index.path", "content")
         out = files.contents(self.root, rows)
         return out.select("index", F.decode("content", "UTF-8").alias("content")) if self.kinds[artefact] == "string" else out
 
@@ -137,6 +151,8 @@ class Flow:
         """Puts elements in place as files and deletes others (index), if the flow has a root."""
         if self.root is None:
             return
+        if artefact.endswith("/"):
+            return self._publish_directories(artefact, rows, gone)
         out = None if rows is None else rows.select("index", F.col("content").cast("binary").alias("content"))
         if gone is not None:
             none = gone.select("index", F.lit(None).cast("binary").alias("content"))
@@ -144,8 +160,25 @@ class Flow:
         if out is not None:
             files.write(out, self.root, artefact)
 
+    def _publish_directories(self, artefact: str, rows: DataFrame | None, gone: DataFrame | None) -> None:
+        """Puts directories in the place of those that are there; of these, what the new ones don't have goes."""
+        nothing, out = F.lit(None).cast("binary").alias("content"), None
+        if rows is not None:
+            made = F.when((F.col("path") == "") | F.col("path").endswith("/"), F.lit(b"")).otherwise(F.coalesce(F.col("content").cast("binary"), F.lit(b"")))
+            out = rows.select("index", "path", made.alias("content"))
+            was = files.below(self.spark, self.root, artefact, rows).filter("path <> ''").select("index", "path")
+            kept = rows.select("index", "path").union(rows.select("index", F.explode(_above(F.col("path")))))
+            out = out.union(was.join(kept, ["index", "path"], "left_anti").select("index", "path", nothing))
+        if gone is not None:
+            gone = gone.select("index", F.lit("").alias("path"), nothing)
+            out = gone if out is None else out.union(gone)
+        if out is not None:
+            files.write(out, self.root, artefact)
+
     def build(self, inputs: list[str], outputs: list[str], function: Function, text: str) -> Method:
         """Registers a method, in the place of an older one with the same outputs."""
+        if self.root is None and any(a.endswith("/") for a in (*inputs, *outputs)):
+            raise ValueError("directories are artefacts of flows with a root only")
         if clash := {o for o in outputs for m in self.methods.values() if o in m.outputs and m.name != min(outputs)}:
             raise ValueError(f"another method makes {', '.join(sorted(clash))}")
         method = Method(tuple(inputs), tuple(outputs), function, text)
@@ -221,7 +254,7 @@ class Flow:
             last, live = store.state()
             if live:
                 if self._versions.get(name, (-1, None))[0] != last:
-                    self._versions[name] = (last, settle(store.contents(live).select(F.col("version").alias("expected")).distinct()))
+                    self._versions[name] = (last, settle(store.versions().select(F.col("version").alias("expected"))))
                 out = out.union(self._versions[name][1])
         return out.distinct()
 
@@ -275,9 +308,17 @@ class Flow:
         for store in stores:
             if missing.isEmpty():
                 return
-            held = store.load(missing.select(F.col("expected").alias("version"))).withColumnRenamed("version", "expected")
-            found = settle(missing.join(held, "expected").select("index", F.col("content").cast(kind).alias("content")))
+            versions = missing.select(F.col("expected").alias("version"))
+            if artefact.endswith("/"):
+                inside = settle(missing.join(store.trees(versions).withColumnRenamed("version", "expected"), "expected").select("index", "path", "part"))
+                held = store.load(inside.filter("part is not null").select(F.col("part").alias("version"))).withColumnRenamed("version", "part")
+                found = settle(inside.join(held, "part", "left").select("index", "path", "content"))
+            else:
+                held = store.load(versions).withColumnRenamed("version", "expected")
+                found = settle(missing.join(held, "expected").select("index", F.col("content").cast(kind).alias("content")))
             missing = settle(missing.join(found.select("index"), "index", "left_anti"))
+            if found.isEmpty():
+                continue
             if self.root is not None:
                 self._put(artefact, self.listed.get(artefact), found)
             else:
@@ -333,7 +374,7 @@ class Flow:
             got = got if isinstance(got, tuple) else (got,)
             if len(got) != len(m.outputs):
                 raise ValueError(f"{m.name}: {len(m.outputs)} outputs are declared, {len(got)} were made")
-            made = {o: settle(rows.select("index", "content")) for o, rows in zip(m.outputs, got, strict=True)}
+            made = {o: settle(rows.select("index", *["path"] * o.endswith("/"), "content")) for o, rows in zip(m.outputs, got, strict=True)}
         for o in m.outputs:
             k, new = min(m.rank, o.count("*")), made.get(o)
             before = old = self.listed.get(o, self.artefacts.get(o))
@@ -391,13 +432,19 @@ class Flow:
         if all_tracked:
             above = {a for m in self.ordered([*artefacts]) for a in (*m.inputs, *m.outputs)} | set(artefacts)
             artefacts = tuple(sorted(above & self.tracked))
-        rows = None
+        rows = trees = None
         for a in artefacts:
             if a not in self.artefacts:
                 warnings.warn(f"{a} is not in place and isn't saved", stacklevel=2)
                 continue
             if self.producer(a) is None:
                 self._record_source(a)
+            if a.endswith("/"):  # only directories that the store lacks are read
+                lacking = self.listed[a].join(into.versions(directories=True).withColumnRenamed("version", "actual"), "actual", "left_anti").dropDuplicates(["actual"])
+                inside = self._read(a, lacking).join(lacking.select("index", F.col("actual").alias("version")), "index")
+                inside = inside.select("version", "path", version(F.col("content")).alias("part"), "content")
+                trees = inside if trees is None else trees.union(inside)
+                continue
             here = self.artefacts[a]
             if a in self.listed:  # only files that the store lacks are read
                 lacking = self.listed[a].join(into.versions().withColumnRenamed("version", "actual"), "actual", "left_anti")
@@ -406,7 +453,9 @@ class Flow:
             rows = part if rows is None else rows.union(part)
         if self.root is not None:
             self._keep_methods()
-        return 0 if rows is None else into.save(rows)
+        if rows is None and trees is None:
+            return 0
+        return into.save(self.spark.createDataFrame([], "version string, content binary") if rows is None else rows, trees)
 
     def restore(self, artefact: str) -> int:
         """Puts the recorded version of an artefact in place from the stores; returns its number of elements. Nothing recorded, or
@@ -493,7 +542,7 @@ class Flow:
         """The flow of a root: its files, and what was recorded. functions: those of the methods, by name; a method without one stays known,
         and running it is an error. Jobs that were cut off while they put elements in place are completed first."""
         flow = cls(spark, root=root, config=open_root(root), buckets=buckets)
-        files.recover(root, clean=False)
+        files.recover(root, clean=False, spark=spark)
         at = f"{root.rstrip('/')}/{FOLDER}"
         system, path = filesystem(at)
         if not system.get_file_info(f"{path}/state.json").is_file:
@@ -558,6 +607,13 @@ class Flow:
             self._publish(artefact, None, self.listed.pop(artefact, rows).select("index"))
 
 
+def _above(path: Column) -> Column:
+    """The inner directories over a path."""
+    parts = F.split(F.rtrim(path, F.lit("/")), "/")
+    ks = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1))
+    return F.transform(ks, lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))
+
+
 def _delete_others(folder: str, beginning: str, names: set[str]) -> None:
     """Deletes the folders with this beginning that aren't named."""
     from pyarrow.fs import FileSelector

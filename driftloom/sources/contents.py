@@ -6,12 +6,16 @@ of two saves that meet one tries again with the next number: neither is lost, an
 state is what its manifests add and don't remove. ``compact`` puts the contents of many small folders into one and removes them in
 one manifest; folders that are no longer named stay until ``vacuum``, for readers that began before.
 
+A directory is stored by its digest: a row for each path inside it, with the version of the file there; the files' contents are stored like
+all others, so that what directories share is held once. Both are named by one manifest.
+
 Defined cases: a store without manifests is empty; contents saved twice at a time are held twice and read once; null versions and null contents
 aren't stored; a folder that was written by a job that failed is never named.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
@@ -21,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .roots import filesystem
 
-SCHEMA = "version string, content binary, batch string, shard string"
+SCHEMA = "version string, content binary, path string, part string, batch string, shard string"
+#: version of a file, or a directory, that holds nothing
+EMPTY = hashlib.sha512(b"").hexdigest().upper()
 #: hexadecimal digits of a version that name its partition, fixed when a store is made
 DIGITS = 1
 #: attempts to take the next number before giving up
@@ -122,37 +128,60 @@ class ContentStore:
     def _shard(self) -> Column:
         return F.left("version", F.lit(self.digits))
 
-    def contents(self, folders: list[str] | None = None) -> DataFrame:
-        """version, content, batch, shard: all that is stored, copies of one content included."""
+    def _rows(self, folders: list[str] | None = None) -> DataFrame:
         live = self.state()[1] if folders is None else folders
         if not live:
             return self.spark.createDataFrame([], SCHEMA)
         base = f"{self.folder}/data"
         return self.spark.read.schema(SCHEMA).option("basePath", base).parquet(*[f"{base}/batch={x}" for x in live])
 
-    def versions(self) -> DataFrame:
-        return self.contents().select("version").distinct()
+    def contents(self, folders: list[str] | None = None) -> DataFrame:
+        """version, content, batch, shard: all contents that are stored, copies of one included."""
+        return self._rows(folders).filter("path is null").drop("path", "part")
+
+    def versions(self, directories: bool | None = None) -> DataFrame:
+        """version of all that is stored, or of directories only, or of contents only."""
+        rows = self._rows()
+        return (rows if directories is None else rows.filter(F.col("path").isNotNull() == directories)).select("version").distinct()
+
+    def _wanted(self, wanted: DataFrame, live: list[str]) -> DataFrame:
+        few = wanted.select(F.col("version").alias("wanted"), self._shard().alias("beginning")).distinct()
+        shards = [r[0] for r in few.select("beginning").distinct().collect()]  # at most 16 ** digits
+        return self._rows(live).filter(F.col("shard").isin(shards)).join(few, (F.col("shard") == F.col("beginning")) & (F.col("version") == F.col("wanted")))
 
     def load(self, wanted: DataFrame) -> DataFrame:
         """version, content of the wanted versions (one column, version): files of other beginnings aren't read."""
         live = self.state()[1]
         if not live:
             return self.spark.createDataFrame([], "version string, content binary")
-        few = wanted.select(F.col("version").alias("wanted"), self._shard().alias("beginning")).distinct()
-        shards = [r[0] for r in few.select("beginning").distinct().collect()]  # at most 16 ** digits
-        rows = self.contents(live).filter(F.col("shard").isin(shards))
-        return rows.join(few, (F.col("shard") == F.col("beginning")) & (F.col("version") == F.col("wanted"))).select("version", "content").dropDuplicates(["version"])
-
-    def save(self, rows: DataFrame) -> int:
-        """Stores the contents (version, content) that aren't there, each once; returns how many that were."""
+        return self._wanted(wanted, live).filter("path is null").select("version", "content").dropDuplicates(["version"])
+
+    def trees(self, wanted: DataFrame) -> DataFrame:
+        """version, path, part of the wanted directories (version): the versions of the files in them, null for inner directories and for the
+        empty path, which each directory has. One that holds nothing is known without being stored."""
+        live, columns = self.state()[1], ["version", "path", "part"]
+        nothing = wanted.filter(F.col("version") == EMPTY).select("version", F.lit("").alias("path"), F.lit(None).cast("string").alias("part"))
+        found = nothing if not live else self._wanted(wanted, live).filter("path is not null").select(columns).union(nothing)
+        return found.dropDuplicates(["version", "path"])
+
+    def save(self, rows: DataFrame, trees: DataFrame | None = None) -> int:
+        """Stores the contents (version, content) that aren't there, each once, and the directories among trees (version, path, part,
+        content: of all files in a directory, by its version) that aren't; returns how many contents and directories that were."""
         last, live = self.state()
-        new = rows.filter("version is not null and content is not null").select("version", F.col("content").cast("binary").alias("content")).dropDuplicates(["version"])
+        null = F.lit(None).cast("string")
+        new = rows.select("version", F.col("content").cast("binary").alias("content"), null.alias("path"), null.alias("part"))
+        if trees is not None:  # an entry is a row of its directory, and of a file the content besides
+            entry = F.struct("version", F.lit(None).cast("binary").alias("content"), "path", "part")
+            content = F.struct(F.col("part").alias("version"), F.col("content").cast("binary").alias("content"), null.alias("path"), null.alias("part"))
+            new = new.union(trees.select(F.inline(F.array(entry, content))))
+        new = new.filter("version is not null and (content is not null or path is not null)").dropDuplicates(["version", "path"])
         if live:
-            new = new.join(self.contents(live).select("version"), "version", "left_anti")
+            held = self._rows(live).select(F.col("version").alias("held"), F.col("path").isNotNull().alias("tree")).distinct()
+            new = new.join(held, (F.col("version") == F.col("held")) & (F.col("path").isNotNull() == F.col("tree")), "left_anti")
         name = f"save-{uuid.uuid4().hex}"
         # tasks of about equal size, each with few beginnings
         new.withColumn("shard", self._shard()).hint("rebalance", "shard").write.partitionBy("shard").parquet(f"{self.folder}/data/batch={name}")
-        n = self.contents([name]).count() if self._has_rows(name) else 0
+        n = self._rows([name]).filter("path is null or path = ''").count() if self._has_rows(name) else 0
         if n:
             self.commit([name], [])
         return n
@@ -169,7 +198,7 @@ class ContentStore:
         if len(live) < 2:
             return 0
         name = f"compact-{uuid.uuid4().hex}"
-        self.contents(live).drop("batch").dropDuplicates(["version"]).hint("rebalance", "shard").write.partitionBy("shard").parquet(f"{self.folder}/data/batch={name}")
+        self._rows(live).drop("batch").dropDuplicates(["version", "path"]).hint("rebalance", "shard").write.partitionBy("shard").parquet(f"{self.folder}/data/batch={name}")
         self.commit([name], live)
         return len(live)
 

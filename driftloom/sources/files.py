@@ -7,9 +7,13 @@ list what lies below them; equality and ``in`` on an index column are pushed to
 at. A folder whose files are themselves the elements is listed by every task, which takes its share by name.
 
 ``write(df, root, pattern)`` writes rows (index_1, ..., content) as files; a null content deletes the element. Tasks write into a staging
-folder and leave a list of what they made; the job counts when a record that names these lists stands in the root. Elements are
-then moved to their places and vanished ones deleted, one by one; ``recover`` completes jobs that were cut off while they did so. A job
-that fails leaves all elements as they were.
+folder and leave a list of what they made; the job counts when a record that names these lists stands in the root. Vanished elements
+are then deleted and new ones moved to their places, one by one and by tasks, a list each; ``recover`` completes jobs that were cut off
+while they did so. A job that fails leaves all elements as they were.
+
+An element of a pattern with a final ``/`` is a directory, whose rows have a path inside it too: a file's; an inner directory's, with a
+final ``/``; or an empty one, which stands for the element itself. ``below`` lists them, ``write`` takes them: a null content deletes a
+file, or a directory with all that is in it.
 
 Defined cases: names that begin with a dot and side files are passed over; an index part of a file is its name up to the first dot; a
 root or folder before the first wildcard that isn't there holds no elements; a literal part that is missing behind a wildcard, and two
@@ -31,6 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..functions.paths import HASH_SUFFIX, META_SUFFIX
 from .roots import FOLDER, filesystem
+from .tables import settle
 
 FORMAT = "driftloom_files"
 #: folders of one task, at most so many tasks, if there are more; tasks that share one folder's files
@@ -203,6 +208,13 @@ def place(pattern: str, index: Sequence[str]) -> str:
     return out + rest
 
 
+def inner(path: str) -> str:
+    """A path inside a directory that is an element; one that would lead elsewhere, or that no listing would show, is an error."""
+    if path and ("\\" in path or not all(part and ours(part) for part in path.removesuffix("/").split("/"))):
+        raise ValueError(f"{path!r} is no path inside an element")
+    return path
+
+
 @dataclass
 class Made(WriterCommitMessage):
     listing: str
@@ -212,11 +224,12 @@ class Writer(DataSourceArrowWriter):
     """Elements are staged by tasks and put in place at the commit."""
 
     def __init__(self, options: dict[str, str], columns: list[str]):
-        self.root, self.pattern, self.job = options["root"], options["pattern"], uuid.uuid4().hex
-        if self.pattern.endswith("/"):
-            raise ValueError("an element that is written is a file")
+        self.root, self.pattern = options["root"], options["pattern"]
+        self.later = "job" in options  # whoever named the job puts its elements in place
+        self.job = options.get("job", uuid.uuid4().hex)
         self.index = [f"index_{i + 1}" for i in range(self.pattern.count("*"))]
-        if missing := {*self.index, "content"} - set(columns):
+        self.inside = ["path"] if self.pattern.endswith("/") else []
+        if missing := {*self.index, *self.inside, "content"} - set(columns):
             raise ValueError(f"columns are missing: {', '.join(sorted(missing))}")
 
     def staging(self) -> str:
@@ -232,13 +245,16 @@ class Writer(DataSourceArrowWriter):
         with system.open_output_stream(f"{folder}/{task}.list") as listing:
             for batch in iterator:
                 contents = batch.column("content").cast(pa.binary()).to_pylist()
-                for *index, content in zip(*(batch.column(c).to_pylist() for c in self.index), contents, strict=True):
-                    relative = place(self.pattern, index)
+                for *index, content in zip(*(batch.column(c).to_pylist() for c in (*self.index, *self.inside)), contents, strict=True):
+                    path = inner(index.pop()) if self.inside else ""
+                    relative = place(self.pattern, index) + path
                     if relative in seen:
                         raise ValueError(f"{relative} is written twice")
                     seen.add(relative)
                     staged = None
-                    if content is not None:
+                    if content is not None and relative.endswith("/"):
+                        staged = ""
+                    elif content is not None:
                         staged = f"{task}-{n}"
                         with system.open_output_stream(f"{folder}/{staged}") as out:
                             out.write(content)
@@ -253,52 +269,87 @@ class Writer(DataSourceArrowWriter):
         with system.open_output_stream(f"{record}.new") as out:
             out.write(json.dumps([m.listing for m in messages if m is not None]).encode())
         system.move(f"{record}.new", f"{record}.json")  # from here on the job counts
-        put_in_place(self.root, self.job)
+        if not self.later:
+            put_in_place(self.root, self.job)
 
     def abort(self, messages: list[Made | None]) -> None:
         system, base = filesystem(self.root)
         system.delete_dir_contents(f"{base}/{self.staging()}", missing_dir_ok=True)
 
 
-def put_in_place(root: str, job: str) -> None:
-    """Moves a job's elements to their places and deletes vanished ones; doing it again does no harm."""
+def _carry_out(root: str, job: str, listing: str, deleting: bool) -> None:
+    """The deletions of a task's list, or its other steps; doing them again does no harm."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyarrow.fs import FileType
 
     system, base = filesystem(root)
-    folder, record = f"{base}/{FOLDER}/staging/{job}", f"{base}/{FOLDER}/commits/{job}.json"
+    folder = f"{base}/{FOLDER}/staging/{job}"
+
+    def kind(path: str) -> FileType:
+        return system.get_file_info(path.rstrip("/")).type
 
     def one(line: bytes) -> None:
         relative, staged = json.loads(line)
         to = f"{base}/{relative}"
-        if staged is None:
-            if system.get_file_info(to).type != FileType.NotFound:
-                system.delete_file(to)
-        elif system.get_file_info(f"{folder}/{staged}").type != FileType.NotFound:  # else it was moved before
+        if staged is None and deleting:
+            try:
+                if relative.endswith("/") and kind(to) == FileType.Directory:
+                    system.delete_dir(to.rstrip("/"))
+                elif not relative.endswith("/") and kind(to) == FileType.File:
+                    system.delete_file(to)
+            except FileNotFoundError:  # another attempt, or the deletion of the directory above
+                pass
+        elif staged == "" and not deleting:
+            system.create_dir(to.rstrip("/"), recursive=True)
+        elif staged and not deleting and kind(f"{folder}/{staged}") != FileType.NotFound:  # else it was moved before
             system.create_dir(to.rpartition("/")[0], recursive=True)
-            system.move(f"{folder}/{staged}", to)
+            try:
+                system.move(f"{folder}/{staged}", to)
+            except FileNotFoundError:
+                if kind(to) != FileType.File:
+                    raise
 
+    with system.open_input_stream(f"{folder}/{listing}") as source, ThreadPoolExecutor(16) as pool:
+        list(pool.map(one, source.read().splitlines()))
+
+
+def put_in_place(root: str, job: str, spark: SparkSession | None = None) -> None:
+    """Deletes what a job says is gone, and then moves its elements to their places: in tasks, if a session is given."""
+    import pyarrow as pa
+
+    system, base = filesystem(root)
+    record = f"{base}/{FOLDER}/commits/{job}.json"
     with system.open_input_stream(record) as source:
-        listings = json.loads(source.read())
-    with ThreadPoolExecutor(16) as pool:
-        for listing in listings:
-            with system.open_input_stream(f"{folder}/{listing}") as source:
-                list(pool.map(one, source.read().splitlines()))
+        listings = json.loads(source.read())  # as many as tasks wrote
+    for deleting in (True, False):
+        if spark is None or not listings:
+            for listing in listings:
+                _carry_out(root, job, listing, deleting)
+            continue
+
+        def work(batches: Iterator[pa.RecordBatch], deleting: bool = deleting) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for listing in batch.column(0).to_pylist():
+                    _carry_out(root, job, listing, deleting)
+                yield batch
+
+        rows = spark.createDataFrame([(x,) for x in listings], "listing string").repartition(len(listings))
+        rows.mapInArrow(work, "listing string").write.format("noop").mode("overwrite").save()
     system.delete_file(record)
-    system.delete_dir(folder)
+    system.delete_dir(f"{base}/{FOLDER}/staging/{job}")
 
 
-def recover(root: str, clean: bool = True) -> int:
-    """Completes the jobs that count but were cut off while they moved elements; returns how many there were. Call it while no job puts
-    elements in place; with clean, what other jobs have staged is deleted, so none may be running at all."""
+def recover(root: str, clean: bool = True, spark: SparkSession | None = None) -> int:
+    """Completes the jobs that count but were cut off while they moved elements (in tasks, if a session is given); returns how many there
+    were. Call it while no job puts elements in place; with clean, what other jobs have staged is deleted, so none may be running at all."""
     from pyarrow.fs import FileSelector, FileType
 
     system, base = filesystem(root)
     records = system.get_file_info(FileSelector(f"{base}/{FOLDER}/commits", allow_not_found=True))
     jobs = [x.base_name.removesuffix(".json") for x in records if x.base_name.endswith(".json")]
     for job in jobs:
-        put_in_place(root, job)
+        put_in_place(root, job, spark)
     for x in system.get_file_info(FileSelector(f"{base}/{FOLDER}/staging", allow_not_found=True)):
         if clean and x.type == FileType.Directory:
             system.delete_dir(x.path)
@@ -342,7 +393,7 @@ def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def contents(root: str, listed: DataFrame) -> DataFrame:
-    """index, content of listed elements (index, relative): only their files are read, where Spark deals them to. A directory has none, and
+    """index, content of listed elements (index of any type, relative): only their files are read, where Spark deals them to. A directory has none, and
     neither has a file that went meanwhile."""
     import pyarrow as pa
 
@@ -366,15 +417,32 @@ def contents(root: str, listed: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([batch.column("index").slice(at, len(held)), pa.array(held, pa.binary())], ["index", "content"])
 
-    return listed.select("index", "relative").repartition("relative").mapInArrow(fetch, "index array<string>, content binary")
+    return listed.select("index", "relative").repartition("relative").mapInArrow(fetch, f"index {listed.schema['index'].dataType.simpleString()}, content binary")
+
+
+def below(spark: SparkSession, root: str, pattern: str, listed: DataFrame) -> DataFrame:
+    """index, path, relative of all that is inside directories (index), the directories themselves with an empty path; those that aren't
+    there are passed over. Folders are listed in tasks, a level in each round."""
+    from ..functions.paths import apply_index
+    from .patterns import entries
+
+    depth = len(parts_of(pattern)[0])
+    top = settle(listed.select("index", apply_index(F.lit(pattern), F.col("index")).alias("top")).distinct())
+    found = entries(spark, root, top.select(F.col("top").alias("relative"))).select("relative")
+    found = found.withColumn("top", F.concat(F.array_join(F.slice(F.split("relative", "/"), 1, depth), "/"), F.lit("/")))
+    inside = F.expr("substring(relative, char_length(top) + 1)").alias("path")
+    return found.join(top, "top").select("index", inside, "relative")
 
 
 def write(rows: DataFrame, root: str, pattern: str) -> None:
-    """Puts elements (index, content; or index_1, ..., content) in place; those with null content are deleted."""
-    register(rows.sparkSession)
+    """Puts elements (index, content; or index_1, ..., content; of directories with path) in place; those with null content are deleted."""
+    spark, job = rows.sparkSession, uuid.uuid4().hex
+    register(spark)
     names = [f"index_{i + 1}" for i in range(pattern.count("*"))]
+    inside = ["path"] if pattern.endswith("/") else []
     if "index" in rows.columns:
-        rows = rows.select(*[F.col("index")[i].alias(n) for i, n in enumerate(names)], F.col("content").cast("binary").alias("content"))
-    rows = rows.select(*names, F.col("content").cast("binary").alias("content"))
-    dealt = rows.repartition(*names) if names else rows.coalesce(1)  # an element that comes twice comes to one task
-    dealt.write.format(FORMAT).options(root=root, pattern=pattern).mode("append").save()
+        rows = rows.select(*[F.col("index")[i].alias(n) for i, n in enumerate(names)], *inside, "content")
+    rows = rows.select(*names, *inside, F.col("content").cast("binary").alias("content"))
+    dealt = rows.repartition(*names, *inside) if names or inside else rows.coalesce(1)  # an element that comes twice comes to one task
+    dealt.write.format(FORMAT).options(root=root, pattern=pattern, job=job).mode("append").save()
+    put_in_place(root, job, spark)

@@ -44,9 +44,10 @@ def compiled(pattern: str) -> tuple[str, int]:
     return "^" + "/".join(out) + ("/$" if directory else "$"), pattern.count("*")
 
 
-def entries(spark: SparkSession, root: str) -> DataFrame:
+def entries(spark: SparkSession, root: str, tops: DataFrame | None = None) -> DataFrame:
     """relative, directory, mtime, length of all that lies under a root, but for hidden and side files. A directory's
-    relative path ends with ``/`` and its length is 0. The root itself is the directory with an empty path."""
+    relative path ends with ``/`` and its length is 0. The root itself is the directory with an empty path. With tops (relative), what lies
+    under these directories, and they themselves, as far as they are there."""
     from .roots import filesystem
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,10 +68,22 @@ def entries(spark: SparkSession, root: str) -> DataFrame:
                     ["relative", "directory", "mtime", "length"],
                 )
 
-    system, base = filesystem(root)
-    top = system.get_file_info(base)
-    listed = spark.createDataFrame([("", True, top.mtime, 0)], ENTRY)
-    frontier = listed
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileType
+
+        system, base = filesystem(root)
+        for batch in batches:
+            found = [(name, x) for name in batch.column(0).to_pylist() if (x := system.get_file_info(f"{base}/{name}".rstrip("/"))).type == FileType.Directory]
+            times = pa.array([(x.mtime_ns or 0) // 1000 for _, x in found], pa.timestamp("us", tz="UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([True] * len(found), pa.bool_()), times, pa.array([0] * len(found), pa.int64())], ["relative", "directory", "mtime", "length"])
+
+    if tops is None:
+        system, base = filesystem(root)
+        listed = spark.createDataFrame([("", True, system.get_file_info(base).mtime, 0)], ENTRY)
+        frontier = listed
+    else:
+        listed = settle(tops.select("relative").distinct().mapInArrow(find, ENTRY))
+        frontier = listed.repartition("relative")
     name = F.element_at(F.split(F.rtrim(F.col("relative"), F.lit("/")), "/"), -1)
     ours = ~(name.startswith(".") | F.lower("relative").endswith(HASH_SUFFIX) | F.lower("relative").endswith(META_SUFFIX))
     while not frontier.isEmpty():
@@ -142,8 +155,9 @@ def file_versions(root: str, wanted: DataFrame) -> DataFrame:
     return wanted.select("relative").repartition("relative").mapInArrow(read, "relative string, version string")
 
 
-def digests(spark: SparkSession, root: str, listed: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+def digests(spark: SparkSession, root: str, listed: DataFrame, cache: DataFrame, depth: int = 0) -> tuple[DataFrame, DataFrame]:
     """(relative, version, recomputed of all files and directories listed by entries(); the new cache: relative, cached, cache_mtime).
+    depth: parts of the paths of the directories at the top, if not the whole root was listed; the cache is of what is under them.
 
     A file's cached version counts if its time is strictly later than the file's; other files are read and hashed. A directory's
     counts if besides nothing below it was read again, or went, or came. What the cache holds of absent entries goes.
@@ -158,13 +172,15 @@ def digests(spark: SparkSession, root: str, listed: DataFrame, cache: DataFrame)
     again = settle(file_versions(root, states.filter(~is_dir & F.col("state").isin("miss", "stale"))).withColumnRenamed("version", "computed"))
     files = states.filter(~is_dir & (F.col("state") != "orphan")).join(again, "relative", "left")
     files = settle(files.select("relative", F.when(F.col("state") == "hit", F.col("cached")).otherwise(F.col("computed")).alias("version"), (F.col("state") != "hit").alias("recomputed")))
-    # the root is a directory over all others
-    inside = F.concat(F.lit("./"), "relative").alias("path")
+    # the root is a directory over all others; a top's path becomes one part, which has none above
+    parts = F.split("relative", "/")
+    inside = (F.concat(F.lit("./"), "relative") if depth == 0 else F.concat(F.array_join(F.slice(parts, 1, depth), "\0"), F.lit("/"), F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), "/"))).alias("path")
+    outside = F.substr("path", F.lit(3)) if depth == 0 else F.replace("path", F.lit("\0"), F.lit("/"))
     stored = states.filter(is_dir & (F.col("state") == "hit")).select(inside, F.col("cached").alias("version"))
     gone = states.filter("state = 'orphan'").select(inside)
     folders = listed.filter("directory").select(inside)
     tree = refreshed_tree(files.select(inside, "version", F.col("recomputed").alias("changed")), gone, stored, folders)
-    everything = settle(files.union(tree.select(F.substr("path", F.lit(3)).alias("relative"), "version", "recomputed")))
+    everything = settle(files.union(tree.select(outside.alias("relative"), "version", "recomputed")))
     kept = states.filter("state = 'hit'").select("relative", F.col("cache_mtime").alias("was"))
     new = everything.filter("version is not null").join(kept, "relative", "left")
     return everything, new.select("relative", F.col("version").alias("cached"), F.when(F.col("recomputed") | F.col("was").isNull(), F.current_timestamp()).otherwise(F.col("was")).alias("cache_mtime"))
@@ -226,18 +242,24 @@ def cached_versions(spark: SparkSession, root: str, listed: dict[str, DataFrame]
     """relative, version of what was listed by pattern (relative, mtime, length), by the root's cache, which is brought up to date: what it
     held of absent elements of these patterns goes, what it holds of others stays."""
     cache = settle(read_cache(spark, root))
-    items = None
-    for rows in listed.values():
-        part = rows.select("relative", "mtime", "length")
-        items = part if items is None else items.union(part)
-    items = items.distinct()
-    matches = [index_of(p, F.col("relative")).isNotNull() for p in listed]
-    mine = functools.reduce(lambda a, b: a | b, matches)
-    if any(p.endswith("/") for p in listed):  # digests of directories look at all that is below them
-        versions, new = hashed(spark, root, items, cache)
-    else:
-        versions, new = hashed(spark, root, items, cache.filter(mine))
-        new = new.union(cache.filter(~mine))
+    found, held, scopes = [], [], []
+    plain = [p for p in listed if not p.endswith("/")]
+    if plain:
+        items = functools.reduce(DataFrame.union, [listed[p].select("relative", "mtime", "length") for p in plain]).distinct()
+        scopes.append(functools.reduce(lambda a, b: a | b, [index_of(p, F.col("relative")).isNotNull() for p in plain]))
+        some, new = hashed(spark, root, items, cache.filter(scopes[-1]))
+        found.append(some)
+        held.append(new)
+    for p in listed:
+        if p.endswith("/"):  # all that is below them, and nothing else, is looked at
+            tops = listed[p].select("relative")
+            scopes.append(F.regexp_like("relative", F.lit(compiled(p)[0].removesuffix("$"))))
+            some, new = digests(spark, root, entries(spark, root, tops), cache.filter(scopes[-1]), p.count("/"))
+            found.append(some.join(tops, "relative", "left_semi").select("relative", "version"))
+            held.append(new)
+    versions = settle(functools.reduce(DataFrame.union, found).dropDuplicates(["relative"]))
+    rest = cache.filter(~functools.reduce(lambda a, b: a | b, scopes))
+    new = functools.reduce(DataFrame.union, [h.select("relative", "cached", "cache_mtime") for h in held]).dropDuplicates(["relative"]).union(rest)
     new, columns = settle(new), ["relative", "cached", "cache_mtime"]
     if not (new.join(cache, columns, "left_anti").isEmpty() and cache.join(new, columns, "left_anti").isEmpty()):
         write_cache(new, root)

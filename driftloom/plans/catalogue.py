@@ -940,6 +940,37 @@ def flow_over_files(spark, folder):
     return files.read(spark, root, "conv/*.txt").select(F.col("index_1").alias("conv"), F.decode("content", "UTF-8").alias("text"), *numbers)
 
 
+@query("""
+with d as (select coalesce(lang, 'und') as l, coalesce(source, 'none') as s, doc_id, coalesce(text, '') as text from documents)
+select l as lang, s as source, doc_id || '.size' as path, cast(strlen(text) as varchar) as content, (select count(*) from (select distinct l, s from d)) as ran_first,
+  (select count(*) from (select distinct l, s from d where doc_id % 97 = 5)) as ran_then from d where doc_id % 97 <> 5""")
+def flow_of_directories(spark, folder):
+    """Documents as files in a directory for each language and source, of which a directory of sizes is made; some documents go, and only the
+    directories that held them run again; directories are saved, deleted, and restored. With the numbers of instances that ran."""
+    from .flow import Flow
+
+    root = new_folder(spark, "flow")
+    roots.initialise(root)
+    index = F.array(F.coalesce("lang", F.lit("und")), F.coalesce("source", F.lit("none"))).alias("index")
+    documents = table(spark, folder, "documents").select("doc_id", index, F.concat("doc_id", F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    files.write(documents, root, "raw/*/*/")
+    # of a directory that holds nothing any more nothing is made
+    sizes = lambda rows: rows.filter("content is not null").select("index", F.concat(F.regexp_extract("path", "^[^.]*", 0), F.lit(".size")).alias("path"), F.encode(F.octet_length("content").cast("string"), "UTF-8").alias("content"))
+    flow = Flow.open(spark, root, buckets=32)
+    flow.build(["raw/*/*/"], ["size/*/*/"], sizes, "sizes")
+    flow.scan("raw/*/*/")
+    ran = [flow.compute("size/*/*/")]
+    files.write(documents.filter("doc_id % 97 = 5").select("index", "path", F.lit(None).cast("binary").alias("content")), root, "raw/*/*/")
+    flow = Flow.open(spark, root, {"size/*/*/": sizes})
+    ran.append(flow.compute("size/*/*/"))
+    flow.save("size/*/*/")
+    flow.remove("size/*/*/")
+    flow.restore("size/*/*/")
+    numbers = [F.lit(n["size/*/*/"]).cast("long").alias(f"ran_{when}") for n, when in zip(ran, ("first", "then"), strict=True)]
+    rows = flow.artefacts["size/*/*/"].filter("content is not null")
+    return rows.select(F.col("index")[0].alias("lang"), F.col("index")[1].alias("source"), "path", F.decode("content", "UTF-8").alias("content"), *numbers)
+
+
 @query("select lang || '/' || source || '/' || doc_id as element, expected, actual, status from status where expected is not null or actual is not null", True)
 def arriving_status(spark, folder):
     """What is expected, stored and there is reported in three batches, which a stateful stream takes in one after the other."""

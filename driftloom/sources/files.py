@@ -35,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..functions.paths import HASH_SUFFIX, META_SUFFIX
 from .roots import FOLDER, filesystem
-from .tables import settle
+from .tables import dealt, settle
 
 FORMAT = "driftloom_files"
 #: folders of one task, at most so many tasks, if there are more; tasks that share one folder's files
@@ -285,6 +285,7 @@ def _carry_out(root: str, job: str, listing: str, deleting: bool) -> None:
 
     system, base = filesystem(root)
     folder = f"{base}/{FOLDER}/staging/{job}"
+    made: set[str] = set()  # folders that are there
 
     def kind(path: str) -> FileType:
         return system.get_file_info(path.rstrip("/")).type
@@ -303,7 +304,9 @@ def _carry_out(root: str, job: str, listing: str, deleting: bool) -> None:
         elif staged == "" and not deleting:
             system.create_dir(to.rstrip("/"), recursive=True)
         elif staged and not deleting and kind(f"{folder}/{staged}") != FileType.NotFound:  # else it was moved before
-            system.create_dir(to.rpartition("/")[0], recursive=True)
+            if (above := to.rpartition("/")[0]) not in made:
+                system.create_dir(above, recursive=True)
+                made.add(above)
             try:
                 system.move(f"{folder}/{staged}", to)
             except FileNotFoundError:
@@ -417,7 +420,7 @@ def contents(root: str, listed: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([batch.column("index").slice(at, len(held)), pa.array(held, pa.binary())], ["index", "content"])
 
-    return listed.select("index", "relative").repartition("relative").mapInArrow(fetch, f"index {listed.schema['index'].dataType.simpleString()}, content binary")
+    return dealt(listed.select("index", "relative"), "relative").mapInArrow(fetch, f"index {listed.schema['index'].dataType.simpleString()}, content binary")
 
 
 def below(spark: SparkSession, root: str, pattern: str, listed: DataFrame) -> DataFrame:
@@ -443,6 +446,6 @@ def write(rows: DataFrame, root: str, pattern: str) -> None:
     if "index" in rows.columns:
         rows = rows.select(*[F.col("index")[i].alias(n) for i, n in enumerate(names)], *inside, "content")
     rows = rows.select(*names, *inside, F.col("content").cast("binary").alias("content"))
-    dealt = rows.repartition(*names, *inside) if names or inside else rows.coalesce(1)  # an element that comes twice comes to one task
-    dealt.write.format(FORMAT).options(root=root, pattern=pattern, job=job).mode("append").save()
+    rows = dealt(rows, *names, *inside) if names or inside else rows.coalesce(1)  # an element that comes twice comes to one task
+    rows.write.format(FORMAT).options(root=root, pattern=pattern, job=job).mode("append").save()
     put_in_place(root, job, spark)

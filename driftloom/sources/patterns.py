@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import HASH_SUFFIX, META_SUFFIX
 from .roots import FOLDER
-from .tables import settle
+from .tables import dealt, settle
 
 #: bytes of a file that are hashed at a time
 CHUNK = 8 << 20
@@ -152,7 +152,7 @@ def file_versions(root: str, wanted: DataFrame) -> DataFrame:
                     versions.append(None)
             yield pa.RecordBatch.from_pydict({"relative": names, "version": pa.array(versions, pa.string())})
 
-    return wanted.select("relative").repartition("relative").mapInArrow(read, "relative string, version string")
+    return dealt(wanted.select("relative"), "relative").mapInArrow(read, "relative string, version string")
 
 
 def digests(spark: SparkSession, root: str, listed: DataFrame, cache: DataFrame, depth: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -40,8 +40,8 @@ from .tables import dealt, settle
 FORMAT = "driftloom_files"
 #: folders of one task, at most so many tasks, if there are more; tasks that share one folder's files
 TASKS, SHARES = 1024, 8
-#: bytes of contents in one batch, about
-BATCH_BYTES = 4 << 20
+#: bytes of contents in one batch, about; steps of a list that are handed to threads at a time
+BATCH_BYTES, STEPS = 4 << 20, 1024
 
 
 def ours(name: str) -> bool:
@@ -244,8 +244,9 @@ class Writer(DataSourceArrowWriter):
         n, seen = 0, set()
         with system.open_output_stream(f"{folder}/{task}.list") as listing:
             for batch in iterator:
-                contents = batch.column("content").cast(pa.binary()).to_pylist()
-                for *index, content in zip(*(batch.column(c).to_pylist() for c in (*self.index, *self.inside)), contents, strict=True):
+                contents = batch.column("content").cast(pa.binary())
+                for i, index in enumerate(zip(*(batch.column(c).to_pylist() for c in (*self.index, *self.inside)), strict=True) if self.index or self.inside else [()] * len(contents)):
+                    index, content = [*index], contents[i].as_py()  # one content at a time
                     path = inner(index.pop()) if self.inside else ""
                     relative = place(self.pattern, index) + path
                     if relative in seen:
@@ -280,6 +281,7 @@ class Writer(DataSourceArrowWriter):
 def _carry_out(root: str, job: str, listing: str, deleting: bool) -> None:
     """The deletions of a task's list, or its other steps; doing them again does no harm."""
     from concurrent.futures import ThreadPoolExecutor
+    from itertools import islice
 
     from pyarrow.fs import FileType
 
@@ -314,7 +316,9 @@ def _carry_out(root: str, job: str, listing: str, deleting: bool) -> None:
                     raise
 
     with system.open_input_stream(f"{folder}/{listing}") as source, ThreadPoolExecutor(16) as pool:
-        list(pool.map(one, source.read().splitlines()))
+        lines = iter(source.read().splitlines())
+        while some := [*islice(lines, STEPS)]:  # a future each: not for a whole list at a time
+            list(pool.map(one, some))
 
 
 def put_in_place(root: str, job: str, spark: SparkSession | None = None) -> None:
@@ -447,5 +451,14 @@ def write(rows: DataFrame, root: str, pattern: str) -> None:
         rows = rows.select(*[F.col("index")[i].alias(n) for i, n in enumerate(names)], *inside, "content")
     rows = rows.select(*names, *inside, F.col("content").cast("binary").alias("content"))
     rows = dealt(rows, *names, *inside) if names or inside else rows.coalesce(1)  # an element that comes twice comes to one task
-    rows.write.format(FORMAT).options(root=root, pattern=pattern, job=job).mode("append").save()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))  # a task's Python holds one batch; whole texts make ten thousand rows a large one
+    try:
+        rows.write.format(FORMAT).options(root=root, pattern=pattern, job=job).mode("append").save()
+    finally:
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
     put_in_place(root, job, spark)

@@ -1,5 +1,8 @@
 """What grows with the tables: tasks for work on files, memory of one task."""
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from driftloom.sources import files, patterns
@@ -16,3 +19,15 @@ def test_work_on_files_keeps_its_tasks_though_names_are_short(spark, tmp_path):
     assert patterns.file_versions(str(tmp_path), names(spark, 300)).rdd.getNumPartitions() == n
     written = files.read(spark, str(tmp_path), "*.txt").filter("content = cast('x' as binary)")
     assert written.count() == 300
+
+
+def test_a_writer_holds_one_content_at_a_time(tmp_path):
+    content = pa.array([bytes(1 << 20)] * 48, pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(48)]), content], ["index_1", "content"])
+    writer = files.Writer({"root": str(tmp_path), "pattern": "*.bin"}, ["index_1", "content"])
+    tracemalloc.start()
+    try:
+        writer.write(iter([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()

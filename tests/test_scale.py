@@ -3,8 +3,11 @@
 import tracemalloc
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.operators import lineage
 from driftloom.sources import files, patterns
 
 
@@ -31,3 +34,22 @@ def test_a_writer_holds_one_content_at_a_time(tmp_path):
         assert tracemalloc.get_traced_memory()[1] < 16 << 20
     finally:
         tracemalloc.stop()
+
+
+def plain_closure(edges, roots):
+    depth, at, n = dict.fromkeys(roots, 0), set(roots), 0
+    while at:
+        n += 1
+        at = {s for s, d in edges if d in at} - depth.keys()
+        depth |= dict.fromkeys(at, n)
+    return depth
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_a_closure_writes_no_edges_as_rows_and_finds_all_in_any_order_of_names(spark, monkeypatch, few):
+    monkeypatch.setattr(lineage, "FEW", few)
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda *_: pytest.fail("a checkpoint holds rows that no filter skips"))
+    edges = [(f"n{i * 7 % 40}", f"n{i * 13 % 41}") for i in range(60)] + [("a", "z"), ("m", "a"), ("a", "m"), ("z", "m")]
+    roots = ["z", "n5"]
+    got = lineage.closure(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(r,) for r in roots], "node string")).collect()
+    assert sorted((r["node"], r["depth"]) for r in got) == sorted(plain_closure(edges, roots).items())

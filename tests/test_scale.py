@@ -53,3 +53,12 @@ def test_a_closure_writes_no_edges_as_rows_and_finds_all_in_any_order_of_names(s
     roots = ["z", "n5"]
     got = lineage.closure(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(r,) for r in roots], "node string")).collect()
     assert sorted((r["node"], r["depth"]) for r in got) == sorted(plain_closure(edges, roots).items())
+
+
+def test_doubling_joins_no_pointer_that_has_come_to_its_end(spark, monkeypatch):
+    sizes, plain = [], lineage.settle
+    monkeypatch.setattr(lineage, "settle", lambda rows: (out := plain(rows), sizes.append(out.count()))[0])
+    rows = [(f"n{i}", None, 1) for i in range(200)] + [("c", "b", 1), ("b", "a", 1), ("a", None, 1)]
+    got = {r["node"]: (r["up"], r["length"]) for r in lineage._doubled(spark.createDataFrame(rows, "node string, up string, length int")).collect()}
+    assert got == {**{f"n{i}": (None, 1) for i in range(200)}, "a": (None, 1), "b": (None, 2), "c": (None, 3)}
+    assert sizes[0] == 203 and max(sizes[1:]) <= 2

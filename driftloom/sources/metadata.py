@@ -24,7 +24,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write(documents: DataFrame, path: str) -> None:
-    documents.select(F.lit(FORMAT).alias("format"), *[c for c in documents.columns if c not in ("format", "file")]).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+    """A file for each document. Tasks put their files in place themselves: at the job's end the driver would move them one by one."""
+    in_tasks = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    documents.select(F.lit(FORMAT).alias("format"), *[c for c in documents.columns if c not in ("format", "file")]).write.mode("overwrite").option("maxRecordsPerFile", 1).option(*in_tasks).json(path)
 
 
 def links(documents: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 ``spark.read.format("driftloom_files").option("root", ...).option("pattern", "raw/*/*.csv")`` has a column for each ``*``
 (index_1, index_2, ...), relative, mtime, length and, unless the option content is false, content. A final ``/`` in the pattern asks for
-directories. The folder of the first wildcard is listed when the query is planned and its folders are dealt to tasks, which
+directories. The folder of the first wildcard is listed when the query is planned and its folders are dealt to tasks (option tasks: how many), which
 list what lies below them; equality and ``in`` on an index column are pushed to the listing, so that other folders aren't looked
 at. A folder whose files are themselves the elements is listed by every task, which takes its share by name.
 
@@ -40,8 +40,10 @@ from .tables import dealt, settle
 FORMAT = "driftloom_files"
 #: folders of one task, at most so many tasks, if there are more; tasks that share one folder's files
 TASKS, SHARES = 1024, 8
-#: bytes of contents in one batch, about; steps of a list that are handed to threads at a time
-BATCH_BYTES, STEPS = 4 << 20, 1024
+#: bytes of contents in one batch, about; steps of a list that are handed to a thread at a time
+BATCH_BYTES, STEPS = 4 << 20, 64
+#: files that a task stages in the job's folder; others go to a folder of the task's own, as tasks that make files in one folder wait for each other
+BESIDE = 16
 
 
 def ours(name: str) -> bool:
@@ -141,6 +143,7 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.walk = {"root": options["root"], "pattern": options["pattern"]}
         self.content = options.get("content", "true").lower() != "false"
+        self.tasks = int(options.get("tasks", TASKS))
         self.wanted: dict[int, set[str]] = {}
 
     def pushFilters(self, filters: list) -> Iterator:
@@ -162,7 +165,7 @@ class Reader(DataSourceReader):
             shares = 1 if 0 in self.wanted else SHARES
             return [Part([(folder, (), first)], (i, shares)) for i in range(shares)]
         folders = [(f"{folder}{x.base_name}/", (x.base_name,), first + 1) for x in walk.entries(folder, 0, files=False)]
-        each = max(1, -(-len(folders) // TASKS))
+        each = max(1, -(-len(folders) // self.tasks))
         return [Part(folders[i : i + each]) for i in range(0, len(folders), each)]
 
     def read(self, partition: Part) -> Iterator:
@@ -218,6 +221,8 @@ def inner(path: str) -> str:
 @dataclass
 class Made(WriterCommitMessage):
     listing: str
+    gone: bool  # whether the list has deletions
+    made: bool  # whether it has other steps
 
 
 class Writer(DataSourceArrowWriter):
@@ -241,7 +246,7 @@ class Writer(DataSourceArrowWriter):
         system, base = filesystem(self.root)
         folder, task = f"{base}/{self.staging()}", uuid.uuid4().hex
         system.create_dir(folder, recursive=True)
-        n, seen = 0, set()
+        n, seen, gone = 0, set(), 0
         with system.open_output_stream(f"{folder}/{task}.list") as listing:
             for batch in iterator:
                 contents = batch.column("content").cast(pa.binary())
@@ -256,19 +261,22 @@ class Writer(DataSourceArrowWriter):
                     if content is not None and relative.endswith("/"):
                         staged = ""
                     elif content is not None:
-                        staged = f"{task}-{n}"
+                        if n == BESIDE:
+                            system.create_dir(f"{folder}/{task}")
+                        staged = f"{task}-{n}" if n < BESIDE else f"{task}/{n}"
                         with system.open_output_stream(f"{folder}/{staged}") as out:
                             out.write(content)
                         n += 1
+                    gone += staged is None
                     listing.write(json.dumps([relative, staged]).encode() + b"\n")
-        return Made(f"{task}.list")
+        return Made(f"{task}.list", gone > 0, len(seen) > gone)
 
     def commit(self, messages: list[Made | None]) -> None:
         system, base = filesystem(self.root)
         system.create_dir(f"{base}/{FOLDER}/commits", recursive=True)
         record = f"{base}/{FOLDER}/commits/{self.job}"
         with system.open_output_stream(f"{record}.new") as out:
-            out.write(json.dumps([m.listing for m in messages if m is not None]).encode())
+            out.write(json.dumps({side: [m.listing for m in messages if m is not None and getattr(m, side)] for side in ("gone", "made")}).encode())
         system.move(f"{record}.new", f"{record}.json")  # from here on the job counts
         if not self.later:
             put_in_place(self.root, self.job)
@@ -315,10 +323,15 @@ def _carry_out(root: str, job: str, listing: str, deleting: bool) -> None:
                 if kind(to) != FileType.File:
                     raise
 
+    def each(part: list[bytes]) -> None:
+        for line in part:
+            one(line)
+
     with system.open_input_stream(f"{folder}/{listing}") as source, ThreadPoolExecutor(16) as pool:
         lines = iter(source.read().splitlines())
-        while some := [*islice(lines, STEPS)]:  # a future each: not for a whole list at a time
-            list(pool.map(one, some))
+        parts = iter(lambda: [*islice(lines, STEPS)], [])
+        while some := [*islice(parts, 64)]:
+            list(pool.map(each, some))
 
 
 def put_in_place(root: str, job: str, spark: SparkSession | None = None) -> None:
@@ -328,8 +341,9 @@ def put_in_place(root: str, job: str, spark: SparkSession | None = None) -> None
     system, base = filesystem(root)
     record = f"{base}/{FOLDER}/commits/{job}.json"
     with system.open_input_stream(record) as source:
-        listings = json.loads(source.read())  # as many as tasks wrote
-    for deleting in (True, False):
+        found = json.loads(source.read())  # lists, as many as tasks wrote
+    for side in ("gone", "made"):
+        listings, deleting = found[side] if isinstance(found, dict) else found, side == "gone"  # a list alone: by those who didn't tell them apart
         if spark is None or not listings:
             for listing in listings:
                 _carry_out(root, job, listing, deleting)
@@ -390,7 +404,7 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, root: str, pattern: str, content: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format(FORMAT).options(root=root, pattern=pattern, content=str(content).lower()).load()
+    return spark.read.format(FORMAT).options(root=root, pattern=pattern, content=str(content).lower(), tasks=4 * spark.sparkContext.defaultParallelism).load()
 
 
 def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:

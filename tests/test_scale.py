@@ -1,5 +1,6 @@
 """What grows with the tables: tasks for work on files, memory of one task."""
 
+import os
 import tracemalloc
 
 import pyarrow as pa
@@ -36,6 +37,26 @@ def test_a_writer_holds_one_content_at_a_time(tmp_path):
         tracemalloc.stop()
 
 
+def test_many_small_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(120):
+        (tmp_path / "in" / f"f{i}").mkdir(parents=True)
+        (tmp_path / "in" / f"f{i}" / "a.txt").write_text("x")
+    rows = files.read(spark, str(tmp_path), "in/*/*.txt", content=False)
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and rows.select("index_1").distinct().count() == 120
+
+
+def test_a_task_stages_files_in_a_folder_of_its_own_and_lists_are_read_once(tmp_path, monkeypatch):
+    root, n, steps, plain = str(tmp_path), 300, [], files._carry_out
+    monkeypatch.setattr(files, "_carry_out", lambda root, job, listing, deleting: (steps.append(deleting), plain(root, job, listing, deleting))[1])
+    for content, step in ((b"x", False), (None, True)):
+        writer = files.Writer({"root": root, "pattern": "out/*.txt"}, ["index_1", "content"])
+        message = writer.write(iter([pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array([content] * n, pa.binary())], ["index_1", "content"])]))
+        assert len(os.listdir(f"{root}/{writer.staging()}")) <= files.BESIDE + 2
+        writer.commit([message])
+        assert len(os.listdir(f"{root}/out")) == (0 if step else n) and steps == [step] and not os.listdir(f"{root}/.driftloom/staging")
+        steps.clear()
+
+
 def plain_closure(edges, roots):
     depth, at, n = dict.fromkeys(roots, 0), set(roots), 0
     while at:

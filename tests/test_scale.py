@@ -76,6 +76,19 @@ def test_a_closure_writes_no_edges_as_rows_and_finds_all_in_any_order_of_names(s
     assert sorted((r["node"], r["depth"]) for r in got) == sorted(plain_closure(edges, roots).items())
 
 
+def test_a_closure_writes_no_edges_of_tables_and_reads_only_kinds_that_it_meets(spark, folder, monkeypatch):
+    from driftloom.plans import catalogue
+
+    names, plain = [], lineage.stored
+    monkeypatch.setattr(lineage, "stored", lambda rows, name="table": (names.append(name), plain(rows, name))[1])
+    found = catalogue.QUERIES["tracked_closure"](spark, folder)
+    assert found.count() > 0 and "edges" not in names
+    lost = spark.range(1).select(F.raise_error(F.lit("read")).cast("string").alias("src"), F.lit("line/1").alias("dst"))
+    parts = [("line/", lost), ("a/", spark.createDataFrame([("b/1", "a/1"), ("b/2", "a/2")], "src string, dst string")), ("b/", spark.createDataFrame([("a/2", "b/1")], "src string, dst string"))]
+    got = lineage.closure(parts, spark.createDataFrame([("a/1",)], "node string")).collect()
+    assert sorted((r["node"], r["depth"]) for r in got) == [("a/1", 0), ("a/2", 2), ("b/1", 1), ("b/2", 3)]
+
+
 def test_doubling_joins_no_pointer_that_has_come_to_its_end(spark, monkeypatch):
     sizes, plain = [], lineage.settle
     monkeypatch.setattr(lineage, "settle", lambda rows: (out := plain(rows), sizes.append(out.count()))[0])

@@ -1,7 +1,7 @@
 """States of elements while versions arrive: what is expected of an element, what is there and what is stored, kept by element.
 
-``states`` takes a stream of reports (element, kind, version), kind being expected, actual or stored, and gives the element's status each time
-it changes, by the rules of ``operators.staleness.link_status``. Reports may come in any order and in any batches: the last of
+``follow`` takes a stream of reports (element, kind, version), kind being expected, actual or stored, and gives the element's status after each
+batch that changes it, by the rules of ``operators.staleness.link_status``. Reports may come in any order and in any batches: the last of
 each kind counts, by its number (seq); a null version says that there is none any more. A stored report says that a store holds that version;
 it counts as long as the element expects it, and is kept for as many versions as were reported stored.
 
@@ -11,72 +11,53 @@ gives no row; of reports with the same number the larger version counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..operators.staleness import LOCAL, NOT_FOUND, REMOTE, UNEXPECTED
+from ..operators.staleness import link_status
 
 REPORT = "element string, kind string, version string, seq long"
 STATUS = "element string, expected string, actual string, status string, turn long"
 
 
-class ElementStatus(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "expected string, expected_seq long, actual string, actual_seq long, status string, turn long")
-        self.stored = handle.getMapState("stored", "version string", "held boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        last = self.known.get()
-        expected, expected_seq, actual, actual_seq, status, turn = last if last is not None else (None, -1, None, -1, None, 0)
-        for r in rows:
-            if r["kind"] == "stored":
-                if r["version"] is not None:
-                    self.stored.updateValue((r["version"],), (True,))
-            elif r["kind"] == "expected":
-                if (r["seq"], r["version"] or "") >= (expected_seq, expected or ""):
-                    expected, expected_seq = r["version"], r["seq"]
-            elif (r["seq"], r["version"] or "") >= (actual_seq, actual or ""):
-                actual, actual_seq = r["version"], r["seq"]
-        if expected_seq < 0 and actual_seq < 0:
-            return
-        if expected is None:
-            now = UNEXPECTED
-        elif actual is not None:
-            now = LOCAL if actual == expected else UNEXPECTED
-        else:
-            now = REMOTE if self.stored.containsKey((expected,)) else NOT_FOUND
-        changed = last is None or (expected, actual, now) != (last[0], last[2], status)
-        turn += changed
-        self.known.update((expected, expected_seq, actual, actual_seq, now, turn))
-        if changed:
-            yield Row(element=key[0], expected=expected, actual=actual, status=now, turn=turn)
-
-    def close(self) -> None:
-        pass
-
-
 def states(reports: DataFrame) -> DataFrame:
-    """STATUS, a row for each change of an element's state; turn counts the element's changes. The session's state store must be RocksDB's."""
+    """element, expected, actual, status of the elements that a batch reports on, as they are after it. What is known of an element is kept by built-in
+    aggregates in the state store: no element goes to Python. States are kept by RocksDB."""
     reports.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return reports.groupBy("element").transformWithState(ElementStatus(), STATUS, "Update", "None")
+    kind, report = F.col("kind"), F.struct("seq", "version")
+    known = reports.groupBy("element").agg(
+        F.max(F.when(kind == "expected", report)).alias("expects"),
+        F.max(F.when(~kind.isin("expected", "stored"), report)).alias("holds"),
+        F.collect_set(F.when(kind == "stored", F.col("version"))).alias("stored"),
+    )
+    known = known.filter("expects is not null or holds is not null")
+    known = known.select("element", F.col("expects.version").alias("expected"), F.col("holds.version").alias("actual"), F.array_contains("stored", F.col("expects.version")).alias("in_store"))
+    return known.select("element", "expected", "actual", link_status(known).alias("status"))
+
+
+def changed(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """STATUS, of the elements whose state isn't what the changes before (STATUS) say; turn counts an element's changes."""
+    last = before.groupBy("element").agg(F.max(F.struct("turn", "expected", "actual", "status")).alias("was"))
+    both = rows.join(last, "element", "left")
+    same = F.col("was").isNotNull()
+    for c in ("expected", "actual", "status"):
+        same = same & F.col(c).eqNullSafe(F.col(f"was.{c}"))
+    return both.filter(~same).select("element", "expected", "actual", "status", (F.coalesce("was.turn", F.lit(0)) + 1).cast("long").alias("turn"))
 
 
 def follow(reports: DataFrame, checkpoint: str, out: str) -> None:
     """Takes in what has arrived since the last call and appends the changes of state to a table; then stops. A batch that is given again
-    after a failure is written to the same place."""
+    after a failure is written to the same place. Each batch reads the changes of those before it."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        spark = rows.sparkSession
+        before = spark.read.schema(f"{STATUS}, batch long").parquet(out).filter(F.col("batch") < batch) if batch else spark.createDataFrame([], STATUS)
+        changed(rows, before).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     states(reports).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
 
 
 def latest(changes: DataFrame) -> DataFrame:
     """element, expected, actual, status as they are now, from all changes so far."""
-    from pyspark.sql import functions as F
-
     last = changes.groupBy("element").agg(F.max_by(F.struct("expected", "actual", "status"), "turn").alias("last"))
     return last.select("element", "last.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import lineage
 from driftloom.sources import files, patterns
+from driftloom.streaming import status
 
 
 def names(spark, n):
@@ -57,6 +58,29 @@ def test_a_task_stages_files_in_a_folder_of_its_own_and_lists_are_read_once(tmp_
         steps.clear()
 
 
+def test_states_while_versions_arrive_are_kept_by_aggregates_and_repeats_give_no_row(spark, tmp_path):
+    reports, marks, out = (str(tmp_path / x) for x in ("reports", "marks", "out"))
+    batches = (
+        [("a", "expected", "A", 1), ("a", "actual", "old", 1), ("b", "stored", "B", 1), ("c", "actual", None, 1)],
+        [("a", "actual", "old", 2), ("a", "expected", "A", 2), ("b", "stored", "C", 2), ("c", "actual", None, 2)],
+        [("a", "actual", "A", 3), ("b", "expected", "B", 3)],
+        [("a", "actual", "late", 2), ("b", "expected", "C", 4), ("b", "stored", None, 4)],
+    )
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, status.REPORT).coalesce(1).write.mode("append").parquet(reports)
+        stream = spark.readStream.schema(status.REPORT).parquet(reports)
+        assert "Python" not in (plan := status.states(stream)._jdf.queryExecution().logical().toString()) and "PySpark" not in plan
+        status.follow(stream, marks, out)
+        seen.append(sorted((r["element"], r["expected"] or "", r["actual"] or "", r["status"], r["turn"]) for r in spark.read.parquet(out).filter(F.col("batch") == len(seen)).collect()))
+    assert seen == [
+        [("a", "A", "old", "LocalUnexpected", 1), ("c", "", "", "LocalUnexpected", 1)],
+        [],
+        [("a", "A", "A", "Local", 2), ("b", "B", "", "Remote", 1)],
+        [("b", "C", "", "Remote", 2)],
+    ]
+
+
 def plain_closure(edges, roots):
     depth, at, n = dict.fromkeys(roots, 0), set(roots), 0
     while at:

@@ -156,30 +156,36 @@ def refreshed_tree(files: DataFrame, gone: DataFrame, stored: DataFrame, folders
         ks = F.when(F.size(bare) > 1, F.sequence(F.lit(1), F.size(bare) - 1))
         return paths.select(F.explode(F.transform(ks, lambda k: F.concat(F.array_join(F.slice(bare, 1, k), "/"), F.lit("/")))).alias("path")).distinct()
 
-    files = settle(files.filter(seen("path")).select("path", "version", "changed"))
-    there = above(files)
+    files = files.filter(seen("path")).select("path", "version", "changed")
+    # files count once for the directory that holds them, not for each above it
+    homes = settle(files.groupBy(parent(F.col("path")).alias("path")).agg(F.bool_or("changed").alias("changed")).filter("path <> ''"))
+    there = homes.select("path").union(above(homes))
     if folders is not None:
-        there = there.union(folders.select("path")).union(above(folders)).distinct()
-    there = settle(there)
+        there = there.union(folders.select("path")).union(above(folders))
+    there = settle(there.distinct())
     new = there.join(stored.select("path"), "path", "left_anti")
-    marks = files.filter("changed").select("path").union(gone.filter(seen("path")).select("path")).union(new)
-    dirty = settle(above(marks).union(new).distinct().join(there, "path", "left_semi").withColumn("depth", F.size(F.split("path", "/"))))
-    clean = there.join(dirty, "path", "left_anti").join(stored.select("path", "version"), "path")
+    changed = homes.filter("changed").select("path")
+    marks = changed.union(gone.filter(seen("path")).select("path")).union(new)
+    dirty = settle(above(marks).union(changed).union(new).distinct().join(there, "path", "left_semi").withColumn("depth", F.size(F.split("path", "/"))))
+    clean = settle(there.join(dirty, "path", "left_anti").join(stored.select("path", "version"), "path"))
     # children of dirty directories: files and clean directories at once, dirty ones level by level
     child = lambda rows, kind: rows.select(parent(F.col("path")).alias("dir"), F.lit(kind).alias("kind"), name(F.col("path")).alias("name"), "version")
     known = child(files, 0).union(child(clean, 1))
-    pending = settle(known.join(dirty.select(F.col("path").alias("dir")), "dir", "left_semi").withColumn("depth", F.size(F.split("dir", "/"))))
+    if not clean.isEmpty():
+        known = known.join(dirty.select(F.col("path").alias("dir")), "dir", "left_semi")
+    known, ups = known.withColumn("depth", F.size(F.split("dir", "/"))), None
     out = clean.select("path", "version", F.lit(False).alias("recomputed"))
     levels = [r[0] for r in dirty.select("depth").distinct().orderBy(F.col("depth").desc()).collect()]  # one entry a level
     for level in levels:
-        here = pending.filter(F.col("depth") == level)
-        done = merkle(here, ["dir"], "name", "version", bits, ["kind", "name"]).select(F.col("dir").alias("path"), "version")
+        here = known if ups is None else known.union(ups)
+        here = here.filter(F.col("depth") == level)
+        done = settle(merkle(here, ["dir"], "name", "version", bits, ["kind", "name"]).select(F.col("dir").alias("path"), "version"))
         none = F.upper(F.sha2(F.lit(b""), bits))
-        bare = dirty.filter(F.col("depth") == level).select("path").join(here.select(F.col("dir").alias("path")), "path", "left_anti").select("path", none.alias("version"))
-        done = settle(done.union(bare))
+        bare = dirty.filter(F.col("depth") == level).select("path").join(done.select("path"), "path", "left_anti").select("path", none.alias("version"))
+        done = done.union(bare)
         out = out.union(done.select("path", "version", F.lit(True)))
         up = child(done, 1).filter("dir <> ''").withColumn("depth", F.size(F.split("dir", "/")))
-        pending = settle(pending.filter(F.col("depth") < level).union(up))
+        ups = settle(up if ups is None else up.union(ups.filter(F.col("depth") < level)))
     return out
 
 

@@ -67,10 +67,26 @@ class Method:
         return min(ins, max(a.count("*") for a in self.outputs))
 
 
+class Artefacts(dict):
+    """DataFrames by artefact; one whose files are still to be listed is a function, which is called when somebody asks for it."""
+
+    def __getitem__(self, artefact: str) -> DataFrame:
+        rows = super().__getitem__(artefact)
+        if not isinstance(rows, DataFrame):
+            self[artefact] = rows = rows()
+        return rows
+
+    def get(self, artefact: str, default: DataFrame | None = None) -> DataFrame | None:
+        return self[artefact] if artefact in self else default
+
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(artefact, self[artefact]) for artefact in self]
+
+
 @dataclass
 class Flow:
     spark: SparkSession
-    artefacts: dict[str, DataFrame] = field(default_factory=dict)
+    artefacts: dict[str, DataFrame] = field(default_factory=Artefacts)
     methods: dict[str, Method] = field(default_factory=dict)
     root: str | None = None  # of a flow whose artefacts are files
     config: Config = field(default_factory=Config)
@@ -109,7 +125,11 @@ class Flow:
         for a, text in texts.items():
             self.listed[a] = settle(listed[a].join(versions.withColumnRenamed("version", "actual"), "relative").select("index", "relative", "actual"))
             self.kinds[a] = DIRECTORY if a.endswith("/") else "string" if text else "binary"
-            self.artefacts[a] = self._read(a, self.listed[a])
+            self.artefacts[a] = self._reading(a)
+
+    def _reading(self, artefact: str) -> Callable[[], DataFrame]:
+        listed = self.listed[artefact]
+        return lambda: self._read(artefact, listed)
 
     def _put(self, artefact: str, kept: DataFrame | None, new: DataFrame | None, gone: DataFrame | None = None) -> None:
         """Writes new elements (index, content) as files beside those kept (index, relative, actual), and deletes others (index). What was
@@ -129,7 +149,7 @@ class Flow:
             rows = known(new) if rows is None else rows.union(known(new))
             self.kinds[artefact] = DIRECTORY if artefact.endswith("/") else new.schema["content"].dataType.simpleString()
         self.listed[artefact] = settle(rows)
-        self.artefacts[artefact] = self._read(artefact, self.listed[artefact])
+        self.artefacts[artefact] = self._reading(artefact)
 
     def _read(self, artefact: str, rows: DataFrame) -> DataFrame:
         """index, content of listed elements; of directories index, path, content."""
@@ -166,9 +186,18 @@ class Flow:
         if rows is not None:
             made = F.when((F.col("path") == "") | F.col("path").endswith("/"), F.lit(b"")).otherwise(F.coalesce(F.col("content").cast("binary"), F.lit(b"")))
             out = rows.select("index", "path", made.alias("content"))
-            was = files.below(self.spark, self.root, artefact, rows).filter("path <> ''").select("index", "path")
-            kept = rows.select("index", "path").union(rows.select("index", F.explode(_above(F.col("path")))))
-            out = out.union(was.join(kept, ["index", "path"], "left_anti").select("index", "path", nothing))
+            was = files.below(self.spark, self.root, artefact, rows.select("index").distinct()).filter("path <> ''")
+            if not was.isEmpty():
+                is_folder = F.col("path").endswith("/")
+                folders = was.filter(is_folder).select("index", "path")
+                kept = rows.filter(is_folder).select("index", "path").union(rows.select("index", F.explode(_above(F.col("path")))))
+                # a file that holds the same content, as far as it is known by the cache, stays
+                known = F.when(F.col("cache_mtime") > F.col("mtime"), F.col("cached")).alias("known")
+                there = was.filter(~is_folder).join(patterns.read_cache(self.spark, self.root), "relative", "left").select("index", "path", known, F.lit(True).alias("there"))
+                both = out.withColumn("actual", version(F.col("content"))).join(there, ["index", "path"], "full_outer")
+                out = both.filter("there is null or content is null or not actual <=> known").select("index", "path", "content")
+                if not folders.isEmpty():
+                    out = out.union(folders.join(kept, ["index", "path"], "left_anti").select("index", "path", nothing))
         if gone is not None:
             gone = gone.select("index", F.lit("").alias("path"), nothing)
             out = gone if out is None else out.union(gone)
@@ -300,9 +329,8 @@ class Flow:
         stores = [store for name in sorted(self.config.stores, reverse=True) if (store := self.store(name)).state()[0] >= 0]
         if not stores:
             return
-        have = self.artefacts.get(artefact)
         missing = wanted.filter("expected is not null").select("index", "expected").distinct()
-        if have is not None:
+        if artefact in self.artefacts:
             missing = missing.join(self.items(artefact).select("index"), "index", "left_anti")
         missing, kind = settle(missing), self.kinds.get(artefact, "string")
         for store in stores:
@@ -377,7 +405,7 @@ class Flow:
             made = {o: settle(rows.select("index", *["path"] * o.endswith("/"), "content")) for o, rows in zip(m.outputs, got, strict=True)}
         for o in m.outputs:
             k, new = min(m.rank, o.count("*")), made.get(o)
-            before = old = self.listed.get(o, self.artefacts.get(o))
+            before = old = self.listed[o] if o in self.listed else self.artefacts.get(o)
             if old is not None:
                 key = F.slice("index", 1, k)
                 old = old.join(instances.select(F.slice("instance", 1, k).alias("key")).distinct(), key == F.col("key"), "left_semi")
@@ -445,8 +473,9 @@ class Flow:
                 inside = inside.select("version", "path", version(F.col("content")).alias("part"), "content")
                 trees = inside if trees is None else trees.union(inside)
                 continue
-            here = self.artefacts[a]
-            if a in self.listed:  # only files that the store lacks are read
+            if a not in self.listed:
+                here = self.artefacts[a]
+            else:  # only files that the store lacks are read
                 lacking = self.listed[a].join(into.versions().withColumnRenamed("version", "actual"), "actual", "left_anti")
                 here = self._read(a, lacking.dropDuplicates(["actual"]))
             part = here.select(version(F.col("content").cast("binary")).alias("version"), F.col("content").cast("binary").alias("content"))
@@ -601,10 +630,17 @@ class Flow:
         return flow
 
     def remove(self, artefact: str) -> None:
-        """Forgets an artefact's elements in place, and deletes its files if the flow has a root (its recorded and stored versions stay)."""
-        rows = self.artefacts.pop(artefact, None)
-        if rows is not None:
-            self._publish(artefact, None, self.listed.pop(artefact, rows).select("index"))
+        """Forgets an artefact's elements in place, and deletes its files if the flow has a root (its recorded and stored versions stay).
+        Directories are out of their places at once; deleting what is in them goes on in tasks beside what follows, until ``finish``."""
+        if artefact in self.artefacts:
+            rows = self.listed.pop(artefact) if artefact in self.listed else self.artefacts[artefact]
+            del self.artefacts[artefact]
+            self._publish(artefact, None, rows.select("index"))
+
+    def finish(self) -> None:
+        """Waits until all that was removed is deleted; an error of a deletion is raised here."""
+        if self.root is not None:
+            files.finish(self.root)
 
 
 def _above(path: Column) -> Column:

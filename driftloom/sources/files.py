@@ -9,11 +9,13 @@ at. A folder whose files are themselves the elements is listed by every task, wh
 ``write(df, root, pattern)`` writes rows (index_1, ..., content) as files; a null content deletes the element. Tasks write into a staging
 folder and leave a list of what they made; the job counts when a record that names these lists stands in the root. Vanished elements
 are then deleted and new ones moved to their places, one by one and by tasks, a list each; ``recover`` completes jobs that were cut off
-while they did so. A job that fails leaves all elements as they were.
+while they did so. A job that fails leaves all elements as they were. Directories that go are moved to the job's folder in one step each;
+what is in them is deleted by tasks while the caller goes on (``finish`` waits for them; ``recover`` deletes what a cut off process left).
 
 An element of a pattern with a final ``/`` is a directory, whose rows have a path inside it too: a file's; an inner directory's, with a
 final ``/``; or an empty one, which stands for the element itself. ``below`` lists them, ``write`` takes them: a null content deletes a
-file, or a directory with all that is in it.
+file, or a directory with all that is in it. A directory that isn't there yet is staged as a whole, by all tasks that have files of it, and
+moved to its place in one step; if an attempt of a task failed, whose files could be there too, those of the others are moved one by one.
 
 Defined cases: names that begin with a dot and side files are passed over; an index part of a file is its name up to the first dot; a
 root or folder before the first wildcard that isn't there holds no elements; a literal part that is missing behind a wildcard, and two
@@ -22,10 +24,12 @@ files with one index, are errors, and so is an element that is written twice.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -35,7 +39,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..functions.paths import HASH_SUFFIX, META_SUFFIX
 from .roots import FOLDER, filesystem
-from .tables import dealt, settle
+from .tables import dealt
 
 FORMAT = "driftloom_files"
 #: folders of one task, at most so many tasks, if there are more; tasks that share one folder's files
@@ -44,6 +48,8 @@ TASKS, SHARES = 1024, 8
 BATCH_BYTES, STEPS = 4 << 20, 64
 #: files that a task stages in the job's folder; others go to a folder of the task's own, as tasks that make files in one folder wait for each other
 BESIDE = 16
+#: folders of a job's for directories that are staged as wholes, and for those that are deleted, in so many shards
+WHOLE, GONE, SHARDS = "whole", "gone", 64
 
 
 def ours(name: str) -> bool:
@@ -223,6 +229,7 @@ class Made(WriterCommitMessage):
     listing: str
     gone: bool  # whether the list has deletions
     made: bool  # whether it has other steps
+    whole: bool = False  # whether there are lists of directories that are staged as a whole, and of what the task put into them
 
 
 class Writer(DataSourceArrowWriter):
@@ -242,12 +249,15 @@ class Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator) -> Made:
         import pyarrow as pa
+        from pyarrow.fs import FileType
 
         system, base = filesystem(self.root)
         folder, task = f"{base}/{self.staging()}", uuid.uuid4().hex
         system.create_dir(folder, recursive=True)
-        n, seen, gone = 0, set(), 0
-        with system.open_output_stream(f"{folder}/{task}.list") as listing:
+        n, seen, gone, inside = 0, set(), 0, 0
+        new: dict[str, bool] = {}  # directories that are elements: whether they aren't there yet
+        folders: set[str] = set()
+        with system.open_output_stream(f"{folder}/{task}.list") as listing, contextlib.ExitStack() as more:
             for batch in iterator:
                 contents = batch.column("content").cast(pa.binary())
                 for i, index in enumerate(zip(*(batch.column(c).to_pylist() for c in (*self.index, *self.inside)), strict=True) if self.index or self.inside else [()] * len(contents)):
@@ -257,6 +267,25 @@ class Writer(DataSourceArrowWriter):
                     if relative in seen:
                         raise ValueError(f"{relative} is written twice")
                     seen.add(relative)
+                    if self.inside and content is not None:
+                        element = relative.removesuffix(path)
+                        if element not in new:
+                            new[element] = system.get_file_info(f"{base}/{element}".rstrip("/")).type == FileType.NotFound
+                            if new[element]:
+                                if not inside:
+                                    wholes, parts = (more.enter_context(system.open_output_stream(f"{folder}/{task}.{x}")) for x in ("wholes", "parts"))
+                                wholes.write(json.dumps([element, f"{WHOLE}/{element}"]).encode() + b"\n")
+                        if new[element]:
+                            above = relative.rpartition("/")[0]
+                            if above not in folders:
+                                system.create_dir(f"{folder}/{WHOLE}/{above}", recursive=True)
+                                folders.add(above)
+                            if not relative.endswith("/"):
+                                with system.open_output_stream(f"{folder}/{WHOLE}/{relative}") as out:
+                                    out.write(content)
+                            parts.write(json.dumps([relative, "" if relative.endswith("/") else f"{WHOLE}/{relative}"]).encode() + b"\n")
+                            inside += 1
+                            continue
                     staged = None
                     if content is not None and relative.endswith("/"):
                         staged = ""
@@ -269,14 +298,20 @@ class Writer(DataSourceArrowWriter):
                         n += 1
                     gone += staged is None
                     listing.write(json.dumps([relative, staged]).encode() + b"\n")
-        return Made(f"{task}.list", gone > 0, len(seen) > gone)
+        return Made(f"{task}.list", gone > 0, len(seen) > gone + inside, inside > 0)
 
     def commit(self, messages: list[Made | None]) -> None:
+        from pyarrow.fs import FileSelector
+
         system, base = filesystem(self.root)
         system.create_dir(f"{base}/{FOLDER}/commits", recursive=True)
         record = f"{base}/{FOLDER}/commits/{self.job}"
+        lists = {side: [m.listing for m in messages if m is not None and getattr(m, side)] for side in ("gone", "made")}
+        if wholes := [m.listing.removesuffix("list") for m in messages if m is not None and m.whole]:
+            begun = sum(x.base_name.endswith(".list") for x in system.get_file_info(FileSelector(f"{base}/{self.staging()}")))
+            lists["made"] += [name + ("wholes" if begun == sum(m is not None for m in messages) else "parts") for name in wholes]
         with system.open_output_stream(f"{record}.new") as out:
-            out.write(json.dumps({side: [m.listing for m in messages if m is not None and getattr(m, side)] for side in ("gone", "made")}).encode())
+            out.write(json.dumps(lists).encode())
         system.move(f"{record}.new", f"{record}.json")  # from here on the job counts
         if not self.later:
             put_in_place(self.root, self.job)
@@ -288,10 +323,9 @@ class Writer(DataSourceArrowWriter):
 
 def _carry_out(root: str, job: str, listing: str, deleting: bool) -> None:
     """The deletions of a task's list, or its other steps; doing them again does no harm."""
-    from concurrent.futures import ThreadPoolExecutor
     from itertools import islice
 
-    from pyarrow.fs import FileType
+    from pyarrow.fs import FileSelector, FileType
 
     system, base = filesystem(root)
     folder = f"{base}/{FOLDER}/staging/{job}"
@@ -300,28 +334,52 @@ def _carry_out(root: str, job: str, listing: str, deleting: bool) -> None:
     def kind(path: str) -> FileType:
         return system.get_file_info(path.rstrip("/")).type
 
+    def move(staged: str, to: str) -> None:
+        try:
+            system.move(staged, to)
+        except FileNotFoundError:
+            if kind(to) != FileType.File:
+                raise
+
+    def whole(staged: str, to: str) -> None:
+        """Moves a directory; into one that is there by now, what is in it."""
+        if kind(staged) != FileType.Directory:  # it was moved before
+            return
+        system.create_dir(to.rpartition("/")[0], recursive=True)
+        if kind(to) == FileType.NotFound:
+            try:
+                return system.move(staged, to)
+            except OSError:  # another attempt did it, or made the directory
+                if kind(to) != FileType.Directory:
+                    raise
+        for x in system.get_file_info(FileSelector(staged, allow_not_found=True)):
+            if x.type == FileType.Directory:
+                whole(x.path, f"{to}/{x.base_name}")
+            else:
+                move(x.path, f"{to}/{x.base_name}")
+
     def one(line: bytes) -> None:
         relative, staged = json.loads(line)
         to = f"{base}/{relative}"
         if staged is None and deleting:
             try:
                 if relative.endswith("/") and kind(to) == FileType.Directory:
-                    system.delete_dir(to.rstrip("/"))
+                    aside = f"{folder}/{GONE}/{zlib.crc32(relative.encode()) % SHARDS}"
+                    system.create_dir(aside, recursive=True)
+                    system.move(to.rstrip("/"), f"{aside}/{uuid.uuid4().hex}")
                 elif not relative.endswith("/") and kind(to) == FileType.File:
                     system.delete_file(to)
             except FileNotFoundError:  # another attempt, or the deletion of the directory above
                 pass
         elif staged == "" and not deleting:
             system.create_dir(to.rstrip("/"), recursive=True)
+        elif staged and staged.endswith("/") and not deleting:
+            whole(f"{folder}/{staged}".rstrip("/"), to.rstrip("/"))
         elif staged and not deleting and kind(f"{folder}/{staged}") != FileType.NotFound:  # else it was moved before
             if (above := to.rpartition("/")[0]) not in made:
                 system.create_dir(above, recursive=True)
                 made.add(above)
-            try:
-                system.move(f"{folder}/{staged}", to)
-            except FileNotFoundError:
-                if kind(to) != FileType.File:
-                    raise
+            move(f"{folder}/{staged}", to)
 
     def each(part: list[bytes]) -> None:
         for line in part:
@@ -337,6 +395,7 @@ def _carry_out(root: str, job: str, listing: str, deleting: bool) -> None:
 def put_in_place(root: str, job: str, spark: SparkSession | None = None) -> None:
     """Deletes what a job says is gone, and then moves its elements to their places: in tasks, if a session is given."""
     import pyarrow as pa
+    from pyarrow.fs import FileType
 
     system, base = filesystem(root)
     record = f"{base}/{FOLDER}/commits/{job}.json"
@@ -358,7 +417,61 @@ def put_in_place(root: str, job: str, spark: SparkSession | None = None) -> None
         rows = spark.createDataFrame([(x,) for x in listings], "listing string").repartition(len(listings))
         rows.mapInArrow(work, "listing string").write.format("noop").mode("overwrite").save()
     system.delete_file(record)
-    system.delete_dir(f"{base}/{FOLDER}/staging/{job}")
+    if spark is not None and system.get_file_info(f"{base}/{FOLDER}/staging/{job}/{GONE}").type == FileType.Directory:
+        _sweeps.setdefault(root, []).append(_sweepers.submit(_sweep, spark, root, job))
+    else:
+        system.delete_dir(f"{base}/{FOLDER}/staging/{job}")
+
+
+#: deletions that go on, by root
+_sweeps: dict[str, list[Future]] = {}
+_sweepers = ThreadPoolExecutor(1)
+
+
+def _sweep(spark: SparkSession, root: str, job: str) -> None:
+    """Deletes the directories that a job has put aside, in few tasks: their threads wait for the filesystem, not for a core."""
+    import pyarrow as pa
+
+    at = f"{FOLDER}/staging/{job}"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                _delete_below(root, f"{at}/{GONE}/{shard}")
+            yield batch
+
+    tasks = max(1, spark.sparkContext.defaultParallelism // 6)
+    rows = spark.range(SHARDS).select(F.col("id").cast("string").alias("shard")).repartition(tasks)
+    rows.mapInArrow(work, "shard string").write.format("noop").mode("overwrite").save()
+    system, base = filesystem(root)
+    system.delete_dir(f"{base}/{at}")
+
+
+def _delete_below(root: str, folder: str) -> None:
+    """Deletes all files below a folder, many at a time."""
+    from itertools import batched
+
+    from pyarrow.fs import FileSelector, FileType
+
+    system, base = filesystem(root)
+
+    def delete(paths: Sequence[str]) -> None:
+        for path in paths:
+            system.delete_file(path)
+
+    with ThreadPoolExecutor(32) as pool:
+        above = [f"{base}/{folder}"]
+        while above:
+            found = system.get_file_info(FileSelector(above.pop(), allow_not_found=True))
+            above += [x.path for x in found if x.type == FileType.Directory]
+            list(pool.map(delete, batched((x.path for x in found if x.type != FileType.Directory), STEPS)))
+
+
+def finish(root: str) -> None:
+    """Waits until the directories that jobs of this process have put aside are deleted; an error of a deletion is raised here."""
+    while waiting := _sweeps.get(root):
+        waiting.pop(0).result()
+    _sweeps.pop(root, None)
 
 
 def recover(root: str, clean: bool = True, spark: SparkSession | None = None) -> int:
@@ -442,17 +555,17 @@ def contents(root: str, listed: DataFrame) -> DataFrame:
 
 
 def below(spark: SparkSession, root: str, pattern: str, listed: DataFrame) -> DataFrame:
-    """index, path, relative of all that is inside directories (index), the directories themselves with an empty path; those that aren't
-    there are passed over. Folders are listed in tasks, a level in each round."""
+    """index, path, relative, mtime of all that is inside directories (index), the directories themselves with an empty path; those that
+    aren't there are passed over. Folders are listed in tasks, a level in each round."""
     from ..functions.paths import apply_index
     from .patterns import entries
 
-    depth = len(parts_of(pattern)[0])
-    top = settle(listed.select("index", apply_index(F.lit(pattern), F.col("index")).alias("top")).distinct())
-    found = entries(spark, root, top.select(F.col("top").alias("relative"))).select("relative")
-    found = found.withColumn("top", F.concat(F.array_join(F.slice(F.split("relative", "/"), 1, depth), "/"), F.lit("/")))
-    inside = F.expr("substring(relative, char_length(top) + 1)").alias("path")
-    return found.join(top, "top").select("index", inside, "relative")
+    parts = parts_of(pattern)[0]
+    found = entries(spark, root, listed.select(apply_index(F.lit(pattern), F.col("index")).alias("relative")))
+    names = F.split("relative", "/")
+    index = F.array(*[names[i] for i, part in enumerate(parts) if part == "*"]).cast("array<string>").alias("index")
+    path = F.array_join(F.slice(names, len(parts) + 1, F.size(names)), "/").alias("path")
+    return found.select(index, path, "relative", "mtime")
 
 
 def write(rows: DataFrame, root: str, pattern: str) -> None:

@@ -82,13 +82,13 @@ def entries(spark: SparkSession, root: str, tops: DataFrame | None = None) -> Da
         listed = spark.createDataFrame([("", True, system.get_file_info(base).mtime, 0)], ENTRY)
         frontier = listed
     else:
-        listed = settle(tops.select("relative").distinct().mapInArrow(find, ENTRY))
-        frontier = listed.repartition("relative")
+        listed = settle(dealt(tops.select("relative"), "relative").distinct().mapInArrow(find, ENTRY))
+        frontier = listed
     name = F.element_at(F.split(F.rtrim(F.col("relative"), F.lit("/")), "/"), -1)
     ours = ~(name.startswith(".") | F.lower("relative").endswith(HASH_SUFFIX) | F.lower("relative").endswith(META_SUFFIX))
     while not frontier.isEmpty():
-        found = settle(frontier.select("relative").mapInArrow(look, ENTRY).filter(ours))
-        listed, frontier = listed.union(found), found.filter("directory").repartition("relative")
+        found = settle(dealt(frontier.select("relative"), "relative").mapInArrow(look, ENTRY).filter(ours))
+        listed, frontier = listed.union(found), found.filter("directory")
     return listed
 
 
@@ -123,11 +123,13 @@ def scan(listed: DataFrame, pattern: str) -> DataFrame:
 
 def deep_mtime(listed: DataFrame) -> DataFrame:
     """relative, mtime, n of every directory: the latest time of it and of all below it, at any depth, and the number of files
-    there. Each entry goes to its ancestors, and the latest time is summed up before it is shuffled."""
-    parts = F.split(F.rtrim(F.col("relative"), F.lit("/")), "/")
-    own = F.when(F.col("directory") & (F.col("relative") != ""), F.size(parts)).otherwise(F.when(F.col("relative") == "", 0).otherwise(F.size(parts) - 1))
+    there. Files are summed up for the directory that holds them, and directories go to their ancestors."""
+    home = F.when(F.col("directory"), F.col("relative")).otherwise(F.regexp_extract("relative", "^(.*/)?[^/]*$", 1))
+    homes = listed.groupBy(home.alias("home")).agg(F.max("mtime").alias("mtime"), F.sum((~F.col("directory")).cast("long")).alias("file"))
+    parts = F.split(F.rtrim(F.col("home"), F.lit("/")), "/")
+    own = F.when(F.col("home") == "", 0).otherwise(F.size(parts))
     above = F.transform(F.sequence(F.lit(0), own), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
-    spread = listed.select(F.explode(above).alias("folder"), "mtime", (~F.col("directory")).cast("long").alias("file"))
+    spread = homes.select(F.explode(above).alias("folder"), "mtime", "file")
     return spread.groupBy(F.col("folder").alias("relative")).agg(F.max("mtime").alias("mtime"), F.sum("file").alias("n"))
 
 
@@ -169,21 +171,21 @@ def digests(spark: SparkSession, root: str, listed: DataFrame, cache: DataFrame,
     times = listed.filter("not directory").select("relative", "mtime").union(deep)
     states = settle(fresh_hashes(times, cache, ["relative"]))
     is_dir = F.col("relative").endswith("/") | (F.col("relative") == "")
-    again = settle(file_versions(root, states.filter(~is_dir & F.col("state").isin("miss", "stale"))).withColumnRenamed("version", "computed"))
-    files = states.filter(~is_dir & (F.col("state") != "orphan")).join(again, "relative", "left")
-    files = settle(files.select("relative", F.when(F.col("state") == "hit", F.col("cached")).otherwise(F.col("computed")).alias("version"), (F.col("state") != "hit").alias("recomputed")))
+    hits, no = states.filter("state = 'hit'"), F.lit(None).cast("timestamp").alias("was")
+    again = settle(file_versions(root, states.filter(~is_dir & F.col("state").isin("miss", "stale"))))
+    files = hits.filter(~is_dir).select("relative", F.col("cached").alias("version"), F.lit(False).alias("recomputed"), F.col("cache_mtime").alias("was")).union(again.select("relative", "version", F.lit(True), no))
     # the root is a directory over all others; a top's path becomes one part, which has none above
     parts = F.split("relative", "/")
     inside = (F.concat(F.lit("./"), "relative") if depth == 0 else F.concat(F.array_join(F.slice(parts, 1, depth), "\0"), F.lit("/"), F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), "/"))).alias("path")
     outside = F.substr("path", F.lit(3)) if depth == 0 else F.replace("path", F.lit("\0"), F.lit("/"))
-    stored = states.filter(is_dir & (F.col("state") == "hit")).select(inside, F.col("cached").alias("version"))
+    stored = hits.filter(is_dir).select(inside, F.col("cached").alias("version"))
     gone = states.filter("state = 'orphan'").select(inside)
     folders = listed.filter("directory").select(inside)
     tree = refreshed_tree(files.select(inside, "version", F.col("recomputed").alias("changed")), gone, stored, folders)
-    everything = settle(files.union(tree.select(outside.alias("relative"), "version", "recomputed")))
-    kept = states.filter("state = 'hit'").select("relative", F.col("cache_mtime").alias("was"))
-    new = everything.filter("version is not null").join(kept, "relative", "left")
-    return everything, new.select("relative", F.col("version").alias("cached"), F.when(F.col("recomputed") | F.col("was").isNull(), F.current_timestamp()).otherwise(F.col("was")).alias("cache_mtime"))
+    kept = hits.filter(is_dir).select("relative", F.col("cache_mtime").alias("was"))
+    everything = settle(files.union(tree.select(outside.alias("relative"), "version", "recomputed").join(kept, "relative", "left").select("relative", "version", "recomputed", "was")))
+    new = everything.filter("version is not null")
+    return everything.drop("was"), new.select("relative", F.col("version").alias("cached"), F.when(F.col("recomputed") | F.col("was").isNull(), F.current_timestamp()).otherwise(F.col("was")).alias("cache_mtime"))
 
 
 def hashed(spark: SparkSession, root: str, items: DataFrame, cache: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Directories as artefacts: listed, hashed, made, stored and restored as wholes."""
 
 import hashlib
+import json
 import os
 
 import pytest
@@ -186,3 +187,76 @@ def test_a_flow_of_directories(spark, root):
 def test_directories_need_a_root(spark):
     with pytest.raises(ValueError, match="root"):
         Flow(spark).build(["in/*/"], ["out.txt"], names, "names")
+
+
+def batch(names, content=b"x"):
+    import pyarrow as pa
+
+    n = len(names)
+    return pa.RecordBatch.from_arrays([pa.array(["d"] * n), pa.array(names), pa.array([content] * n, pa.binary())], ["index_1", "path", "content"])
+
+
+def listing(root):
+    """What the record of the only job names: lists, and their lines."""
+    (record,) = os.listdir(f"{root}/.driftloom/commits")
+    with open(f"{root}/.driftloom/commits/{record}") as f:
+        lists = json.load(f)["made"]
+    out = {}
+    for x in lists:
+        with open(f"{root}/.driftloom/staging/{record.removesuffix('.json')}/{x}") as f:
+            out[x] = f.read().splitlines()
+    return out
+
+
+def test_a_new_directory_is_moved_in_one_step(root, monkeypatch):
+    real = files.put_in_place
+    monkeypatch.setattr(files, "put_in_place", lambda *_: None)
+    writer = files.Writer({"root": root, "pattern": "new/*/"}, ["index_1", "path", "content"])
+    writer.commit([writer.write(iter([batch([f"{i}.txt" for i in range(k, 300, 2)])])) for k in (0, 1)])
+    lists = listing(root)
+    assert len(lists) == 2 and all(len(lines) == 1 and json.loads(lines[0])[0] == "new/d/" for lines in lists.values())
+    put(root, {"new/d/other.txt": "o", "new/d/7.txt": "7"})  # somebody made the directory meanwhile
+    monkeypatch.setattr(files, "put_in_place", real)
+    assert files.recover(root) == 1 and not os.listdir(f"{root}/.driftloom/staging")
+    assert seen(root, "new") == {f"new/d/{i}.txt": "x" for i in range(300)} | {"new/d/other.txt": "o"}
+
+
+def test_what_a_failed_attempt_staged_in_a_new_directory_is_left_out(root):
+    writer = files.Writer({"root": root, "pattern": "new/*/"}, ["index_1", "path", "content"])
+    writer.write(iter([batch(["a.txt", "b.txt", "gone/"], b"bad")]))
+    writer.commit([writer.write(iter([batch(["b.txt", "c.txt", "deep/e.txt", "none/"])]))])
+    assert seen(root, "new") == {"new/d/b.txt": "x", "new/d/c.txt": "x", "new/d/deep/e.txt": "x", "new/d/none/": None}
+    assert not os.listdir(f"{root}/.driftloom/staging")
+
+
+def test_many_directories_are_listed_in_many_tasks(spark, root):
+    put(root, {f"many/{i}/x.txt": "x" for i in range(40)})
+    listed = files.listing(spark, root, "many/*/").select("relative")
+    found = patterns.entries(spark, root, listed)
+    assert found.count() == 80 and found.filter("not directory").select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_an_instance_that_runs_again_writes_what_changed(spark, root):
+    roots.initialise(root)
+    put(root, {f"in/a/{i}.txt": str(i) for i in range(6)})
+    flow = Flow.open(spark, root)
+    flow.build(["in/*/"], ["out/*/"], marked, "marked")
+    flow.scan("in/*/")
+    flow.compute("out/*/")
+    Flow.open(spark, root, {"out/*/": marked})  # what is in place is hashed
+    times = {i: os.stat(f"{root}/out/a/up/{i}.txt").st_mtime_ns for i in range(6)}
+    put(root, {"in/a/3.txt": "new", "out/a/up/4.txt": "other"})
+    for path in ("in/a/3.txt", "out/a/up/4.txt"):
+        os.utime(f"{root}/{path}", (4e9, 4e9))
+    os.remove(f"{root}/in/a/5.txt")
+    flow = Flow.open(spark, root, {"out/*/": marked})
+    assert flow.compute("out/*/") == {"out/*/": 1}
+    out = {n.removeprefix("out/a/up/"): t for n, t in seen(root, "out/a/up").items()}
+    assert out == {"0.txt": "0!", "1.txt": "1!", "2.txt": "2!", "3.txt": "new!", "4.txt": "4!", "x.txt": "1!", "deep/er/y.txt": "2!"}
+    assert [os.stat(f"{root}/out/a/up/{i}.txt").st_mtime_ns == times[i] for i in range(5)] == [True, True, True, False, False]
+    flow.save("out/*/")
+    flow.remove("out/*/")
+    flow.finish()
+    assert not os.path.exists(f"{root}/out/a") and not os.listdir(f"{root}/.driftloom/staging")
+    flow.restore("out/*/")
+    assert {n.removeprefix("out/a/up/"): t for n, t in seen(root, "out/a/up").items()} == out
